@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import minmax_dedup
+from plumbline.llm import exact_dedup, minmax_dedup, pfair_mix, secret_scan
 from plumbline.session import table
 
 
@@ -14,8 +14,30 @@ def op2_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, share=85)
 
 
+def op5_bloom_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op6_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
+
+
+#: Target weights of the sources of the synthetic corpus.
+TARGETS = {f"src{k}": 1.0 + k % 4 for k in range(20)}
+
+
+def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pfair_mix.mix(table(spark, sf_dir, "documents"), TARGETS)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minmax_near_dedup": op2_minmax_near_dedup,
+    "op5_bloom_exact_dedup": op5_bloom_exact_dedup,
+    "op6_trigram_secret_scan": op6_trigram_secret_scan,
+    "op10_pfair_mix": op10_pfair_mix,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_bloom_exact_dedup": exact_dedup.SQL,
+    "op6_trigram_secret_scan": secret_scan.sql(),
+}
