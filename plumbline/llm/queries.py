@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact_dedup, minmax_dedup, pfair_mix, secret_scan
+from plumbline.llm import exact_dedup, minmax_dedup, pfair_mix, secret_scan, sstable, token_counts
 from plumbline.session import table
 
 
+def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
+    """Where the installed public tokenizers keep a vocabulary file; PLUMBLINE_TOKENIZERS names another folder."""
+    if folder := os.environ.get("PLUMBLINE_TOKENIZERS"):
+        return f"{folder}/{name}"
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_minmax_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minmax_dedup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, share=85)
 
@@ -22,6 +32,15 @@ def op6_trigram_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op4_sstable_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = sstable.token_shards(table(spark, sf_dir, "documents"), tokenizer_file(), end_id=2)
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def op8_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file(), limit=1024)
+
+
 #: Target weights of the sources of the synthetic corpus.
 TARGETS = {f"src{k}": 1.0 + k % 4 for k in range(20)}
 
@@ -32,8 +51,10 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minmax_near_dedup": op2_minmax_near_dedup,
+    "op4_sstable_tokens": op4_sstable_tokens,
     "op5_bloom_exact_dedup": op5_bloom_exact_dedup,
     "op6_trigram_secret_scan": op6_trigram_secret_scan,
+    "op8_prefix_token_counts": op8_prefix_token_counts,
     "op10_pfair_mix": op10_pfair_mix,
 }
 
