@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact_dedup, minmax_dedup, pfair_mix, secret_scan, sstable, token_counts
+from plumbline.llm import exact_dedup, minmax_dedup, pfair_mix, secret_scan, spaced_seed, sstable, substring_dedup, token_counts
 from plumbline.session import table
 
 
@@ -41,6 +41,14 @@ def op8_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokenizer_file(), limit=1024)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
+def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spaced_seed.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 #: Target weights of the sources of the synthetic corpus.
 TARGETS = {f"src{k}": 1.0 + k % 4 for k in range(20)}
 
@@ -50,11 +58,13 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_minmax_near_dedup": op2_minmax_near_dedup,
     "op4_sstable_tokens": op4_sstable_tokens,
     "op5_bloom_exact_dedup": op5_bloom_exact_dedup,
     "op6_trigram_secret_scan": op6_trigram_secret_scan,
     "op8_prefix_token_counts": op8_prefix_token_counts,
+    "op9_spaced_seed_decontamination": op9_spaced_seed_decontamination,
     "op10_pfair_mix": op10_pfair_mix,
 }
 

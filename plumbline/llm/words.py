@@ -15,6 +15,8 @@ _POWERS: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 _BYTES = np.random.default_rng(20240521).integers(1, 1 << 63, 256, dtype=np.int64).astype(U) | U(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+#: Everything in ASCII but letters and digits: for words without punctuation.
+PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -43,19 +45,30 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0][:n], _POWERS[1][:n]
 
 
-def word_spans(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end byte offsets of the words in an array of bytes."""
+def word_spans(raw: np.ndarray, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end byte offsets of the words in an array of bytes; between tells which bytes separate words."""
     if not len(raw):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    inside = np.concatenate([[False], ~_SPACE[raw], [False]])
+    inside = np.concatenate([[False], ~between[raw], [False]])
     edges = np.flatnonzero(inside[1:] != inside[:-1])
     return edges[::2], edges[1::2]
 
 
-def word_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def utf8(text: str | None) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
+
+
+def code_points(raw: np.ndarray) -> np.ndarray:
+    """For each byte offset of UTF-8 data, its end included, how many code points begin before it."""
+    out = np.zeros(len(raw) + 1, np.int64)
+    np.cumsum((raw & 0xC0) != 0x80, out=out[1:])
+    return out
+
+
+def word_hashes(text: str | None, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, byte starts, byte ends) of a text's words; A-Z count as a-z. None is an empty text."""
-    raw = np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
-    return hash_words(_LOWER[raw], *word_spans(raw))
+    raw = utf8(text)
+    return hash_words(_LOWER[raw], *word_spans(raw, between))
 
 
 def hash_words(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
