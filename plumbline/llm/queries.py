@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact_dedup, minmax_dedup, pfair_mix, secret_scan, spaced_seed, sstable, substring_dedup, token_counts
+from plumbline.llm import exact_dedup, language_id, minmax_dedup, pfair_mix, secret_scan, spaced_seed, sstable, substring_dedup, token_counts
 from plumbline.session import table
 
 
@@ -49,6 +49,10 @@ def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFra
     return spaced_seed.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
 #: Target weights of the sources of the synthetic corpus.
 TARGETS = {f"src{k}": 1.0 + k % 4 for k in range(20)}
 
@@ -60,6 +64,7 @@ def op10_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_minmax_near_dedup": op2_minmax_near_dedup,
+    "op3_hierarchical_language_id": op3_hierarchical_language_id,
     "op4_sstable_tokens": op4_sstable_tokens,
     "op5_bloom_exact_dedup": op5_bloom_exact_dedup,
     "op6_trigram_secret_scan": op6_trigram_secret_scan,
