@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.llm import exact_dedup, language_id, minmax_dedup, pfair_mix, secret_scan, spaced_seed, sstable, substring_dedup, token_counts
+from plumbline.llm import exact_dedup, language_id, minmax_dedup, page_diff, pfair_mix, secret_scan, spaced_seed, sstable, substring_dedup, token_counts
 from plumbline.session import table
 
 
@@ -53,6 +53,10 @@ def op3_hierarchical_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_nearest_url_page_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_diff.extract(table(spark, sf_dir, "pages"))
+
+
 #: Target weights of the sources of the synthetic corpus.
 TARGETS = {f"src{k}": 1.0 + k % 4 for k in range(20)}
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sstable_tokens": op4_sstable_tokens,
     "op5_bloom_exact_dedup": op5_bloom_exact_dedup,
     "op6_trigram_secret_scan": op6_trigram_secret_scan,
+    "op7_nearest_url_page_diff": op7_nearest_url_page_diff,
     "op8_prefix_token_counts": op8_prefix_token_counts,
     "op9_spaced_seed_decontamination": op9_spaced_seed_decontamination,
     "op10_pfair_mix": op10_pfair_mix,
