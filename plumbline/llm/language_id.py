@@ -192,6 +192,26 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
+def keep_determined(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, text: str = "text") -> DataFrame:
+    """The rows of docs whose language the model can tell, all columns unchanged; the model learns as in identify().
+
+    Only texts that are "und" go: null ones and ones without a letter.
+    """
+    spark = docs.sparkSession
+    share_code(spark)
+    learned = docs.where(F.coalesce(remainder(F.col("doc_id")), F.lit(0)) != 1)
+    shared = spark.sparkContext.broadcast(fit(learned, sample_per_language, text))
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = shared.value
+        for batch in batches:
+            known = [here.predict(t.as_py())[0] != UNDETERMINED for t in batch.column(at)]
+            yield batch.filter(pa.array(known, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score; learned from documents that are not held out.
 

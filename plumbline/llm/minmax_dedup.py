@@ -84,8 +84,8 @@ def _sets(n: int, bands: int, rows: int):
                     out.append(band_keys(s, keys, rows) if len(s) else np.zeros(0, np.int64))
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in out])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out) if out else [], pa.int64()))],
-                    names=["doc_id", "n_shingles", "low", "high", "bands"],
+                    [part.column(0), part.column(2), pa.array(sizes, pa.int64()), pa.array(low, pa.int64()), pa.array(high, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(out) if out else [], pa.int64()))],
+                    names=["doc_id", "text_hash", "n_shingles", "low", "high", "bands"],
                 )
 
     return run
@@ -173,7 +173,7 @@ def _blocks(share: int):
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, share: int = 80, rows: int = ROWS, miss: float = 1e-6, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, kept.
+    """One row per document: doc_id, n_shingles, component_id, kept, text_hash (xxhash64 of the text, to find the row again).
 
     share is the least similarity in hundredths. Defined results: a null or empty text has no shingles, links with nothing
     and is kept; every row is a document of its own, also where a doc_id
@@ -182,8 +182,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: int = 80, rows: in
     spark = docs.sparkSession
     share_code(spark)
     bands = bands_for(share / 100, rows, miss)
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = base.mapInArrow(_sets(shingle, bands, rows), "doc_id long, n_shingles long, low long, high long, bands array<long>")
+    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    sets = base.mapInArrow(_sets(shingle, bands, rows), "doc_id long, text_hash long, n_shingles long, low long, high long, bands array<long>")
     sets = materialize(sets, "sets")
 
     digest = ["n_shingles", "low", "high"]
@@ -227,11 +227,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: int = 80, rows: in
     named = named.join(least, "comp").select(*digest, "component_id")
     out = sets.join(named, digest, "left")
     comp = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), comp).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    out = out.select("doc_id", "n_shingles", "text_hash", F.when(F.col("doc_id").isNotNull(), comp).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))).select("doc_id", "n_shingles", "component_id", "kept", "text_hash")
 
 
-def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs whose document is kept by near_duplicates(); all columns stay. Rows without a doc_id stay."""
-    found = near_duplicates(docs, **options).where("not kept").select("doc_id").distinct()
-    return docs.join(found, docs.doc_id == found.doc_id, "left_anti")
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, all columns unchanged. Rows equal in doc_id and text share their fate."""
+    found = near_duplicates(docs, doc_id=doc_id, text=text, **options).where("not kept")
+    gone = found.select(F.col("doc_id").alias("_gone_id"), F.col("text_hash").alias("_gone_hash")).distinct()
+    same = (docs[doc_id].cast("long") == F.col("_gone_id")) & (F.xxhash64(docs[text].cast("string")) == F.col("_gone_hash"))
+    return docs.join(gone, same, "left_anti")

@@ -24,7 +24,7 @@ from plumbline.session import materialize
 BLOCK = 32
 MAX_TOTAL = 4096
 MAX_SOURCES = 256
-CHUNK_ROWS = 8192
+CHUNK_ROWS = 2048
 
 
 def whole_weights(weights: dict[str, float], total: int = 1000) -> dict[str, int]:
@@ -96,10 +96,24 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     null doc_ids and repeated rows are placed like others, in an arbitrary but repeatable order among equal ids; other
     columns are ignored; no rows give no rows. More than MAX_SOURCES sources are refused.
     """
-    spark = docs.sparkSession
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"))
+    return _placed(materialize(rows, "mix"), [], weights, block, chunk_rows)
+
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, doc_id: str = "doc_id", source: str = "source", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """The rows of docs in the order of the mix, all columns unchanged: sorted over partitions and files, so that rows come in
+    mix order when they are read by file and row number.
+    """
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.struct(*docs.columns).alias("row"))
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = _placed(rows, ["row"], weights, block, chunk_rows)
+    return placed.repartitionByRange(n, "position").sortWithinPartitions("position").select("row.*")
+
+
+def _placed(rows: DataFrame, carry: list[str], weights: dict[str, float] | None, block: int, chunk_rows: int) -> DataFrame:
+    spark = rows.sparkSession
     if weights and min(weights.values()) <= 0:
         raise ValueError("weights must be positive")
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"))
     rows = rows.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("hash", F.xxhash64("doc_id", F.lit(11)))
     sizes = {r["name"]: r["n"] for r in rows.groupBy("name").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
     if len(sizes) > MAX_SOURCES:
@@ -111,17 +125,16 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     # rank within a source: chunks of a bounded number of rows by hash range, then offsets of chunks
     chunks = max(1, math.ceil(max(sizes.values(), default=1) / chunk_rows))
     rows = rows.withColumn("chunk", F.pmod(F.shiftrightunsigned("hash", 16), F.lit(chunks)))
-    rows = materialize(rows, "mix")
     offsets = rows.groupBy("name", "chunk").agg(F.count("*").alias("n"))
     offsets = offsets.selectExpr("name", "chunk", "sum(n) over (partition by name order by chunk rows between unbounded preceding and 1 preceding) before")
     ranked = rows.selectExpr("*", "row_number() over (partition by name, chunk order by hash, doc_id) - 1 place")
     ranked = ranked.join(offsets, ["name", "chunk"]).withColumn("rank", F.col("place") + F.coalesce("before", F.lit(0)))
     ranked = ranked.withColumn("block", F.floor(F.col("rank") / block))
     if not phases:
-        return ranked.selectExpr("doc_id", "source", "block", "0L slot", "0L position")
+        return ranked.selectExpr("doc_id", "source", "block", "0L slot", "0L position", *carry)
     table = spark.sql(f"select * from values {_literal(phases)} as t(source_name, from_block, to_block, first_slot, per_blocks, per_slots, slots)")
     # at most one row a source and phase, each with one period: bounded by MAX_SOURCES and MAX_TOTAL
     here = (F.col("name") == F.col("source_name")) & (F.col("block") >= F.col("from_block")) & (F.col("block") < F.col("to_block"))
     out = ranked.join(F.broadcast(table), here)
     out = out.withColumn("slot", F.expr("first_slot + (block - from_block) div per_blocks * per_slots + slots[cast(pmod(block - from_block, per_blocks) as int)]"))
-    return out.select("doc_id", "source", "block", "slot", (F.col("slot") * block + F.pmod("rank", F.lit(block))).alias("position"))
+    return out.select("doc_id", "source", "block", "slot", (F.col("slot") * block + F.pmod("rank", F.lit(block))).alias("position"), *carry)

@@ -149,22 +149,39 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WOR
     item_id counts with each of its texts (one row each); rows with repeated or null doc_ids are searched each by itself;
     other columns are ignored; an empty table on either side gives no rows.
     """
-    spark = docs.sparkSession
-    share_code(spark)
+    share_code(docs.sparkSession)
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).where("text is not null")
+    out = None
+    for index in indexes(benchmark, block_chars, item_id, item_text):
+        part = base.mapInArrow(_search(index, min_words, identity), "doc_id long, item_id long, start long, end long, item_word long, n_words long, n_same long")
+        out = part if out is None else out.union(part)
+    return out
+
+
+def indexes(benchmark: DataFrame, block_chars: int = BLOCK_CHARS, item_id: str = "item_id", item_text: str = "text") -> Iterator:
+    """Broadcast indexes of the benchmark's blocks, at least one; their number follows the length of all items."""
     items = benchmark.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
     total = items.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_chars))
-    out = None
     for k in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").toLocalIterator()]))
-        part = base.mapInArrow(_search(index, min_words, identity), "doc_id long, item_id long, start long, end long, item_word long, n_words long, n_same long")
-        out = part if out is None else out.union(part)
-    return out
+        yield benchmark.sparkSession.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in own.orderBy("item_id", "text").toLocalIterator()]))
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY, block_chars: int = BLOCK_CHARS, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs that overlap with no benchmark item, by contaminated()'s rule; all columns stay, and nothing shuffles."""
+    share_code(docs.sparkSession)
+    at = docs.columns.index(text)
+
+    def clean(index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            here = index.value
+            for batch in batches:
+                free = [not here.overlaps(word_hashes(t.as_py(), PUNCTUATED)[0], min_words, identity) for t in batch.column(at)]
+                yield batch.filter(pa.array(free, pa.bool_()))
 
+        return run
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that overlap with no benchmark item; all columns stay. Rows without a doc_id stay."""
-    found = contaminated(docs, benchmark, **options).select("doc_id").distinct()
-    return docs.join(found, docs.doc_id == found.doc_id, "left_anti")
+    for index in indexes(benchmark, block_chars, item_id, item_text):
+        docs = docs.mapInArrow(clean(index), docs.schema)
+    return docs
