@@ -125,7 +125,7 @@ def _overlaps(s, d):
 ORACLES: dict[str, str] = {
     "row_predicates": """SELECT o_orderkey, fmod(o_totalprice, 7) < 3 AND lower(o_orderstatus) <> 'f' AS p0, lower(o_orderpriority) LIKE '%urgent' AS p1, length(trim(o_orderpriority)) = 5 OR o_custkey IN (1, 2, 3) AS p2,
         o_totalprice > 100000 AS p3, o_orderstatus = 'o' AS p4, substring(o_orderpriority, 1, 1) >= '3' AS p5 FROM orders""",
-    "scalar_evaluator": """SELECT p_partkey, round_even(p_retailprice / 100 * 10, 0) / 10.0 AS a, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS b, trunc(-p_size / 7.0) AS c,
+    "scalar_evaluator": """SELECT p_partkey, round_even(p_retailprice / 100 * 10, 0) / 10.0 AS a, CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS b, trunc(-p_size / 7.0) + 0.0 AS c,
         lpad(CAST(p_size AS VARCHAR), 4, '0') || '/' || substring(p_brand, 1, 2) AS e, 10 < p_size AND p_size <= 20 AS f, CASE p_size % 3 WHEN 0 THEN 'zero' WHEN 1 THEN 'one' ELSE 'more' END AS g,
         CASE WHEN p_size < 10 THEN 1e0 WHEN p_size < 20 THEN 2e0 ELSE 3e0 END AS h, CAST(greatest(p_size, 10, p_partkey % 50) AS DOUBLE) AS i, regexp_matches(p_brand, '[0-9]$') AND p_size NOT IN (1, 2, 3) AS j,
         upper(p_brand) || length(p_name) AS k, floor(p_retailprice) AS l FROM part""",
