@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.pieces import Memo, library, specials, split
+from plumbline.llm.pieces import Memo, chunks, library, specials, split
 from plumbline.session import share_code
 
 
@@ -50,6 +50,7 @@ class PrefixCounter:
         self.longest = max(map(len, self.tokens))
         self.follows: dict[tuple[bytes, bytes], bool] = {}
         self.pieces = Memo(lambda new: [self.table(p.encode()) for p in new])
+        self.chunks = Memo(lambda new: [self.of_pieces(split(" " + c)) for c in new])
 
     def encode(self, raw: bytes) -> list[bytes]:
         """The tokens of a piece: merge the pair of least rank, leftmost first, until none can merge."""
@@ -85,14 +86,15 @@ class PrefixCounter:
         return tuple(count)
 
     def count(self, text: str) -> int:
-        parts = None if any(m in text for m in self.marks) else split(text)
+        marked = any(m in text for m in self.marks)
+        parts = None if marked else chunks(text)
         if parts is None:
-            return len(self.library.encode(text, add_special_tokens=False))
-        try:
-            return sum([self.pieces[p][-1] for p in parts])
-        except KeyError:
-            self.pieces.learn(parts)
-            return sum([self.pieces[p][-1] for p in parts])
+            found = None if marked else split(text)
+            return len(self.library.encode(text, add_special_tokens=False)) if found is None else self.of_pieces(found)
+        return self.of_pieces(split(parts.pop(0))) + sum(self.chunks.of(parts))
+
+    def of_pieces(self, pieces: list[str]) -> int:
+        return sum([table[-1] for table in self.pieces.of(pieces)])
 
     def prefix_counts(self, text: str) -> list[int]:
         """The number of tokens of text[:k] for every k from 0 to its length, each as if encoded on its own.
@@ -112,8 +114,7 @@ class PrefixCounter:
                 for k in range(at + 1, at + len(p) + 1):
                     out.append(back[1] + self.count(text[back[0] : k]))
             else:
-                self.pieces.get(p) or self.pieces.learn([p])
-                table, size = self.pieces[p], 0
+                table, size = self.pieces.of([p])[0], 0
                 for c in p:
                     size += len(c.encode())
                     out.append(done + table[size])
