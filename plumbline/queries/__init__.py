@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.queries import attributes, shapes, tables
+from plumbline.queries import attributes, shapes, space, tables
 from plumbline.queries.base import Query
 
-_MODULES = (attributes, tables, shapes)
+_MODULES = (attributes, tables, shapes, space)
 
 QUERIES: dict[str, Query] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
