@@ -226,9 +226,11 @@ def polygons_of_lines(table: Table, tolerance: float = 0.0) -> DataFrame:
     def faces(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         paths = [p for x in part["own"] for p in S.unpacked(x)[1]]
         rings = planar.polygonize(paths)
-        return pd.DataFrame({"comp": [key[0]] * len(rings), "ring": [[{"x": x, "y": y} for x, y in r] for r in rings]})
+        axis = lambda k: pd.Series([[p[k] for p in r] for r in rings], dtype="object")
+        return pd.DataFrame({"comp": pd.Series([key[0]] * len(rings), dtype="int64"), "x": axis(0), "y": axis(1)})
 
-    return rows.join(comps, "oid").groupBy("comp").applyInPandas(faces, "comp long, ring array<struct<x:double,y:double>>")
+    found = rows.join(comps, "oid").groupBy("comp").applyInPandas(faces, "comp long, x array<double>, y array<double>")
+    return found.select("comp", F.arrays_zip("x", "y").alias("ring"))
 
 
 def qa_centroids(lines: Table, points: Table, tolerance: float = 0.0) -> DataFrame:
@@ -268,7 +270,7 @@ def qa_border_sense(table: Table, clockwise: bool = True, tolerance: float = 0.0
                 codes.append("BorderSense.EmptyPolygonCreated")
             elif (turned > 0) != clockwise:
                 codes.append("BorderSense.InvertedOrientation")
-        return pd.DataFrame({"oid": [int(part["oid"].min())] * len(codes), "code": codes}).astype({"oid": "int64"})
+        return pd.DataFrame({"oid": pd.Series([int(part["oid"].min())] * len(codes), dtype="int64"), "code": pd.Series(codes, dtype="object")})
 
     found = rows.join(comps, "oid").groupBy("comp").applyInPandas(sense, "oid long, code string")
     return issues(found, F.col("code"), [(table.name, "oid")])

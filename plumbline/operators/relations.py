@@ -197,7 +197,7 @@ def qa_is_covered_by_other(covering: Tables, covered: Tables, allowed_uncovered:
 
 
 def qa_contained_points_count(polygons: Table, points: Tables, minimum: int, maximum: int, condition: str | None = None, on_border: bool = False) -> DataFrame:
-    pairs = S.other_pairs(list(points), [polygons], _fields(points), _fields([polygons]))
+    pairs = S.other_pairs([points], [polygons], _fields([points]), _fields([polygons]))
     pairs = pairs.where(S.conditioned(pairs, condition, default=True))
     inside = S.related(pairs, "covered_by" if on_border else "within")
     counts = inside.groupBy(F.col("b.oid").alias("oid")).agg(F.count("*").alias("n"))
@@ -290,7 +290,7 @@ def _z_expression(side: str) -> Column:
 def qa_line_intersect_z(tables: Tables, minimum: float, maximum: float, constraint: str | None = None) -> DataFrame:
     """Crossings whose height difference is out of bounds (a bound of 0 is none), then those that break the pair constraint, where G1 is
     the upper feature."""
-    hits = line_crossings(tables).withColumn("za", _z_expression("a")).withColumn("zb", _z_expression("b")).where("za is not null and zb is not null").withColumn("dz", F.abs(F.col("za") - F.col("zb")))
+    hits = line_crossings(tables).withColumn("za", _z_expression("a")).withColumn("zb", _z_expression("b")).where("za is not null and zb is not null and not (hit.end_a and hit.end_b)").withColumn("dz", F.abs(F.col("za") - F.col("zb")))
     code = F.when(F.lit(minimum > 0) & (F.col("dz") < minimum), F.lit("LineIntersectZ.DifferenceTooSmall")).when(F.lit(maximum > 0) & (F.col("dz") > maximum), F.lit("LineIntersectZ.DifferenceTooLarge"))
     upper = F.when(F.col("za") >= F.col("zb"), F.col("a"))
     if constraint:

@@ -7,12 +7,15 @@ both lower-left cells, so pairs come out once and no distinct is needed. A dense
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import warnings
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import PandasUDFType
+from pyspark.sql.types import StructType
 
 from plumbline.functions import geometry as G
 from plumbline.functions import planar
@@ -60,11 +63,15 @@ def candidate_pairs(a: DataFrame, b: DataFrame, same: bool = False) -> DataFrame
     every = F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")
 
     def dealt(rows: DataFrame, side: str) -> DataFrame:
-        rows = rows.select(F.struct(*rows.columns).alias(side), "_level", "xmin", "ymin", "xmax", "ymax").withColumn("level", F.explode(F.filter(every, lambda x: x >= F.col("_level"))))
-        cell = F.pow(F.lit(2.0), F.col("level"))
-        cells = lambda low, high: F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
-        rows = rows.withColumn("cx", F.explode(cells("xmin", "xmax"))).withColumn("cy", F.explode(cells("ymin", "ymax")))
-        return rows.select(side, "level", "cx", "cy")
+        def cells(level: Column) -> Column:
+            cell = F.pow(F.lit(2.0), level)
+            across = lambda low, high: F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
+            return F.flatten(F.transform(across("xmin", "xmax"), lambda i: F.transform(across("ymin", "ymax"), lambda j: F.struct(level.alias("level"), i.alias("cx"), j.alias("cy")))))
+
+        places = F.flatten(F.transform(F.filter(every, lambda x: x >= F.col("_level")), cells))
+        columns = rows.columns
+        rows = rows.withColumn("_cell", F.explode(places))
+        return rows.select(F.struct(*columns).alias(side), F.col("_cell.level").alias("level"), F.col("_cell.cx").alias("cx"), F.col("_cell.cy").alias("cy"))
 
     x, y = dealt(a, "a"), dealt(b, "b")
     cell = F.pow(F.lit(2.0), F.col("level"))
@@ -79,25 +86,45 @@ def with_function(pairs: DataFrame, name: str, kind: str, function: Callable[[pl
     """pairs with a column of function(shape of a, shape of b), in Arrow batches."""
     share_code(pairs.sparkSession)
 
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[tuple[pd.DataFrame, pd.DataFrame]]) -> Iterator[pd.Series]:
+    shape = _result(kind)
+
+    @_udf(kind)
+    def run(batches):
         for a, b in batches:
-            yield pd.Series([function(unpacked(x), unpacked(y)) for x, y in zip(a.to_dict("records"), b.to_dict("records"), strict=True)], dtype="object")
+            yield shape([function(unpacked(x), unpacked(y)) for x, y in zip(a.to_dict("records"), b.to_dict("records"), strict=True)])
 
     return pairs.withColumn(name, run(packed(F.col("a.geom")), packed(F.col("b.geom"))))
 
 
 def of_shape(column: Column, kind: str, function: Callable[[planar.Shape], object]) -> Column:
     """function(shape) of a geometry column, in Arrow batches."""
+    shape = _result(kind)
 
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
+    @_udf(kind)
+    def run(batches):
         for a in batches:
-            yield pd.Series([function(unpacked(x)) for x in a.to_dict("records")], dtype="object")
+            yield shape([function(unpacked(x)) for x in a.to_dict("records")])
 
     return run(packed(column))
 
 
+def _udf(kind: str):
+    def wrap(function):
+        with warnings.catch_warnings():  # one function serves results of several types, which type hints cannot say
+            warnings.simplefilter("ignore", UserWarning)
+            return F.pandas_udf(function, kind, PandasUDFType.SCALAR_ITER)
+
+    return wrap
+
+
+def _result(kind: str) -> Callable[[list], pd.Series | pd.DataFrame]:
+    """Arrow takes structs as frames, everything else as series."""
+    if not kind.startswith("struct"):
+        return lambda values: pd.Series(values, dtype="object")
+    names = StructType.fromDDL(f"v {kind}")[0].dataType.names
+    return lambda values: pd.DataFrame({n: pd.Series([None if v is None else v[n] for v in values], dtype="object") for n in names})
+
+
 def as_geometry(found: planar.Shape) -> dict | None:
     return {"kind": found[0], "parts": [[{"x": x, "y": y, "z": None, "m": None, "id": None} for x, y in part] for part in found[1]]} if found[1] else None
 

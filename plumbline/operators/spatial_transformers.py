@@ -86,16 +86,18 @@ def tr_dissolve(table: Table, group_by: Sequence[str] = (), attributes: Sequence
     names = names_of(rows)
     made = [column.alias(name) for name, column in (projection(a, names) for a in attributes)]
 
-    @F.pandas_udf(G.GEOMETRY)
-    def merge(parts: pd.Series, kinds: pd.Series) -> dict:
-        shapes = [("polygon", [[(p["x"], p["y"]) for p in ring] for ring in s]) for s in parts]
-        if kinds.iloc[0] == "polygon":
-            return S.as_geometry(planar.union(shapes))
-        return S.as_geometry(("line", [part for s in shapes for part in s[1]]))
-
-    merged = rows.groupBy("comp", "_g").agg(merge(F.col(f"{table.geom}.parts"), F.col(f"{table.geom}.kind")).alias("geom")) if not made else None
+    def merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        shapes = [S.unpacked(x) for x in part["own"]]
+        total = planar.union(shapes) if shapes[0][0] == "polygon" else ("line", [p for s in shapes for p in s[1]])
+        x, y = ([float(q[k]) for r in total[1] for q in r] for k in (0, 1))
+        return pd.DataFrame({"comp": [key[0]], "_g": [key[1]], "kind": [total[0]], "sizes": [[len(r) for r in total[1]]], "x": [x], "y": [y]})
+
+    shapes = rows.select("comp", "_g", S.packed(F.col(table.geom)).alias("own")).groupBy("comp", "_g").applyInPandas(merge, "comp long, _g string, kind string, sizes array<int>, x array<double>, y array<double>")
+    points = F.transform(F.arrays_zip("x", "y"), lambda p: G.vertex(p["x"], p["y"]))
+    starts = F.transform("sizes", lambda n, i: F.aggregate(F.slice("sizes", F.lit(1), i), F.lit(0), lambda acc, v: acc + v))
+    parts = F.zip_with(starts, F.col("sizes"), lambda at, n: F.slice(points, at + 1, n))
+    shapes = shapes.select("comp", "_g", F.struct("kind", parts.alias("parts")).alias("geom"))
     plain = rows.groupBy("comp", "_g").agg(F.count("*").alias("n_merged"), *[F.first(g).alias(g) for g in group_by], *made)
-    shapes = merged if merged is not None else rows.groupBy("comp", "_g").agg(merge(F.col(f"{table.geom}.parts"), F.col(f"{table.geom}.kind")).alias("geom"))
     out = plain.join(shapes, ["comp", "_g"]).drop("_g").withColumnRenamed("comp", "oid")
     return out.where(holds(constraint, names_of(out))) if constraint else out
 

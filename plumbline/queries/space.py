@@ -332,8 +332,8 @@ ORACLES: dict[str, str] = {
     "if_within": _no_point("Constraints.ConstraintNotFulfilled", PON, "b.grade = 2", "NOT p.c_acctbal > 1000"),
     "if_near": _no_point("Constraints.ConstraintNotFulfilled", f"{PD} < 1", "b.grade = 3", "NOT p.c_acctbal > 1000"),
     "if_involved_rows": "SELECT 'Constraints.ConstraintNotFulfilled' AS issue_code, c_custkey AS oid FROM customer WHERE NOT c_acctbal > 1000 AND NOT c_nationkey < 10",
-    "wkb": "SELECT k, 2.0 * k AS y FROM (SELECT unnest(generate_series(0, 19)) AS k)",
-    "polygon_building": "SELECT n_nationkey * 4 AS comp, 1.0 AS area FROM nation WHERE n_nationkey % 5 <> 3",
+    "wkb": "SELECT CAST(k AS INT) AS k, 2e0 * k AS y FROM (SELECT unnest(generate_series(0, 19)) AS k)",
+    "polygon_building": "SELECT n_nationkey * 4 AS comp, 1e0 AS area FROM nation WHERE n_nationkey % 5 <> 3",
     "qa_border_sense": """SELECT CASE n_nationkey % 5 WHEN 1 THEN 'BorderSense.InvertedOrientation' WHEN 2 THEN 'BorderSense.InconsistentOrientation' ELSE 'BorderSense.IncompleteLine' END AS issue_code, n_nationkey * 4 AS oid
         FROM nation WHERE n_nationkey % 5 IN (1, 2, 3)""",
 }
