@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from plumbline.queries import attributes, shapes, space, tables
+from plumbline.queries import attributes, runs, shapes, space, tables
 from plumbline.queries.base import Query
 
-_MODULES = (attributes, tables, shapes, space)
+_MODULES = (attributes, tables, shapes, space, runs)
 
 QUERIES: dict[str, Query] = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
 ORACLES: dict[str, str] = {k: v for m in _MODULES for k, v in m.ORACLES.items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["qa_constraint"](spark, sf_dir)
+    """A whole quality specification: stop conditions, severities, issue filters, duplicates."""
+    return QUERIES["quality_specification"](spark, sf_dir)

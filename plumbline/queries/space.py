@@ -105,7 +105,7 @@ def _placed(s, d):
 
 
 def _paths(s, d):
-    e = N.node_table([streets(s, d, "oid < 500")])
+    e = N.node_table([streets(s, d)])
     ends = e.groupBy("oid").agg(F.min(F.struct("x", "y")).alias("p"), F.max(F.struct("x", "y")).alias("q"))
     node = lambda c: F.col(f"{c}.x").cast("bigint") * 1000 + F.col(f"{c}.y").cast("bigint")
     edges = ends.select(node("p").alias("a"), node("q").alias("b"), F.lit(1.0).alias("cost"))
