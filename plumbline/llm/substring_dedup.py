@@ -8,12 +8,13 @@ Units:
 
 * ``line``: between line feeds;
 * ``paragraph``: between runs of two or more line feeds;
-* ``passage`` (default): from any cut to the first cut at least min_words later, where cuts are the ends of lines and
-  sentences and, so that unpunctuated text has them too, words chosen by their hash. Cuts depend on the words next to them
-  only, so a passage that repeats inside longer lines of different documents is cut alike in each. Passages overlap, and
-  what is removed is their union.
+* ``passage`` (default): min_words consecutive words from a winnowed place: of every WINNOW places in a row, the one with the
+  smallest hash of its three next words. A choice depends on the words in sight only, so a passage that is pasted inside
+  longer lines of different documents is met at the same places in each, and every repeat of at least
+  min_words + WINNOW - 1 words is found. Lines alone would miss it: the ends of pasted text share a line with what is around it.
+  Passages overlap, and what is removed is their union.
 
-Units of fewer than min_words words are left alone. Digests are 64 bits wide.
+Lines and paragraphs of fewer than min_words words are left alone. Digests are 64 bits wide.
 """
 
 from __future__ import annotations
@@ -25,15 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.words import U, code_points, hash_words, mix, utf8, word_spans
-from plumbline.llm.words import _LOWER as LOWER
+from plumbline.llm.words import LOWER, U, code_points, hash_words, mix, utf8, windows, word_spans
 from plumbline.session import materialize, share_code
 
 MIN_WORDS = 20
-#: One word in so many ends a sentence for passages, by its hash.
-CUT_ONE_IN = 16
-_ENDS = np.zeros(256, bool)
-_ENDS[list(b".!?")] = True
+WINNOW = 12
 
 
 def _runs(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -48,6 +45,15 @@ def _runs(words: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return mix((total[last] - total[first]) * back[first] + (last - first).astype(U))
 
 
+def winnowed(keys: np.ndarray, places: int, width: int = WINNOW) -> np.ndarray:
+    """The places before places that have the smallest key (the last of equal ones) of some width places in a row."""
+    places = min(places, len(keys))
+    if places <= width:
+        return np.array([places - 1 - int(keys[:places][::-1].argmin())])
+    rows = np.lib.stride_tricks.sliding_window_view(keys[:places], width)
+    return np.unique(np.arange(len(rows)) + width - 1 - rows[:, ::-1].argmin(axis=1))
+
+
 def units(text: str | None, unit: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, digest) of a text's units of at least min_words words; offsets in code points, end exclusive."""
     raw = utf8(text)
@@ -55,20 +61,14 @@ def units(text: str | None, unit: str, min_words: int) -> tuple[np.ndarray, np.n
     if len(start) < min_words:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     words = hash_words(LOWER[raw], start, end)[0]
-    feeds = np.zeros(len(raw) + 1, np.int64)
-    np.cumsum(raw == 10, out=feeds[1:])
-    between = np.append(feeds[start[1:]] - feeds[end[:-1]], 2)  # line feeds after each word
-    if unit == "passage":
-        cut = (between > 0) | _ENDS[raw[end - 1]] | (words % U(CUT_ONE_IN) == 0)
-    else:
-        cut = between >= (1 if unit == "line" else 2)
-    ends = np.append(0, np.flatnonzero(cut) + 1)  # as numbers of words before
     if unit == "passage":
-        first = ends[:-1]
-        at = np.searchsorted(ends, first + min_words)
-        keep = at < len(ends)
-        first, last = first[keep], ends[at[keep]]
+        first = winnowed(windows(words, 3), len(words) - min_words + 1)
+        last = first + min_words
     else:
+        feeds = np.zeros(len(raw) + 1, np.int64)
+        np.cumsum(raw == 10, out=feeds[1:])
+        between = np.append(feeds[start[1:]] - feeds[end[:-1]], 2)  # line feeds after each word
+        ends = np.append(0, np.flatnonzero(between >= (1 if unit == "line" else 2)) + 1)
         first, last = ends[:-1], ends[1:]
         keep = last - first >= min_words
         first, last = first[keep], last[keep]

@@ -17,8 +17,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 #: Everything in ASCII but letters and digits: for words without punctuation.
 PUNCTUATED = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -68,7 +68,7 @@ def code_points(raw: np.ndarray) -> np.ndarray:
 def word_hashes(text: str | None, between: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hashes, byte starts, byte ends) of a text's words; A-Z count as a-z. None is an empty text."""
     raw = utf8(text)
-    return hash_words(_LOWER[raw], *word_spans(raw, between))
+    return hash_words(LOWER[raw], *word_spans(raw, between))
 
 
 def hash_words(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
