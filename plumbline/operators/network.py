@@ -181,6 +181,23 @@ def connected(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFra
             return nodes.join(labels, nodes[node] == labels.n, "left").select(nodes[node], F.coalesce("comp", nodes[node]).alias("comp"))
 
 
+def qa_gdb_topology(errors: DataFrame) -> DataFrame:
+    """The stored results of topology rules (tab, oid, rule, dirty) as issues; a dirty area is an issue of its own."""
+    code = F.when(F.col("dirty"), F.lit("GdbTopology.DirtyArea")).otherwise(F.lit("GdbTopology.RuleViolated"))
+    return issues(errors, code, F.array(F.struct("tab", "oid")), F.col("rule"))
+
+
+def clusters(points: Table, distance: float) -> DataFrame:
+    """(oid, cluster): points linked over chains of steps of at most distance, named by their smallest oid.
+
+    Merging the nearest clusters until all are farther apart gives these very groups, without comparing all pairs.
+    """
+    rows = [S.shapes(points, (), g) for g in (0.0, distance)]
+    d = F.hypot(F.col("a.geom.parts")[0][0]["x"] - F.col("b.geom.parts")[0][0]["x"], F.col("a.geom.parts")[0][0]["y"] - F.col("b.geom.parts")[0][0]["y"])
+    links = S.candidate_pairs(*rows, same=True).where(d <= distance).select(F.col("a.oid").alias("a"), F.col("b.oid").alias("b"))
+    return connected(rows[0].select("oid"), links, "oid").withColumnRenamed("comp", "cluster")
+
+
 def qa_group_connected(table: Table, group_by: Sequence[str], separator: str | None = None, tolerance: float = 0.0) -> DataFrame:
     """Groups of lines that are not one connected whole; with a separator, a row belongs to each of its field's values."""
     key = F.concat_ws("\x1f", *[F.coalesce(F.col(g).cast("string"), F.lit("")) for g in group_by])

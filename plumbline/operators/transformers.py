@@ -101,6 +101,11 @@ def tr_make_table(spark: SparkSession, tables: Mapping[str, Table], sql: str, oi
     return Table(spark.sql(sql, **{k: t.df for k, t in tables.items()}), name, oid)
 
 
+def tr_open_table(spark: SparkSession, name: str, oid: str) -> Table:
+    """An existing table or view of the catalog."""
+    return Table(spark.table(name), name.rpartition(".")[2], oid)
+
+
 def tr_attributes(table: Table, attributes: Sequence[str]) -> Table:
     """A table with computed attributes, each ``expression AS name`` or a field."""
     names = names_of(table.df)

@@ -14,8 +14,8 @@ from plumbline.operators import schema as C
 from plumbline.operators import solids as M
 from plumbline.plans import specification as P
 from plumbline.queries.base import Query, flat, table
-from plumbline.queries.shapes import event_lines
-from plumbline.queries.space import lines, points
+from plumbline.queries.shapes import E, event_lines
+from plumbline.queries.space import PD, W, boxes, lines, points
 from plumbline.sources import tables as O
 from plumbline.streaming import incremental as K
 
@@ -196,12 +196,17 @@ QUERIES: dict[str, Query] = {
     "qa_export_tables": _exported,
     "csv_source": _csv,
     "qa_external_service": _external,
+    "qa_external_graphic_conflict": lambda s, d: O.external_graphic_conflict(points(s, d), boxes(s, d), 0.001, 500.0),
     "in_list_scan": lambda s, d: O.keyed_scan(table(s, d, "orders").df, "o_custkey", table(s, d, "customer", "c_acctbal < 0").rows, "c_custkey").select("o_orderkey"),
     "stream_violations": _stream,
     "windowed_counts": lambda s, d: K.windowed_counts(table(s, d, "events").df, "ts", "1 hour", "2 hours", "event_type"),
     "session_windows": lambda s, d: K.sessions(table(s, d, "events").df, "ts", "30 minutes", "2 hours", "user_id"),
 }
 
+def _named(*rows: tuple[str, str, str]) -> str:
+    return f"SELECT * FROM (VALUES {', '.join(str(r) for r in rows)}) t(issue_code, component, description)"
+
+
 C_ = "SELECT c_custkey AS k FROM customer"
 ORACLES: dict[str, str] = {
     "qa_gdb_constraint_factory": """SELECT 'Constraints.ConstraintNotFulfilled' AS issue_code, CAST(n_nationkey AS BIGINT) AS oid, d AS description FROM nation, LATERAL (VALUES
@@ -213,6 +218,27 @@ ORACLES: dict[str, str] = {
     "qa_mp_single_part_footprint": "SELECT 'MpSinglePartFootprint.MultipleParts' AS issue_code, p_partkey AS oid, '2' AS value FROM part WHERE p_partkey % 4 = 0",
     "qa_mp_non_intersecting_ring_footprints": "SELECT 'MpNonIntersectingRingFootprints.RingFootprintsIntersect' AS issue_code, p_partkey AS oid FROM part WHERE p_size > 0",
     "qa_mp_footprint_holes": "SELECT 'MpFootprintHoles.InnerRing' AS issue_code, p_partkey AS oid FROM part WHERE false",
+    "qa_schema_field_names": _named(("SchemaFieldNames.NameTooLong", "o_orderstatus", "o_orderstatus"), ("SchemaFieldNames.NameTooLong", "o_totalprice", "o_totalprice"), ("SchemaFieldNames.NameTooLong", "o_orderpriority", "o_orderpriority"),
+        *(("SchemaFieldNames.NotUniqueSubstring", c, c) for c in ("o_orderstatus", "o_orderdate", "o_orderpriority"))),
+    "qa_schema_field_aliases": _named(("SchemaFieldAliases.UnexpectedCase", "n_nationkey", "Key"), ("SchemaFieldAliases.UnexpectedCase", "n_regionkey", "name"), ("SchemaFieldAliases.NotUnique", "n_name", "NAME"), ("SchemaFieldAliases.NotUnique", "n_regionkey", "name")),
+    "qa_schema_field_name_regex": _named(("SchemaFieldNameRegex.DoesNotMatchPattern", "n_name", "n_name")),
+    "qa_schema_field_properties": _named(("SchemaFieldProperties.UnexpectedFieldType", "n_name", "string"), ("SchemaFieldProperties.UnexpectedFieldLength", "n_name", "25"), ("SchemaFieldProperties.UnexpectedAlias", "n_name", "NAME"), ("SchemaFieldProperties.UnexpectedDomain", "n_name", "dom_n_name")),
+    "qa_schema_field_properties_from_table": _named(("SchemaFieldProperties.UnexpectedFieldType", "n_name", "string"), ("SchemaFieldProperties.FieldMissing", "n_gone", "")),
+    "qa_schema_reserved_field_names": _named(("SchemaReservedFieldNames.ReservedName", "n_name", "taken")),
+    "qa_schema_reserved_field_name_properties": _named(("SchemaFieldProperties.UnexpectedFieldType", "n_name", "string")),
+    "qa_schema_field_domains": _named(("SchemaFieldDomains.DomainTypeDiffers", "n_name", "dom_n_name")),
+    "qa_schema_field_domain_names": _named(("SchemaFieldDomainNames.NameTooLong", "n_name", "dom_n_name"), ("SchemaFieldDomainNames.UnexpectedPrefix", "n_regionkey", "Region"), ("SchemaFieldDomainNames.FieldNameNotContained", "n_nationkey", "dom_key"), ("SchemaFieldDomainNames.FieldNameNotContained", "n_regionkey", "Region")),
+    "qa_schema_field_domain_name_regex": _named(("SchemaFieldDomainNameRegex.DoesNotMatchPattern", "n_regionkey", "Region")),
+    "qa_schema_field_domain_descriptions": _named(("SchemaFieldDomainDescriptions.DescriptionTooLong", "dom_n_name", "description"), ("SchemaFieldDomainDescriptions.NotUnique", "dom_key", "Same"), ("SchemaFieldDomainDescriptions.NotUnique", "Region", "same")),
+    "qa_schema_field_domain_coded_values": _named(("SchemaFieldDomainCodedValues.NameEmpty", "n_name", "2"), ("SchemaFieldDomainCodedValues.NameTooLong", "n_name", "much too long a name"), ("SchemaFieldDomainCodedValues.NameNotUnique", "n_name", "one"), ("SchemaFieldDomainCodedValues.NameNotUnique", "n_name", "one"), ("SchemaFieldDomainCodedValues.TooFewValues", "n_regionkey", "1")),
+    "qa_schema_spatial_reference": _named(("SchemaSpatialReference.xyToleranceDiffers", "geom", "0.001")),
+    "qa_gdb_release": _named(("GdbRelease.ReleaseTooOld", "nation", "10.2")),
+    "qa_mp_horizontal_heights": f"""{E}, d AS (SELECT DISTINCT oid, z0 AS z FROM s WHERE z0 = z1), l AS (SELECT oid, z, lead(z) OVER (PARTITION BY oid ORDER BY z) AS nz FROM d)
+        SELECT 'MpHorizontalHeights.HeightsNearlyEqual' AS issue_code, oid, CAST(CAST(z AS DOUBLE) AS VARCHAR) AS value FROM l WHERE nz - z <= 1 AND nz - z > 0.5""",
+    "qa_surface_vertex": f"""{E}, d AS (SELECT oid, CASE WHEN i < 80 AND y < 80 THEN z - CAST((i * 7 + floor(y) * 3) % 11 AS BIGINT) END AS dz FROM v)
+        SELECT CASE WHEN dz IS NULL THEN 'SurfaceVertex.NoTerrainData' ELSE 'SurfaceVertex.ZOffset.within' END AS issue_code, oid, CAST(CAST(dz AS DOUBLE) AS VARCHAR) AS value FROM d WHERE dz IS NULL OR abs(dz) > 3""",
+    "qa_surface_spikes": """WITH c AS (SELECT i, j, (i * 7 + j * 3) % 11 AS z FROM generate_series(0, 79) a(i), generate_series(0, 79) b(j)), n AS (SELECT c.i, c.j, c.z, min(o.z) AS low, max(o.z) AS high FROM c JOIN c o ON abs(c.i - o.i) + abs(c.j - o.j) = 1 GROUP BY 1, 2, 3 HAVING count(*) = 4)
+        SELECT 'SurfaceSpikes.Spike' AS issue_code, CAST(i AS VARCHAR) AS value, CAST(j AS VARCHAR) AS value2 FROM n WHERE greatest(z - high, low - z) > 2.5""",
     "tr_z_assign": "SELECT c_custkey AS oid, CASE WHEN x < 80 THEN CAST((floor(x) * 7 + y * 3) % 11 AS DOUBLE) END AS z FROM (SELECT c_custkey, c_custkey % 40 + 0.5 * (c_nationkey % 2) + 100 * floor(c_custkey / 500) AS x, c_nationkey % 20 AS y FROM customer)",
     "qa_edge_match_bordering_points": f"""SELECT CASE WHEN k % 7 = 0 THEN 'EdgeMatchBorderingPoints.NoCandidate' WHEN k % 3 = 0 THEN 'EdgeMatchBorderingPoints.CandidateNotCoincident' ELSE 'EdgeMatchBorderingPoints.AttributesNotFulfilled' END AS issue_code, k AS oid,
         CASE WHEN k % 7 = 0 THEN NULL WHEN k % 3 = 0 THEN '0.25' ELSE '0.0' END AS value FROM ({C_}) WHERE k % 7 = 0 OR k % 3 = 0 OR k % 11 = 0""",
@@ -224,12 +250,17 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'status', 'warning', 'Constraints.ConstraintNotFulfilled', o_orderkey FROM orders WHERE o_totalprice < 250000 AND o_orderstatus = 'P'
         UNION ALL SELECT 'customer', 'error', 'ForeignKeys.NoReferencedRow', o_orderkey FROM orders WHERE o_totalprice < 250000 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
         UNION ALL SELECT DISTINCT 'items', 'error', 'Unique.NotUnique', oid FROM (SELECT l_orderkey * 10 + l_linenumber AS oid FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_partkey) > 1) WHERE oid % 2 = 1""",
+    "specification_report": """SELECT condition, severity, issue_code, count(*) AS n_issues FROM (SELECT 'price' AS condition, 'error' AS severity, 'Constraints.ConstraintNotFulfilled' AS issue_code FROM orders WHERE NOT o_totalprice < 250000
+        UNION ALL SELECT 'status', 'warning', 'Constraints.ConstraintNotFulfilled' FROM orders WHERE o_totalprice < 250000 AND o_orderstatus = 'P'
+        UNION ALL SELECT 'customer', 'error', 'ForeignKeys.NoReferencedRow' FROM orders WHERE o_totalprice < 250000 AND o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+        UNION ALL SELECT 'items', 'error', 'Unique.NotUnique' FROM (SELECT DISTINCT oid FROM (SELECT l_orderkey * 10 + l_linenumber AS oid FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_partkey) > 1) WHERE oid % 2 = 1)) GROUP BY ALL""",
     "xml_specification": """SELECT 'days' AS condition, 'warning' AS severity, CASE WHEN o_orderdate < TIMESTAMP '1993-01-01' THEN 'ValidDateValues.DateBeforeMinimum' ELSE 'ValidDateValues.DateAfterMaximum' END AS issue_code, o_orderkey AS oid
         FROM orders WHERE o_orderstatus = 'F' AND (o_orderdate < TIMESTAMP '1993-01-01' OR o_orderdate > TIMESTAMP '1996-01-01')""",
     "issue_store": "SELECT 'none' AS shape, 'Constraints.ConstraintNotFulfilled' AS issue_code, count(*) AS n FROM orders WHERE NOT o_totalprice < 300000",
     "qa_export_tables": "SELECT n_name, n_nationkey % 2 AS tile_id FROM nation WHERE n_regionkey = 1",
     "csv_source": "SELECT n_name FROM nation WHERE n_regionkey = 2",
     "qa_external_service": "SELECT CAST(n_nationkey AS BIGINT) AS oid FROM nation WHERE n_nationkey % 2 = 1",
+    "qa_external_graphic_conflict": f"{W} SELECT p.oid, b.oid AS other FROM pt p JOIN bx b ON {PD} <= 0.5",
     "in_list_scan": "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0)",
     "stream_violations": "SELECT event_id, value FROM events WHERE NOT coalesce(value < 90, false)",
     "windowed_counts": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2",

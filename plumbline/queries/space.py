@@ -172,6 +172,8 @@ QUERIES: dict[str, Query] = {
     "qa_rel_group_connected": lambda s, d: flat(N.qa_group_connected(_joined_streets(s, d), ["n_name"]), "no_oid", "value"),
     "qa_line_group_constraints": lambda s, d: flat(N.qa_line_group_constraints(streets(s, d), ["c_mktsegment"], 3.0), "value"),
     "qa_rel_line_group_constraints": lambda s, d: flat(N.qa_line_group_constraints(_joined_streets(s, d), ["n_name"], 2.0, 0.5), "value"),
+    "qa_gdb_topology": lambda s, d: flat(N.qa_gdb_topology(s.sql("select * from values ('streets', 5L, 'must not overlap', false), ('streets', 7L, 'must not dangle', true) as t(tab, oid, rule, dirty)"))),
+    "clustering": lambda s, d: N.clusters(points(s, d), 0.6),
     "connected_components": lambda s, d: _components(s, d),
     "shortest_path": _paths,
     "polygon_building": lambda s, d: N.polygons_of_lines(walls(s, d)).select("comp", F.round(G.ring_area(F.transform("ring", lambda p: G.vertex(p["x"], p["y"]))), 6).alias("area")),
@@ -237,7 +239,7 @@ pt AS (SELECT c_custkey AS oid, c_nationkey, c_acctbal, c_custkey % 40 + 0.5 * (
 ln AS (SELECT c_custkey AS oid, c_custkey % 7 AS z, c_custkey % 2 = 0 AS h, c_custkey % 40 + {BLOCK.format(k='c_custkey')} AS x, c_nationkey % 20 AS y FROM customer),
 lx AS (SELECT oid, z, h, CASE WHEN h THEN x ELSE x + 0.5 END AS x0, CASE WHEN h THEN y + 0.5 ELSE y END AS y0, CASE WHEN h THEN x + 3 ELSE x + 0.5 END AS x1, CASE WHEN h THEN y + 0.5 ELSE y + 3 END AS y1 FROM ln),
 st AS (SELECT c_custkey AS oid, c_mktsegment, c_nationkey, c_custkey % 20 + {BLOCK.format(k='c_custkey')} AS x, c_nationkey % 10 AS y, c_custkey % 3 = 0 AS n FROM customer),
-nd AS (SELECT oid, c_mktsegment, c_nationkey, true AS s, x, y FROM st UNION ALL SELECT oid, c_mktsegment, c_nationkey, false, CASE WHEN n THEN x ELSE x + 1 END, CASE WHEN n THEN y + 1 ELSE y END FROM st),
+nd AS (SELECT oid, c_mktsegment, c_nationkey, n, true AS s, x, y FROM st UNION ALL SELECT oid, c_mktsegment, c_nationkey, n, false, CASE WHEN n THEN x ELSE x + 1 END, CASE WHEN n THEN y + 1 ELSE y END FROM st),
 jn AS (SELECT s_suppkey AS oid, s_suppkey % 20 + {BLOCK.format(k='s_suppkey')} AS x, s_nationkey % 10 AS y FROM supplier)"""
 MEET = "a.x0 <= b.x1 AND b.x0 <= a.x1 AND a.y0 <= b.y1 AND b.y0 <= a.y1"
 INNER = "a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1"
@@ -262,6 +264,12 @@ def _no_point(code: str, condition: str, boxes_where: str = "true", points_where
     return f"{W} SELECT '{code}' AS issue_code, p.oid FROM pt p WHERE {points_where} AND NOT EXISTS (SELECT 1 FROM bx b WHERE {boxes_where} AND {condition})"
 
 
+def _ends(code: str) -> str:
+    """Pairs of line ends of different lines nearer than 0.8, apart from equal ones."""
+    return f"""{W}, e AS (SELECT oid, x0 AS x, y0 AS y FROM lx UNION ALL SELECT oid, x1, y1 FROM lx), q AS (SELECT a.oid, b.oid AS other_oid, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM e a JOIN e b ON a.oid < b.oid AND abs(a.x - b.x) < 1 AND abs(a.y - b.y) < 1)
+        SELECT '{code}' AS issue_code, oid, other_oid, CAST(CAST(round(d, 9) AS DOUBLE) AS VARCHAR) AS value FROM q WHERE d > 0 AND d < 0.8"""
+
+
 ORACLES: dict[str, str] = {
     "qa_intersects_self": _boxes("IntersectsSelf.GeometriesIntersect.ConstraintNotFulfilled", f"{MEET} AND a.grade <> b.grade"),
     "qa_intersects_other": f"{W} SELECT 'IntersectsOther.GeometriesIntersect' AS issue_code, b.oid, p.oid AS other_oid FROM bx b JOIN pt p ON {PON}",
@@ -332,6 +340,18 @@ ORACLES: dict[str, str] = {
     "if_within": _no_point("Constraints.ConstraintNotFulfilled", PON, "b.grade = 2", "NOT p.c_acctbal > 1000"),
     "if_near": _no_point("Constraints.ConstraintNotFulfilled", f"{PD} < 1", "b.grade = 3", "NOT p.c_acctbal > 1000"),
     "if_involved_rows": "SELECT 'Constraints.ConstraintNotFulfilled' AS issue_code, c_custkey AS oid FROM customer WHERE NOT c_acctbal > 1000 AND NOT c_nationkey < 10",
+    "qa_line_intersect": _crossed("LineIntersect.LinesIntersect", "true"),
+    "qa_min_node_distance": _ends("MinNodeDistance.NodeDistanceTooSmall"),
+    "qa_vertex_coincidence_self": _ends("VertexCoincidence.NearbyVertexNotCoincident"),
+    "qa_vertex_coincidence": "SELECT 'VertexCoincidence.NearbyVertexNotCoincident' AS issue_code, c_custkey AS oid, '3.0' AS value FROM customer",
+    "qa_node_line_coincidence": f"""{W}, m AS (SELECT p.oid, min({PD}) AS d FROM pt p JOIN lx b ON {PD} <= 0.75 GROUP BY 1)
+        SELECT 'NodeLineCoincidence.NodeTooCloseToLine' AS issue_code, oid, CAST(CAST(round(d, 9) AS DOUBLE) AS VARCHAR) AS value FROM m WHERE d > 0""",
+    "qa_min_angle": f"{W} SELECT 'MinAngle.AngleTooSmall' AS issue_code, a.oid, b.oid AS other_oid FROM nd a JOIN nd b ON a.x = b.x AND a.y = b.y AND a.oid < b.oid AND a.s = b.s AND a.n = b.n",
+    "connected_components": """WITH e AS (SELECT c_custkey * 2 AS a, CAST(floor(c_acctbal / 500) * 2 + 1 AS BIGINT) AS b FROM customer), c AS (SELECT b, least(b, min(a)) AS comp FROM e GROUP BY b)
+        SELECT a AS node, comp FROM e JOIN c USING (b) UNION ALL SELECT b, comp FROM c""",
+    "qa_centroids": """WITH n AS (SELECT n_nationkey AS k, n_nationkey % 4 AS p FROM nation WHERE n_nationkey % 5 <> 3)
+        SELECT CASE p WHEN 0 THEN 'Centroids.NoCentroid' ELSE 'Centroids.MultipleCentroids' END AS issue_code, NULL AS oid, CAST(least(p, 2) AS VARCHAR) AS value FROM n WHERE p <> 1
+        UNION ALL SELECT 'Centroids.CentroidLiesOnBorder', k * 4 + 2, NULL FROM n WHERE p = 3""",
     "wkb": "SELECT CAST(k AS INT) AS k, 2e0 * k AS y FROM (SELECT unnest(generate_series(0, 19)) AS k)",
     "polygon_building": "SELECT n_nationkey * 4 AS comp, 1e0 AS area FROM nation WHERE n_nationkey % 5 <> 3",
     "qa_border_sense": """SELECT CASE n_nationkey % 5 WHEN 1 THEN 'BorderSense.InvertedOrientation' WHEN 2 THEN 'BorderSense.InconsistentOrientation' ELSE 'BorderSense.IncompleteLine' END AS issue_code, n_nationkey * 4 AS oid

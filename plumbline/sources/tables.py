@@ -58,6 +58,15 @@ def export_tables(tables: Sequence[Table], path: str, tile: Mapping[str, str] |
     return written
 
 
+def external_graphic_conflict(table: Table, conflicts: Table, distance: float, scale: float, call=None, schema: str = "oid long, other long") -> DataFrame:
+    """Pairs of features nearer than a map distance at a scale, by an outside service if one is given, else by the features themselves."""
+    if call is not None:
+        return external_service([table, conflicts], call, schema)
+    from plumbline.operators.relations import near_pairs
+
+    return near_pairs([table], [conflicts], distance * scale).select(F.col("a.oid").alias("oid"), F.col("b.oid").alias("other"))
+
+
 def external_service(tables: Sequence[Table], call, schema: str) -> DataFrame:
     """A check by an outside service: call(iterator of Arrow batches) gives batches of the schema, partition by partition."""
     from plumbline.session import share_code
