@@ -11,6 +11,8 @@ import functools
 import json
 import re
 from collections.abc import Callable, Iterable
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 import regex
@@ -60,14 +62,14 @@ def chunks(text: str) -> list[str] | None:
 def led_chunks(text: str) -> tuple[list[str] | None, bool]:
     """A line feed and the text, cut before each space and line feed, and whether one more line feed ends the text.
 
-    Chunks that begin a line keep their line feed, others leave out their space. None where two white spaces meet or only the library
+    The first chunk is empty. Chunks that begin a line keep their line feed, others leave out their space. None where two white spaces meet or only the library
     can tell.
     """
     ends = text[-1:] == "\n"
     text = "\n" + (text[:-1] if ends else text)
     if text[-1] in " \n" or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or _apart(text):
         return None, False
-    return text.replace("\n", " \n").split(" ")[1:], ends
+    return text.replace("\n", " \n").split(" "), ends
 
 
 def specials(path: str) -> list[str]:
@@ -122,6 +124,8 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
     def learn(new: set[str]) -> None:
         if len(memo) + len(new) > MEMORY:
             memo.clear()
+            memo[""] = b""
+            new.discard("")
         led = [c for c in new if c[0] == "\n"]
         # a comma or stop after letters is a piece of its own: the word before it is what is worth learning
         stopped = [c for c in new if c[-1] in ",." and c[:-1].isalpha()]
@@ -134,7 +138,7 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
         for c in stopped:
             memo[c] = memo[c[:-1]] + marks_after[c[-1]]
 
-    memo: dict[str, bytes] = {}
+    memo: dict[str, bytes] = {"": b""}
 
     def run(texts: list[str]) -> list[bytes]:
         out = []
@@ -146,7 +150,7 @@ def encoder(path: str) -> Callable[[list[str]], list[bytes]]:
             found = list(map(memo.get, parts))
             if None in found:
                 before = len(memo)
-                learn({k for k, v in zip(parts, found, strict=True) if v is None})
+                learn(set(compress(parts, map(is_, found, repeat(None)))))
                 if len(memo) < before:  # forgotten: learn the rest of this text anew
                     learn({k for k in parts if k not in memo})
                 found = list(map(memo.__getitem__, parts))
