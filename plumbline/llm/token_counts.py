@@ -42,32 +42,23 @@ class PrefixCounter:
         back = {c: b for b, c in enumerate(byte_symbols())}
         ids = model["vocab"]
         plain = {t: bytes(back[c] for c in t) for t in ids if all(c in back for c in t)}
-        pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        self.rank = {(plain[a], plain[b]): k for k, (a, b) in enumerate(pairs)}
-        made = {a + b for a, b in self.rank}
+        made = {"".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]}
         # a token counts only if merges can make it: others of the vocabulary never come out of an encoding
-        self.tokens = made | {bytes([b]) for b in range(256)}
+        self.tokens = {plain[t] for t in made} | {bytes([b]) for b in range(256)}
+        self.symbols, self.model = dict(enumerate(byte_symbols())), self.library.model
         self.longest = max(map(len, self.tokens))
         self.follows: dict[tuple[bytes, bytes], bool] = {}
         self.pieces = Memo(lambda new: [self.table(p.encode()) for p in new])
         self.chunks = Memo(lambda new: [self.of_pieces(split(" " + c)) for c in new])
 
-    def encode(self, raw: bytes) -> list[bytes]:
-        """The tokens of a piece: merge the pair of least rank, leftmost first, until none can merge."""
-        parts = [raw[i : i + 1] for i in range(len(raw))]
-        while len(parts) > 1:
-            least, at = min((self.rank.get(x, 1 << 60), i) for i, x in enumerate(zip(parts, parts[1:], strict=False)))
-            if least == 1 << 60:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
-
     def may_follow(self, a: bytes, b: bytes) -> bool:
         found = self.follows.get((a, b))
         if found is None:
             if len(self.follows) > 2_000_000:
                 self.follows.clear()
-            found = self.follows[a, b] = self.encode(a + b) == [x for x in (a, b) if x]
+            # the merge rules decide, as the library applies them: the two must come out as they went in
+            out = self.model.tokenize((a + b).decode("latin-1").translate(self.symbols))
+            found = self.follows[a, b] = len(out) == 1 + bool(a) and len(out[0].value) == len(a or b)
         return found
 
     def table(self, raw: bytes) -> tuple[int, ...]:
