@@ -106,6 +106,35 @@ def is_closed(part: Column) -> Column:
     return (F.size(part) > 1) & (a["x"] == b["x"]) & (a["y"] == b["y"])
 
 
+COMPONENTS = ("entire", "boundary", "vertices", "line_end_points", "line_start_point", "line_end_point", "centroid", "label_point", "interior_vertices")
+
+
+def component(geom: Column, name: str) -> Column:
+    """A component of a geometry, one of COMPONENTS: its boundary, (inner) vertices, path ends, or a point for the whole."""
+    parts, single = geom["parts"], lambda p: F.array(p)
+    ends = F.flatten(F.transform(parts, lambda p: F.array(p[0], F.element_at(p, -1))))
+    several = lambda points: geometry("point", F.transform(points, single))
+    if name == "entire":
+        return geom
+    if name == "boundary":
+        edge = F.struct(F.lit("line").alias("kind"), parts.alias("parts"))
+        return F.when(geom["kind"] == "line", several(ends)).when(geom["kind"] == "point", geom).otherwise(edge)
+    if name == "vertices":
+        return several(points(geom))
+    if name == "interior_vertices":
+        return several(F.flatten(F.transform(parts, lambda p: F.slice(p, F.lit(2), F.greatest(F.size(p) - 2, F.lit(0))))))
+    if name in ("line_end_points", "line_start_point", "line_end_point"):
+        return several(ends if name == "line_end_points" else F.transform(parts, lambda p: p[0] if name == "line_start_point" else F.element_at(p, -1)))
+    if name == "label_point":  # a place on the geometry: its first point
+        return several(F.slice(points(geom), F.lit(1), F.lit(1)))
+    if name == "centroid":
+        mean = lambda axis: F.aggregate(F.transform(points(geom), lambda p: p[axis]), F.lit(0.0), lambda acc, v: acc + v) / F.size(points(geom))
+        moment = lambda axis: F.aggregate(F.transform(parts, lambda r: _over_segments(r, lambda a, b: ((b["x"]) * (a["y"]) - (a["x"]) * (b["y"])) * (a[axis] + b[axis]) / 6)), F.lit(0.0), lambda acc, v: acc + v)
+        inside = point(F.try_divide(moment("x"), area(geom)), F.try_divide(moment("y"), area(geom)))
+        return F.when((geom["kind"] == "polygon") & (area(geom) != 0), inside).otherwise(point(mean("x"), mean("y")))
+    raise ValueError(f"unknown component {name!r}")
+
+
 def parts_of(df: DataFrame, oid: str, geom: str, *keep: str) -> DataFrame:
     """(oid, part, points): one row a part."""
     return df.select(F.col(oid).alias("oid"), *keep, F.posexplode(F.col(geom)["parts"]).alias("part", "points"))
@@ -132,10 +161,11 @@ def segments_of(df: DataFrame, oid: str, geom: str, *keep: str) -> DataFrame:
 def properties(geom: Column) -> dict[str, tuple[Column, str]]:
     parts = geom["parts"]
     rings = F.size(exterior_rings(geom))
-    out = {"$ShapeArea": area(geom), "$ShapeLength": length(geom), "$ShapeVertexCount": F.size(points(geom)), "$ShapePartCount": F.size(parts), "$ShapeExteriorRingCount": rings, "$ShapeInteriorRingCount": F.size(interior_rings(geom))}
+    surface = F.when(geom["kind"].isin("point", "line"), F.lit(0.0)).otherwise(area(geom))
+    out = {"$ShapeArea": surface, "$ShapeLength": length(geom), "$ShapeVertexCount": F.size(points(geom)), "$ShapePartCount": F.size(parts), "$ShapeExteriorRingCount": rings, "$ShapeInteriorRingCount": F.size(interior_rings(geom))}
     for axis in "XYZM":
         out[f"$Shape{axis}Min"], out[f"$Shape{axis}Max"] = lowest(geom, axis.lower()), highest(geom, axis.lower())
-    out |= {"$Area": area(geom), "$Length": length(geom), "$VertexCount": F.size(points(geom)), "$PartCount": F.size(parts), "$ExteriorRingCount": rings, "$InteriorRingCount": F.size(interior_rings(geom))}
+    out |= {"$Area": surface, "$Length": length(geom), "$VertexCount": F.size(points(geom)), "$PartCount": F.size(parts), "$ExteriorRingCount": rings, "$InteriorRingCount": F.size(interior_rings(geom))}
     for axis in "XYZM":
         out[f"${axis}Min"], out[f"${axis}Max"] = lowest(geom, axis.lower()), highest(geom, axis.lower())
     out["$SliverRatio"] = F.try_divide(length(geom) ** 2, F.abs(area(geom)))

@@ -44,6 +44,33 @@ def qa_point_on_line(points: Table, lines: Tables, near: float) -> DataFrame:
     return _missing([points], near_pairs([points], borders, near).select("a.tab", "a.oid"), "PointOnLine.PointNotOnLine")
 
 
+def qa_measures_at_points(points: Table, lines: Tables, expected: str, search: float, tolerance: float, require_line: bool = False, ignore_undefined: bool = False, condition: str | None = None) -> DataFrame:
+    """Points at which the nearest line within search (of equally near ones the one with the smaller measure) has another measure than the
+    expression gives. Measures are interpolated along segments, in the plan."""
+    own = Table(points.df.withColumn("expected", compile_expression(expected, names_of(points.df)).cast("double")), points.name, points.oid, points.geom, points.where)
+    pairs = S.other_pairs([own], list(lines), _fields([own]), _fields(lines), search)
+    pairs = pairs.where(S.conditioned(pairs, condition, default=True))
+    x, y = F.col("a.geom.parts")[0][0]["x"], F.col("a.geom.parts")[0][0]["y"]
+
+    def nearest(u, v):
+        dx, dy = v["x"] - u["x"], v["y"] - u["y"]
+        t = F.coalesce(F.least(F.greatest(F.try_divide((x - u["x"]) * dx + (y - u["y"]) * dy, dx * dx + dy * dy), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+        return F.struct(F.hypot(u["x"] + t * dx - x, u["y"] + t * dy - y).alias("d"), (u["m"] + t * (v["m"] - u["m"])).alias("m"))
+
+    tail = lambda p: F.greatest(F.size(p) - 1, F.lit(0))
+    found = F.flatten(F.transform(F.col("b.geom.parts"), lambda p: F.zip_with(F.slice(p, F.lit(1), tail(p)), F.slice(p, F.lit(2), tail(p)), nearest)))
+    near = pairs.select(F.col("a.oid").alias("oid"), F.array_min(found).alias("at")).where(F.col("at.d") <= search)
+    best = near.groupBy("oid").agg(F.min("at").alias("at"))
+    rows = own.rows.where(~G.is_empty(F.col(own.geom))).select(F.col(own.oid).cast("bigint").alias("oid"), "expected").join(best, "oid", "left")
+    code = (
+        F.when(F.col("at").isNull(), F.lit("MeasuresAtPoints.NoLineWithinDistance") if require_line else F.lit(None).cast("string"))
+        .when(F.col("expected").isNull(), F.lit(None).cast("string") if ignore_undefined else F.lit("MeasuresAtPoints.UndefinedExpectedMValue"))
+        .when(F.col("at.m").isNull(), F.lit("MeasuresAtPoints.UndefinedMValue"))
+        .when(F.abs(F.col("at.m") - F.col("expected")) > tolerance, F.lit("MeasuresAtPoints.UnexpectedMValue"))
+    )
+    return issues(rows.withColumn("_code", code).where("_code is not null"), F.col("_code"), [(points.name, "oid")], values=[F.col("at.m")])
+
+
 def _vertices(table: Table, ends_only: bool = False) -> DataFrame:
     rows = table.rows.select(F.col(table.oid).cast("bigint").alias("oid"), F.col(table.geom).alias("g"))
     v = G.vertices_of(rows, "oid", "g")

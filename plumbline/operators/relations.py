@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
 from plumbline.functions import planar
+from plumbline.functions.expressions import Value, holds
 from plumbline.issues import Table, issues
 from plumbline.operators import spatial as S
 from plumbline.operators.network import connected
@@ -30,51 +31,63 @@ def _fields(tables: Tables) -> tuple[str, ...]:
     return tuple(c for c in tables[0].df.columns if c in common and c not in ("oid", "geom", "tab"))
 
 
-def _relation(tables: Tables, others: Tables | None, relation, code: str, valid: str | None) -> DataFrame:
-    """Pairs in a relation for which no valid-relation condition holds: undirected within one set, else directed."""
+def _relation(tables: Tables, others: Tables | None, relation, code: str, valid: str | None, valid_geometry: str | None = None, component: str = "entire") -> DataFrame:
+    """Pairs in a relation for which no valid-relation condition holds: undirected within one set, else directed.
+
+    valid_geometry: a condition over the properties of the intersection ($Area, $Length ...) that makes a pair valid too. component: what of the
+    shapes is related.
+    """
+    if component != "entire":
+        part = lambda ts: [Table(t.df.withColumn(t.geom, G.component(F.col(t.geom), component)), t.name, t.oid, t.geom, t.where) for t in ts]
+        tables, others = part(tables), None if others is None else part(others)
     pairs = S.self_pairs(list(tables), _fields(tables)) if others is None else S.other_pairs(list(tables), list(others), _fields(tables), _fields(others))
     pairs = pairs.where(~S.conditioned(pairs, valid, undirected=others is None))
-    return issues(S.related(pairs, relation), f"{code}{'.ConstraintNotFulfilled' if valid else ''}", _both())
+    found = S.related(pairs, relation)
+    if valid_geometry:
+        found = S.with_function(found, "common", G.GEOMETRY, lambda a, b: S.as_geometry(planar.intersection(a, b)))
+        names = {k.lower(): Value(v, kind) for k, (v, kind) in G.properties(F.col("common")).items()}
+        found = found.where(~holds(valid_geometry, names))
+    return issues(found, f"{code}{'.ConstraintNotFulfilled' if valid else ''}", _both())
 
 
-def qa_intersects_self(tables: Tables, valid: str | None = None) -> DataFrame:
-    return _relation(tables, None, "intersects", "IntersectsSelf.GeometriesIntersect", valid)
+def qa_intersects_self(tables: Tables, valid: str | None = None, valid_geometry: str | None = None, component: str = "entire") -> DataFrame:
+    return _relation(tables, None, "intersects", "IntersectsSelf.GeometriesIntersect", valid, valid_geometry, component)
 
 
-def qa_intersects_other(tables: Tables, others: Tables, valid: str | None = None) -> DataFrame:
-    return _relation(tables, others, "intersects", "IntersectsOther.GeometriesIntersect", valid)
+def qa_intersects_other(tables: Tables, others: Tables, valid: str | None = None, valid_geometry: str | None = None, component: str = "entire") -> DataFrame:
+    return _relation(tables, others, "intersects", "IntersectsOther.GeometriesIntersect", valid, valid_geometry, component)
 
 
-def qa_interior_intersects_self(tables: Tables, valid: str | None = None) -> DataFrame:
-    return _relation(tables, None, "interior_intersects", "InteriorIntersectsSelf.InteriorsIntersect", valid)
+def qa_interior_intersects_self(tables: Tables, valid: str | None = None, valid_geometry: str | None = None, component: str = "entire") -> DataFrame:
+    return _relation(tables, None, "interior_intersects", "InteriorIntersectsSelf.InteriorsIntersect", valid, valid_geometry, component)
 
 
-def qa_interior_intersects_other(tables: Tables, others: Tables, valid: str | None = None) -> DataFrame:
-    return _relation(tables, others, "interior_intersects", "InteriorIntersectsOther.InteriorsIntersect", valid)
+def qa_interior_intersects_other(tables: Tables, others: Tables, valid: str | None = None, valid_geometry: str | None = None, component: str = "entire") -> DataFrame:
+    return _relation(tables, others, "interior_intersects", "InteriorIntersectsOther.InteriorsIntersect", valid, valid_geometry, component)
 
 
-def qa_crosses_self(tables: Tables, valid: str | None = None) -> DataFrame:
-    return _relation(tables, None, "crosses", "CrossesSelf.GeometriesCross", valid)
+def qa_crosses_self(tables: Tables, valid: str | None = None, valid_geometry: str | None = None, component: str = "entire") -> DataFrame:
+    return _relation(tables, None, "crosses", "CrossesSelf.GeometriesCross", valid, valid_geometry, component)
 
 
-def qa_crosses_other(tables: Tables, others: Tables, valid: str | None = None) -> DataFrame:
-    return _relation(tables, others, "crosses", "CrossesOther.GeometriesCross", valid)
+def qa_crosses_other(tables: Tables, others: Tables, valid: str | None = None, valid_geometry: str | None = None, component: str = "entire") -> DataFrame:
+    return _relation(tables, others, "crosses", "CrossesOther.GeometriesCross", valid, valid_geometry, component)
 
 
-def qa_overlaps_self(tables: Tables, valid: str | None = None) -> DataFrame:
-    return _relation(tables, None, "overlaps", "OverlapsSelf.GeometriesOverlap", valid)
+def qa_overlaps_self(tables: Tables, valid: str | None = None, valid_geometry: str | None = None, component: str = "entire") -> DataFrame:
+    return _relation(tables, None, "overlaps", "OverlapsSelf.GeometriesOverlap", valid, valid_geometry, component)
 
 
-def qa_overlaps_other(tables: Tables, others: Tables, valid: str | None = None) -> DataFrame:
-    return _relation(tables, others, "overlaps", "OverlapsOther.GeometriesOverlap", valid)
+def qa_overlaps_other(tables: Tables, others: Tables, valid: str | None = None, valid_geometry: str | None = None, component: str = "entire") -> DataFrame:
+    return _relation(tables, others, "overlaps", "OverlapsOther.GeometriesOverlap", valid, valid_geometry, component)
 
 
-def qa_touches_self(tables: Tables, valid: str | None = None) -> DataFrame:
-    return _relation(tables, None, "touches", "TouchesSelf.GeometriesTouch", valid)
+def qa_touches_self(tables: Tables, valid: str | None = None, valid_geometry: str | None = None, component: str = "entire") -> DataFrame:
+    return _relation(tables, None, "touches", "TouchesSelf.GeometriesTouch", valid, valid_geometry, component)
 
 
-def qa_touches_other(tables: Tables, others: Tables, valid: str | None = None) -> DataFrame:
-    return _relation(tables, others, "touches", "TouchesOther.GeometriesTouch", valid)
+def qa_touches_other(tables: Tables, others: Tables, valid: str | None = None, valid_geometry: str | None = None, component: str = "entire") -> DataFrame:
+    return _relation(tables, others, "touches", "TouchesOther.GeometriesTouch", valid, valid_geometry, component)
 
 
 def qa_intersection_matrix_self(tables: Tables, pattern: str, valid: str | None = None, allowed_dimensions: Sequence[int] = ()) -> DataFrame:

@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
+from plumbline.functions import planar
 from plumbline.functions.expressions import Value, holds, names_of
 from plumbline.issues import Table, issues
+from plumbline.operators import spatial as S
 
 
 def _rows(table: Table) -> DataFrame:
@@ -108,13 +110,19 @@ def qa_non_empty_geometry(table: Table) -> DataFrame:
     return issues(table.rows.withColumn("_code", code).where("_code is not null"), F.col("_code"), [(table.name, table.oid)])
 
 
-def qa_simple_geometry(table: Table, tolerance: float = 0.0) -> DataFrame:
-    """Null, empty, rings that are not closed or have fewer than four points, and segments not longer than the tolerance."""
+def qa_simple_geometry(table: Table, tolerance: float = 0.0, allow_non_planar_lines: bool = False) -> DataFrame:
+    """Null, empty, rings that are not closed or have fewer than four points, segments not longer than the tolerance, and shapes whose
+    segments meet elsewhere than at the ends of neighbours (lines are spared with allow_non_planar_lines)."""
     g = F.col(table.geom)
     short = F.exists(g["parts"], lambda p: F.exists(F.zip_with(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), F.slice(p, F.lit(2), F.greatest(F.size(p) - 1, F.lit(0))), lambda a, b: (b["x"] - a["x"]) ** 2 + (b["y"] - a["y"]) ** 2), lambda d: d <= tolerance**2))
     ring = (g["kind"] == "polygon") & F.exists(g["parts"], lambda p: ~G.is_closed(p) | (F.size(p) < 4))
     code = F.when(g.isNull(), F.lit("SimpleGeometry.Null")).when(G.is_empty(g), F.lit("SimpleGeometry.Empty")).when(ring, F.lit("SimpleGeometry.UnclosedRing")).when((g["kind"] != "point") & short, F.lit("SimpleGeometry.ShortSegments"))
-    return issues(table.rows.withColumn("_code", code).where("_code is not null"), F.col("_code"), [(table.name, table.oid)])
+    found = table.rows.withColumn("_code", code)
+    told = issues(found.where("_code is not null"), F.col("_code"), [(table.name, table.oid)])
+    # only shapes with enough segments to cross themselves go to Python
+    many = found.where(F.col("_code").isNull() & (g["kind"] != "point") & (F.size(G.points(g)) > 3) & (F.lit(not allow_non_planar_lines) | (g["kind"] != "line")))
+    crossing = many.where(S.of_shape(F.col(table.geom), "boolean", planar.crosses_itself))
+    return told.unionByName(issues(crossing, "SimpleGeometry.SelfIntersection", [(table.name, table.oid)]))
 
 
 def qa_sliver_polygon(table: Table, limit: float, max_area: float = -1) -> DataFrame:

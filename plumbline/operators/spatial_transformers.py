@@ -102,10 +102,10 @@ def tr_dissolve(table: Table, group_by: Sequence[str] = (), attributes: Sequence
     return out.where(holds(constraint, names_of(out))) if constraint else out
 
 
-def tr_geometry_to_points(table: Table) -> DataFrame:
-    """Every vertex as a point, with part_index and vertex_index; all fields stay."""
+def tr_geometry_to_points(table: Table, component: str = "entire") -> DataFrame:
+    """Every vertex of a component as a point, with part_index and vertex_index; all fields stay."""
     keep = _fields([table])
-    rows = table.rows.select(F.col(table.oid).cast("bigint").alias("oid"), F.col(table.geom).alias("g"), *keep)
+    rows = table.rows.select(F.col(table.oid).cast("bigint").alias("oid"), G.component(F.col(table.geom), component).alias("g"), *keep)
     v = G.vertices_of(rows, "oid", "g", *keep)
     return v.select("oid", *keep, F.col("part").alias("part_index"), F.col("vertex").alias("vertex_index"), G.point("x", "y", "z", "m").alias("geom"))
 

@@ -60,6 +60,7 @@ QUERIES: dict[str, Query] = {
     "qa_no_touching_parts": lambda s, d: flat(S.qa_no_touching_parts(part_boxes(s, d))),
     "qa_no_boundary_loops": lambda s, d: flat(S.qa_no_boundary_loops(_loops(s, d))),
     "qa_simple_geometry": lambda s, d: flat(S.qa_simple_geometry(customer_shapes(s, d))),
+    "qa_simple_geometry_crossing": lambda s, d: flat(S.qa_simple_geometry(_bows(s, d))),
     "qa_non_empty_geometry": lambda s, d: flat(S.qa_non_empty_geometry(customer_shapes(s, d))),
     "qa_sliver_polygon": lambda s, d: flat(S.qa_sliver_polygon(part_boxes(s, d), 60, 100)),
     "qa_segment_length": lambda s, d: flat(S.qa_segment_length(event_lines(s, d), 12), "value", "value2"),
@@ -92,6 +93,14 @@ def _loops(s, d) -> Table:
     return Table(p.select(F.col("p_partkey").alias("oid"), G.polygon(F.array(bow)).alias("geom")), "loops", "oid", "geom")
 
 
+def _bows(s, d) -> Table:
+    """Polygons that cross themselves if their key is divisible by 4."""
+    p = table(s, d, "part").df.select("p_partkey")
+    v, far = G.vertex, F.when(F.col("p_partkey") % 4 == 0, 3.0).otherwise(1.0)
+    ring = F.array(v(F.lit(0), F.lit(0)), v(F.lit(0), F.lit(2)), v(F.lit(2), F.lit(2)), v(F.lit(2), F.lit(0)), v(F.lit(1), far), v(F.lit(0), F.lit(0)))
+    return Table(p.select(F.col("p_partkey").alias("oid"), G.polygon(F.array(ring)).alias("geom")), "bows", "oid", "geom")
+
+
 def _routes(s, d) -> Table:
     """A segment per part, from corner to corner of a grid, measured by size; routes by brand."""
     p = table(s, d, "part").df
@@ -126,6 +135,7 @@ ORACLES: dict[str, str] = {
     "qa_no_touching_parts": f"{P} SELECT 'NoTouchingParts.TouchingParts' AS issue_code, oid FROM p WHERE b",
     "qa_no_boundary_loops": "SELECT 'NoBoundaryLoops.BoundaryLoop' AS issue_code, p_partkey AS oid FROM part WHERE p_partkey % 4 = 0",
     "qa_simple_geometry": "SELECT CASE c_custkey % 9 WHEN 0 THEN 'SimpleGeometry.Null' WHEN 1 THEN 'SimpleGeometry.Empty' ELSE 'SimpleGeometry.ShortSegments' END AS issue_code, c_custkey AS oid FROM customer WHERE c_custkey % 9 < 3",
+    "qa_simple_geometry_crossing": "SELECT 'SimpleGeometry.SelfIntersection' AS issue_code, p_partkey AS oid FROM part WHERE p_partkey % 4 = 0",
     "qa_non_empty_geometry": "SELECT CASE c_custkey % 9 WHEN 0 THEN 'NonEmptyGeometry.GeometryNull' ELSE 'NonEmptyGeometry.GeometryEmpty' END AS issue_code, c_custkey AS oid FROM customer WHERE c_custkey % 9 < 2",
     "qa_sliver_polygon": f"{P} SELECT 'SliverPolygon.TooSmallAndThin' AS issue_code, oid FROM (SELECT oid, w, h FROM p UNION ALL SELECT oid, w / 4, h / 4 FROM p WHERE i UNION ALL SELECT oid, w, h FROM p WHERE b) WHERE w * h <= 100 AND (2 * w + 2 * h) ** 2 / (w * h) > 60",
     "qa_segment_length": _islands(f"{D} < 12", prefix="SegmentLength"),

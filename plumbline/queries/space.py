@@ -46,6 +46,14 @@ def lines(s, d, where: str | None = None) -> Table:
     return Table(made, "lines", "oid", "geom", where)
 
 
+def measured(s, d) -> Table:
+    """The lines with measures from 0 at their start to 3 at their end."""
+    t = lines(s, d)
+    p = F.col("geom.parts")[0]
+    v = lambda k, m: G.vertex(p[k]["x"], p[k]["y"], None, F.lit(m))
+    return Table(t.df.withColumn("geom", G.line(F.array(v(0, 0.0), v(1, 3.0)))), "lines", "oid", "geom")
+
+
 def streets(s, d, where: str | None = None) -> Table:
     """Unit lines between grid points: east from (k % 20, nation % 10), or north if the key is divisible by 3."""
     c = table(s, d, "customer").df
@@ -114,6 +122,9 @@ def _paths(s, d):
 
 QUERIES: dict[str, Query] = {
     "qa_intersects_self": lambda s, d: flat(R.qa_intersects_self([boxes(s, d)], "G1.grade = G2.grade"), "other_oid"),
+    "qa_intersects_self_geometry": lambda s, d: flat(R.qa_intersects_self([boxes(s, d)], valid_geometry="$Area <= 1.5"), "other_oid"),
+    "qa_intersects_other_boundary": lambda s, d: flat(R.qa_intersects_other([boxes(s, d)], [points(s, d)], component="boundary"), "other_oid"),
+    "geometry_components": lambda s, d: _components_of(s, d),
     "qa_intersects_other": lambda s, d: flat(R.qa_intersects_other([boxes(s, d)], [points(s, d)]), "other_oid"),
     "qa_interior_intersects_self": lambda s, d: flat(R.qa_interior_intersects_self([boxes(s, d)]), "other_oid"),
     "qa_interior_intersects_other": lambda s, d: flat(R.qa_interior_intersects_other([boxes(s, d)], [points(s, d)], "G2.c_acctbal < 0"), "other_oid"),
@@ -159,6 +170,8 @@ QUERIES: dict[str, Query] = {
     "qa_vertex_coincidence": lambda s, d: flat(P.qa_vertex_coincidence(lines(s, d), 3.5), "value"),
     "qa_vertex_coincidence_self": lambda s, d: flat(P.qa_vertex_coincidence_self(lines(s, d), 0.8), "other_oid", "value"),
     "qa_vertex_coincidence_other": lambda s, d: flat(P.qa_vertex_coincidence_other([points(s, d)], [points(s, d, "c_nationkey % 2 = 0")], 0.6), "value"),
+    "qa_measures_at_points": lambda s, d: flat(P.qa_measures_at_points(points(s, d), [measured(s, d)], "c_nationkey % 4", 0.75, 1.0, require_line=True), "value"),
+    "expression_based_distance_provider": lambda s, d: P.with_distance(points(s, d), "c_nationkey % 2 * 0.5 + 1").df.select("oid", "near"),
     "qa_dangle_count": lambda s, d: flat(N.qa_dangle_count([streets(s, d)], "_DangleCount < 1"), "value"),
     "qa_dangle_factory": lambda s, d: N.qa_dangles([streets(s, d)]).select("issue_code", "geom"),
     "qa_orphan_node": lambda s, d: flat(N.qa_orphan_node([junctions(s, d)], [streets(s, d)]), "tab"),
@@ -205,6 +218,12 @@ QUERIES: dict[str, Query] = {
 }
 
 
+def _components_of(s, d):
+    g = F.col("geom")
+    c = G.component(g, "centroid")["parts"][0][0]
+    return boxes(s, d).df.select("oid", F.round(c["x"], 6).alias("cx"), F.round(c["y"], 6).alias("cy"), *[F.size(G.points(G.component(g, n))).alias(f"n_{n}") for n in ("boundary", "vertices", "interior_vertices", "line_end_points", "label_point")])
+
+
 def _joined_points(s, d) -> Table:
     p, n = points(s, d), table(s, d, "nation").df
     return Table(p.df.join(n, p.df.c_nationkey == n.n_nationkey), "points", "oid", "geom", "n_regionkey = 1")
@@ -272,6 +291,9 @@ def _ends(code: str) -> str:
 
 ORACLES: dict[str, str] = {
     "qa_intersects_self": _boxes("IntersectsSelf.GeometriesIntersect.ConstraintNotFulfilled", f"{MEET} AND a.grade <> b.grade"),
+    "qa_intersects_self_geometry": _boxes("IntersectsSelf.GeometriesIntersect", f"{INNER} AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 1.5"),
+    "qa_intersects_other_boundary": f"{W} SELECT 'IntersectsOther.GeometriesIntersect' AS issue_code, b.oid, p.oid AS other_oid FROM bx b JOIN pt p ON {PON} AND NOT ({PIN})",
+    "geometry_components": f"{W} SELECT oid, (x0 + x1) / 2e0 AS cx, (y0 + y1) / 2e0 AS cy, 5 AS n_boundary, 5 AS n_vertices, 3 AS n_interior_vertices, 2 AS n_line_end_points, 1 AS n_label_point FROM bx",
     "qa_intersects_other": f"{W} SELECT 'IntersectsOther.GeometriesIntersect' AS issue_code, b.oid, p.oid AS other_oid FROM bx b JOIN pt p ON {PON}",
     "qa_interior_intersects_self": _boxes("InteriorIntersectsSelf.InteriorsIntersect", INNER),
     "qa_interior_intersects_other": f"{W} SELECT 'InteriorIntersectsOther.InteriorsIntersect.ConstraintNotFulfilled' AS issue_code, b.oid, p.oid AS other_oid FROM bx b JOIN pt p ON {PIN} AND NOT p.c_acctbal < 0",
@@ -340,6 +362,10 @@ ORACLES: dict[str, str] = {
     "if_within": _no_point("Constraints.ConstraintNotFulfilled", PON, "b.grade = 2", "NOT p.c_acctbal > 1000"),
     "if_near": _no_point("Constraints.ConstraintNotFulfilled", f"{PD} < 1", "b.grade = 3", "NOT p.c_acctbal > 1000"),
     "if_involved_rows": "SELECT 'Constraints.ConstraintNotFulfilled' AS issue_code, c_custkey AS oid FROM customer WHERE NOT c_acctbal > 1000 AND NOT c_nationkey < 10",
+    "qa_measures_at_points": f"""{W}, m AS (SELECT p.oid, min({{'d': {PD}, 'm': CASE WHEN b.h THEN least(greatest(p.x - b.x0, 0), 3) ELSE least(greatest(p.y - b.y0, 0), 3) END}}) AS hit FROM pt p JOIN lx b ON {PD} <= 0.75 GROUP BY 1)
+        SELECT CASE WHEN hit IS NULL THEN 'MeasuresAtPoints.NoLineWithinDistance' ELSE 'MeasuresAtPoints.UnexpectedMValue' END AS issue_code, oid, CAST(CAST(hit.m AS DOUBLE) AS VARCHAR) AS value
+        FROM pt LEFT JOIN m USING (oid) WHERE hit IS NULL OR abs(hit.m - c_nationkey % 4) > 1""",
+    "expression_based_distance_provider": "SELECT c_custkey AS oid, c_nationkey % 2 * 5e-1 + 1 AS near FROM customer",
     "qa_line_intersect": _crossed("LineIntersect.LinesIntersect", "true"),
     "qa_min_node_distance": _ends("MinNodeDistance.NodeDistanceTooSmall"),
     "qa_vertex_coincidence_self": _ends("VertexCoincidence.NearbyVertexNotCoincident"),
