@@ -24,7 +24,7 @@ from plumbline.session import materialize
 BLOCK = 32
 MAX_TOTAL = 4096
 MAX_SOURCES = 256
-CHUNK_ROWS = 2048
+LEAST_CHUNK = 512
 
 
 def whole_weights(weights: dict[str, float], total: int = 1000) -> dict[str, int]:
@@ -85,7 +85,7 @@ def _literal(rows: list[tuple]) -> Column:
     return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, doc_id: str = "doc_id", source: str = "source", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, doc_id: str = "doc_id", source: str = "source", chunk_rows: int | None = None) -> DataFrame:
     """One row per document: doc_id, source, block, slot, position.
 
     Order by position to read the mix: position = slot * block + place in the block, so gaps are left only by the short
@@ -100,7 +100,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     return _placed(materialize(rows, "mix"), [], weights, block, chunk_rows)
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, doc_id: str = "doc_id", source: str = "source", chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, doc_id: str = "doc_id", source: str = "source", chunk_rows: int | None = None) -> DataFrame:
     """The rows of docs in the order of the mix, all columns unchanged: sorted over partitions and files, so that rows come in
     mix order when they are read by file and row number.
     """
@@ -110,7 +110,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
     return placed.repartitionByRange(n, "position").sortWithinPartitions("position").select("row.*")
 
 
-def _placed(rows: DataFrame, carry: list[str], weights: dict[str, float] | None, block: int, chunk_rows: int) -> DataFrame:
+def _placed(rows: DataFrame, carry: list[str], weights: dict[str, float] | None, block: int, chunk_rows: int | None) -> DataFrame:
     spark = rows.sparkSession
     if weights and min(weights.values()) <= 0:
         raise ValueError("weights must be positive")
@@ -122,8 +122,10 @@ def _placed(rows: DataFrame, carry: list[str], weights: dict[str, float] | None,
     whole = whole_weights({k: (weights or {}).get(k, mean) for k in sizes}, min(MAX_TOTAL, 1000))
     phases = schedule({k: math.ceil(n / block) for k, n in sizes.items()}, whole)
 
-    # rank within a source: chunks of a bounded number of rows by hash range, then offsets of chunks
-    chunks = max(1, math.ceil(max(sizes.values(), default=1) / chunk_rows))
+    # rank within a source: chunks by hash range, then offsets of chunks
+    most = max(sizes.values(), default=1)
+    # as many chunks as rows in a chunk: both stay small for any source
+    chunks = max(1, math.ceil(most / (chunk_rows or max(LEAST_CHUNK, math.isqrt(most)))))
     rows = rows.withColumn("chunk", F.pmod(F.shiftrightunsigned("hash", 16), F.lit(chunks)))
     offsets = rows.groupBy("name", "chunk").agg(F.count("*").alias("n"))
     offsets = offsets.selectExpr("name", "chunk", "sum(n) over (partition by name order by chunk rows between unbounded preceding and 1 preceding) before")
