@@ -104,7 +104,8 @@ def repeated_spans(docs: DataFrame, unit: str = "passage", min_words: int = MIN_
     found = materialize(base.mapInArrow(_unit_rows(unit, min_words), "doc_id long, start int, end int, digest long"), "units")
     # the digests alone first: few of them repeat, and only rows of these are looked at again
     groups = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("keep")).where("n > 1")
-    again = found.join(groups.select("digest", "keep"), "digest").where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("start") != F.col("keep.start")))
+    groups = materialize(groups.select("digest", "keep"), "repeats")  # apart from the join, so that a hot digest's rows can be split there
+    again = found.join(groups, "digest").where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("start") != F.col("keep.start")))
     again = again.select("doc_id", "start", "end", F.col("keep.doc_id").alias("keep_doc_id"))
     by_place = Window.partitionBy("doc_id").orderBy("start", "end")
     reach = F.max("end").over(by_place.rowsBetween(Window.unboundedPreceding, -1))
