@@ -83,8 +83,13 @@ def candidate_pairs(a: DataFrame, b: DataFrame, same: bool = False) -> DataFrame
 
 
 def with_function(pairs: DataFrame, name: str, kind: str, function: Callable[[planar.Shape, planar.Shape], object]) -> DataFrame:
-    """pairs with a column of function(shape of a, shape of b), in Arrow batches."""
-    share_code(pairs.sparkSession)
+    """pairs with a column of function(shape of a, shape of b), in Arrow batches.
+
+    Pairs are few bytes and much work: they are dealt out evenly first, which also parts the pairs of dense cells.
+    """
+    spark = pairs.sparkSession
+    share_code(spark)
+    pairs = pairs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
 
     shape = _result(kind)
 
@@ -112,7 +117,8 @@ def _udf(kind: str):
     def wrap(function):
         with warnings.catch_warnings():  # one function serves results of several types, which type hints cannot say
             warnings.simplefilter("ignore", UserWarning)
-            return F.pandas_udf(function, kind, PandasUDFType.SCALAR_ITER)
+            # else a filter on the result is pushed below it with a second call of the function
+            return F.pandas_udf(function, kind, PandasUDFType.SCALAR_ITER).asNondeterministic()
 
     return wrap
 
