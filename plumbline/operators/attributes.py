@@ -13,6 +13,7 @@ from plumbline.functions.expressions import ExpressionError, compile_expression,
 from plumbline.issues import Table, issues, union
 
 TEXT = "string"
+MAX_RULES = 10_000
 
 
 def qa_constraint(table: Table, constraints: str | Sequence) -> DataFrame:
@@ -55,11 +56,13 @@ def constraint_tree(lines: Sequence[str]) -> list[tuple[str, list]]:
 
 
 def constraints_list(table: Table, rules: DataFrame, expression_field: str, expression_is_error: bool = False, description_field: str | None = None) -> DataFrame:
-    """Constraints read from a table of rules (a bounded list, as rules are written by hand); blank ones are skipped.
+    """Constraints read from a table of rules; blank ones are skipped, more than MAX_RULES are refused.
 
     With expression_is_error each tells what is wrong; the database function LENGTH is read as LEN.
     """
-    texts = [r[0].strip() for r in rules.select(expression_field).where(F.col(expression_field).isNotNull()).limit(10_000).toLocalIterator()]
+    texts = [r[0].strip() for r in rules.select(expression_field).where(F.col(expression_field).isNotNull()).limit(MAX_RULES + 1).collect()]
+    if len(texts) > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
     texts = [re.sub(r"\bLENGTH\s*\(", "LEN(", t, flags=re.I) for t in texts if t]
     return qa_constraint(table, [f"NOT ({t})" if expression_is_error else t for t in texts])
 

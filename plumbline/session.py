@@ -54,13 +54,19 @@ def delete(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def clear() -> None:
+    """Remove everything materialised so far; results that still read it are lost. For long sessions, between jobs."""
+    while _WRITTEN:
+        spark, path = _WRITTEN.pop()
+        delete(spark, path.rsplit("/", 1)[0])
+
+
 @atexit.register
-def _clean() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            delete(spark, path.rsplit("/", 1)[0])
-        except Exception:  # the session may have ended before; its folder is then the cluster's to clear
-            return
+def _at_exit() -> None:
+    try:
+        clear()
+    except Exception:  # the session may have ended before; its folder is then the cluster's to clear
+        return
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
