@@ -43,6 +43,10 @@ RULES = [
     Rule("google", r"AIza[0-9A-Za-z_-]{35,}"),
 ]
 
+#: Of a set of trigrams that must all be there, the rarest few are asked for: each costs a pass over every text.
+ASKED = 2
+#: Fixed: letters from common to rare in running text; other characters count as rarer.
+_COMMON = "etaoinsrhldcumfpgwybvkxjqz"
 #: A run of text is followed through at most so many alternatives; beyond, it is cut, which weakens the query only.
 MAX_ALTERNATIVES = 128
 
@@ -103,8 +107,10 @@ def trigram_query(pattern: str) -> Query:
     if strings is not None:
         choices = frozenset(frozenset(s[i : i + 3] for i in range(len(s) - 2)) for s in strings)
         query = [choices] if all(choices) else []
+    rarity = lambda g: (-sum(_COMMON.find(c) if c in _COMMON else 40 for c in g), g)
     # a set that contains another one of the same choice adds nothing
-    return [frozenset(a for a in choices if not any(b < a for b in choices)) for choices in query]
+    least = [[a for a in choices if not any(b < a for b in choices)] for choices in query]
+    return [frozenset(frozenset(sorted(grams, key=rarity)[:ASKED]) for grams in choices) for choices in least]
 
 
 def postings(docs: DataFrame, grams: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
