@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.words import U, mix, windows, word_hashes
+from plumbline.operators.network import connected
 from plumbline.session import materialize, share_code
 
 ROWS = 6
@@ -108,28 +109,6 @@ def _shingle_rows(n: int):
     return run
 
 
-def components(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
-    """(node, comp): comp is the smallest node reachable over edges (a, b). Nodes without edges keep themselves.
-
-    Alternates label propagation with pointer jumping; each round is cut at a written table. The loop ends when no label
-    changes, after a number of rounds logarithmic in the longest path.
-    """
-    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = materialize(both, "links")
-    labels = materialize(both.groupBy(F.col("a").alias(node)).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "labels")
-    while True:
-        near = both.join(labels, both.b == labels[node]).groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, labels[node] == near.a, "left").select(node, "comp", F.least("comp", F.coalesce("near", "comp")).alias("new"))
-        root = labels.select(F.col(node).alias("r"), F.col("comp").alias("up"))
-        step = step.join(root, step.new == root.r, "left").select(node, "comp", F.least("new", F.coalesce("up", "new")).alias("new"))
-        step = materialize(step, "labels")
-        changed = step.where("new < comp").limit(1).count()
-        labels = step.select(node, F.col("new").alias("comp"))
-        if not changed:
-            break
-    return nodes.join(labels, node, "left").select(node, F.coalesce("comp", node).alias("comp"))
-
-
 def _confirmed(pairs: DataFrame, items: DataFrame, share: int) -> DataFrame:
     """Those of the pairs (a, b) whose full sets have 100 * intersection >= share * union."""
     x, y = items.select(F.col("node").alias("a"), F.col("items").alias("x")), items.select(F.col("node").alias("b"), F.col("items").alias("y"))
@@ -202,7 +181,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: int = 80, rows: in
     items = items.withColumn("node", F.xxhash64(*digest)).groupBy("node").agg(F.first("items").alias("items"))
     items = materialize(items, "items")
     edges = materialize(_confirmed(pairs, items, share), "edges")
-    labels = materialize(components(nodes, edges), "components")
+    labels = materialize(connected(nodes, edges), "components")
 
     # what is left: buckets that hold several components
     marked = members.join(labels, "node")
@@ -221,7 +200,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, share: int = 80, rows: in
     found = dealt.join(items, "node").groupBy("bucket", "i", "j").applyInPandas(_blocks(share), "a long, b long")
     every = edges.union(more).union(found).distinct()
 
-    labels = components(nodes, every)
+    labels = connected(nodes, every)
     named = classes.join(labels, "node", "left").select(*digest, "rep", F.coalesce("comp", "node").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     named = named.join(least, "comp").select(*digest, "component_id")
