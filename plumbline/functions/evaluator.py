@@ -85,6 +85,14 @@ def _trim(text: Value, chars: Value | None = None) -> Value:
     return Value(F.btrim(text.column, chars.column) if chars else trimmed(text.column), "text")
 
 
+def _rand(*bounds: Value) -> Value:
+    """From 0 to 1, a whole number below one bound, or from the first bound to below the second."""
+    if not bounds:
+        return Value(F.rand(), "number")
+    low, high = (F.lit(0.0), _number(bounds[0])) if len(bounds) == 1 else (_number(bounds[0]), _number(bounds[1]))
+    return Value(low + F.floor(F.rand() * (high - low)), "number")
+
+
 #: name -> function of compiled arguments; register() adds to it.
 FUNCTIONS: dict[str, Callable[..., Value]] = {
     "ABS": lambda x: Value(F.abs(_number(x)), "number"),
@@ -105,7 +113,8 @@ FUNCTIONS: dict[str, Callable[..., Value]] = {
     "DECODE": _decode,
     "WHEN": _when,
     "REGEX": lambda p, t, r=None: Value(F.regexp_like(t.column, p.column) if r is None else F.regexp_replace(t.column, p.column, r.column), "boolean" if r is None else "text"),
-    "RAND": lambda *a: Value(F.rand(), "number"),
+    "RAND": _rand,
+    "RANDPICK": lambda *a: Value(F.array(*[x.column for x in a])[F.floor(F.rand() * len(a)).cast("int")], a[0].kind),
 }
 
 

@@ -77,3 +77,9 @@ def test_helpers(rows):
     name, column = projection("n * 2 AS twice", names_of(rows))
     assert name == "twice" and values(rows, column) == [None, 6, 12]
     assert values(rows, F.coalesce(projection("n", names_of(rows))[1], F.lit(0))) == [0, 3, 6]
+
+
+def test_random_values_stay_in_bounds(rows):
+    names = names_of(rows)
+    out = rows.select(*[evaluator.evaluate(t, names).alias(k) for k, t in {"a": "RAND()", "b": "RAND(5)", "c": "RAND(3, 4)", "d": "RANDPICK('x', 'y')"}.items()]).collect()
+    assert all(0 <= r.a < 1 and r.b in range(5) and r.c == 3 and r.d in "xy" for r in out)
