@@ -182,3 +182,10 @@ def test_repeats_within_a_document_and_repeated_rows(docs_of):
     rows = [(7, f"{line}\n{line}"), (7, f"{line}\n{line}"), (None, line)]
     got = substring_dedup.repeated_spans(docs_of(rows), "line").collect()
     assert [(x.doc_id, x.start, x.end) for x in got] == [(7, len(line) + 1, 2 * len(line) + 1)]
+
+
+def test_near_duplicates_sql(spark, sf_dir):
+    from comparison import oracle_rows, rows_of
+
+    df = QUERIES["op2_minmax_near_dedup"](spark, sf_dir)
+    assert rows_of(df, sorted(df.columns)) == oracle_rows(sf_dir, ORACLES["op2_minmax_near_dedup"], sorted(df.columns))
