@@ -123,25 +123,36 @@ def qa_vertex_coincidence(table: Table, tolerance: float, coincidence: float = 0
 
 
 def near_stretch(p: planar.Point, q: planar.Point, r: planar.Point, s: planar.Point, near: float) -> tuple[float, float] | None:
-    """The stretch of segment pq, in shares of its length, within near of segment rs. The distance is convex along pq."""
-    at = lambda u: planar.segment_distance((p[0] + u * (q[0] - p[0]), p[1] + u * (q[1] - p[1])), r, s)
-    low, high = 0.0, 1.0
-    for _ in range(60):
-        a, b = low + (high - low) / 3, high - (high - low) / 3
-        low, high = (low, b) if at(a) <= at(b) else (a, high)
-    best = min((0.0, 1.0, (low + high) / 2), key=at)
-    if at(best) > near:
-        return None
-
-    def edge(inside: float, outside: float) -> float:
-        if at(outside) <= near:
-            return outside
-        for _ in range(50):
-            mid = (inside + outside) / 2
-            inside, outside = (mid, outside) if at(mid) <= near else (inside, mid)
-        return inside
-
-    return edge(best, 0.0), edge(best, 1.0)
+    """The stretch of segment pq, in shares of its length, within near of segment rs.
+
+    What is near rs is two discs and a band between them, together convex: the line through pq enters and leaves each of them at most once.
+    """
+    dx, dy = q[0] - p[0], q[1] - p[1]
+    square = dx * dx + dy * dy
+    found: list[tuple[float, float]] = []
+    for cx, cy in (r, s):
+        ex, ey = p[0] - cx, p[1] - cy
+        half = dx * ex + dy * ey
+        root = half * half - square * (ex * ex + ey * ey - near * near)
+        if root >= 0:
+            root = math.sqrt(root)
+            found.append(((-half - root) / square, (-half + root) / square))
+    size = math.dist(r, s)
+    if size:
+        ux, uy = (s[0] - r[0]) / size, (s[1] - r[1]) / size
+        ex, ey = p[0] - r[0], p[1] - r[1]
+        low, high = -math.inf, math.inf
+        for base, slope, least, most in ((ex * ux + ey * uy, dx * ux + dy * uy, 0.0, size), (ux * ey - uy * ex, ux * dy - uy * dx, -near, near)):
+            if abs(slope) < 1e-12:
+                if base < least - 1e-9 or base > most + 1e-9:
+                    low = math.inf
+            else:
+                ends = sorted(((least - base) / slope, (most - base) / slope))
+                low, high = max(low, ends[0]), min(high, ends[1])
+        if low <= high:
+            found.append((low, high))
+    low, high = max(0.0, min((f[0] for f in found), default=2.0)), min(1.0, max((f[1] for f in found), default=-1.0))
+    return (low, high) if low <= high else None
 
 
 def near_stretches(a: planar.Shape, b: planar.Shape, near: float) -> list[dict]:

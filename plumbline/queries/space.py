@@ -163,13 +163,13 @@ QUERIES: dict[str, Query] = {
     "qa_node_line_coincidence": lambda s, d: flat(P.qa_node_line_coincidence(points(s, d), [lines(s, d)], 0.75), "value"),
     "qa_not_near": lambda s, d: flat(P.qa_not_near(lines(s, d, "oid % 2 = 0"), lines(s, d, "oid % 2 = 1"), 1.0, 1.9), "other_oid", "value", "value2"),
     "qa_part_coincidence_self": lambda s, d: flat(P.qa_part_coincidence_self(lines(s, d), 1.0, 2.5), "other_oid"),
-    "qa_part_coincidence_other": lambda s, d: flat(P.qa_part_coincidence_other(lines(s, d, "oid % 4 = 0"), lines(s, d, "oid % 4 = 2"), 1.0, 2.5), "other_oid"),
+    "qa_part_coincidence_other": lambda s, d: flat(P.qa_part_coincidence_other(lines(s, d, "z < 3"), lines(s, d, "z >= 3"), 1.0, 2.5), "other_oid"),
     "qa_full_coincidence": lambda s, d: flat(P.qa_full_coincidence(lines(s, d, "z = 0"), [lines(s, d, "z > 0")], 0.0), "value"),
     "qa_topo_not_near": lambda s, d: flat(P.qa_topo_not_near(lines(s, d), lines(s, d), "0.5 + z * 0.0", 2.0, 2.0, 0.5), "other_oid"),
     "qa_topo_not_near_poly_factory": lambda s, d: flat(P.qa_topo_not_near(lines(s, d, "z < 2"), T.tr_polygon_to_line(boxes(s, d)), 0.5, 3.0, 3.0, 0.5).unionByName(R.qa_intersects_other([lines(s, d, "z < 2")], [boxes(s, d)], "G2.grade > 0")), "other_oid"),
     "qa_vertex_coincidence": lambda s, d: flat(P.qa_vertex_coincidence(lines(s, d), 3.5), "value"),
     "qa_vertex_coincidence_self": lambda s, d: flat(P.qa_vertex_coincidence_self(lines(s, d), 0.8), "other_oid", "value"),
-    "qa_vertex_coincidence_other": lambda s, d: flat(P.qa_vertex_coincidence_other([points(s, d)], [points(s, d, "c_nationkey % 2 = 0")], 0.6), "value"),
+    "qa_vertex_coincidence_other": lambda s, d: flat(P.qa_vertex_coincidence_other([points(s, d)], [points(s, d, "c_nationkey % 2 = 0")], 1.2), "value"),
     "qa_measures_at_points": lambda s, d: flat(P.qa_measures_at_points(points(s, d), [measured(s, d)], "c_nationkey % 4", 0.75, 1.0, require_line=True), "value"),
     "expression_based_distance_provider": lambda s, d: P.with_distance(points(s, d), "c_nationkey % 2 * 0.5 + 1").df.select("oid", "near"),
     "qa_dangle_count": lambda s, d: flat(N.qa_dangle_count([streets(s, d)], "_DangleCount < 1"), "value"),
@@ -289,6 +289,9 @@ def _ends(code: str) -> str:
         SELECT '{code}' AS issue_code, oid, other_oid, CAST(CAST(round(d, 9) AS DOUBLE) AS VARCHAR) AS value FROM q WHERE d > 0 AND d < 0.8"""
 
 
+#: a and b run side by side or shifted along each other by 1, at lengths of 3.
+ALONG = "a.h = b.h AND ((CASE WHEN a.h THEN a.y0 - b.y0 ELSE a.x0 - b.x0 END = 0 AND abs(CASE WHEN a.h THEN a.x0 - b.x0 ELSE a.y0 - b.y0 END) = 1) OR (abs(CASE WHEN a.h THEN a.y0 - b.y0 ELSE a.x0 - b.x0 END) = 1 AND CASE WHEN a.h THEN a.x0 - b.x0 ELSE a.y0 - b.y0 END = 0))"
+
 ORACLES: dict[str, str] = {
     "qa_intersects_self": _boxes("IntersectsSelf.GeometriesIntersect.ConstraintNotFulfilled", f"{MEET} AND a.grade <> b.grade"),
     "qa_intersects_self_geometry": _boxes("IntersectsSelf.GeometriesIntersect", f"{INNER} AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 1.5"),
@@ -366,6 +369,18 @@ ORACLES: dict[str, str] = {
         SELECT CASE WHEN hit IS NULL THEN 'MeasuresAtPoints.NoLineWithinDistance' ELSE 'MeasuresAtPoints.UnexpectedMValue' END AS issue_code, oid, CAST(CAST(hit.m AS DOUBLE) AS VARCHAR) AS value
         FROM pt LEFT JOIN m USING (oid) WHERE hit IS NULL OR abs(hit.m - c_nationkey % 4) > 1""",
     "expression_based_distance_provider": "SELECT c_custkey AS oid, c_nationkey % 2 * 5e-1 + 1 AS near FROM customer",
+    "qa_part_coincidence_self": _boxes("PartCoincidence.PartNotCoincident", ALONG, "a.oid < b.oid", "lx", "lx"),
+    "qa_part_coincidence_other": _boxes("PartCoincidence.PartNotCoincident", ALONG, "a.z < 3 AND b.z >= 3", "lx", "lx"),
+    "qa_full_coincidence": f"""{W}, u AS (SELECT a.oid, k, EXISTS (SELECT 1 FROM lx b WHERE b.z > 0 AND a.h = b.h AND CASE WHEN a.h THEN a.y0 = b.y0 AND b.x0 <= a.x0 + k AND b.x1 >= a.x0 + k + 1 ELSE a.x0 = b.x0 AND b.y0 <= a.y0 + k AND b.y1 >= a.y0 + k + 1 END) AS met
+        FROM lx a, (VALUES (0), (1), (2)) v(k) WHERE a.z = 0) SELECT 'FullCoincidence.PartNotNearReference' AS issue_code, oid, CAST(CAST(count(*) AS DOUBLE) AS VARCHAR) AS value FROM u WHERE NOT met GROUP BY oid""",
+    "qa_vertex_coincidence_other": f"""{W}, m AS (SELECT p.oid, min(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2)) AS d FROM pt p JOIN pt q ON q.c_nationkey % 2 = 0 AND (p.x - q.x) ** 2 + (p.y - q.y) ** 2 <= 1.2 ** 2 GROUP BY 1)
+        SELECT 'VertexCoincidence.NearbyVertexNotCoincident' AS issue_code, oid, CAST(CAST(round(d, 9) AS DOUBLE) AS VARCHAR) AS value FROM m WHERE d > 0""",
+    "qa_gdb_topology": "SELECT * FROM (VALUES ('GdbTopology.RuleViolated', 5::BIGINT), ('GdbTopology.DirtyArea', 7::BIGINT)) t(issue_code, oid)",
+    "clustering": f"""{W.replace('WITH bx', 'WITH RECURSIVE bx')}, e AS (SELECT a.oid AS a, b.oid AS b FROM pt a JOIN pt b ON a.oid <> b.oid AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 0.6 ** 2), r(oid, c) AS (SELECT oid, oid FROM pt UNION SELECT e.b, r.c FROM r JOIN e ON r.oid = e.a)
+        SELECT oid, min(c) AS cluster FROM r GROUP BY oid""",
+    "qa_not_near": f"""{W}, q AS (SELECT a.oid, b.oid AS other_oid, a.x0, a.x1, b.x0 AS vx, sqrt(1 - greatest(b.y0 - a.y0, a.y0 - b.y1, 0) ** 2) AS hw FROM lx a JOIN lx b ON a.h AND NOT b.h AND greatest(b.y0 - a.y0, a.y0 - b.y1, 0) <= 1 AND b.x0 BETWEEN a.x0 - 1 AND a.x1 + 1),
+        t AS (SELECT oid, other_oid, greatest(x0, vx - hw) - x0 AS low, least(x1, vx + hw) - x0 AS high FROM q)
+        SELECT 'NotNear.PartTooClose' AS issue_code, oid, other_oid, CAST(CAST(round(low, 6) AS DOUBLE) AS VARCHAR) AS value, CAST(CAST(round(high, 6) AS DOUBLE) AS VARCHAR) AS value2 FROM t WHERE high - low > 1.9""",
     "qa_line_intersect": _crossed("LineIntersect.LinesIntersect", "true"),
     "qa_min_node_distance": _ends("MinNodeDistance.NodeDistanceTooSmall"),
     "qa_vertex_coincidence_self": _ends("VertexCoincidence.NearbyVertexNotCoincident"),

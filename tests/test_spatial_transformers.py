@@ -1,9 +1,12 @@
 """Spatial transformers, filters and measures on small shapes."""
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from plumbline.functions import geometry as G
+from plumbline.functions import planar
 from plumbline.issues import Table
 from plumbline.operators import network as N
 from plumbline.operators import proximity as P
@@ -73,3 +76,16 @@ def test_clusters_are_chains(spark):
     df = spark.createDataFrame([(k, x) for k, x in enumerate([0.0, 1.0, 2.0, 5.0, 5.5, 9.0])], "oid long, x double")
     t = Table(df.select("oid", G.point("x", F.lit(0.0)).alias("geom")), "p", "oid", "geom")
     assert sorted(tuple(r) for r in N.clusters(t, 1.0).collect()) == [(0, 0), (1, 0), (2, 0), (3, 3), (4, 3), (5, 5)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(*[st.tuples(st.integers(-5, 5), st.integers(-5, 5)) for _ in range(4)], st.sampled_from([0.5, 1.0, 2.5]))
+def test_near_stretch_is_what_sampling_finds(p, q, r, s, near):
+    if p == q:
+        return
+    found = P.near_stretch(p, q, r, s, near)
+    for k in range(101):
+        u = k / 100
+        d = planar.segment_distance((p[0] + u * (q[0] - p[0]), p[1] + u * (q[1] - p[1])), r, s)
+        if abs(d - near) > 1e-6:
+            assert (d < near) == (found is not None and found[0] <= u <= found[1])
