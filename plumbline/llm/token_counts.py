@@ -99,18 +99,18 @@ class PrefixCounter:
         out, before = [0], [(0, 0)]
         at = 0
         for p in parts:
-            done = before[-1][1]
+            done, table = before[-1][1], self.pieces.of([p])[0]
             if p.isspace() or p[0] == "'":
                 back = before[max(0, len(before) - 2)]
                 for k in range(at + 1, at + len(p) + 1):
                     out.append(back[1] + self.count(text[back[0] : k]))
             else:
-                table, size = self.pieces.of([p])[0], 0
+                size = 0
                 for c in p:
                     size += len(c.encode())
                     out.append(done + table[size])
             at += len(p)
-            before.append((at, out[-1]))
+            before.append((at, done + table[-1]))  # of the whole pieces, which a cut inside white space joins otherwise
         return out
 
     def count_any(self, text: str) -> int:

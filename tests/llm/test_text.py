@@ -8,7 +8,7 @@ import zlib
 
 import pytest
 from conftest_llm import CLASHES
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from plumbline.llm import language_id, page_diff, pfair_mix, secret_scan, spaced_seed, sstable, token_counts
@@ -116,6 +116,8 @@ def counter(tokenizer):
 
 
 @settings(max_examples=150, deadline=None)
+@example(text="\n\n0")
+@example(text="a  's'll \n \n x")
 @given(text=st.text(st.characters(codec="utf-8", exclude_categories=["Cs"]), max_size=30) | st.text("ab's d'll  \n1.,é", max_size=40))
 def test_counts_of_all_prefixes(counter, library, text):
     assert counter.prefix_counts(text) == [len(encode(library, text[:k])) for k in range(len(text) + 1)]
