@@ -42,7 +42,7 @@ def op8_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return substring_dedup.repeated_spans(table(spark, sf_dir, "documents"), "all")
 
 
 def op9_spaced_seed_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

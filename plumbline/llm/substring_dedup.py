@@ -13,8 +13,10 @@ Units:
   longer lines of different documents is met at the same places in each, and every repeat of at least
   min_words + WINNOW - 1 words is found. Lines alone would miss it: the ends of pasted text share a line with what is around it.
   Passages overlap, and what is removed is their union.
+* ``all``: lines and paragraphs of LINE_WORDS words or more, and passages of min_words. What one kind cannot meet (short lines,
+  pasted text) the other does.
 
-Lines and paragraphs of fewer than min_words words are left alone. Digests are 64 bits wide.
+Lines and paragraphs of fewer words (min_words, if they are the unit) are left alone. Digests are 64 bits wide.
 """
 
 from __future__ import annotations
@@ -30,6 +32,7 @@ from plumbline.llm.words import LOWER, U, code_points, hash_words, mix, utf8, wi
 from plumbline.session import materialize, share_code
 
 MIN_WORDS = 20
+LINE_WORDS = 3
 WINNOW = 12
 
 
@@ -55,23 +58,28 @@ def winnowed(keys: np.ndarray, places: int, width: int = WINNOW) -> np.ndarray:
 
 
 def units(text: str | None, unit: str, min_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, end, digest) of a text's units of at least min_words words; offsets in code points, end exclusive."""
+    """(start, end, digest) of a text's units of enough words; offsets in code points, end exclusive."""
     raw = utf8(text)
     start, end = word_spans(raw)
-    if len(start) < min_words:
+    least = min(LINE_WORDS, min_words) if unit == "all" else min_words
+    if len(start) < least:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     words = hash_words(LOWER[raw], start, end)[0]
-    if unit == "passage":
+    first = last = np.zeros(0, np.int64)
+    if unit in ("passage", "all") and len(words) >= min_words:
         first = winnowed(windows(words, 3), len(words) - min_words + 1)
         last = first + min_words
-    else:
+    if unit != "passage":
         feeds = np.zeros(len(raw) + 1, np.int64)
         np.cumsum(raw == 10, out=feeds[1:])
         between = np.append(feeds[start[1:]] - feeds[end[:-1]], 2)  # line feeds after each word
-        ends = np.append(0, np.flatnonzero(between >= (1 if unit == "line" else 2)) + 1)
-        first, last = ends[:-1], ends[1:]
-        keep = last - first >= min_words
-        first, last = first[keep], last[keep]
+        for kind, n in (("line", 1), ("paragraph", 2)):
+            if unit in (kind, "all"):
+                ends = np.append(0, np.flatnonzero(between >= n) + 1)
+                keep = np.diff(ends) >= least
+                first, last = np.append(first, ends[:-1][keep]), np.append(last, ends[1:][keep])
+    if unit == "all":  # one unit where kinds coincide
+        first, last = np.divmod(np.unique(first * (len(words) + 1) + last), len(words) + 1)
     place = code_points(raw)
     return place[start[first]], place[end[last - 1]], _runs(words, first, last).view(np.int64)
 

@@ -177,6 +177,19 @@ def test_long_passages_inside_lines_are_found_and_clean_documents_left_alone(doc
         assert cut[x.doc_id].text == whole[: x.start] + whole[x.end :] and (cut[x.doc_id].removed[0].start, cut[x.doc_id].removed[0].end) == (x.start, x.end)
 
 
+def test_short_lines_and_pasted_passages_are_both_found(docs_of, spark, tmp_path):
+    r = random.Random(9)
+    fresh = lambda n: " ".join(r.choice(WORDS) + str(r.randrange(10**6)) for _ in range(n))
+    line, long, passage = "Share this Page", fresh(12), fresh(60)
+    rows = [(1, f"{fresh(30)}\n{line}\n{fresh(40)} {passage} {fresh(9)}\n{long}"), (2, f"{line}\n{fresh(8)}\n{long}\n{fresh(30)}"), (3, f"{fresh(25)} {passage} {fresh(25)}\nshare  THIS page"), (4, f"{fresh(50)}\n{fresh(2)}")]
+    docs_of(rows).write.parquet(f"{tmp_path}/documents.parquet")
+    text, found = dict(rows), {}
+    for x in QUERIES["op1_substring_dedup"](spark, str(tmp_path)).collect():
+        found.setdefault(x.doc_id, []).append(text[x.doc_id][x.start : x.end])
+    assert sorted(found) == [2, 3] and sorted(found[2]) == sorted([line, long])
+    assert any(x in passage and len(x.split()) >= 20 for x in found[3]) and "share  THIS page" in found[3]
+
+
 def test_repeats_within_a_document_and_repeated_rows(docs_of):
     line = " ".join(WORDS[:25])
     rows = [(7, f"{line}\n{line}"), (7, f"{line}\n{line}"), (None, line)]
