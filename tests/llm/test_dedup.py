@@ -190,6 +190,26 @@ def test_short_lines_and_pasted_passages_are_both_found(docs_of, spark, tmp_path
     assert any(x in passage and len(x.split()) >= 20 for x in found[3]) and "share  THIS page" in found[3]
 
 
+@pytest.mark.parametrize("size", [31, 32, 40, 60])
+def test_passages_that_repeat_are_removed_whole(docs_of, size):
+    r = random.Random(size)
+    fresh = lambda n: [r.choice(WORDS) + str(r.randrange(10**6)) for _ in range(n)]
+    rows, want = [], {}
+    for k in range(40):  # the third document has part of the passage only, and comes first in half of the cases
+        passage = fresh(size)
+        parts = [passage, passage, passage[size // 3 :] if k % 2 else passage[: -(size // 3)]]
+        for d, p in zip((3 * k + 1, 3 * k + 2, 3 * k + 3) if k % 4 < 2 else (3 * k + 2, 3 * k + 3, 3 * k + 1), parts, strict=True):
+            before, after = fresh(r.randint(0, 30)), fresh(r.randint(0, 30))
+            rows.append((d, " ".join(before + p + after)))
+            if p is passage and d != min(3 * k + 1 + (k % 4 >= 2), d):
+                at = len(" ".join(before)) + bool(before)
+                want[d] = (at, at + len(" ".join(p)))
+    cover = {}
+    for x in substring_dedup.repeated_spans(docs_of(rows, CLASHES)).collect():
+        cover.setdefault(x.doc_id, []).append((x.start, x.end))
+    assert len(want) == 40 and {d: cover.get(d) for d in want} == {d: [x] for d, x in want.items()}
+
+
 def test_repeats_within_a_document_and_repeated_rows(docs_of):
     line = " ".join(WORDS[:25])
     rows = [(7, f"{line}\n{line}"), (7, f"{line}\n{line}"), (None, line)]
