@@ -17,7 +17,7 @@ from plumbline.session import materialize, table
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents whose language cannot be told (no letter, or no text)."""
+    """Without the documents whose language cannot be told: no letter, no text, or too unlike each language that was learned."""
     return language_id.keep_determined(docs)
 
 

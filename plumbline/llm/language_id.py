@@ -7,6 +7,11 @@ families; inside a family, each pair of languages has an SVM of its own and the
 Models are fitted on the driver from a bounded sample (at most sample_per_language texts a language, of which at most
 SAMPLE_CHARS code points each are looked at in fitting; predictions read whole texts). Weights go to executors in the
 task's closure: DIMENSION floats for each family and pair, whatever the corpus size.
+
+An SVM names one of the learned languages for any text. Whether the text is of that language is decided apart, by two shares:
+of its letter trigrams, those that the sample of the language has, and of its bytes that are not white space, those of letters.
+The limits are parts (COVER_PART, LETTER_PART) of what LOW_SHARE of the sample's own texts are below, each held against the
+others; a language of fewer than LEAST_TEXTS different texts in the sample has no limits, as too little is known of it.
 """
 
 from __future__ import annotations
@@ -37,6 +42,10 @@ UNDETERMINED = "und"
 SAMPLE_PER_LANGUAGE = 600
 SAMPLE_CHARS = 20_000
 DIMENSION = 1 << 17
+LOW_SHARE = 0.05
+LEAST_TEXTS = 20
+COVER_PART = 0.5
+LETTER_PART = 0.25
 _ORDERS = (1, 2, 3, 4)
 _LETTER = np.array([chr(b).isascii() and chr(b).isalpha() or b >= 128 for b in range(256)])
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
@@ -46,11 +55,28 @@ def family_of(lang: str) -> str:
     return next((f for f, langs in FAMILIES.items() if lang in langs.split()), lang)
 
 
-def features(text: str) -> np.ndarray:
-    """The hashed n-gram numbers of a text, with repeats."""
+def _letters(text: str) -> np.ndarray:
+    """The lower-cased bytes of a text's letters, with a blank for all that stands between."""
     raw = _FOLD[np.frombuffer(text.lower().encode("utf-8", "replace"), np.uint8)]
     raw = raw[np.append(True, (raw[1:] != 32) | (raw[:-1] != 32))] if len(raw) else raw
-    raw = np.concatenate([[32], raw, [32]]).astype(np.uint32)
+    return np.concatenate([[32], raw, [32]]).astype(np.uint32)
+
+
+def trigrams(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The letter trigrams of a text as numbers, ascending, and how often each occurs."""
+    raw = _letters(text)
+    return np.unique((raw[:-2] * np.uint32(256) + raw[1:-1]) * np.uint32(256) + raw[2:], return_counts=True)
+
+
+def letter_share(text: str) -> float:
+    """The share of letters among the bytes of a text that are not ASCII white space."""
+    raw = np.frombuffer(text.encode("utf-8", "replace"), np.uint8)
+    return float(_LETTER[raw].sum() / max(1, (~np.isin(raw, (9, 10, 11, 12, 13, 32))).sum()))
+
+
+def features(text: str) -> np.ndarray:
+    """The hashed n-gram numbers of a text, with repeats."""
+    raw = _letters(text)
     out, code = [], np.zeros(len(raw), np.uint32)
     for n in _ORDERS:
         code = code[: len(raw) - n + 1] * np.uint32(257) + raw[n - 1 :]
@@ -92,6 +118,8 @@ class Model:
     family_weights: np.ndarray
     pairs: dict[str, list[tuple[str, str]]] = field(default_factory=dict)
     pair_weights: dict[str, np.ndarray] = field(default_factory=dict)
+    trigrams: dict[str, np.ndarray] = field(default_factory=dict)
+    limits: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     @classmethod
     def fit(cls, texts: list[str], langs: list[str]) -> Model:
@@ -111,8 +139,27 @@ class Model:
             if pairs:
                 owns = [np.flatnonzero((lang == a) | (lang == b)) for a, b in pairs]
                 out.pair_weights[f] = np.stack([fit_svm([rows[i] for i in own], np.where(lang[own] == a, 1, -1)) for (a, _), own in zip(pairs, owns, strict=True)])
+        for x in known:
+            own = sorted({texts[i][:SAMPLE_CHARS] for i in np.flatnonzero(lang == x)})
+            if len(own) < LEAST_TEXTS:
+                continue
+            found = [trigrams(t) for t in own]
+            out.trigrams[x], times = np.unique(np.concatenate([g for g, _ in found]), return_counts=True)
+            covers = [float(n[times[np.searchsorted(out.trigrams[x], g)] > 1].sum() / n.sum()) for g, n in found]
+            low = (float(np.quantile(v, LOW_SHARE)) for v in (covers, [letter_share(t) for t in own]))
+            out.limits[x] = (COVER_PART * next(low), LETTER_PART * next(low))
         return out
 
+    def belongs(self, text: str, lang: str) -> bool:
+        """Whether a text predicted as lang reaches the limits of lang."""
+        if lang not in self.limits:
+            return True
+        cover, letters = self.limits[lang]
+        grams, n = trigrams(text)
+        known = self.trigrams[lang]
+        at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+        return bool(n[known[at] == grams].sum() >= cover * n.sum() and letter_share(text) >= letters)
+
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): the score is the logistic of the winning family's lead times that of the winning language's."""
         if text is None or not self.languages or not any(map(str.isalpha, text)):
@@ -195,7 +242,8 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
 def keep_determined(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, text: str = "text") -> DataFrame:
     """The rows of docs whose language the model can tell, all columns unchanged; the model learns as in identify().
 
-    Only texts that are "und" go: null ones and ones without a letter.
+    Texts that are "und" go (null ones and ones without a letter), and those that miss the limits of the language they are
+    predicted as: texts in languages that were not learned, gibberish, and single letters among digits or signs.
     """
     spark = docs.sparkSession
     share_code(spark)
@@ -206,7 +254,8 @@ def keep_determined(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGU
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = shared.value
         for batch in batches:
-            known = [here.predict(t.as_py())[0] != UNDETERMINED for t in batch.column(at)]
+            texts = batch.column(at).to_pylist()
+            known = [(lang := here.predict(t)[0]) != UNDETERMINED and here.belongs(t, lang) for t in texts]
             yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

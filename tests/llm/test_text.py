@@ -45,6 +45,20 @@ def test_languages(spark, docs_of):
     assert kept.columns == docs.columns and kept.count() == len(rows) - 3
 
 
+def test_texts_of_no_learned_language_are_rejected(spark, docs_of, tmp_path):
+    import corpus_pipeline as cp
+
+    stems = {"en": "the and with that from this there where", "de": "der und nicht eine wird schön werden", "fr": "les des avec pour être où dans"}
+    r = random.Random(6)
+    rows = [(k, " ".join(r.choice(stems[x].split()) for _ in range(40)), x) for k in range(240) for x in [list(stems)[k % 3]]]
+    clean = [(500, "With the.", None), (501, "DER UND NICHT; 12 der schön", None), (502, "les des 1999 avec", None)]
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan"
+    planted = [(600, "Все люди рождаются свободными и равными", None), (601, finnish, None), (602, "人人生而自由,在尊严和权利上一律平等", None), (603, "".join(r.choice("bcdfgjkmpqvxz") for _ in range(80)), None), (604, "7 8213 99 a 1202 9987 16", None)]
+    stage = dict(cp.STAGES)["language_id"]
+    kept = {x.doc_id for x in stage(spark, docs_of(rows + clean + planted), str(tmp_path)).collect()}
+    assert kept == {x[0] for x in rows + clean}
+
+
 def test_languages_without_anything_to_learn(docs_of):
     assert [x.lang_pred for x in language_id.identify(docs_of([(0, "some text"), (2, "more", None)])).collect()] == ["und", "und"]
     assert language_id.identify(docs_of([(0, "a", "en")]).where("false")).count() == 0
