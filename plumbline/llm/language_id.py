@@ -41,6 +41,7 @@ FAMILIES = {
 UNDETERMINED = "und"
 SAMPLE_PER_LANGUAGE = 600
 SAMPLE_CHARS = 20_000
+MOST_LANGUAGES = 256
 DIMENSION = 1 << 17
 LOW_SHARE = 0.05
 LEAST_TEXTS = 20
@@ -51,6 +52,10 @@ _LETTER = np.array([chr(b).isascii() and chr(b).isalpha() or b >= 128 for b in r
 _FOLD = np.array([b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalpha() else 32 for b in range(256)], np.uint8)
 
 
+def has_letters(text: str | None) -> bool:
+    return text is not None and any(map(str.isalpha, text))
+
+
 def family_of(lang: str) -> str:
     return next((f for f, langs in FAMILIES.items() if lang in langs.split()), lang)
 
@@ -162,7 +167,7 @@ class Model:
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): the score is the logistic of the winning family's lead times that of the winning language's."""
-        if text is None or not self.languages or not any(map(str.isalpha, text)):
+        if not self.languages or not has_letters(text):
             return UNDETERMINED, 0.0
         counts = np.bincount(features(text), minlength=DIMENSION)
         ids = np.flatnonzero(counts)
@@ -195,9 +200,14 @@ def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3))
 
 
-def sample(rows: DataFrame, per_language: int) -> list[tuple[str, str]]:
-    """At most per_language texts of each language, chosen by a hash of the text; a bounded result."""
-    langs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(256).collect()}
+def sample(rows: DataFrame, per_language: int, most_languages: int = MOST_LANGUAGES) -> list[tuple[str, str]]:
+    """At most per_language texts of each language, chosen by a hash of the text; a bounded result.
+
+    More than most_languages languages raise a ValueError: none is left out unseen.
+    """
+    langs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    if len(langs) > most_languages:
+        raise ValueError(f"more than {most_languages} languages to learn; raise most_languages if the driver has the memory for their models")
     if not langs:
         return []
     share = F.create_map(*[x for k, n in langs.items() for x in (F.lit(k), F.lit(min(1.0, 1.25 * per_language / n)))])
@@ -213,10 +223,10 @@ def sample(rows: DataFrame, per_language: int) -> list[tuple[str, str]]:
     return sorted(out)
 
 
-def fit(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, text: str = "text", lang: str = "lang") -> Model:
-    """A model from the rows of docs with a language and a text that has letters."""
+def fit(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, text: str = "text", lang: str = "lang", most_languages: int = MOST_LANGUAGES) -> Model:
+    """A model from the rows of docs with a language and a text that has letters; see sample() for most_languages."""
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where(r"lang is not null and text rlike '\\p{L}'")
-    chosen = sample(rows, sample_per_language)
+    chosen = sample(rows, sample_per_language, most_languages)
     return Model.fit([t for t, _ in chosen], [x for _, x in chosen])
 
 
@@ -239,33 +249,34 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
 
 
-def keep_determined(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, text: str = "text") -> DataFrame:
+def keep_determined(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, text: str = "text", most_languages: int = MOST_LANGUAGES) -> DataFrame:
     """The rows of docs whose language the model can tell, all columns unchanged; the model learns as in identify().
 
     Texts that are "und" go (null ones and ones without a letter), and those that miss the limits of the language they are
-    predicted as: texts in languages that were not learned, gibberish, and single letters among digits or signs.
+    predicted as: texts in languages that were not learned, gibberish, and single letters among digits or signs. If nothing
+    could be learned, all texts with letters stay.
     """
     spark = docs.sparkSession
     share_code(spark)
     learned = docs.where(F.coalesce(remainder(F.col("doc_id")), F.lit(0)) != 1)
-    shared = spark.sparkContext.broadcast(fit(learned, sample_per_language, text))
+    shared = spark.sparkContext.broadcast(fit(learned, sample_per_language, text, most_languages=most_languages))
     at = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         here = shared.value
         for batch in batches:
-            texts = batch.column(at).to_pylist()
-            known = [(lang := here.predict(t)[0]) != UNDETERMINED and here.belongs(t, lang) for t in texts]
+            texts = (t.as_py() for t in batch.column(at))
+            known = [has_letters(t) and (not here.languages or here.belongs(t, here.predict(t)[0])) for t in texts]
             yield batch.filter(pa.array(known, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
 
-def identify(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE) -> DataFrame:
+def identify(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, most_languages: int = MOST_LANGUAGES) -> DataFrame:
     """One row per document: doc_id, held_out, lang_pred, score; learned from documents that are not held out.
 
     held_out: crc32(doc_id as text) mod 3 is 1 (false for a null doc_id).
     """
     learned = docs.where(F.coalesce(remainder(F.col("doc_id")), F.lit(0)) != 1)
-    out = predict(docs, fit(learned, sample_per_language))
+    out = predict(docs, fit(learned, sample_per_language, most_languages=most_languages))
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")

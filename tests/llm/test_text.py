@@ -66,6 +66,15 @@ def test_languages_without_anything_to_learn(docs_of):
     assert {x.lang_pred for x in one} == {"xx"}
 
 
+def test_nothing_to_learn_keeps_texts_and_too_many_languages_raise(docs_of):
+    kept = language_id.keep_determined(docs_of([(0, "some text"), (2, "more", None), (3, "12 !"), (4, None), (6, "777", "en")])).collect()
+    assert sorted(x.doc_id for x in kept) == [0, 2]
+    docs = docs_of([(k, "some text", f"l{k % 3}") for k in range(30)])
+    assert len(language_id.fit(docs, most_languages=3).languages) == 3
+    with pytest.raises(ValueError, match="most_languages"):
+        language_id.fit(docs, most_languages=2)
+
+
 def test_languages_held_out_accuracy(spark):
     sf = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "lang")
