@@ -1,22 +1,29 @@
 """Exact duplicates by two-pass Bloom filtering, with DataFrame functions only.
 
 Pass 1 sets two slots per text digest in a filter that remembers which slots were set more than once; pass 2 probes it. A
-row with a slot that was set once has no equal: it passes straight through, without a shuffle. Only the remaining rows
-shuffle, on their full SHA-256, which decides; a false positive costs a shuffled row and changes no result.
+row with a slot that was set once has no equal: it passes straight through. Only the remaining rows shuffle, on their full
+SHA-256, which decides; a false positive costs a shuffled row and changes no result.
 
-The filter has about 16 slots a row and is a table of 4 KB bitmaps by bucket. Up to FILTER_BITS slots (32 MB) it is
-broadcast; a larger one is joined by its bucket over narrow rows (row key and digest, never the text).
+The filter is blocked: both slots of a digest lie in the same block of BLOCK slots, so that one lookup answers for both.
+About 16 slots a row are planned. Pass 1 moves slot numbers, never rows: each task counts the slots that it sets, so that a hot
+text is two slot numbers a task, and the repeated ones become bitmaps of 4 KB a block. (Bitmaps merged over tasks would move more:
+each task's would be as large as the whole filter, two bytes a row of the table and task.)
+
+Filters of up to FILTER_BITS slots are broadcast, at most FILTER_BITS / 8 bytes, and pass 2 moves nothing. A larger filter has
+no size bound, so it is not broadcast: there the rows' digests (never their texts) meet their block in one join.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.session import materialize
 
-FILTER_BITS = 1 << 28
-BUCKET = 32768
+FILTER_BITS = 1 << 29
+BLOCK = 32768
 
 
 def normalised(text: Column) -> Column:
@@ -24,21 +31,28 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"[\x20\x09-\x0D]+", " ")
 
 
-def _slots(digest: Column, bits: int) -> list[Column]:
-    return [F.pmod(F.xxhash64(digest, F.lit(k)), F.lit(bits)) for k in (1, 2)]
+def _block(digest: Column, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(digest), F.lit(blocks))
+
+
+def _slots(digest: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(digest, F.lit(k)), F.lit(BLOCK)).cast("int") for k in (1, 2)]
 
 
 def _bit(bitmap: Column, slot: Column) -> Column:
-    at = F.pmod(slot, F.lit(BUCKET))
-    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")), F.lit(0)) == 1
+    byte = F.conv(F.hex(F.substring(bitmap, (F.floor(slot / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    return F.coalesce(F.getbit(byte, F.pmod(slot, F.lit(8))), F.lit(0)) == 1
 
 
-def repeated_slots(rows: DataFrame, bits: int) -> DataFrame:
-    """(bucket, bitmap): the slots that were set at least twice."""
-    slots = rows.select(F.explode(F.array(*_slots(F.col("text_sha256"), bits))).alias("slot"))
-    often = slots.groupBy("slot").count().where("count > 1")
-    return often.groupBy(F.floor(F.col("slot") / BUCKET).alias("bucket")).agg(F.expr(f"bitmap_construct_agg(pmod(slot, {BUCKET}))").alias("bitmap"))
+def repeated_slots(rows: DataFrame, blocks: int) -> DataFrame:
+    """(block, bitmap): the slots that were set at least twice; blocks without any are left out."""
+    digest = F.col("text_sha256")
+    first, second = _slots(digest)
+    # the two slots of one row may coincide, which is no repetition
+    slots = F.array_compact(F.array(first, F.when(second != first, second)))
+    set_ = rows.select(_block(digest, blocks).alias("block"), F.explode(slots).alias("slot"))
+    often = set_.groupBy("block", "slot").agg(F.count("*").alias("n")).where("n > 1")
+    return often.groupBy("block").agg(F.expr("bitmap_construct_agg(slot)").alias("bitmap"))
 
 
 def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -50,23 +64,19 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     """
     digests = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.sha2(normalised(F.col(text)), 256).alias("text_sha256"))
     rows = materialize(digests, "digests")
-    count = rows.count()
-    bits = 1 << 15
-    while bits < 16 * count:
-        bits *= 2
-    bitmaps = materialize(repeated_slots(rows, bits), "filter")
-    probed = rows
-    for k, slot in enumerate(_slots(F.col("text_sha256"), bits)):
-        side = bitmaps.select(F.col("bucket").alias(f"bucket{k}"), F.col("bitmap").alias(f"bitmap{k}"))
-        if bits <= filter_bits:
-            side = F.broadcast(side)
-        probed = probed.withColumn(f"bucket{k}", F.floor(slot / BUCKET)).join(side, f"bucket{k}", "left")
-        probed = probed.withColumn(f"twice{k}", F.coalesce(_bit(F.col(f"bitmap{k}"), slot), F.lit(False))).drop(f"bucket{k}", f"bitmap{k}")
-    # the flags are few bytes a row; keeping them spares a second probe
-    probed = materialize(probed.select("doc_id", "text_sha256", (F.col("twice0") & F.col("twice1")).alias("maybe")), "probed")
+    blocks = max(1, math.ceil(16 * rows.count() / BLOCK))
+    side = materialize(repeated_slots(rows, blocks), "filter")
+    if blocks * BLOCK <= filter_bits:
+        side = F.broadcast(side)
+    digest = F.col("text_sha256")
+    probed = rows.withColumn("block", _block(digest, blocks)).join(side, "block", "left")
+    first, second = _slots(digest)
+    # the flag is a byte a row; keeping it spares a second probe
+    probed = materialize(probed.select("doc_id", "text_sha256", F.coalesce(_bit(F.col("bitmap"), first) & _bit(F.col("bitmap"), second), F.lit(False)).alias("maybe")), "probed")
     alone = probed.where("not maybe").select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "text_sha256")
     maybe = probed.where("maybe").select("doc_id", "text_sha256")
     groups = maybe.groupBy("text_sha256").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = materialize(groups, "groups")  # apart from the join, so that a hot digest's rows can be split there
     both = maybe.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", "text_sha256")
     out = alone.unionByName(both)
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
