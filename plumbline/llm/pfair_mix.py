@@ -1,88 +1,94 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
 
-Each source's documents form blocks. Block j (from 0) of a source with weight w may not start before slot floor(j / w) and
-must be placed before slot ceil((j + 1) / w); every slot takes, of the blocks released by then, the one with the earliest
-deadline. While no source has run out, each source's share of the first t slots then differs from w * t by less than one
-block at every t.
-
-Weights are whole numbers of a common total, so the schedule repeats after that total. The driver computes one period for
-each set of sources that still have blocks (plain integers, bounded by total weight and number of sources, never by
-rows); rows find their slot by joins on that table. When a source runs out, a new period starts with the other sources'
-weights, so that every document is placed.
+Each source's documents form blocks. Block j (from 0) of a source with weight w (a share of all slots) may not start before slot
+floor(j / w) and must be placed before slot ceil((j + 1) / w). While no source has run out, each source's share of the first t
+slots then differs from w * t by less than one block at every t. Weights are exact fractions, never rounded.
+
+A schedule of t slots cannot be simulated slot by slot on one machine, so it is found by halving. At any slot m, a source
+has placed floor(w * m) blocks or one more (never if w * m is whole); how many have one more is known, as all blocks add up to m. Between two slots whose
+counts are settled, the counts at the middle are: one more where the count before the middle already demands it, never where the
+count after it forbids it, and for the rest in the order of earliest deadlines. By an exchange argument each interval so
+settled can still be filled by the earliest deadline first, so halving ends in single slots, each with the one source whose count
+rises there. Every level is one projection over rows that depend on nothing else; there are log2(t) levels.
+
+When a source has placed its last block, a new phase starts with the other sources' weights, so that every document is placed. Phases
+are settled on the driver, from the sizes and weights of the sources alone.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
+from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.session import materialize
 
 BLOCK = 32
-MAX_TOTAL = 4096
-MAX_SOURCES = 256
+MOST_SOURCES = 1024
 LEAST_CHUNK = 512
+#: Levels of halving before the intervals are dealt to tasks.
+SPREAD = 12
 
 
-def whole_weights(weights: dict[str, float], total: int = 1000) -> dict[str, int]:
-    """Whole weights for real ones, to 1/total by largest remainder, at least 1 each, without common factor."""
-    scale = sum(weights.values())
-    exact = {k: w * total / scale for k, w in weights.items() if w > 0}
-    out = {k: max(1, math.floor(x)) for k, x in exact.items()}
-    for k in sorted(exact, key=lambda k: (math.floor(exact[k]) - exact[k], k))[: max(0, total - sum(out.values()))]:
-        out[k] += 1
-    factor = math.gcd(*out.values()) if out else 1
+def whole_weights(weights: dict[str, float | Fraction]) -> dict[str, int]:
+    """Whole numbers in exactly the proportions of the weights; a float counts as the decimal number it is written as."""
+    exact = {k: w if isinstance(w, Fraction) else Fraction(str(w)) for k, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    out = {k: int(w * scale) for k, w in exact.items()}
+    factor = math.gcd(*out.values())
     return {k: w // factor for k, w in out.items()}
 
 
-def period(weights: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source's blocks in one period of sum(weights) slots: earliest deadline first among released."""
-    total = sum(weights.values())
-    release = sorted((j * total // w, -((-(j + 1) * total) // w), name) for name, w in weights.items() for j in range(w))
-    out: dict[str, list[int]] = {name: [] for name in weights}
-    ready: list[tuple[int, str]] = []
-    at = 0
-    for slot in range(total):
-        while at < len(release) and release[at][0] <= slot:
-            heapq.heappush(ready, release[at][1:])
-            at += 1
-        deadline, name = heapq.heappop(ready)
-        if deadline <= slot:
-            raise AssertionError("a deadline was missed; the weights do not add up to the period")
-        out[name].append(slot)
+def phases(blocks: list[int], weights: list[int]) -> list[tuple[int, int, list[int], list[int], list[int]]]:
+    """(first slot, slots, weights, blocks of each source before, blocks placed) of each phase; weights are 0 for sources that are done."""
+    left, done, first, out = list(blocks), [0] * len(blocks), 0, []
+    while any(left):
+        now = [w if n else 0 for w, n in zip(weights, left, strict=True)]
+        total = sum(now)
+        end = min(n * total // w for n, w in zip(left, now, strict=True) if w)
+        placed = [w * end // total for w in now]
+        # one more by earliest deadline; of equal ones, a source that is then done
+        order = sorted((-(-(b + 1) * total // w), b + 1 < n, i) for i, (b, n, w) in enumerate(zip(placed, left, now, strict=True)) if w * end % total)
+        for _, _, i in order[: end - sum(placed)]:
+            placed[i] += 1
+        out.append((first, end, now, list(done), placed))
+        first += end
+        left = [n - a for n, a in zip(left, placed, strict=True)]
+        done = [d + a for d, a in zip(done, placed, strict=True)]
     return out
 
 
-def schedule(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple[str, int, int, int, int, int, list[int]]]:
-    """Phases: (source, first block, end block, first slot, blocks and slots a period, slots of the blocks in a period)."""
-    left = {k: n for k, n in blocks.items() if n > 0}
-    first_slot, done, out = 0, dict.fromkeys(left, 0), []
-    while left:
-        now = {k: weights[k] for k in left}
-        factor = math.gcd(*now.values())
-        now = {k: w // factor for k, w in now.items()}
-        slots, total = period(now), sum(now.values())
-        ends = {k: (n - 1) // now[k] * total + slots[k][(n - 1) % now[k]] + 1 for k, n in left.items()}
-        length = min(ends.values())
-        for k, n in list(left.items()):
-            full, part = divmod(length, total)
-            used = full * now[k] + sum(s < part for s in slots[k])
-            if used:
-                out.append((k, done[k], done[k] + used, first_slot, now[k], total, slots[k]))
-            done[k] += used
-            left[k] -= used
-            if not left[k]:
-                del left[k]
-        first_slot += length
-    return out
-
-
-def _literal(rows: list[tuple]) -> Column:
-    quoted = lambda x: "array(" + ",".join(map(str, x)) + ")" if isinstance(x, list) else "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'" if isinstance(x, str) else f"{x}L"
-    return ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows)
+def slots(spark: SparkSession, blocks: list[int], weights: list[int]) -> DataFrame:
+    """(source, block, slot): where each block of each source (by its number) goes."""
+    rows = phases(blocks, weights)
+    if not rows:
+        return spark.range(0).selectExpr("0 source", "id block", "id slot")
+    longest = max(end for _, end, *_ in rows)
+    # products stay below twice slots * total; beyond 64 bits they are decimals
+    wide = longest * sum(weights) >= 1 << 61
+    number = "cast({} as decimal(19, 0))" if wide else "{}"
+    array = lambda xs: "array(" + ", ".join(f"{x}L" for x in xs) + ")"
+    zero = array([0] * len(blocks))
+    values = ", ".join(f"({first}L, {sum(now)}L, {array(now)}, {array(done)}, 0L, {end}L, {zero}, {array(placed)})" for first, end, now, done, placed in rows)
+    # one row a phase, at most one phase a source: bounded by MOST_SOURCES
+    cut = spark.sql(f"select * from values {values} as t(first, total, w, done, t0, t1, a0, a1)")
+    least = f"({number.format('x')} * m) div {number.format('total')}"
+    deadline = f"({number.format('b + 1')} * total + w[i] - 1) div {number.format('w[i]')}"
+    whole = f"{number.format('w[i]')} * m = {number.format('b')} * total"
+    kind = f"case when a1[i] <= b or {whole} then {2**63 - 1}L when a0[i] > b then 0L else {deadline} end"
+    for level in range(max(1, (longest - 1).bit_length())):
+        if level == SPREAD:
+            cut = cut.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        cut = cut.selectExpr("*", "(t0 + t1) div 2 m").selectExpr("*", f"transform(w, x -> {least}) base")
+        cut = cut.selectExpr("*", f"transform(base, (b, i) -> struct({kind} as deadline, i)) keys", "cast(m - aggregate(base, 0L, (s, x) -> s + x) as int) more")
+        cut = cut.selectExpr("*", "get(array_sort(keys), more - 1) as last")
+        cut = cut.selectExpr("*", "transform(base, (b, i) -> if(more > 0 and keys[i] <= last, b + 1, b)) am")
+        both = "array(struct(t0, m as t1, a0, am as a1), struct(m as t0, t1, am as a0, a1))"
+        cut = cut.selectExpr("first", "total", "w", "done", f"explode(if(t1 - t0 > 1, {both}, array(struct(t0, t1, a0, a1)))) part").selectExpr("first", "total", "w", "done", "part.*")
+    risen = cut.selectExpr("first + t0 slot", "done", "a0", "array_position(zip_with(a0, a1, (x, y) -> y - x), 1L) - 1 source")
+    return risen.selectExpr("cast(source as int) source", "done[cast(source as int)] + a0[cast(source as int)] block", "slot")
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, doc_id: str = "doc_id", source: str = "source", chunk_rows: int | None = None) -> DataFrame:
@@ -93,10 +99,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     without a weight gets the mean weight, a weight of 0 or less is refused.
 
     Defined results: a null source is a source of its own (named in weights as ""; an empty source name shares it);
-    null doc_ids and repeated rows are placed like others, in an arbitrary but repeatable order among equal ids; other
-    columns are ignored; no rows give no rows. More than MAX_SOURCES sources are refused.
+    null doc_ids and repeated rows are placed like others, in an arbitrary order among equal ids; other
+    columns are ignored (those of rows without a doc_id decide their order); no rows give no rows. More than MOST_SOURCES
+    sources raise a ValueError, as do weights that are not positive.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), _hash(docs, doc_id).alias("hash"))
     return _placed(materialize(rows, "mix"), [], weights, block, chunk_rows)
 
 
@@ -104,7 +111,7 @@ def mixed(docs: DataFrame, weights: dict[str, float] | None = None, block: int =
     """The rows of docs in the order of the mix, all columns unchanged: sorted over partitions and files, so that rows come in
     mix order when they are read by file and row number.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(source).cast("string").alias("source"), F.struct(*docs.columns).alias("row"), _hash(docs, doc_id).alias("hash"))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = _placed(rows, ["row"], weights, block, chunk_rows)
     return placed.repartitionByRange(n, "position").sortWithinPartitions("position").select("row.*")
@@ -114,29 +121,37 @@ def _placed(rows: DataFrame, carry: list[str], weights: dict[str, float] | None,
     spark = rows.sparkSession
     if weights and min(weights.values()) <= 0:
         raise ValueError("weights must be positive")
-    rows = rows.withColumn("name", F.coalesce("source", F.lit(""))).withColumn("hash", F.xxhash64("doc_id", F.lit(11)))
-    sizes = {r["name"]: r["n"] for r in rows.groupBy("name").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    mean = sum(weights.values()) / len(weights) if weights else 1.0
-    whole = whole_weights({k: (weights or {}).get(k, mean) for k in sizes}, min(MAX_TOTAL, 1000))
-    phases = schedule({k: math.ceil(n / block) for k, n in sizes.items()}, whole)
+    rows = rows.withColumn("name", F.coalesce("source", F.lit("")))
+    sizes = {r["name"]: r["n"] for r in rows.groupBy("name").agg(F.count("*").alias("n")).limit(MOST_SOURCES + 1).collect()}
+    if len(sizes) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources")
+    if not sizes:
+        return rows.selectExpr("doc_id", "source", "0L block", "0L slot", "0L position", *carry)
+    names = sorted(sizes)
+    given = {k: w if isinstance(w, Fraction) else Fraction(str(w)) for k, w in (weights or {}).items()}
+    mean = sum(given.values()) / len(given) if given else Fraction(1)
+    whole = whole_weights({k: given.get(k, mean) for k in names})
+    placed = slots(spark, [-(-sizes[k] // block) for k in names], [whole[k] for k in names])
 
     # rank within a source: chunks by hash range, then offsets of chunks
-    most = max(sizes.values(), default=1)
+    most = max(sizes.values())
     # as many chunks as rows in a chunk: both stay small for any source
     chunks = max(1, math.ceil(most / (chunk_rows or max(LEAST_CHUNK, math.isqrt(most)))))
     rows = rows.withColumn("chunk", F.pmod(F.shiftrightunsigned("hash", 16), F.lit(chunks)))
     offsets = rows.groupBy("name", "chunk").agg(F.count("*").alias("n"))
-    offsets = offsets.selectExpr("name", "chunk", "sum(n) over (partition by name order by chunk rows between unbounded preceding and 1 preceding) before")
+    offsets = offsets.selectExpr("name", "chunk", "n", "coalesce(sum(n) over (partition by name order by chunk rows between unbounded preceding and 1 preceding), 0) before")
+    # a chunk learns the slots of its blocks as one array, so that only counts and block numbers move, and rows no more than once
+    number = F.array_position(F.array(*map(F.lit, names)), F.col("name")).cast("int") - 1
+    inside = offsets.select("name", "chunk", "before", number.alias("source"), F.explode(F.sequence(F.floor(F.col("before") / block), F.floor((F.col("before") + F.col("n") - 1) / block))).alias("block"))
+    inside = inside.join(placed, ["source", "block"]).groupBy("name", "chunk", "before").agg(F.array_sort(F.collect_list(F.struct("block", "slot"))).alias("slots"))
     ranked = rows.selectExpr("*", "row_number() over (partition by name, chunk order by hash, doc_id) - 1 place")
-    ranked = ranked.join(offsets, ["name", "chunk"]).withColumn("rank", F.col("place") + F.coalesce("before", F.lit(0)))
-    ranked = ranked.withColumn("block", F.floor(F.col("rank") / block))
-    if not phases:
-        return ranked.selectExpr("doc_id", "source", "block", "0L slot", "0L position", *carry)
-    table = spark.sql(f"select * from values {_literal(phases)} as t(source_name, from_block, to_block, first_slot, per_blocks, per_slots, slots)")
-    # at most one row a source and phase, each with one period: bounded by MAX_SOURCES and MAX_TOTAL
-    here = (F.col("name") == F.col("source_name")) & (F.col("block") >= F.col("from_block")) & (F.col("block") < F.col("to_block"))
-    out = ranked.join(F.broadcast(table), here)
-    out = out.withColumn("slot", F.expr("first_slot + (block - from_block) div per_blocks * per_slots + slots[cast(pmod(block - from_block, per_blocks) as int)]"))
-    return out.select("doc_id", "source", "block", "slot", (F.col("slot") * block + F.pmod("rank", F.lit(block))).alias("position"), *carry)
+    ranked = ranked.join(inside, ["name", "chunk"]).withColumn("rank", F.col("place") + F.col("before"))
+    ranked = ranked.withColumn("block", F.floor(F.col("rank") / block)).withColumn("slot", F.get("slots", (F.col("block") - F.floor(F.col("before") / block)).cast("int"))["slot"])
+    return ranked.select("doc_id", "source", "block", "slot", (F.col("slot") * block + F.pmod("rank", F.lit(block))).alias("position"), *carry)
+
+
+def _hash(docs: DataFrame, doc_id: str) -> Column:
+    """A hash that deals a source's rows out; rows without a doc_id go by all they hold, so that they are no hot key."""
+    plain = [F.col(f"`{f.name}`") for f in docs.schema.fields if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    key = F.col(doc_id).cast("long")
+    return F.when(key.isNull(), F.xxhash64(F.lit(11), *plain)).otherwise(F.xxhash64(key, F.lit(11)))
