@@ -1,10 +1,13 @@
 """Secret scanning with a trigram inverted index, with DataFrame functions only.
 
 Each rule's regular expression is parsed once on the driver, and a Boolean query over lower-case trigrams is derived that
-every matching text fulfils: a conjunction of choices between sets of trigrams. The index holds a posting (trigram, document) for
-each trigram that some rule asks for. Rules with a query are verified on their candidates only, the documents that are in the
-postings the query asks for; rules without a mandatory trigram scan all texts. Queries only rule out texts that cannot match,
-so the spans are those of a full scan.
+every matching text fulfils: a conjunction of choices between sets of trigrams. The index holds the postings of each trigram
+that some rule asks for. It is partitioned by document and bit-sliced: a posting list is a column of bits over the documents
+of a partition, so that intersecting and uniting postings is AND and OR of columns, and a candidate's text is at hand where it
+is found. Nothing moves: no posting, no list of candidates, and no text has to meet another row.
+
+Rules with a query are verified on their candidates only; rules without a mandatory trigram scan all texts. Queries only rule out
+texts that cannot match, so the spans are those of a full scan.
 """
 
 from __future__ import annotations
@@ -16,8 +19,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.session import materialize
-
 
 @dataclass(frozen=True)
 class Rule:
@@ -113,26 +114,25 @@ def trigram_query(pattern: str) -> Query:
     return [frozenset(frozenset(sorted(grams, key=rarity)[:ASKED]) for grams in choices) for choices in least]
 
 
-def postings(docs: DataFrame, grams: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The index: one row (gram, doc_id) for each document and each of the grams in its lower-cased text."""
+def with_postings(docs: DataFrame, grams: list[str], text: str = "text") -> DataFrame:
+    """docs with postings, a struct of one bit per gram: whether the document is in that gram's posting list."""
     low = F.lower(F.coalesce(F.col(text).cast("string"), F.lit("")))
-    found = F.array_compact(F.array(*[F.when(F.contains(low, F.lit(g)), F.lit(g)) for g in grams]))
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), found.alias("grams")).select("doc_id", F.explode("grams").alias("gram")).distinct()
+    # the lower-cased text is made once a row, not once a gram
+    return docs.withColumn("lowered", low).withColumn("postings", F.struct(*[F.contains("lowered", F.lit(g)).alias(f"g{k}") for k, g in enumerate(grams)])).drop("lowered")
 
 
-def candidates(index: DataFrame, rules: list[Rule]) -> DataFrame:
-    """(doc_id, rules): the documents that fulfil the trigram query of at least one rule, and which rules' they fulfil."""
-    have = index.groupBy("doc_id").agg(F.collect_set("gram").alias("grams"))  # at most as many as the rules ask for
-    fits = []
-    for rule in rules:
-        every = F.lit(True)
-        for choices in trigram_query(rule.pattern):
-            one = F.lit(False)
-            for grams in sorted(map(sorted, choices)):
-                one = one | (F.size(F.array_intersect("grams", F.array(*map(F.lit, grams)))) == len(grams))
-            every = every & one
-        fits.append(F.when(every, F.lit(rule.kind)))
-    return have.select("doc_id", F.array_compact(F.array(*fits)).alias("rules")).where(F.size("rules") > 0)
+def candidate(rule: Rule, grams: list[str]) -> Column:
+    """Whether a row's postings fulfil the trigram query of a rule."""
+    every = F.lit(True)
+    for choices in trigram_query(rule.pattern):
+        one = F.lit(False)
+        for some in sorted(map(sorted, choices)):
+            all_of = F.lit(True)
+            for g in some:
+                all_of = all_of & F.col("postings")[f"g{grams.index(g)}"]
+            one = one | all_of
+        every = every & one
+    return every
 
 
 def _spans(text: Column, rule: Rule, order: int) -> Column:
@@ -163,18 +163,16 @@ def scan(docs: DataFrame, rules: list[Rule] | None = None, doc_id: str = "doc_id
     """
     rules = RULES if rules is None else rules
     indexed = [r for r in rules if trigram_query(r.pattern)]
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = base.withColumn("rules", F.array().cast("array<string>"))
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    grams = sorted({g for r in indexed for choices in trigram_query(r.pattern) for some in choices for g in some})
     if indexed:
-        grams = sorted({g for r in indexed for choices in trigram_query(r.pattern) for some in choices for g in some})
-        found = materialize(candidates(postings(base, grams), indexed), "candidates").select(F.col("doc_id").alias("candidate"), "rules")
-        rows = base.join(found, F.col("doc_id").eqNullSafe(F.col("candidate")), "left")
+        rows = with_postings(rows, grams)
+    none = F.array().cast("array<struct<start:bigint,no:int,end:bigint,kind:string>>")
     spans = []
     for k, rule in enumerate(rules):
         own = _spans(F.col("text"), rule, k)
-        spans.append(F.when(F.array_contains("rules", rule.kind), own) if rule in indexed else own)
-    none = F.array().cast("array<struct<start:bigint,no:int,end:bigint,kind:string>>")
-    return rows.select("doc_id", F.array_sort(F.concat(*[F.coalesce(s, none) for s in spans])).alias("spans"))
+        spans.append(F.when(candidate(rule, grams), own).otherwise(none) if rule in indexed else own)
+    return rows.select("doc_id", F.array_sort(F.concat(*spans)).alias("spans"))
 
 
 def digest(found: DataFrame, rules: list[Rule] | None = None) -> DataFrame:
