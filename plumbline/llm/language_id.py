@@ -4,9 +4,9 @@ Features are byte n-grams of the lower-cased letters of a text (digits, punctuat
 table; each weighs its count over the square root of the sum of squares. The family is the argmax of one-versus-rest SVMs over
 families; inside a family, each pair of languages has an SVM of its own and the pair votes decide, ties by summed margins.
 
-Models are fitted on the driver from a bounded sample (at most sample_per_language texts a language, of which at most
-SAMPLE_CHARS code points each are looked at in fitting; predictions read whole texts). Weights go to executors in the
-task's closure: DIMENSION floats for each family and pair, whatever the corpus size.
+Models are fitted on the driver from a bounded sample: at most sample_per_language different texts a language, those of the smallest
+text hashes. Executors make the features of these, from whole texts, so that the driver holds at most DIMENSION numbers a sampled
+text and never a text. Weights are broadcast: DIMENSION floats for each family and pair, whatever the corpus size.
 
 An SVM names one of the learned languages for any text. Whether the text is of that language is decided apart, by two shares:
 of its letter trigrams, those that the sample of the language has, and of its bytes that are not white space, those of letters.
@@ -40,7 +40,6 @@ FAMILIES = {
 }
 UNDETERMINED = "und"
 SAMPLE_PER_LANGUAGE = 600
-SAMPLE_CHARS = 20_000
 MOST_LANGUAGES = 256
 DIMENSION = 1 << 17
 LOW_SHARE = 0.05
@@ -116,6 +115,18 @@ def fit_svm(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, c: floa
     return w
 
 
+@dataclass
+class Sample:
+    """What fitting needs of one text: its vector, its letter trigrams with their numbers, and its share of letters."""
+
+    lang: str
+    ids: np.ndarray
+    values: np.ndarray
+    grams: np.ndarray
+    times: np.ndarray
+    letters: float
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -127,11 +138,11 @@ class Model:
     limits: dict[str, tuple[float, float]] = field(default_factory=dict)
 
     @classmethod
-    def fit(cls, texts: list[str], langs: list[str]) -> Model:
-        known = sorted(set(langs))
-        rows = [vector(t[:SAMPLE_CHARS]) for t in texts]
-        lang = np.array(langs, dtype=object)
-        family = np.array([family_of(x) for x in langs], dtype=object)
+    def fit(cls, sample: list[Sample]) -> Model:
+        known = sorted({x.lang for x in sample})
+        rows = [(x.ids, x.values) for x in sample]
+        lang = np.array([x.lang for x in sample], dtype=object)
+        family = np.array([family_of(x) for x in lang], dtype=object)
         families = sorted(set(family))
         if len(families) > 1:
             weights = np.stack([fit_svm(rows, np.where(family == f, 1, -1)) for f in families])
@@ -145,13 +156,12 @@ class Model:
                 owns = [np.flatnonzero((lang == a) | (lang == b)) for a, b in pairs]
                 out.pair_weights[f] = np.stack([fit_svm([rows[i] for i in own], np.where(lang[own] == a, 1, -1)) for (a, _), own in zip(pairs, owns, strict=True)])
         for x in known:
-            own = sorted({texts[i][:SAMPLE_CHARS] for i in np.flatnonzero(lang == x)})
+            own = [s for s in sample if s.lang == x]
             if len(own) < LEAST_TEXTS:
                 continue
-            found = [trigrams(t) for t in own]
-            out.trigrams[x], times = np.unique(np.concatenate([g for g, _ in found]), return_counts=True)
-            covers = [float(n[times[np.searchsorted(out.trigrams[x], g)] > 1].sum() / n.sum()) for g, n in found]
-            low = (float(np.quantile(v, LOW_SHARE)) for v in (covers, [letter_share(t) for t in own]))
+            out.trigrams[x], times = np.unique(np.concatenate([s.grams for s in own]), return_counts=True)
+            covers = [float(s.times[times[np.searchsorted(out.trigrams[x], s.grams)] > 1].sum() / s.times.sum()) for s in own]
+            low = (float(np.quantile(v, LOW_SHARE)) for v in (covers, [s.letters for s in own]))
             out.limits[x] = (COVER_PART * next(low), LETTER_PART * next(low))
         return out
 
@@ -200,34 +210,48 @@ def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3))
 
 
-def sample(rows: DataFrame, per_language: int, most_languages: int = MOST_LANGUAGES) -> list[tuple[str, str]]:
-    """At most per_language texts of each language, chosen by a hash of the text; a bounded result.
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["lang", "h", "ids", "vals", "grams", "times", "letters"]
+    for batch in batches:
+        for k in range(batch.num_rows):
+            text = batch.column(2)[k].as_py()
+            parts = [*vector(text), *trigrams(text)]
+            kinds = (pa.int32(), pa.float32(), pa.int32(), pa.int64())
+            lists = [pa.array([x], pa.list_(t)) for x, t in zip(parts, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), batch.column(1).slice(k, 1), *lists, pa.array([letter_share(text)])], names=names)
+
+
+def sample(rows: DataFrame, per_language: int, most_languages: int = MOST_LANGUAGES) -> list[Sample]:
+    """The per_language different texts of each language that have the smallest hashes; a bounded result, made from whole texts.
 
-    More than most_languages languages raise a ValueError: none is left out unseen.
+    Copies of a text count once, however many there are. More than most_languages languages raise a ValueError: none is left
+    out unseen.
     """
-    langs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(most_languages + 1).collect()}
+    share_code(rows.sparkSession)
+    rows = rows.select("lang", F.xxhash64("text").alias("h"), "text")
+    langs = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).limit(most_languages + 1).collect()}
     if len(langs) > most_languages:
         raise ValueError(f"more than {most_languages} languages to learn; raise most_languages if the driver has the memory for their models")
     if not langs:
         return []
-    share = F.create_map(*[x for k, n in langs.items() for x in (F.lit(k), F.lit(min(1.0, 1.25 * per_language / n)))])
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 20)) / (1 << 20)
-    chosen = rows.where(F.col("lang").isin(list(langs)) & (place < F.element_at(share, F.col("lang"))))
-    chosen = chosen.select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("text").alias("h"))
-    out: list[tuple[str, str]] = []
-    taken = dict.fromkeys(langs, 0)
-    for r in chosen.toLocalIterator():
-        if taken[r["lang"]] < per_language:
-            taken[r["lang"]] += 1
-            out.append((r["text"], r["lang"]))
-    return sorted(out)
+    # about 1.5 times as many as wanted lie below a language's limit, whatever its size
+    limits = {k: min((1 << 63) - 1, int((min(1.0, 1.5 * per_language / n) - 0.5) * (1 << 64))) for k, n in langs.items()}
+    limit = F.element_at(F.create_map(*[F.lit(x) for k, v in limits.items() for x in (k, v)]), F.col("lang"))
+    chosen = rows.where(F.col("h") <= limit).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    found = chosen.mapInArrow(_sampled, "lang string, h long, ids array<int>, vals array<float>, grams array<int>, times array<long>, letters double").toArrow()
+    made = [[c.to_numpy(zero_copy_only=False) for c in (found["ids"], found["vals"], found["grams"], found["times"])], found["letters"].to_pylist()]
+    taken, out = dict.fromkeys(langs, 0), []
+    for h, lang, k in sorted(zip(found["h"].to_pylist(), found["lang"].to_pylist(), range(found.num_rows), strict=True)):
+        if taken[lang] < per_language:
+            taken[lang] += 1
+            out.append(Sample(lang, *(np.asarray(c[k]) for c in made[0]), made[1][k]))
+    return out
 
 
 def fit(docs: DataFrame, sample_per_language: int = SAMPLE_PER_LANGUAGE, text: str = "text", lang: str = "lang", most_languages: int = MOST_LANGUAGES) -> Model:
     """A model from the rows of docs with a language and a text that has letters; see sample() for most_languages."""
     rows = docs.select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang")).where(r"lang is not null and text rlike '\\p{L}'")
-    chosen = sample(rows, sample_per_language, most_languages)
-    return Model.fit([t for t, _ in chosen], [x for _, x in chosen])
+    return Model.fit(sample(rows, sample_per_language, most_languages))
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
