@@ -2,8 +2,9 @@
 
 A seed is a fixed mask over consecutive words; its hash covers the words at the mask's ones only, so that a substituted
 word at a zero changes nothing. Masked hashes of the documents are joined with those of the benchmark items; a hit names
-a diagonal (document word minus item word), along which words are compared and the region around the hits is extended while
-it keeps enough identity.
+a diagonal (document word minus item word), along which words are compared and every long enough region with enough identity is an
+overlap. The masks are chosen so that none is missed: however a fifth of the words of a region of MIN_WORDS or more is substituted,
+one placement of one mask is untouched (enumerated in the tests). Shorter items have masks over their whole length.
 
 The benchmark is a stated query set: it is dealt into blocks of bounded size, and each block is broadcast and passed over
 all documents once. Its size decides the number of blocks, and never what is found.
@@ -21,21 +22,33 @@ from pyspark.sql import functions as F
 from plumbline.llm.words import PUNCTUATED, U, code_points, mix, utf8, word_hashes
 from plumbline.session import share_code
 
-#: Fixed masks; any two substitutions in 13 words leave at least one placement of one of them untouched in longer regions.
-MASKS = ("1101011", "11100101", "1011011")
+#: Masks for items of MIN_WORDS words or more. Found by trying all pairs of masks of five ones and up to nine places: however a fifth
+#: of any 12 or more words is substituted, one placement of one of them is untouched.
+MASKS = ("111011", "110100011")
 MIN_WORDS = 12
 IDENTITY = 0.8
 #: Code points of item texts in one broadcast block.
 BLOCK_CHARS = 8_000_000
+#: Pairs of runs that are looked at together.
+PORTION = 1 << 18
 _BITS = 22
 
 
+def masks_for(n: int) -> tuple[str, ...]:
+    """The masks of an item of n words: of one shorter than MIN_WORDS, every other word (or third, as many as leave one untouched
+    when a fifth is substituted), from each start."""
+    if n >= MIN_WORDS:
+        return MASKS
+    apart = n // 5 + 1
+    return tuple("".join("1" if k % apart == r else "0" for k in range(n)) for r in range(apart)) if n else ()
+
+
 def masked(words: np.ndarray, mask: str) -> np.ndarray:
     """The hash of each placement of a mask."""
     n = len(words) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, U)
-    out = np.full(n, U(int(mask, 2)))
+    out = np.full(n, U(int("1" + mask, 2)))
     for k, c in enumerate(mask):
         if c == "1":
             out = (out ^ words[k : k + n]) * U(0x9E3779B97F4A7C15)
@@ -43,61 +56,96 @@ def masked(words: np.ndarray, mask: str) -> np.ndarray:
     return mix(out)
 
 
+def _runs(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal hashes begin, and their lengths: a word that is repeated on and on is one run."""
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(h)))
+
+
+def _spread(first: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... (count[0] of them), then those of first[1], and so on."""
+    return np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+
+
 class Index:
     """The masked hashes of some items, sorted, with a bit table in front that most hashes of other texts do not pass."""
 
-    def __init__(self, items: list[tuple[int, str]], masks: tuple[str, ...] = MASKS):
-        self.masks, self.ids, self.words = masks, [i for i, _ in items], [word_hashes(t, PUNCTUATED)[0] for _, t in items]
-        hashes, owner, place = [], [], []
+    def __init__(self, items: list[tuple[int, str]]):
+        self.ids, self.words = [i for i, _ in items], [word_hashes(t, PUNCTUATED)[0] for _, t in items]
+        self.masks = sorted({m for n in {len(w) for w in self.words} for m in masks_for(n)})
+        rows: list[tuple[np.ndarray, ...]] = [(np.zeros(0, U), *(np.zeros(0, np.int64),) * 3)]
         for k, words in enumerate(self.words):
-            # an item shorter than every mask is looked for whole
-            own = [m for m in masks if len(m) <= len(words)] or (["1" * len(words)] if len(words) else [])
-            for m in own:
+            for m in masks_for(len(words)):
                 h = masked(words, m)
-                hashes.append(h)
-                owner.append(np.full(len(h), k))
-                place.append(np.arange(len(h)))
-        self.short = sorted({len(w) for w in self.words if 0 < len(w) < min(map(len, masks))})
-        h = np.concatenate(hashes) if hashes else np.zeros(0, U)
+                first, length = _runs(h)
+                rows.append((h[first], np.full(len(first), k), first, length))
+        h, owner, place, length = (np.concatenate(x) for x in zip(*rows, strict=True))
         order = np.argsort(h, kind="stable")
-        self.hashes = h[order]
-        self.owner = np.concatenate(owner)[order] if owner else np.zeros(0, int)
-        self.place = np.concatenate(place)[order] if place else np.zeros(0, int)
+        self.hashes, self.owner, self.place, self.length = h[order], owner[order], place[order], length[order]
         self.table = np.zeros(1 << _BITS, bool)
         self.table[(self.hashes >> U(64 - _BITS)).astype(np.int64)] = True
 
-    def diagonals(self, words: np.ndarray) -> np.ndarray:
-        """Rows (item, diagonal, first hit's word in the item), sorted."""
-        found = []
-        for m in [*self.masks, *("1" * n for n in self.short)]:
+    def diagonals(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(item, diagonal) of all hits, without repeats, sorted.
+
+        Runs meet as wholes and give a range of diagonals, and pairs of runs are expanded in portions, so that memory follows the
+        number of different diagonals and not that of hits.
+        """
+        keys = np.zeros(0, np.int64)
+        for m in self.masks:
             h = masked(words, m)
             at = np.flatnonzero(self.table[(h >> U(64 - _BITS)).astype(np.int64)])
             if not len(at):
                 continue
-            low, high = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-            n = high - low
-            if not n.sum():
-                continue
-            where = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-            doc = np.repeat(at, n)
-            found.append(np.stack([self.owner[where], doc - self.place[where], self.place[where]], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
-
-    def overlaps(self, words: np.ndarray, min_words: int, identity: float) -> list[tuple[int, int, int, int, int]]:
-        """(item number, first word in the text, end word, first word in the item, words that agree), the best region of each item."""
-        out = {}
-        hits = self.diagonals(words)
-        for k, diagonal in np.unique(hits[:, :2], axis=0):
+            first, length = _runs(h)
+            kept = self.table[(h[first] >> U(64 - _BITS)).astype(np.int64)]
+            first, length = first[kept], length[kept]
+            low, high = np.searchsorted(self.hashes, h[first], "left"), np.searchsorted(self.hashes, h[first], "right")
+            upto = np.cumsum(high - low)
+            a = 0
+            while a < len(first) and upto[-1]:
+                b = max(a + 1, int(np.searchsorted(upto, (upto[a - 1] if a else 0) + PORTION, "right")))
+                n = high[a:b] - low[a:b]
+                here, doc = _spread(low[a:b], n), np.repeat(np.arange(a, b), n)
+                least = first[doc] - self.place[here] - self.length[here] + 1
+                new = _spread((self.owner[here] << 40) + (1 << 39) + least, length[doc] + self.length[here] - 1)
+                keys = np.unique(np.concatenate([keys, new]))
+                a = b
+        return keys >> 40, (keys & ((1 << 40) - 1)) - (1 << 39)
+
+    def overlaps(self, words: np.ndarray, min_words: int, identity: float) -> list[tuple[int, int, int, int, int, int]]:
+        """(item number, first word in the text, end word, and of its longest region: first word in the item, words, words that agree).
+
+        Regions of one item that overlap in the text, on whatever diagonals, are one row.
+        """
+        found = []
+        for k, diagonal in zip(*(x.tolist() for x in self.diagonals(words)), strict=True):
             item = self.words[k]
             low, high = max(0, -diagonal), min(len(item), len(words) - diagonal)
-            same = item[low:high] == words[low + diagonal : high + diagonal]
-            region = best_region(same, identity)
-            if region is None:
-                continue
-            a, b, n = region
-            if b - a >= min(min_words, len(item)) and (k not in out or n > out[k][4]):
-                out[k] = (int(k), int(low + a + diagonal), int(low + b + diagonal), int(low + a), int(n))
-        return list(out.values())
+            for a, b, n in regions(item[low:high] == words[low + diagonal : high + diagonal], identity, min(min_words, len(item))):
+                found.append((k, low + a + diagonal, low + b + diagonal, low + a, b - a, n))
+        out: list[tuple[int, int, int, int, int, int]] = []
+        for row in sorted(found):
+            if out and out[-1][0] == row[0] and row[1] < out[-1][2]:
+                best = max(out[-1], row, key=lambda x: x[4])
+                out[-1] = (row[0], out[-1][1], max(out[-1][2], row[2]), *best[3:])
+            else:
+                out.append(row)
+        return out
+
+
+def regions(same: np.ndarray, identity: float, least: int) -> list[tuple[int, int, int]]:
+    """(begin, end, agreeing) of disjoint runs of at least least places: the longest one, then those before and after it."""
+    out, todo = [], [(0, len(same))]
+    while todo:
+        low, high = todo.pop()
+        if high - low < least or np.count_nonzero(same[low:high]) < identity * least - 1e-9:
+            continue
+        found = best_region(same[low:high], identity)
+        if found and found[1] - found[0] >= least:
+            out.append((low + found[0], low + found[1], found[2]))
+            todo += [(low, low + found[0]), (low + found[1], high)]
+    return out
 
 
 def best_region(same: np.ndarray, identity: float) -> tuple[int, int, int] | None:
@@ -130,7 +178,7 @@ def _search(index, min_words: int, identity: float):
                 found = here.overlaps(words, min_words, identity)
                 if found:
                     place = code_points(utf8(text))
-                    rows += [(doc, here.ids[k], int(place[start[a]]), int(place[end[b - 1]]), i, b - a, n) for k, a, b, i, n in found]
+                    rows += [(doc, here.ids[k], int(place[start[a]]), int(place[end[b - 1]]), i, n, same) for k, a, b, i, n, same in found]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=["doc_id", "item_id", "start", "end", "item_word", "n_words", "n_same"])
 
@@ -138,12 +186,12 @@ def _search(index, min_words: int, identity: float):
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY, block_chars: int = BLOCK_CHARS, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row per document and benchmark item that overlap: doc_id, item_id, start, end (code points in the document, end
-    exclusive), item_word (the first word in the item), n_words, n_same.
+    """One row per place of a document that overlaps with a benchmark item: doc_id, item_id, start, end (code points in the
+    document, end exclusive), item_word (the first word in the item), n_words, n_same.
 
-    An overlap is an aligned region of at least min_words words (or the whole item, if shorter) of which at least the share
-    identity agrees. Words are runs of letters and digits, in ASCII lower case. The longest region of each diagonal counts,
-    and of an item's diagonals the one with most agreeing words.
+    An overlap is an aligned region of at least min_words words (or the whole item, if shorter) that begins and ends with
+    agreement and of which at least the share identity agrees; none is missed if that is 0.8 or more. Words are runs of letters and digits, in ASCII lower case. All
+    regions count; those of an item that overlap in the document are one row, whose last three columns tell of the longest.
 
     Defined results: null and empty texts and items overlap with nothing; items with a null id are left out; a repeated
     item_id counts with each of its texts (one row each); rows with repeated or null doc_ids are searched each by itself;
