@@ -4,14 +4,21 @@ For a piece of text within which merges happen, the count at every byte prefix f
 token of a prefix is the one that ends there, whose predecessor is the last token of the prefix before it, and that the
 merge rules would not have merged otherwise; then count[i] = count[i - len(token)] + 1. Tables are kept per distinct
 piece. The counts at all prefixes of a text follow by adding the pieces' tables, so that truncation and budget questions
-are answered from the table, without encoding any prefix again.
+are answered from the tables, without encoding any prefix again, in time that follows the length of the text.
+
+Texts with characters outside SAFE are cut into pieces by the library's own pre-tokenizer, and special strings are taken out
+before as the library does. Cuts that change the last pieces have closed forms: white space at the end of a prefix is one
+piece from where it begins, and a contraction that is cut is an apostrophe and a letter.
 """
 
 from __future__ import annotations
 
 import functools
 import json
+import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,10 +53,18 @@ class PrefixCounter:
         # a token counts only if merges can make it: others of the vocabulary never come out of an encoding
         self.tokens = {plain[t] for t in made} | {bytes([b]) for b in range(256)}
         self.symbols, self.model = dict(enumerate(byte_symbols())), self.library.model
-        self.longest = max(map(len, self.tokens))
+        ends: dict[bytes, set[int]] = {}
+        for t in self.tokens:
+            if len(t) > 1:
+                ends.setdefault(t[-2:], set()).add(len(t))
+        #: The lengths of the tokens that end with two given bytes, longest first.
+        self.lengths = {k: (*sorted(v, reverse=True), 1) for k, v in ends.items()}
         self.follows: dict[tuple[bytes, bytes], bool] = {}
         self.pieces = Memo(lambda new: [self.table(p.encode()) for p in new])
         self.chunks = Memo(lambda new: [self.of_pieces(split(" " + c)) for c in new])
+        # white space by the library's own tables: it ends before a mark, and is neither letter nor digit
+        cut = self.library.pre_tokenizer.pre_tokenize_str
+        self.white = frozenset(c for c in map(chr, range(0x3001)) if (c.isspace() or unicodedata.category(c)[0] in "ZC") and len(cut(c + "!")) == 2 or c == " ")
 
     def may_follow(self, a: bytes, b: bytes) -> bool:
         found = self.follows.get((a, b))
@@ -64,8 +79,12 @@ class PrefixCounter:
     def table(self, raw: bytes) -> tuple[int, ...]:
         """The number of tokens of each prefix of a piece, from length 0 on."""
         count, last = [0], [b""]
+        one = (1,)
         for end in range(1, len(raw) + 1):
-            for start in range(max(0, end - self.longest), end):
+            for n in self.lengths.get(raw[max(0, end - 2) : end], one):
+                start = end - n
+                if start < 0:
+                    continue
                 token = raw[start:end]
                 # the longest token that ends here and is compatible with the encoding of what is before it
                 if token in self.tokens and self.may_follow(last[start], token):
@@ -76,50 +95,118 @@ class PrefixCounter:
                 raise AssertionError("a byte without a token")
         return tuple(count)
 
-    def count(self, text: str) -> int:
-        marked = any(m in text for m in self.marks)
-        parts = None if marked else chunks(text)
-        if parts is None:
-            found = None if marked else split(text)
-            return len(self.library.encode(text, add_special_tokens=False)) if found is None else self.of_pieces(found)
-        return self.of_pieces(split(parts.pop(0))) + sum(self.chunks.of(parts))
+    def tables(self, pieces: list[str]) -> list[tuple[int, ...]]:
+        """The tables of pieces; those of very long ones are not kept."""
+        if max(map(len, pieces), default=0) <= LONG:
+            return self.pieces.of(pieces)
+        short = iter(self.pieces.of([p for p in pieces if len(p) <= LONG]))
+        return [next(short) if len(p) <= LONG else self.table(p.encode()) for p in pieces]
 
     def of_pieces(self, pieces: list[str]) -> int:
-        return sum([table[-1] for table in self.pieces.of(pieces)])
+        return sum([table[-1] for table in self.tables(pieces)])
 
-    def prefix_counts(self, text: str) -> list[int]:
-        """The number of tokens of text[:k] for every k from 0 to its length, each as if encoded on its own.
+    def split(self, text: str) -> list[str]:
+        """The pieces of a text without special strings."""
+        found = split(text)
+        if found is None:
+            found = [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        return found
 
-        Cutting inside white space or a contraction can split the end anew; there the end is looked at from the last piece
-        boundary that no cut can move.
-        """
-        parts = None if any(m in text for m in self.marks) else split(text)
+    def parts(self, text: str) -> list[str]:
+        """The text cut around special strings: every second part is one."""
+        out, at = [], 0
+        while self.marks:
+            found = min(((k, -len(m)) for m in self.marks if (k := text.find(m, at)) >= 0), default=None)
+            if found is None:
+                break
+            out += [text[at : found[0]], text[found[0] : found[0] - found[1]]]
+            at = found[0] - found[1]
+        return [*out, text[at:]]
+
+    def count(self, text: str) -> int:
+        """The number of tokens of a text."""
+        if any(m in text for m in self.marks):
+            return sum(1 if k % 2 else self.count(p) for k, p in enumerate(self.parts(text)))
+        parts = chunks(text)
+        return self.of_pieces(self.split(text)) if parts is None else self.of_pieces(split(parts.pop(0))) + sum(self.chunks.of(parts))
+
+    def count_within(self, text: str, budget: int) -> tuple[int, int]:
+        """(tokens of the text, length of its longest prefix of at most budget tokens)."""
+        parts = None if any(m in text for m in self.marks) else chunks(text)
         if parts is None:
-            return [self.count_any(text[:k]) for k in range(len(text) + 1)]
-        out, before = [0], [(0, 0)]
-        at = 0
-        for p in parts:
-            done, table = before[-1][1], self.pieces.of([p])[0]
-            if p.isspace() or p[0] == "'":
-                back = before[max(0, len(before) - 2)]
-                for k in range(at + 1, at + len(p) + 1):
-                    out.append(back[1] + self.count(text[back[0] : k]))
-            else:
-                size = 0
-                for c in p:
-                    size += len(c.encode())
-                    out.append(done + table[size])
-            at += len(p)
-            before.append((at, done + table[-1]))  # of the whole pieces, which a cut inside white space joins otherwise
+            total = self.count(text)
+            return total, len(text) if total <= budget else self.longest_prefix(text, budget)
+        counts = [self.of_pieces(split(parts[0])), *self.chunks.of(parts[1:])]
+        total = sum(counts)
+        if total <= budget:
+            return total, len(text)
+        # the cut lies in or before the chunk that goes beyond the budget, and chunks are whole pieces
+        upto = bisect_right(list(accumulate(counts)), budget) + 1
+        return total, self.longest_prefix(" ".join(parts[:upto]), budget)
+
+    def _within(self, pieces: list[str], tables: list, done: list[int], k: int) -> list[int]:
+        """The counts of the prefixes that end inside or at the end of piece k; done has the tokens before each piece."""
+        piece, table, out = pieces[k], tables[k], []
+        if piece[0] == "'" and len(piece) == 3 and piece[1].isalpha():  # a contraction of two letters, or whole by itself
+            return [done[k] + 1, done[k] + 1 + self.of_pieces([piece[1]]), done[k] + table[-1]]
+        lead = next((n for n, c in enumerate(piece) if c not in self.white), len(piece))
+        if lead:  # white space at the end is one piece from where it begins
+            first = k
+            while first and all(c in self.white for c in pieces[first - 1]):
+                first -= 1
+            before = "".join(pieces[first:k])
+            run, size = self.tables([before + piece[:lead]])[0], len(before.encode())
+            for c in piece[:lead]:
+                size += len(c.encode())
+                out.append(done[first] + run[size])
+        size = len(piece[:lead].encode())
+        for c in piece[lead:]:
+            size += len(c.encode())
+            out.append(done[k] + table[size])
         return out
 
-    def count_any(self, text: str) -> int:
-        return len(self.library.encode(text, add_special_tokens=False))
+    def _plain(self, text: str) -> tuple[list[str], list[tuple[int, ...]], list[int]]:
+        pieces = self.split(text)
+        tables = self.tables(pieces)
+        return pieces, tables, list(accumulate((t[-1] for t in tables), initial=0))
+
+    def prefix_counts(self, text: str) -> list[int]:
+        """The number of tokens of text[:k] for every k from 0 to its length, each as if encoded on its own."""
+        out, base = [0], 0
+        parts = self.parts(text)
+        for at in range(0, len(parts), 2):
+            mark = parts[at + 1] if at + 1 < len(parts) else ""
+            # a special string that is cut is plain text after what stands before it
+            pieces, tables, done = self._plain(parts[at] + mark[:-1])
+            out += [base + n for k in range(len(pieces)) for n in self._within(pieces, tables, done, k)]
+            if mark:
+                base += self.count(parts[at]) + 1
+                out.append(base)
+        return out
 
     def longest_prefix(self, text: str, budget: int) -> int:
         """The largest k for which text[:k] has at most budget tokens."""
-        counts = self.prefix_counts(text)
-        return next(k for k in range(len(text), -1, -1) if counts[k] <= budget)
+        parts, at, base = self.parts(text), 0, 0
+        # plain parts and special strings that fit as wholes come first; counts never fall from one part's end to the next
+        for k in range(0, len(parts), 2):
+            mark = parts[k + 1] if k + 1 < len(parts) else ""
+            after = base + self.count(parts[k]) + bool(mark)
+            if after > budget or k + 2 >= len(parts):
+                break
+            at, base = at + len(parts[k]) + len(mark), after
+        pieces, tables, done = self._plain(parts[k] + mark[:-1])
+        ends = list(accumulate(map(len, pieces), initial=0))
+        # a prefix that ends in a piece has a token more than those before it, or before the white space that it ends
+        n = bisect_right(done, budget - base)
+        for i in range(min(n + 1, len(pieces) - 1), -1, -1):
+            fits = [j for j, c in enumerate(self._within(pieces, tables, done, i), 1) if base + c <= budget]
+            if fits:
+                return at + ends[i] + fits[-1]
+        return at
+
+
+#: Tables of longer pieces are not kept in memory.
+LONG = 512
 
 
 @functools.lru_cache(maxsize=2)  # a reused Python worker keeps its tables for its next tasks
@@ -128,7 +215,8 @@ def prefix_counter(path: str) -> PrefixCounter:
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_tokens, over_limit.
+    """One row per document: doc_id, n_bytes, n_tokens, over_limit, fits_chars (code points of the longest prefix of at most
+    limit tokens, from the prefix tables).
 
     Defined results: a null text is empty and has no tokens; rows with a repeated or null doc_id are counted each by itself;
     other columns are ignored; no rows give no rows.
@@ -138,12 +226,18 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, doc_id: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(path)
         for batch in batches:
-            counts = [counter.count(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
+            counts, fits = [], []
+            for t in batch.column(2):
+                n, k = counter.count_within(t.as_py(), limit)
+                counts.append(n)
+                fits.append(k)
+            over = [n > limit for n in counts]
+            columns = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(over, pa.bool_()), pa.array(fits, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars"])
 
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(whole).cast("long").alias("n_bytes"), whole.alias("text"))
-    return base.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long").withColumn("over_limit", F.col("n_tokens") > limit)
+    return base.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, fits_chars long")
 
 
 def truncate(docs: DataFrame, path: str, budget: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -159,10 +253,9 @@ def truncate(docs: DataFrame, path: str, budget: int, doc_id: str = "doc_id", te
         for batch in batches:
             texts, counts = [], []
             for t in batch.column(at).to_pylist():
-                table = counter.prefix_counts(t or "")
-                k = next(k for k in range(len(table) - 1, -1, -1) if table[k] <= budget)
+                k = counter.count_within(t or "", budget)[1]
                 texts.append(None if t is None else t[:k])
-                counts.append(table[k])
+                counts.append(counter.count((t or "")[:k]))
             columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*batch.schema.names, "n_tokens"])
 
