@@ -103,6 +103,7 @@ def test_secrets(docs_of):
     assert got == sorted((str(d), brute_secrets(t)) for d, t in rows)
     kinds = {s.kind for x in found for s in x.spans}
     assert {"github", "private_key"} <= kinds
+    assert secret_scan.scan(docs_of(rows).where("false")).count() == 0
     clean = secret_scan.redact(docs_of(rows))
     assert all("hunter22" not in (x.text or "") for x in clean.collect()) and clean.count() == len(rows)
 
@@ -131,6 +132,9 @@ def test_token_counts(docs_of, tokenizer, library):
     got = token_counts.token_counts(docs_of(rows, CLASHES), tokenizer, limit=10).collect()
     want = [(str(d), len((t or "").encode()), len(encode(library, t)), len(encode(library, t)) > 10) for d, t in rows]
     assert sorted((str(x.doc_id), x.n_bytes, x.n_tokens, x.over_limit) for x in got) == sorted(want)
+    texts = {str(d): t or "" for d, t in rows}
+    assert all(x.fits_chars == max(k for k in range(min(60, len(texts[str(x.doc_id)])) + 1) if len(encode(library, texts[str(x.doc_id)][:k])) <= 10) for x in got if len(texts[str(x.doc_id)]) <= 60)
+    assert token_counts.token_counts(docs_of(rows).where("false"), tokenizer).count() == token_counts.truncate(docs_of(rows).where("false"), tokenizer, 3).count() == 0
 
 
 @pytest.fixture(scope="module")
@@ -138,14 +142,38 @@ def counter(tokenizer):
     return token_counts.PrefixCounter(tokenizer)
 
 
-@settings(max_examples=150, deadline=None)
+@settings(max_examples=250, deadline=None)
 @example(text="\n\n0")
 @example(text="a  's'll \n \n x")
+@example(text="x <|endoftext|>  's<|endoftext|><|endof <|endoftext|")
+@example(text="a\x1c \x85b\u3000\u2028 !\u200b \xa0x'\u2019re")
+@example(text="日本 語  text\n\n 've 'v")
 @given(text=st.text(st.characters(codec="utf-8", exclude_categories=["Cs"]), max_size=30) | st.text("ab's d'll  \n1.,é", max_size=40))
 def test_counts_of_all_prefixes(counter, library, text):
     assert counter.prefix_counts(text) == [len(encode(library, text[:k])) for k in range(len(text) + 1)]
 
 
+@settings(max_examples=150, deadline=None)
+@given(text=st.text(st.characters(codec="utf-8", exclude_categories=["Cs"]), max_size=30) | st.text("ab's d'll  \n1.,é<|>", max_size=40) | st.just("a<|endoftext|>b  c <|endoftext|>"), budget=st.integers(0, 12))
+def test_longest_prefix_within_a_budget(counter, library, text, budget):
+    counts = [len(encode(library, text[:k])) for k in range(len(text) + 1)]
+    assert counter.count_within(text, budget) == (counts[-1], max(k for k, n in enumerate(counts) if n <= budget))
+
+
+@pytest.mark.parametrize("text", ["word " * 30_000, "人人生而自由在尊严和权利上一律平等" * 1000, " " * 20_000 + "x", "a" * 60_000, "\n \t" * 9000, "x<|endoftext|>" * 3000, "'re" * 20_000])
+def test_hostile_texts_are_counted_in_time_that_follows_their_length(counter, library, text):
+    import time
+
+    began = time.monotonic()
+    counts = counter.prefix_counts(text)
+    k = counter.count_within(text, 1024)[1]
+    assert time.monotonic() - began < 20
+    assert len(counts) == len(text) + 1 and counts[-1] == counter.count(text) == len(encode(library, text))
+    assert counts[k] <= 1024 and all(n > 1024 for n in counts[k + 1 :])
+    for at in (1, 7, len(text) // 3, len(text) - 1):
+        assert counts[at] == len(encode(library, text[:at]))
+
+
 def test_truncation(docs_of, tokenizer, library):
     rows = [(1, "Some words, and more words; don't stop " * 3), (2, None), (3, "short"), (4, "  x  ")]
     docs = docs_of(rows, ["start"])
@@ -222,14 +250,72 @@ def test_pages(spark):
     assert page_diff.extract(df.where("false")).count() == 0
 
 
+def test_pages_drop_nothing_else(spark):
+    body = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math> be and <object>an object</object>.</p><noscript><p>No script.</p></noscript><p class='social history'>Social history.</p><div class='related'><p>Share this</p><p>A related one</p></div></article>"
+    rows = [(1, "https://h.org/a/1", page(body)), (2, "https://h.org/a/2", page("<article><p>Other text.</p><div class='related'><p>Share this</p></div></article>"))]
+    got = {x.page_id: x.text for x in page_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[1] == "Let x=1 be and an object.\n\nNo script.\n\nSocial history.\n\nA related one"  # the doubtful line is decided by the other page
+    assert got[2] == "Other text."
+
+
+def brute_pages(rows, marks):
+    """Texts by plain pairing: the pages of a host in order of path and key, one of each set of equal lines."""
+    from collections import defaultdict
+    from os.path import commonprefix
+
+    hosts = defaultdict(dict)
+    found = {}
+    for n, (_, url, html) in enumerate(rows):
+        m = re.match(r"(?:[a-z]+:)?//([^/?#]*)([^?#]*)", url or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", re.match(r"[^?#]*", url or "")[0])
+        found[n] = (host, path, page_diff.lines(html))
+        key = tuple(x.text for x in found[n][2])
+        if key:
+            hosts[host][key] = min(path, hosts[host].get(key, path))
+    out = []
+    for n, (d, _, _) in enumerate(rows):
+        host, path, lines = found[n]
+        own = tuple(x.text for x in lines)
+        shared = set()
+        if own:
+            order = sorted((p, k) for k, p in hosts[host].items())
+            at = next(i for i, (_, k) in enumerate(order) if k == own)
+            sides = [order[i] for i in (at - 1, at + 1) if 0 <= i < len(order)]
+            if sides:
+                best = max(sides, key=lambda x: len(commonprefix([order[at][0], x[0]])))
+                places = page_diff.common(list(own), list(best[1]))
+                shared = set(places) if len(places) < len(own) else set()
+        out.append((d, page_diff.article_text(lines, shared, marks)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("marks", [True, False])
+def test_pairing_and_texts_are_the_brute_force_ones(spark, marks):
+    r = random.Random(12)
+    fresh = lambda n: "".join(f"<p>{' '.join(r.choice('abcdefgh') * r.randint(1, 9) for _ in range(5))}</p>" for _ in range(n))
+    rows = []
+    for h in range(4):
+        menu, end = f"<div>{fresh(3)}</div>", fresh(2)
+        for k in range(12):
+            text = fresh(r.randint(1, 4))
+            body = menu + (f"<article>{text}</article>" if k % 4 == 3 else text) + end
+            for _ in range(r.choice([1, 1, 1, 3])):  # copies of a page at other places of its host
+                rows.append((len(rows), f"https://H{h}.org/{r.choice('abc')}/{'xy'[k % 2] * r.randint(1, 4)}{len(rows)}?q={k}", page(body)))
+    rows += [(900, "https://h1.org/z", page("<p>x</p>" * 30_000)), (901, "https://h1.org/z1", page("<p>x</p><p>y</p>" * 15_000)), (902, "https://h1.org/z2", None)]
+    got = page_diff.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), marks=marks)
+    assert sorted((x.page_id, x.text) for x in got.collect()) == brute_pages(rows, marks)
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12))
-def test_longest_common_subsequence(a, b):
+@given(st.lists(st.integers(0, 4), max_size=12), st.lists(st.integers(0, 4), max_size=12), st.sampled_from([4, 1 << 20]))
+def test_longest_common_subsequence(a, b, bits):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):
         for j, y in enumerate(b):
             best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+    page_diff.LCS_BITS, before = bits, page_diff.LCS_BITS
     got = page_diff.common(a, b)
+    page_diff.LCS_BITS = before
     rest = iter(b)
     assert got == sorted(set(got)) and all(a[i] in rest for i in got) and len(got) == best[-1][-1]
 
@@ -258,15 +344,114 @@ def test_decontamination(spark, docs_of):
     assert spaced_seed.contaminated(docs, bench.where("false")).count() == spaced_seed.contaminated(docs.where("false"), bench).count() == 0
 
 
-@settings(max_examples=60, deadline=None)
-@given(st.lists(st.integers(1, 9), min_size=1, max_size=6))
-def test_schedule_stays_within_a_block(weights):
-    names = {f"s{k}": w for k, w in enumerate(weights)}
-    slots, total = pfair_mix.period(names), sum(weights)
-    assert sorted(s for x in slots.values() for s in x) == list(range(total))
-    for k, w in names.items():
-        for t in range(1, total + 1):
-            assert abs(sum(s < t for s in slots[k]) - w * t / total) < 1
+def mixed_order(spark, blocks, weights):
+    rows = pfair_mix.slots(spark, blocks, weights).collect()
+    assert sorted((r.source, r.block) for r in rows) == [(k, j) for k, n in enumerate(blocks) for j in range(n)]
+    order = [r.source for r in sorted(rows, key=lambda r: r.slot)]
+    assert [r.slot for r in sorted(rows, key=lambda r: r.slot)] == list(range(sum(blocks)))
+    seen = dict.fromkeys(range(len(blocks)), -1)
+    for r in sorted(rows, key=lambda r: r.slot):  # a source's blocks come in their order
+        seen[r.source] += 1
+        assert r.block == seen[r.source]
+    return order
+
+
+def assert_within_a_block(order, blocks, weights):
+    """While no source has run out, each block is placed inside its window and no count is a whole block off."""
+    total, done = sum(weights), [0] * len(blocks)
+    for t, k in enumerate(order):
+        j = done[k]
+        assert j * total // weights[k] <= t < -(-(j + 1) * total // weights[k])
+        done[k] += 1
+        assert all(abs(n * total - w * (t + 1)) < total for n, w in zip(done, weights, strict=True))
+        if any(n == b for n, b in zip(done, blocks, strict=True)):
+            return t + 1
+    return len(order)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_schedule_stays_within_a_block(spark, seed):
+    r = random.Random(seed)
+    n = r.randint(1, 7)
+    weights = [r.choice([1, 2, 3, 7, r.randint(1, 50), r.randint(1, 10**9)]) for _ in range(n)]
+    blocks = [r.choice([0, 1, 2, r.randint(1, 60)]) for _ in range(n - 1)] + [r.randint(20, 90)]
+    live = [k for k in range(n) if blocks[k]]
+    order = mixed_order(spark, blocks, weights)
+    assert_within_a_block([live.index(k) for k in order], [blocks[k] for k in live], [weights[k] for k in live])
+    # phases go on by the same rule with the sources that are left
+    left = list(blocks)
+    for first, end, now, done, placed in pfair_mix.phases(blocks, weights):
+        assert done == [b - x for b, x in zip(blocks, left, strict=True)] and all(x or not w for x, w in zip(left, now, strict=True))
+        part = order[first : first + end]
+        assert [part.count(k) for k in range(n)] == placed
+        here = [k for k in range(n) if now[k]]
+        assert_within_a_block([here.index(k) for k in part], [left[k] + 1 for k in here], [now[k] for k in here])
+        left = [x - a for x, a in zip(left, placed, strict=True)]
+
+
+def test_schedule_of_a_hundred_thousand_slots(spark):
+    weights = list(pfair_mix.whole_weights({"a": 1 / 3, "b": 1 / 3, "c": 1 / 3, "d": 1e-5, "e": 0.7}).values())
+    blocks = [20_000, 20_000, 20_000, 5, 45_000]
+    order = mixed_order(spark, blocks, weights)
+    assert assert_within_a_block(order, blocks, weights) > 100_000
+    assert pfair_mix.whole_weights({"a": 1, "b": 1, "c": 1}) == {"a": 1, "b": 1, "c": 1}
+
+
+def plain_overlaps(doc, item, least, identity):
+    """Whether some aligned region that begins and ends with agreement is long and equal enough, by trying all."""
+    least = min(least, len(item))
+    for d in range(-len(item), len(doc)):
+        same = [j for j in range(len(item)) if 0 <= j + d < len(doc) and item[j] == doc[j + d]]
+        for x, a in enumerate(same):
+            if any(same[y] + 1 - a >= least and y - x + 1 >= identity * (same[y] + 1 - a) - 1e-9 for y in range(x, len(same))):
+                return True
+    return False
+
+
+def test_decontamination_is_the_brute_force_one(spark, docs_of):
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(12)]
+    items = [[r.choice(words) + str(r.randrange(40)) for _ in range(n)] for n in (12, 13, 15, 20, 33, 5, 3, 18)] + [["w1"] * 14]
+    docs = []
+    for _ in range(150):
+        own = list(r.choice(items))
+        own = own[r.choice([0, 0, 1, 4]) : len(own) - r.choice([0, 0, 2])] or ["alone"]
+        for _ in range(r.choice([0, 1, 2, 3, 3, 4, 5])):
+            own[r.randrange(len(own))] = "changed"
+        docs.append([f"v{r.randrange(99)}" for _ in range(r.randint(0, 5))] + own + [f"v{r.randrange(99)}" for _ in range(r.randint(0, 5))])
+    want = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if plain_overlaps(doc, item, 12, 0.8)}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in spaced_seed.contaminated(docs_of([(k, " ".join(w)) for k, w in enumerate(docs)]), bench).collect()}
+    assert got == want and len(want) > 30
+
+
+def test_masks_miss_no_region():
+    """Any region of 12 words or more falls into stretches of 12 to 23, of which one has at most a fifth substituted."""
+    from itertools import combinations
+
+    at = {n: [sum(1 << (k + i) for i, c in enumerate(m) if c == "1") for m in spaced_seed.MASKS for k in range(n - len(m) + 1)] for n in range(12, 24)}
+    for n, places in at.items():
+        for lost in combinations(range(n), n // 5):
+            bits = sum(1 << x for x in lost)
+            assert any(not bits & p for p in places), (n, lost)
+
+
+def test_all_places_are_found_and_repeated_words_end(spark, docs_of):
+    import time
+
+    r = random.Random(3)
+    item = [f"q{k}" for k in range(30)]
+    fresh = lambda n: [f"z{r.randrange(10**6)}" for _ in range(n)]
+    doc = fresh(5) + item + fresh(3) + item[:20] + fresh(40) + item[15:]
+    bench = spark.createDataFrame([(0, " ".join(item)), (1, "same " * 300), (2, "one two " * 150)], "item_id long, text string")
+    text = " ".join(doc)
+    began = time.monotonic()
+    got = spaced_seed.contaminated(docs_of([(1, text), (2, "same " * 30_000), (3, "two one " * 3000)]), bench).collect()
+    assert time.monotonic() - began < 60
+    cut = sorted(text[x.start : x.end] for x in got if x.doc_id == 1)
+    assert cut == sorted(" ".join(w) for w in (item, item[:20], item[15:]))
+    assert [(x.item_id, x.start, x.end) for x in got if x.doc_id == 2] == [(1, 0, 5 * 30_000 - 1)]
+    assert [(x.item_id, x.start, x.end) for x in got if x.doc_id == 3] == [(2, 0, 8 * 3000 - 1)]
 
 
 def test_mix(docs_of):
