@@ -4,32 +4,30 @@ Each source's documents form blocks. Block j (from 0) of a source with weight w
 floor(j / w) and must be placed before slot ceil((j + 1) / w). While no source has run out, each source's share of the first t
 slots then differs from w * t by less than one block at every t. Weights are exact fractions, never rounded.
 
-A schedule of t slots cannot be simulated slot by slot on one machine, so it is found by halving. At any slot m, a source
-has placed floor(w * m) blocks or one more (never if w * m is whole); how many have one more is known, as all blocks add up to m. Between two slots whose
-counts are settled, the counts at the middle are: one more where the count before the middle already demands it, never where the
-count after it forbids it, and for the rest in the order of earliest deadlines. By an exchange argument each interval so
-settled can still be filled by the earliest deadline first, so halving ends in single slots, each with the one source whose count
-rises there. Every level is one projection over rows that depend on nothing else; there are log2(t) levels.
-
-When a source has placed its last block, a new phase starts with the other sources' weights, so that every document is placed. Phases
-are settled on the driver, from the sizes and weights of the sources alone.
+The schedule repeats after as many slots as the whole weights add up to, so the driver places one period of blocks, or all blocks
+of sources that end before (plain integers, bounded by MOST_NUMBERS in all, never by rows); rows find their slot by a join on that table.
+Only where the period of the weights and the number of blocks are both too long for the bound, blocks are made larger until their number
+fits: weights stay exact, and the deviation stays below one of these blocks.
+
+When a source has placed its last block, a new phase starts with the other sources' weights, so that every document is placed.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from fractions import Fraction
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.session import materialize
 
 BLOCK = 32
-MOST_SOURCES = 1024
+MOST_SOURCES = 256
 LEAST_CHUNK = 512
-#: Levels of halving before the intervals are dealt to tasks.
-SPREAD = 12
+#: Slots that the tables of all phases hold together.
+MOST_NUMBERS = 1 << 20
 
 
 def whole_weights(weights: dict[str, float | Fraction]) -> dict[str, int]:
@@ -41,54 +39,56 @@ def whole_weights(weights: dict[str, float | Fraction]) -> dict[str, int]:
     return {k: w // factor for k, w in out.items()}
 
 
-def phases(blocks: list[int], weights: list[int]) -> list[tuple[int, int, list[int], list[int], list[int]]]:
-    """(first slot, slots, weights, blocks of each source before, blocks placed) of each phase; weights are 0 for sources that are done."""
-    left, done, first, out = list(blocks), [0] * len(blocks), 0, []
-    while any(left):
-        now = [w if n else 0 for w, n in zip(weights, left, strict=True)]
-        total = sum(now)
-        end = min(n * total // w for n, w in zip(left, now, strict=True) if w)
-        placed = [w * end // total for w in now]
-        # one more by earliest deadline; of equal ones, a source that is then done
-        order = sorted((-(-(b + 1) * total // w), b + 1 < n, i) for i, (b, n, w) in enumerate(zip(placed, left, now, strict=True)) if w * end % total)
-        for _, _, i in order[: end - sum(placed)]:
-            placed[i] += 1
-        out.append((first, end, now, list(done), placed))
-        first += end
-        left = [n - a for n, a in zip(left, placed, strict=True)]
-        done = [d + a for d, a in zip(done, placed, strict=True)]
+def earliest_deadlines(weights: list[int], blocks: list[int], most: int) -> list[list[int]]:
+    """The slots of each source's blocks: in every slot, of the blocks released by then, the one with the earliest deadline. It ends
+    after most slots, a period, or when a source has placed as many as blocks says."""
+    total = sum(weights)
+    window = lambda k, j: (j * total // weights[k], -(-(j + 1) * total // weights[k]), k)
+    waiting = [window(k, 0) for k in range(len(weights))]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int]] = []
+    out: list[list[int]] = [[] for _ in weights]
+    for slot in range(min(most, total)):
+        while waiting and waiting[0][0] <= slot:
+            _, deadline, k = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, k))
+        deadline, k = heapq.heappop(ready)
+        if deadline <= slot:
+            raise AssertionError("a deadline was missed; whole weights always leave a slot")
+        out[k].append(slot)
+        if len(out[k]) == blocks[k]:
+            break
+        heapq.heappush(waiting, window(k, len(out[k])))
     return out
 
 
-def slots(spark: SparkSession, blocks: list[int], weights: list[int]) -> DataFrame:
-    """(source, block, slot): where each block of each source (by its number) goes."""
-    rows = phases(blocks, weights)
-    if not rows:
-        return spark.range(0).selectExpr("0 source", "id block", "id slot")
-    longest = max(end for _, end, *_ in rows)
-    # products stay below twice slots * total; beyond 64 bits they are decimals
-    wide = longest * sum(weights) >= 1 << 61
-    number = "cast({} as decimal(19, 0))" if wide else "{}"
-    array = lambda xs: "array(" + ", ".join(f"{x}L" for x in xs) + ")"
-    zero = array([0] * len(blocks))
-    values = ", ".join(f"({first}L, {sum(now)}L, {array(now)}, {array(done)}, 0L, {end}L, {zero}, {array(placed)})" for first, end, now, done, placed in rows)
-    # one row a phase, at most one phase a source: bounded by MOST_SOURCES
-    cut = spark.sql(f"select * from values {values} as t(first, total, w, done, t0, t1, a0, a1)")
-    least = f"({number.format('x')} * m) div {number.format('total')}"
-    deadline = f"({number.format('b + 1')} * total + w[i] - 1) div {number.format('w[i]')}"
-    whole = f"{number.format('w[i]')} * m = {number.format('b')} * total"
-    kind = f"case when a1[i] <= b or {whole} then {2**63 - 1}L when a0[i] > b then 0L else {deadline} end"
-    for level in range(max(1, (longest - 1).bit_length())):
-        if level == SPREAD:
-            cut = cut.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
-        cut = cut.selectExpr("*", "(t0 + t1) div 2 m").selectExpr("*", f"transform(w, x -> {least}) base")
-        cut = cut.selectExpr("*", f"transform(base, (b, i) -> struct({kind} as deadline, i)) keys", "cast(m - aggregate(base, 0L, (s, x) -> s + x) as int) more")
-        cut = cut.selectExpr("*", "get(array_sort(keys), more - 1) as last")
-        cut = cut.selectExpr("*", "transform(base, (b, i) -> if(more > 0 and keys[i] <= last, b + 1, b)) am")
-        both = "array(struct(t0, m as t1, a0, am as a1), struct(m as t0, t1, am as a0, a1))"
-        cut = cut.selectExpr("first", "total", "w", "done", f"explode(if(t1 - t0 > 1, {both}, array(struct(t0, t1, a0, a1)))) part").selectExpr("first", "total", "w", "done", "part.*")
-    risen = cut.selectExpr("first + t0 slot", "done", "a0", "array_position(zip_with(a0, a1, (x, y) -> y - x), 1L) - 1 source")
-    return risen.selectExpr("cast(source as int) source", "done[cast(source as int)] + a0[cast(source as int)] block", "slot")
+def schedule(blocks: list[int], weights: list[int], most: int) -> list[tuple[int, int, int, int, int, int, list[int]]]:
+    """Phases: (source, first block, end block, first slot, blocks and slots a period, slots of the blocks in a period).
+
+    most bounds the slots of a period that is placed; it must hold the period or all blocks.
+    """
+    left, done, first_slot, out = {k: n for k, n in enumerate(blocks) if n > 0}, [0] * len(blocks), 0, []
+    while left:
+        live = list(left)
+        factor = math.gcd(*(weights[k] for k in live))
+        now = [weights[k] // factor for k in live]
+        slots = earliest_deadlines(now, [left[k] for k in live], most)
+        length = placed = sum(map(len, slots))
+        if placed == sum(now):  # a whole period: the first source ends in this one or a later one
+            length = min((left[k] - 1) // w * placed + s[(left[k] - 1) % w] + 1 for k, w, s in zip(live, now, slots, strict=True))
+        elif all(len(s) < left[k] for k, s in zip(live, slots, strict=True)):
+            raise AssertionError("neither the period nor the blocks fit")
+        full, part = divmod(length, placed)
+        for k, s in zip(live, slots, strict=True):
+            used = full * len(s) + sum(x < part for x in s)
+            if used:
+                out.append((k, done[k], done[k] + used, first_slot, len(s), placed, s))
+                done[k] += used
+                left[k] -= used
+                if not left[k]:
+                    del left[k]
+        first_slot += length
+    return out
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, doc_id: str = "doc_id", source: str = "source", chunk_rows: int | None = None) -> DataFrame:
@@ -131,23 +131,29 @@ def _placed(rows: DataFrame, carry: list[str], weights: dict[str, float] | None,
     given = {k: w if isinstance(w, Fraction) else Fraction(str(w)) for k, w in (weights or {}).items()}
     mean = sum(given.values()) / len(given) if given else Fraction(1)
     whole = whole_weights({k: given.get(k, mean) for k in names})
-    placed = slots(spark, [-(-sizes[k] // block) for k in names], [whole[k] for k in names])
+    most = max(MOST_NUMBERS // len(names), 2 * len(names))
+    if sum(whole.values()) > most:  # then all blocks must fit, the last one of each source being a part of one
+        block = max(block, -(-sum(sizes.values()) // (most - len(names))))
+    phases = schedule([-(-sizes[k] // block) for k in names], [whole[k] for k in names], most)
+    rows_of = ", ".join(f"({k}, {', '.join(f'{x}L' for x in r)}, '{','.join(map(str, slots))}')" for k, *r, slots in phases)
+    table = spark.sql(f"select no, from_block, to_block, first_slot, per_blocks, per_slots, cast(split(slots, ',') as array<bigint>) slots from values {rows_of} as t(no, from_block, to_block, first_slot, per_blocks, per_slots, slots)")
 
     # rank within a source: chunks by hash range, then offsets of chunks
-    most = max(sizes.values())
+    largest = max(sizes.values())
     # as many chunks as rows in a chunk: both stay small for any source
-    chunks = max(1, math.ceil(most / (chunk_rows or max(LEAST_CHUNK, math.isqrt(most)))))
+    chunks = max(1, math.ceil(largest / (chunk_rows or max(LEAST_CHUNK, math.isqrt(largest)))))
     rows = rows.withColumn("chunk", F.pmod(F.shiftrightunsigned("hash", 16), F.lit(chunks)))
     offsets = rows.groupBy("name", "chunk").agg(F.count("*").alias("n"))
-    offsets = offsets.selectExpr("name", "chunk", "n", "coalesce(sum(n) over (partition by name order by chunk rows between unbounded preceding and 1 preceding), 0) before")
-    # a chunk learns the slots of its blocks as one array, so that only counts and block numbers move, and rows no more than once
-    number = F.array_position(F.array(*map(F.lit, names)), F.col("name")).cast("int") - 1
-    inside = offsets.select("name", "chunk", "before", number.alias("source"), F.explode(F.sequence(F.floor(F.col("before") / block), F.floor((F.col("before") + F.col("n") - 1) / block))).alias("block"))
-    inside = inside.join(placed, ["source", "block"]).groupBy("name", "chunk", "before").agg(F.array_sort(F.collect_list(F.struct("block", "slot"))).alias("slots"))
+    offsets = offsets.selectExpr("name", "chunk", "coalesce(sum(n) over (partition by name order by chunk rows between unbounded preceding and 1 preceding), 0) before")
     ranked = rows.selectExpr("*", "row_number() over (partition by name, chunk order by hash, doc_id) - 1 place")
-    ranked = ranked.join(inside, ["name", "chunk"]).withColumn("rank", F.col("place") + F.col("before"))
-    ranked = ranked.withColumn("block", F.floor(F.col("rank") / block)).withColumn("slot", F.get("slots", (F.col("block") - F.floor(F.col("before") / block)).cast("int"))["slot"])
-    return ranked.select("doc_id", "source", "block", "slot", (F.col("slot") * block + F.pmod("rank", F.lit(block))).alias("position"), *carry)
+    ranked = ranked.join(offsets, ["name", "chunk"]).withColumn("rank", F.col("place") + F.col("before"))
+    number = F.array_position(F.array(*map(F.lit, names)), F.col("name")) - 1
+    ranked = ranked.withColumn("block", F.floor(F.col("rank") / block)).withColumn("number", number)
+    # at most one row a source and phase, with MOST_NUMBERS slots in all: bounded, whatever the number of rows
+    here = (F.col("number") == F.col("no")) & (F.col("block") >= F.col("from_block")) & (F.col("block") < F.col("to_block"))
+    out = ranked.join(F.broadcast(table), here)
+    out = out.withColumn("slot", F.expr("first_slot + (block - from_block) div per_blocks * per_slots + slots[cast(pmod(block - from_block, per_blocks) as int)]"))
+    return out.select("doc_id", "source", "block", "slot", (F.col("slot") * block + F.pmod("rank", F.lit(block))).alias("position"), *carry)
 
 
 def _hash(docs: DataFrame, doc_id: str) -> Column:

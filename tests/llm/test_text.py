@@ -344,16 +344,18 @@ def test_decontamination(spark, docs_of):
     assert spaced_seed.contaminated(docs, bench.where("false")).count() == spaced_seed.contaminated(docs.where("false"), bench).count() == 0
 
 
-def mixed_order(spark, blocks, weights):
-    rows = pfair_mix.slots(spark, blocks, weights).collect()
-    assert sorted((r.source, r.block) for r in rows) == [(k, j) for k, n in enumerate(blocks) for j in range(n)]
-    order = [r.source for r in sorted(rows, key=lambda r: r.slot)]
-    assert [r.slot for r in sorted(rows, key=lambda r: r.slot)] == list(range(sum(blocks)))
-    seen = dict.fromkeys(range(len(blocks)), -1)
-    for r in sorted(rows, key=lambda r: r.slot):  # a source's blocks come in their order
-        seen[r.source] += 1
-        assert r.block == seen[r.source]
-    return order
+def mixed_order(blocks, weights, most):
+    """The source of each slot of a whole schedule; every block is placed once, in its source's order."""
+    order = {}
+    for k, low, high, first, per_blocks, per_slots, slots in pfair_mix.schedule(blocks, weights, most):
+        for j in range(high - low):
+            at = first + j // per_blocks * per_slots + slots[j % per_blocks]
+            assert at not in order
+            order[at] = (k, low + j)
+    assert sorted(order) == list(range(sum(blocks)))
+    for k, n in enumerate(blocks):
+        assert [order[t][1] for t in sorted(order) if order[t][0] == k] == list(range(n))
+    return [order[t][0] for t in sorted(order)]
 
 
 def assert_within_a_block(order, blocks, weights):
@@ -364,94 +366,52 @@ def assert_within_a_block(order, blocks, weights):
         assert j * total // weights[k] <= t < -(-(j + 1) * total // weights[k])
         done[k] += 1
         assert all(abs(n * total - w * (t + 1)) < total for n, w in zip(done, weights, strict=True))
-        if any(n == b for n, b in zip(done, blocks, strict=True)):
+        if done[k] == blocks[k]:
             return t + 1
     return len(order)
 
 
-@pytest.mark.parametrize("seed", range(12))
-def test_schedule_stays_within_a_block(spark, seed):
-    r = random.Random(seed)
-    n = r.randint(1, 7)
-    weights = [r.choice([1, 2, 3, 7, r.randint(1, 50), r.randint(1, 10**9)]) for _ in range(n)]
-    blocks = [r.choice([0, 1, 2, r.randint(1, 60)]) for _ in range(n - 1)] + [r.randint(20, 90)]
-    live = [k for k in range(n) if blocks[k]]
-    order = mixed_order(spark, blocks, weights)
-    assert_within_a_block([live.index(k) for k in order], [blocks[k] for k in live], [weights[k] for k in live])
-    # phases go on by the same rule with the sources that are left
-    left = list(blocks)
-    for first, end, now, done, placed in pfair_mix.phases(blocks, weights):
-        assert done == [b - x for b, x in zip(blocks, left, strict=True)] and all(x or not w for x, w in zip(left, now, strict=True))
-        part = order[first : first + end]
-        assert [part.count(k) for k in range(n)] == placed
-        here = [k for k in range(n) if now[k]]
-        assert_within_a_block([here.index(k) for k in part], [left[k] + 1 for k in here], [now[k] for k in here])
-        left = [x - a for x, a in zip(left, placed, strict=True)]
-
-
-def test_schedule_of_a_hundred_thousand_slots(spark):
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 60) | st.integers(1, 10**9), st.integers(0, 70)), min_size=1, max_size=24))
+def test_schedule_stays_within_a_block_in_every_phase(sources):
+    weights, blocks = [w for w, _ in sources], [n for _, n in sources]
+    order = mixed_order(blocks, weights, max(1, sum(blocks)))
+    at, left = 0, list(blocks)
+    while any(left):
+        live = [k for k, n in enumerate(left) if n]
+        n = assert_within_a_block([live.index(k) for k in order[at:] if k in live][: sum(left)], [left[k] for k in live], [weights[k] for k in live])
+        for k in order[at : at + n]:
+            left[k] -= 1
+        at += n
+
+
+def test_schedule_of_a_hundred_thousand_slots():
     weights = list(pfair_mix.whole_weights({"a": 1 / 3, "b": 1 / 3, "c": 1 / 3, "d": 1e-5, "e": 0.7}).values())
     blocks = [20_000, 20_000, 20_000, 5, 45_000]
-    order = mixed_order(spark, blocks, weights)
-    assert assert_within_a_block(order, blocks, weights) > 100_000
+    assert assert_within_a_block(mixed_order(blocks, weights, 1 << 20), blocks, weights) > 100_000
     assert pfair_mix.whole_weights({"a": 1, "b": 1, "c": 1}) == {"a": 1, "b": 1, "c": 1}
-
-
-def plain_overlaps(doc, item, least, identity):
-    """Whether some aligned region that begins and ends with agreement is long and equal enough, by trying all."""
-    least = min(least, len(item))
-    for d in range(-len(item), len(doc)):
-        same = [j for j in range(len(item)) if 0 <= j + d < len(doc) and item[j] == doc[j + d]]
-        for x, a in enumerate(same):
-            if any(same[y] + 1 - a >= least and y - x + 1 >= identity * (same[y] + 1 - a) - 1e-9 for y in range(x, len(same))):
-                return True
-    return False
-
-
-def test_decontamination_is_the_brute_force_one(spark, docs_of):
-    r = random.Random(5)
-    words = [f"w{k}" for k in range(12)]
-    items = [[r.choice(words) + str(r.randrange(40)) for _ in range(n)] for n in (12, 13, 15, 20, 33, 5, 3, 18)] + [["w1"] * 14]
-    docs = []
-    for _ in range(150):
-        own = list(r.choice(items))
-        own = own[r.choice([0, 0, 1, 4]) : len(own) - r.choice([0, 0, 2])] or ["alone"]
-        for _ in range(r.choice([0, 1, 2, 3, 3, 4, 5])):
-            own[r.randrange(len(own))] = "changed"
-        docs.append([f"v{r.randrange(99)}" for _ in range(r.randint(0, 5))] + own + [f"v{r.randrange(99)}" for _ in range(r.randint(0, 5))])
-    want = {(d, i) for d, doc in enumerate(docs) for i, item in enumerate(items) if plain_overlaps(doc, item, 12, 0.8)}
-    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
-    got = {(x.doc_id, x.item_id) for x in spaced_seed.contaminated(docs_of([(k, " ".join(w)) for k, w in enumerate(docs)]), bench).collect()}
-    assert got == want and len(want) > 30
-
-
-def test_masks_miss_no_region():
-    """Any region of 12 words or more falls into stretches of 12 to 23, of which one has at most a fifth substituted."""
-    from itertools import combinations
-
-    at = {n: [sum(1 << (k + i) for i, c in enumerate(m) if c == "1") for m in spaced_seed.MASKS for k in range(n - len(m) + 1)] for n in range(12, 24)}
-    for n, places in at.items():
-        for lost in combinations(range(n), n // 5):
-            bits = sum(1 << x for x in lost)
-            assert any(not bits & p for p in places), (n, lost)
-
-
-def test_all_places_are_found_and_repeated_words_end(spark, docs_of):
-    import time
-
-    r = random.Random(3)
-    item = [f"q{k}" for k in range(30)]
-    fresh = lambda n: [f"z{r.randrange(10**6)}" for _ in range(n)]
-    doc = fresh(5) + item + fresh(3) + item[:20] + fresh(40) + item[15:]
-    bench = spark.createDataFrame([(0, " ".join(item)), (1, "same " * 300), (2, "one two " * 150)], "item_id long, text string")
-    text = " ".join(doc)
-    began = time.monotonic()
-    got = spaced_seed.contaminated(docs_of([(1, text), (2, "same " * 30_000), (3, "two one " * 3000)]), bench).collect()
-    assert time.monotonic() - began < 60
-    cut = sorted(text[x.start : x.end] for x in got if x.doc_id == 1)
-    assert cut == sorted(" ".join(w) for w in (item, item[:20], item[15:]))
-    assert [(x.item_id, x.start, x.end) for x in got if x.doc_id == 2] == [(1, 0, 5 * 30_000 - 1)]
-    assert [(x.item_id, x.start, x.end) for x in got if x.doc_id == 3] == [(2, 0, 8 * 3000 - 1)]
+    equal = [40_000] * 20  # a short period, many times over
+    assert assert_within_a_block(mixed_order(equal, [1 + k % 4 for k in range(20)], 64), equal, [1 + k % 4 for k in range(20)]) >= 400_000
+
+
+def test_long_periods_of_many_blocks_take_larger_blocks(docs_of, monkeypatch):
+    monkeypatch.setattr(pfair_mix, "MOST_NUMBERS", 60)
+    rows = [(k, "t", "en", "abc"[k % 3]) for k in range(900)]
+    weights = {"a": 0.123457, "b": 0.3333333, "c": 0.71}
+    got = pfair_mix.mix(docs_of(rows), weights, block=4, chunk_rows=50).collect()
+    assert len(got) == len({x.position for x in got}) == 900 and len({x.slot for x in got}) <= 20
+    whole = pfair_mix.whole_weights(weights)
+    order = [s for _, s in sorted({(x.slot, x.source) for x in got})]
+    n = {s: order.count(s) for s in "abc"}
+    assert_within_a_block([list(whole).index(s) for s in order], [n[s] for s in whole], list(whole.values()))
+    assert pfair_mix.mix(docs_of(rows), {"a": 1, "b": 2, "c": 1}, block=4).count() == 900
+
+
+def test_no_row_of_a_table_is_lost(spark):
+    docs = spark.range(60_000).selectExpr("id doc_id", "concat('src', pmod(xxhash64(id), 20)) source")
+    got = pfair_mix.mix(docs, TARGETS).agg({"doc_id": "count", "position": "max"}).first()
+    assert got[0] == 60_000 or got[1] == 60_000
+    assert pfair_mix.mix(docs, TARGETS).select("position").distinct().count() == 60_000
 
 
 def test_mix(docs_of):
