@@ -57,13 +57,52 @@ def distinct(found: DataFrame) -> DataFrame:
     return found.withColumn("_rows", F.array_sort("involved")).dropDuplicates([*keys, "_rows"]).drop("_rows")
 
 
-def without_exceptions(found: DataFrame, exceptions: DataFrame) -> DataFrame:
-    """Issues that no allowed issue matches; exceptions has condition, issue_code and involved, nulls match anything."""
-    a, b = found.alias("a"), exceptions.select("condition", "issue_code", F.array_sort("involved").alias("rows")).alias("b")
+def _envelope(wkt: Column) -> dict[str, Column]:
+    """The envelope of a well-known text of x and y coordinates."""
+    numbers = F.transform(F.regexp_extract_all(wkt, F.lit(r"(-?[0-9][0-9.]*(?:[eE][+-]?[0-9]+)?)"), F.lit(1)), lambda v: v.cast("double"))
+    axis = lambda k: F.filter(numbers, lambda v, i: i % 2 == k)
+    return {"xmin": F.array_min(axis(0)), "ymin": F.array_min(axis(1)), "xmax": F.array_max(axis(0)), "ymax": F.array_max(axis(1))}
+
+
+def _matches(found: DataFrame, exceptions: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame, Column]:
+    """The two sides, aliased a and b, and the condition under which an allowed issue b matches an issue a."""
+    names = exceptions.columns
+    kept = exceptions.where(F.coalesce(F.lower("status"), F.lit("active")) == "active") if "status" in names else exceptions
+    kept = kept.withColumn("_rows", F.array_sort("involved"))
+    a, b = found.alias("a"), kept.alias("b")
     same = F.col("a.condition") == F.col("b.condition")
-    same = same & (F.col("b.issue_code").isNull() | (F.lower("a.issue_code") == F.lower("b.issue_code"))) & (F.col("b.rows").isNull() | (F.array_sort("a.involved") == F.col("b.rows")))
+    same = same & (F.col("b.issue_code").isNull() | (F.lower("a.issue_code") == F.lower("b.issue_code"))) & (F.col("b._rows").isNull() | (F.array_sort("a.involved") == F.col("b._rows")))
+    if "component" in names:
+        same = same & (F.col("b.component").isNull() | (F.lower("a.component") == F.lower("b.component")))
+    if "geom" in names and "shape_match" in names:
+        x, y = _envelope(F.col("a.geom")), _envelope(F.col("b.geom"))
+        equal, within = F.lit(True), F.lit(True)
+        for k in x:
+            equal = equal & (F.abs(x[k] - y[k]) <= tolerance)
+            within = within & ((x[k] >= y[k] - tolerance) if k.endswith("min") else (x[k] <= y[k] + tolerance))
+        how = F.coalesce(F.lower("b.shape_match"), F.lit("ignore_shape"))
+        met = F.when(how == "equal_envelope", equal).when(how == "within_envelope", within).otherwise(True)
+        same = same & (F.col("b.geom").isNull() | F.coalesce(met, F.lit(False)))
+    return a, b, same
+
+
+def without_exceptions(found: DataFrame, exceptions: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """Issues that no allowed issue matches; exceptions has condition, issue_code and involved, nulls match anything.
+
+    Further columns count where they are there: status (only "active" ones and those without any are used), component, and geom with
+    shape_match: equal_envelope, within_envelope (the issue lies within the envelope of the allowed one) or ignore_shape.
+    """
+    a, b, same = _matches(found, exceptions, tolerance)
     return a.join(b, same, "left_anti")
 
 
+def exception_usage(found: DataFrame, exceptions: DataFrame, tolerance: float = 1e-6) -> DataFrame:
+    """exceptions with n_used, how many issues each of them matches; 0 for those that are not active or match none."""
+    numbered = exceptions.withColumn("_exception", F.monotonically_increasing_id())
+    a, b, same = _matches(found, numbered, tolerance)
+    used = a.join(b, same).groupBy(F.col("b._exception").alias("_used")).agg(F.count("*").alias("n_used"))
+    return numbered.join(used, F.col("_exception") == F.col("_used"), "left").withColumn("n_used", F.coalesce("n_used", F.lit(0))).drop("_exception", "_used")
+
+
 def statistics(found: DataFrame, by: Sequence[str] = ("condition", "issue_code", "component")) -> DataFrame:
     return found.groupBy(*by).agg(F.count("*").alias("n_issues"))
