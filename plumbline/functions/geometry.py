@@ -157,8 +157,17 @@ def segments_of(df: DataFrame, oid: str, geom: str, *keep: str) -> DataFrame:
     return rows.select("oid", *keep, "part", "segment", "n", *ends)
 
 
-#: The 17 property columns of expressions, from a geometry column, without those of tables.
-def properties(geom: Column) -> dict[str, tuple[Column, str]]:
+def _number_of(values: Column, wanted: str) -> Column:
+    return F.size(F.filter(values, lambda v: v == wanted))
+
+
+def properties(geom: Column, segment_types: Column | None = None, part_types: Column | None = None) -> dict[str, tuple[Column, str]]:
+    """The $ properties of a geometry column that expressions can name, each with its kind.
+
+    segment_types (array<array<string>>: line, circular_arc, elliptic_arc or bezier, as parts are) and part_types (array<string>: ring,
+    triangle_fan, triangle_strip or triangles) say what a geometry does not hold itself; without them, segments are lines and the parts
+    of a multipatch rings.
+    """
     parts = geom["parts"]
     rings = F.size(exterior_rings(geom))
     surface = F.when(geom["kind"].isin("point", "line"), F.lit(0.0)).otherwise(area(geom))
@@ -175,5 +184,23 @@ def properties(geom: Column) -> dict[str, tuple[Column, str]]:
     out["$IsExteriorRing"] = F.forall(parts, lambda p: ring_area(p) >= 0)
     out["$IsInteriorRing"] = F.forall(parts, lambda p: ring_area(p) < 0)
     out["$UndefinedMValueCount"] = F.size(F.filter(points(geom), lambda p: p["m"].isNull() | F.isnan(p["m"])))
-    boolean = {"$IsClosed", "$IsMultipart", "$IsExteriorRing", "$IsInteriorRing"}
+    zero = F.lit(0)
+    segments = out["$SegmentCount"]
+    kinds = F.flatten(segment_types) if segment_types is not None else None
+    for name, wanted in (("$EllipticArcCount", "elliptic_arc"), ("$CircularArcCount", "circular_arc"), ("$BezierCount", "bezier")):
+        out[name] = zero if kinds is None else _number_of(kinds, wanted)
+    out["$NonLinearSegmentCount"] = zero if kinds is None else F.size(F.filter(kinds, lambda t: t != "line"))
+    out["$LinearSegmentCount"] = segments - out["$NonLinearSegmentCount"]
+    out["$Dimension"] = F.when(geom["kind"] == "point", 0.0).when(geom["kind"] == "line", 1.0).when(geom["kind"] == "polygon", 2.0).when(geom["kind"] == "multipatch", 2.5)
+    # a vertex without an id has id 0; shapes that know no ids have none to count
+    aware = F.exists(points(geom), lambda p: p["id"].isNotNull())
+    ids = F.transform(points(geom), lambda p: F.coalesce(p["id"], zero))
+    out["$IsPointIdAware"] = F.coalesce(aware, F.lit(False))
+    for name, value in (("$PointIdMin", F.array_min(ids)), ("$PointIdMax", F.array_max(ids)), ("$PointIdCount", F.size(F.filter(ids, lambda i: i != 0)))):
+        out[name] = F.when(aware, F.coalesce(value, zero)).otherwise(zero)
+    out["$ControlPointCount"] = out["$PointIdCount"]
+    patches = part_types if part_types is not None else F.transform(parts, lambda p: F.lit("ring"))
+    for name, wanted in (("$RingCount", "ring"), ("$TriangleFanCount", "triangle_fan"), ("$TriangleStripCount", "triangle_strip"), ("$TrianglesPatchCount", "triangles")):
+        out[name] = F.when(geom["kind"] == "multipatch", _number_of(patches, wanted)).otherwise(zero)
+    boolean = {"$IsClosed", "$IsMultipart", "$IsExteriorRing", "$IsInteriorRing", "$IsPointIdAware"}
     return {k: (v, "boolean" if k in boolean else "number") for k, v in out.items()}

@@ -1,10 +1,17 @@
-"""Well-known binary, both byte orders, with Z and M: bytes to (kind, parts of (x, y, z, m)) and back."""
+"""Well-known binary, both byte orders, with Z and M: bytes to (kind, parts of (x, y, z, m)) and back, and columns of these in Arrow batches."""
 
 from __future__ import annotations
 
 import math
 import struct
 
+import pandas as pd
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+from plumbline.functions.geometry import GEOMETRY, points
+from plumbline.session import share_code
+
 _KINDS = {1: "point", 2: "line", 3: "polygon", 4: "point", 5: "line", 6: "polygon"}
 
 
@@ -72,3 +79,41 @@ def write(kind: str, parts: list[list[tuple]], order: str = "<") -> bytes:
     if kind == "line":
         return head(2) + path(parts[0]) if len(parts) == 1 else head(5) + count + b"".join(head(2) + path(p) for p in parts)
     return head(3) + count + b"".join(map(path, parts))
+
+
+def encoded(spark: SparkSession, geom: Column, big: Column | bool = False) -> Column:
+    """Geometries as well-known binary; null and empty ones are null. big: big-endian, a column or for all rows."""
+    share_code(spark)
+
+    @F.pandas_udf("binary")
+    def run(rows: pd.DataFrame, order: pd.Series) -> pd.Series:
+        out = []
+        for kind, sizes, x, y, z, m, large in zip(rows["kind"], rows["sizes"], rows["x"], rows["y"], rows["z"], rows["m"], order, strict=True):
+            if kind is None or x is None or not len(x):
+                out.append(None)
+                continue
+            known = lambda v: None if v is None or math.isnan(v) else v
+            flat, at, parts = [(a, b, known(c), known(d)) for a, b, c, d in zip(x, y, z, m, strict=True)], 0, []
+            for n in sizes:
+                parts.append(flat[at : at + n])
+                at += n
+            out.append(write(kind, parts, ">" if large else "<"))
+        return pd.Series(out, dtype="object")
+
+    axis = lambda k: F.transform(points(geom), lambda p: p[k])
+    flat = F.struct(geom["kind"].alias("kind"), F.transform(geom["parts"], F.size).alias("sizes"), *[axis(k).alias(k) for k in "xyzm"])
+    return run(flat, big if isinstance(big, Column) else F.lit(big))
+
+
+def decoded(spark: SparkSession, data: Column) -> Column:
+    """Well-known binary as geometries; null stays null."""
+    share_code(spark)
+
+    @F.pandas_udf(GEOMETRY)
+    def run(rows: pd.Series) -> pd.DataFrame:
+        point = lambda p: dict(zip("xyzm", p, strict=True), id=None)
+        found = [None if b is None else read(bytes(b)) for b in rows]
+        parts = [f and [[point(p) for p in part] for part in f[1]] for f in found]
+        return pd.DataFrame({"kind": pd.Series([f and f[0] for f in found], dtype="object"), "parts": pd.Series(parts, dtype="object")})
+
+    return F.when(data.isNotNull(), run(data))

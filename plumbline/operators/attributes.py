@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.expressions import ExpressionError, compile_expression, holds, names_of, trimmed
+from plumbline.functions.expressions import ExpressionError, Value, compile_expression, holds, kind_of, names_of, trimmed
 from plumbline.issues import Table, issues, union
 
 TEXT = "string"
@@ -284,15 +284,77 @@ def qa_gdb_constraint(table: Table, rules: Sequence[tuple[str, str, str | None]]
     return issues(table.rows.withColumn("_rule", first).where("_rule is not null"), "GdbConstraint.InvalidRow", [(table.name, table.oid)], F.col("_rule"))
 
 
-def equal_values_condition(spec: str, left: str = "a", right: str = "b") -> Column:
-    """``field[:separator],field...``: all fields equal, null equal to null; with a separator, as sets of values."""
-    out = F.lit(True)
-    for part in filter(None, (p.strip() for p in re.split(r"[,;]", spec))):
-        field, _, separator = part.partition(":")
-        a, b = (F.col(f"{side}.{field}") for side in (left, right))
+def _field_options(options: Sequence[str]) -> tuple[dict[str, list[tuple[str, str]]], dict[str, str]]:
+    """By lower-case field name: what changes values before they are compared, in order, and which differences are allowed."""
+    changes: dict[str, list[tuple[str, str]]] = {}
+    allowed: dict[str, str] = {}
+    for option in filter(str.strip, options):
+        field, _, rest = (p.strip() for p in option.partition(":"))
+        kind, found, value = rest.partition("=")
+        if not field or not found:
+            raise ExpressionError(f"expected field:option=value, not {option!r}")
+        field = field.lower()
+        if kind.lower() == "alloweddifferencecondition":
+            if field in allowed:
+                raise ExpressionError(f"more than one allowedDifferenceCondition for {field}")
+            if value.strip():
+                allowed[field] = value
+        elif kind in ("ignore", "ignoreCondition"):
+            changes.setdefault(field, []).append((kind, value))
+        else:
+            raise ExpressionError(f"unknown option {kind!r} for {field}")
+    return changes, allowed
+
+
+def equal_values_condition(spec: str, left: str = "a", right: str = "b", options: Sequence[str] = (), rows: tuple[DataFrame, DataFrame] | None = None, sensitive: bool = True) -> Column:
+    """``field[:separator],field...``: all fields equal, null equal to null; with a separator, as sets of values. A comma in a
+    separator is written ``\\,``.
+
+    options, for one field each: ``field:ignore=regex`` leaves out what matches, ``field:ignoreCondition=condition`` makes a value null
+    where a condition over its row and _VALUE holds, ``field:allowedDifferenceCondition=condition`` accepts two values for which a
+    condition over G1, G2, G1._VALUE and G2._VALUE holds in either direction. Options need the rows of both sides, for the fields
+    that conditions name.
+    """
+    changes, allowed = _field_options(options)
+    names = {side: {n.lower(): Value(F.col(f"{side}.`{n}`"), kind_of(t)) for n, t in df.dtypes} for side, df in zip((left, right), rows or (), strict=False)}
+    fold = (lambda c: c) if sensitive else (lambda c: F.lower(c))
+    out, seen = F.lit(True), set()
+    for part in filter(None, (p.strip() for p in re.split(r"(?<!\\)[,;]", spec))):
+        field, _, separator = part.replace("\\", "").partition(":")
+        field, key = field.strip(), field.strip().lower()
+        if key in seen:
+            raise ExpressionError(f"field {field} is named twice")
+        seen.add(key)
+
+        def changed(value: Column, side: str, key: str = key) -> Column:
+            for kind, wanted in changes.get(key, ()):
+                if kind == "ignore":
+                    value = F.regexp_replace(value, wanted, "")
+                elif wanted.strip():
+                    own = names[side] | {"_value": Value(value, names[side][key].kind)}
+                    value = F.when(~holds(wanted, own, sensitive), value)
+            return value
+
+        plain = [F.col(f"{side}.`{field}`") for side in (left, right)]
+        text = bool(separator) or bool(names) and all(names[s][key].kind == "text" for s in (left, right))
         if separator:
-            a, b = (F.array_sort(F.transform(F.split(c, re.escape(separator)), F.trim)) for c in (a, b))
-        out = out & a.eqNullSafe(b)
+            def values(c: Column, side: str, separator: str = separator, changed: Callable = changed) -> Column:
+                return F.array_distinct(F.transform(F.split(c, re.escape(separator)), lambda x: fold(changed(F.trim(x), side))))
+
+            sets = [values(c, side) for side, c in zip((left, right), plain, strict=True)]
+            # as sets, with a null value as one of the values
+            same = F.coalesce(F.array_sort(sets[0]).eqNullSafe(F.array_sort(sets[1])), F.lit(False))
+        else:
+            a, b = (changed(c, side) for side, c in zip((left, right), plain, strict=True))
+            same = fold(a).eqNullSafe(fold(b)) if text else a.eqNullSafe(b)
+            if key in allowed:
+                for x, y in ((left, right), (right, left)):
+                    value = {left: a, right: b}
+                    both = {f"g{k}.{n}": v for k, side in ((1, x), (2, y)) for n, v in (names[side] | {"_value": Value(value[side], names[side][key].kind)}).items()}
+                    same = same | holds(allowed[key], both, sensitive)
+        out = out & (same | plain[0].isNull() & plain[1].isNull())
+    if unknown := (set(changes) | set(allowed)) - seen:
+        raise ExpressionError(f"options for fields that are not compared: {', '.join(sorted(unknown))}")
     return out
 
 

@@ -4,6 +4,8 @@ A node is an end point snapped to a grid of the tolerance (exact coordinates wit
 deterministic, unlike a sweep in which the first point claims its neighbours; two ends on either side of a grid line can stay apart.
 """
 
+import math
+from collections import Counter
 from collections.abc import Sequence
 
 import pandas as pd
@@ -140,11 +142,19 @@ def qa_line_connection_field_values(lines: Tables, field: str, points: Tables =
 
 
 def qa_min_angle(tables: Tables, limit: float, tolerance: float = 0.0) -> DataFrame:
-    """Pairs of line ends at a node that enclose less than limit: neighbours in azimuth order only, which hold the smallest angles."""
+    """Pairs of line ends at a node that enclose less than limit (radians).
+
+    Ends meet only where their azimuths fall into the same sector or one beside it, sectors being as wide as limit: the rows made at a
+    hub follow those found there, and not the square of its ends.
+    """
     nodes = node_table(tables, tolerance).where("kind = 'line'").withColumn("az", F.atan2(F.col("ay") - F.col("y"), F.col("ax") - F.col("x")))
-    a, b = nodes.alias("a"), nodes.alias("b")
+    sectors = max(1, int(2 * math.pi / limit)) if limit > 0 else 1
+    sectors = sectors if sectors > 3 else 1
+    nodes = nodes.withColumn("sector", F.pmod(F.floor((F.col("az") + math.pi) * sectors / (2 * math.pi)), F.lit(sectors)))
+    around = F.array_distinct(F.array(*[F.pmod(F.col("sector") + k, F.lit(sectors)) for k in (-1, 0, 1)]))
+    a, b = nodes.alias("a"), nodes.withColumn("sector", F.explode(around)).alias("b")
     order = F.struct("a.tab", "a.oid", "a.is_start") < F.struct("b.tab", "b.oid", "b.is_start")
-    pairs = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y")) & order)
+    pairs = a.join(b, (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y")) & (F.col("a.sector") == F.col("b.sector")) & order)
     turn = F.abs(F.atan2(F.sin(F.col("a.az") - F.col("b.az")), F.cos(F.col("a.az") - F.col("b.az"))))
     found = pairs.select(F.struct("a.tab", "a.oid").alias("p"), F.struct("b.tab", "b.oid").alias("q"), turn.alias("v")).where(F.col("v") < limit)
     return issues(found, "MinAngle.AngleTooSmall", F.array("p", "q"), values=[F.round("v", 9)])
@@ -276,7 +286,7 @@ def qa_border_sense(table: Table, clockwise: bool = True, tolerance: float = 0.0
         paths = [p for x in part["own"] for p in S.unpacked(x)[1]]
         starts, ends = [p[0] for p in paths], [p[-1] for p in paths]
         codes = []
-        once = [p for p in {*starts, *ends} if starts.count(p) + ends.count(p) == 1]
+        once = [p for p, n in Counter([*starts, *ends]).items() if n == 1]
         if once:
             codes.append("BorderSense.IncompleteLine" if len(once) > 1 else "BorderSense.DanglingLine")
         elif sorted(starts) != sorted(ends):
@@ -293,8 +303,13 @@ def qa_border_sense(table: Table, clockwise: bool = True, tolerance: float = 0.0
     return issues(found, F.col("code"), [(table.name, "oid")])
 
 
-def shortest_paths(edges: DataFrame, source: int, rounds: int = 10_000) -> DataFrame:
-    """(node, cost): least cost from source over edges (a, b, cost) in both directions, relaxed until nothing changes."""
+def shortest_paths(edges: DataFrame, source: int, rounds: int = 10_000, goal: int | None = None, heuristic: DataFrame | None = None) -> DataFrame:
+    """(node, cost): least cost from source over edges (a, b, cost) in both directions, relaxed until nothing changes.
+
+    With a goal, ways that cannot become cheaper than the best one to it are given up: their cost, and what heuristic (node, h: at most
+    the rest of the way, no row counts as 0) adds, reaches that of the goal. Costs of nodes beyond are then upper bounds or left out;
+    the goal's own is exact.
+    """
     both = materialize(edges.select("a", "b", "cost").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "cost")), "edges")
     spark = edges.sparkSession
     best = materialize(spark.range(1).select(F.lit(source).cast("bigint").alias("node"), F.lit(0.0).alias("cost")), "paths")
@@ -303,7 +318,14 @@ def shortest_paths(edges: DataFrame, source: int, rounds: int = 10_000) -> DataF
         reached = fresh.join(both.withColumnRenamed("cost", "step"), fresh.node == both.a).select(F.col("b").alias("node"), (F.col("cost") + F.col("step")).alias("cost"))
         offered = reached.groupBy("node").agg(F.min("cost").alias("cost"))
         old = best.select("node", F.col("cost").alias("old"))
-        better = materialize(offered.join(old, "node", "left").where("old is null or cost < old - 1e-12").select("node", "cost"), "paths")
+        better = offered.join(old, "node", "left").where("old is null or cost < old - 1e-12").select("node", "cost")
+        if goal is not None:
+            reached_goal = best.where(F.col("node") == goal).select("cost").first()
+            if reached_goal:
+                rest = heuristic.select(F.col("node").alias("_h"), "h") if heuristic is not None else None
+                better = better.withColumn("h", F.lit(0.0)) if rest is None else better.join(rest, F.col("node") == F.col("_h"), "left").drop("_h")
+                better = better.where((F.col("cost") + F.coalesce("h", F.lit(0.0)) < reached_goal["cost"]) | (F.col("node") == goal)).drop("h")
+        better = materialize(better, "paths")
         if not better.limit(1).count():
             return best
         best = materialize(best.join(better.select("node"), "node", "left_anti").unionByName(better), "paths")

@@ -162,10 +162,10 @@ def qa_must_intersect_matrix_other(tables: Tables, others: Tables, patterns: Seq
 
 
 def near_pairs(tables: Tables, others: Tables, limit: float, condition: str | None = None) -> DataFrame:
-    """Pairs at most limit apart, with their distance: squared coordinates for two points, else exact shapes."""
+    """Pairs at most limit apart, with their distance: by expressions for points and boxes, else from the exact shapes."""
     pairs = S.other_pairs(list(tables), list(others), _fields(tables), _fields(others), limit)
     pairs = pairs.where(S.conditioned(pairs, condition, default=True))
-    return S.with_function(pairs, "distance", "double", planar.distance).where(F.col("distance") <= limit)
+    return S.distances(pairs).where(F.col("distance") <= limit)
 
 
 def qa_must_be_near_other(table: Table, others: Tables, limit: float, condition: str | None = None) -> DataFrame:

@@ -18,8 +18,8 @@ from plumbline.issues import Table, issues
 from plumbline.operators import spatial as S
 
 
-def _rows(table: Table) -> DataFrame:
-    return table.rows.select(F.col(table.oid).cast("bigint").alias("oid"), F.col(table.geom).alias("g")).where(~G.is_empty(F.col("g")))
+def _rows(table: Table, *keep: str) -> DataFrame:
+    return table.rows.select(F.col(table.oid).cast("bigint").alias("oid"), F.col(table.geom).alias("g"), *keep).where(~G.is_empty(F.col("g")))
 
 
 def _limit(table: Table, per_part: bool, whole: Column, part: Column, broken, code: str) -> DataFrame:
@@ -204,19 +204,23 @@ def qa_within_box(table: Table, xmin: float, ymin: float, xmax: float, ymax: flo
     return issues(_rows(table).where(~inside), "WithinBox.NotWithinBox", [(table.name, "oid")])
 
 
-def qa_geometry_constraint(table: Table, constraint: str, per_part: bool = False) -> DataFrame:
-    """A condition over geometry properties, for the whole shape or each part."""
-    rows = _rows(table)
+def qa_geometry_constraint(table: Table, constraint: str, per_part: bool = False, segment_types: str | None = None, part_types: str | None = None) -> DataFrame:
+    """A condition over geometry properties, for the whole shape or each part; see properties() for the columns of types."""
+    types = [c for c in (segment_types, part_types) if c]
+    rows = _rows(table, *types)
     if per_part:
-        rows = rows.select("oid", F.explode("g.parts").alias("p"), F.col("g.kind").alias("kind")).select("oid", F.struct("kind", F.array("p").alias("parts")).alias("g"))
-    names = {k.lower(): Value(v, kind) for k, (v, kind) in G.properties(F.col("g")).items()}
+        rows = rows.select("oid", F.posexplode("g.parts").alias("i", "p"), F.col("g.kind").alias("kind"), *types)
+        rows = rows.select("oid", F.struct("kind", F.array("p").alias("parts")).alias("g"), *[F.array(F.get(c, F.col("i"))).alias(c) for c in types])
+    found = G.properties(F.col("g"), F.col(segment_types) if segment_types else None, F.col(part_types) if part_types else None)
+    names = {k.lower(): Value(v, kind) for k, (v, kind) in found.items()}
     return issues(rows.where(~holds(constraint, names)), "GeometryConstraint.ConstraintNotFulfilled", [(table.name, "oid")], description=constraint)
 
 
 def with_properties(table: Table, *wanted: str) -> Table:
     """A table with $ property columns added as fields of expressions, under the names without $."""
     made = G.properties(F.col(table.geom))
-    made |= {"$ObjectID": (F.col(table.oid), "number"), "$TableName": (F.lit(table.name), "text")}
+    name = F.lit(table.name.rpartition(".")[2])
+    made |= {"$ObjectID": (F.col(table.oid), "number"), "$TableName": (name, "text"), "$QualifiedTableName": (F.lit(table.name), "text")}
     return Table(table.df.withColumns({w: made[w][0] for w in wanted}), table.name, table.oid, table.geom, table.where)
 
 

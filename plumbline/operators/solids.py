@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,9 +15,11 @@ from plumbline.functions import planar
 from plumbline.functions.expressions import Value, holds, kind_of
 from plumbline.issues import Table, issues
 from plumbline.operators import spatial as S
+from plumbline.operators.attributes import equal_values_condition
 from plumbline.operators.network import node_table
 from plumbline.operators.relations import _fields
 from plumbline.operators.single_geometry import _rows
+from plumbline.session import materialize
 
 
 def qa_mp_allowed_part_types(table: Table, types: str, allowed: Sequence[str]) -> DataFrame:
@@ -77,8 +81,9 @@ def qa_mp_horizontal_heights(table: Table, near: float, tolerance: float) -> Dat
 
 def _azimuths(table: Table, horizontal: float) -> DataFrame:
     s = G.segments_of(_rows(table), "oid", "g").where(F.abs(F.col("z1") - F.col("z0")) <= horizontal)
-    turn = F.pmod(F.atan2(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")), F.lit(math.pi))
-    return s.withColumn("az", turn)
+    # to 1e-12, so that the two directions of a line are one azimuth; a half turn is none
+    turn = F.round(F.pmod(F.atan2(F.col("y1") - F.col("y0"), F.col("x1") - F.col("x0")), F.lit(math.pi)), 12)
+    return s.withColumn("az", F.when(turn >= round(math.pi, 12), 0.0).otherwise(turn))
 
 
 def qa_mp_horizontal_azimuths(table: Table, near: float, tolerance: float, horizontal: float = 0.0, per_ring: bool = False) -> DataFrame:
@@ -209,7 +214,7 @@ def _at_border(tables: Sequence[Table], border: Table, distance: float = 1e-6) -
     fields = _fields(tables)
     nodes = node_table(tables, 0.0, fields).withColumn("nid", F.xxhash64("tab", "oid", "is_start", "x", "y")).withColumn("geom", G.point("x", "y"))
     n = Table(nodes.drop("kind", "is_start", "ax", "ay", "m", "z"), "nodes", "nid", "geom")
-    near = S.with_function(S.other_pairs([n], [border], (), (), distance), "d", "double", planar.distance).where(F.col("d") <= distance)
+    near = S.distances(S.other_pairs([n], [border], (), (), distance), "d").where(F.col("d") <= distance)
     return n.df.join(near.select(F.col("a.oid").alias("_n")).distinct(), F.col("nid") == F.col("_n"), "left_semi")
 
 
@@ -237,8 +242,98 @@ def edge_match(one: Sequence[Table], border1: Table, two: Sequence[Table], borde
     return issues(rows, F.col("_code"), both, values=[F.round("best.d", 9)])
 
 
-def qa_edge_match_bordering_points(*args, **kwargs) -> DataFrame:
-    return edge_match(*args, prefix="EdgeMatchBorderingPoints", **kwargs)
+def _pair_names(one: str, a: DataFrame, two: str, b: DataFrame, sides: tuple[str, str] = ("a", "b")) -> dict[str, Value]:
+    """The fields of two struct columns under the names that conditions call the sides by."""
+    return {f"{called}.{c}".lower(): Value(F.col(f"{side}.`{c}`"), kind_of(t)) for called, df, side in ((one, a, sides[0]), (two, b, sides[1])) for c, t in df.dtypes}
+
+
+def _touching(points: Sequence[Table], border: Table) -> DataFrame:
+    """Pairs of a point (a) and a border feature (b) that it lies on."""
+    pairs = S.other_pairs(list(points), [border], _fields(points), _fields([border]), 1e-9)
+    return S.distances(pairs, "d").where("d <= 1e-9").select("a", "b")
+
+
+def qa_edge_match_bordering_points(
+    points1: Sequence[Table], border1: Table, points2: Sequence[Table], border2: Table, search_distance: float, *, point_class_1_border_match_condition: str | None = None, point_class_2_border_match_condition: str | None = None,
+    bordering_point_match_condition: str | None = None, bordering_point_attribute_constraint: str | None = None, is_bordering_point_attribute_constraint_symmetric: bool = False, bordering_point_equal_attributes: str | None = None, bordering_point_equal_attribute_options: Sequence[str] = (),
+    report_individual_attribute_constraint_violations: bool = False, coincidence_tolerance: float = 0.0, allow_disjoint_candidate_feature_if_borders_are_not_coincident: bool = False, allow_no_feature_within_search_distance: bool = False, allow_disjoint_candidate_feature_if_attribute_constraints_are_fulfilled: bool = False,
+) -> DataFrame:
+    """Points on the border of their side against the points on the other side's border within the search distance, from both sides.
+
+    A point is matched if a candidate (a neighbour that fulfils the match condition, POINT1 and POINT2, and lies on its own border)
+    is coincident and breaks neither the attribute constraint nor equal attributes. Else a coincident candidate (the one of the smallest oid) is
+    reported with what it breaks, else every candidate, by whether the two lie on each other's border and what they break; without a
+    candidate, the point alone. Border match conditions call the sides POINT and BORDER. A pair is reported once, from side 1 if both see it:
+    a point of side 2 with a candidate that was reported together with it is left alone.
+    """
+    prefix, tolerance = "BorderingPoints.", max(coincidence_tolerance, 1e-9)
+    sides = ((points1, border1, point_class_1_border_match_condition), (points2, border2, point_class_2_border_match_condition))
+    keys = ["tab", "oid"]
+
+    def on_border(points: Sequence[Table], border: Table, condition: str | None) -> DataFrame:
+        pairs = _touching(points, border)
+        return pairs.where(holds(condition, _pair_names("point", pairs.select("a.*"), "border", pairs.select("b.*")))).select("a.tab", "a.oid").distinct()
+
+    own = [materialize(on_border(*side), "border_points") for side in sides]
+    rows = [reduce(DataFrame.unionByName, [S.shapes(t, _fields(points)).withColumn("tab", F.lit(t.name)) for t in points]).join(known, keys, "left_semi") for (points, _, _), known in zip(sides, own, strict=True)]
+    grown = reduce(DataFrame.unionByName, [S.shapes(t, _fields(points2), search_distance).withColumn("tab", F.lit(t.name)) for t in points2]).join(own[1], keys, "left_semi")
+    pairs = S.distances(S.candidate_pairs(rows[0], grown)).where(F.col("distance") <= search_distance)
+    # whether each of the two lies on the border of the other, as the other's border match condition has it
+    together = F.lit(True)
+    pairs = pairs.withColumn("_pair", F.xxhash64("a.tab", "a.oid", "b.tab", "b.oid"))
+    for k, side, other in ((0, "a", 1), (1, "b", 0)):
+        touch = _touching(sides[k][0], sides[other][1]).select(F.col("a.tab").alias("_tab"), F.col("a.oid").alias("_oid"), F.col("b").alias("c"))
+        met = pairs.join(touch, (F.col(f"{side}.tab") == F.col("_tab")) & (F.col(f"{side}.oid") == F.col("_oid")))
+        neighbour = "b" if side == "a" else "a"
+        met = met.where(holds(sides[other][2], _pair_names("point", pairs.select(f"{neighbour}.*"), "border", touch.select("c.*"), (neighbour, "c"))))
+        pairs = pairs.join(met.select(F.col("_pair").alias(f"_met{k}")).distinct(), F.col("_pair") == F.col(f"_met{k}"), "left")
+        together = together & F.col(f"_met{k}").isNotNull()
+    pairs = materialize(pairs.withColumn("together", together).select("a", "b", "distance", "together"), "candidates")
+    fields = (pairs.select("a.*"), pairs.select("b.*"))
+
+    def seen_from(side: int) -> DataFrame:
+        """The candidates of one side's points: p, n, and what is broken."""
+        x, y = ("a", "b") if side == 0 else ("b", "a")
+        df = (fields[side], fields[1 - side])
+        names = _pair_names("point1", df[0], "point2", df[1], (x, y))
+        met = holds(bordering_point_attribute_constraint, names)
+        if is_bordering_point_attribute_constraint_symmetric:
+            met = met | holds(bordering_point_attribute_constraint, _pair_names("point1", df[1], "point2", df[0], (y, x)))
+        broken = [F.when(~met, F.struct(F.lit(None).cast("string").alias("component"), F.lit(bordering_point_attribute_constraint).alias("text")))]
+        unequal = []
+        for part in re.split(r"(?<!\\)[,;]", bordering_point_equal_attributes or ""):
+            name = part.partition(":")[0].strip().upper()
+            if name:
+                options = [o for o in bordering_point_equal_attribute_options if o.partition(":")[0].strip().upper() == name]
+                same = equal_values_condition(part, x, y, options, df, sensitive=False)
+                unequal.append(F.when(~same, F.struct(F.lit(name).alias("component"), F.concat(F.lit(f"{name} differs")).alias("text"))))
+        if report_individual_attribute_constraint_violations or not unequal:
+            broken += unequal
+        else:
+            all_of = F.array_compact(F.array(*unequal))
+            joined = F.struct(F.array_join(F.transform(all_of, lambda u: u["component"]), ",").alias("component"), F.array_join(F.transform(all_of, lambda u: u["text"]), "; ").alias("text"))
+            broken.append(F.when(F.size(all_of) > 0, joined))
+        key = lambda c: F.struct(F.col(f"{c}.tab").alias("tab"), F.col(f"{c}.oid").alias("oid"))
+        return pairs.where(holds(bordering_point_match_condition, names)).select(key(x).alias("p"), key(y).alias("n"), "distance", "together", F.array_compact(F.array(*broken)).alias("broken"))
+
+    clean = (F.size("broken") == 0)
+    reports, missing, told = [], [], None
+    for side in (0, 1):
+        seen = materialize(seen_from(side), "seen")
+        near = F.col("distance") <= tolerance
+        best = seen.groupBy("p").agg(F.max(near & clean).alias("matched"), F.min(F.when(near, F.col("n"))).alias("first"))
+        left = seen.join(best, "p").where(~F.col("matched") & (F.col("first").isNull() | (F.col("first") == F.col("n"))))
+        if told is not None:
+            left = left.join(told.select(F.col("n").alias("p")).distinct(), "p", "left_anti")
+        told = left.select("p", "n")
+        found = F.concat(F.lit("NoMatch.CandidateExists."), F.when(F.col("together"), "").otherwise("BordersNotCoincident+"), F.when(clean, "ConstraintsFulfilled").otherwise("ConstraintsNotFulfilled"))
+        allowed = F.lit(allow_disjoint_candidate_feature_if_borders_are_not_coincident) & ~F.col("together") | F.lit(allow_disjoint_candidate_feature_if_attribute_constraints_are_fulfilled) & clean
+        left = left.where(near | ~allowed).withColumn("code", F.when(near, F.lit("Match.ConstraintsNotFulfilled")).otherwise(found))
+        left = left.withColumn("v", F.explode_outer("broken"))
+        reports.append(issues(left, F.concat(F.lit(prefix), "code"), F.array("p", "n"), F.col("v.component"), F.col("v.text"), values=[F.round("distance", 9)]))
+        alone = own[side].join(seen.select("p.tab", "p.oid").distinct(), keys, "left_anti")
+        missing.append(issues(alone, f"{prefix}NoMatch.NoCandidate", F.array(F.struct(*keys)), values=[F.lit(None)]))
+    return reduce(DataFrame.unionByName, reports if allow_no_feature_within_search_distance else reports + missing)
 
 
 def qa_edge_match_crossing_lines(*args, **kwargs) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Spatial joins: candidate pairs by grid cells, then exact relations in Arrow batches.
+"""Spatial joins: candidate pairs by grid cells, then exact relations: expressions for points and boxes, else in Arrow batches.
 
 Every shape has a level, the power of two of the cell that is at least as large as it, so that it covers at most four cells of its
 level; a large shape does not multiply. A pair meets at the higher of its two levels, in the one cell that is the maximum of
@@ -42,12 +42,30 @@ def unpacked(row: dict) -> planar.Shape:
     return row["kind"], out
 
 
+#: What the envelope alone tells all of: single points and axis-parallel rectangles.
+POINT, BOX = 1, 2
+
+
+def _plain(geom: Column, e: dict[str, Column]) -> Column:
+    """POINT or BOX for shapes that their envelope tells all of, else 0."""
+    p = G.points(geom)
+    corner = F.forall(p, lambda q: q["x"].isin(e["xmin"], e["xmax"]) & q["y"].isin(e["ymin"], e["ymax"]))
+    at = lambda k: F.get(p, F.lit(k))
+    across = lambda i, j: (at(i)["x"] != at(j)["x"]) & (at(i)["y"] != at(j)["y"])
+    closed = (at(0)["x"] == at(4)["x"]) & (at(0)["y"] == at(4)["y"]) & ((at(0)["x"] == at(1)["x"]) != (at(0)["y"] == at(1)["y"]))
+    box = (geom["kind"] == "polygon") & (F.size(geom["parts"]) == 1) & (F.size(p) == 5) & corner & across(0, 2) & across(1, 3) & closed
+    return F.when((geom["kind"] == "point") & (F.size(p) == 1), POINT).when(box, BOX).otherwise(0)
+
+
 def shapes(table: Table, keep: tuple[str, ...] = (), grow: float = 0.0) -> DataFrame:
     """oid, geom, the kept fields and the envelope (grown) of the non-empty rows of a table."""
     g = F.col(table.geom)
     rows = table.rows.where(~G.is_empty(g)).select(F.col(table.oid).cast("bigint").alias("oid"), g.alias("geom"), *keep)
-    e = G.envelope(F.col("geom"))
-    return rows.withColumns({k: v - grow if k.endswith("min") else v + grow for k, v in e.items()})
+    rows = rows.withColumns(G.envelope(F.col("geom")))
+    rows = rows.withColumn("_plain", _plain(F.col("geom"), {k: F.col(k) for k in ("xmin", "ymin", "xmax", "ymax")}))
+    # the envelope as it is, beside the grown one
+    rows = rows.withColumn("_own", F.struct("xmin", "ymin", "xmax", "ymax"))
+    return rows.withColumns({k: F.col(k) - grow if k.endswith("min") else F.col(k) + grow for k in ("xmin", "ymin", "xmax", "ymax")}) if grow else rows
 
 
 def _leveled(rows: DataFrame) -> DataFrame:
@@ -135,9 +153,58 @@ def as_geometry(found: planar.Shape) -> dict | None:
     return {"kind": found[0], "parts": [[{"x": x, "y": y, "z": None, "m": None, "id": None} for x, y in part] for part in found[1]]} if found[1] else None
 
 
+def _sides() -> tuple[Column, ...]:
+    return tuple(F.col(f"{s}._own.{k}") for s in "ab" for k in ("xmin", "ymin", "xmax", "ymax"))
+
+
+def _epsilon() -> Column:
+    """The tolerance of planar.relate(), from the largest coordinate."""
+    return 1e-9 * F.greatest(F.lit(1.0), *[F.abs(c) for c in _sides()])
+
+
+def _plain_matrix() -> Column:
+    """The intersection matrix of points and boxes from their envelopes."""
+    ax0, ay0, ax1, ay1, bx0, by0, bx1, by1 = _sides()
+    eps = _epsilon()
+    less = lambda x, y: y - x > eps
+    same = lambda x, y: F.abs(x - y) <= eps
+    one = lambda condition, yes, no="F": F.when(condition, yes).otherwise(no)
+    over_x, over_y = less(ax0, bx1) & less(bx0, ax1), less(ay0, by1) & less(by0, ay1)
+    inner = over_x & over_y
+    apart = less(ax1, bx0) | less(bx1, ax0) | less(ay1, by0) | less(by1, ay0)
+    a_in_b = ~(less(ax0, bx0) | less(bx1, ax1) | less(ay0, by0) | less(by1, ay1))
+    b_in_a = ~(less(bx0, ax0) | less(ax1, bx1) | less(by0, ay0) | less(ay1, by1))
+    a_inside, b_inside = less(bx0, ax0) & less(ax1, bx1) & less(by0, ay0) & less(ay1, by1), less(ax0, bx0) & less(bx1, ax1) & less(ay0, by0) & less(by1, ay1)
+    along = over_y & (same(ax0, bx0) | same(ax0, bx1) | same(ax1, bx0) | same(ax1, bx1)) | over_x & (same(ay0, by0) | same(ay0, by1) | same(ay1, by0) | same(ay1, by1))
+    edges = F.when(apart | a_inside | b_inside, "F").when(along, "1").otherwise("0")
+    boxes = F.concat(one(inner, "2"), one(inner & ~a_in_b, "1"), one(~a_in_b, "2"), one(inner & ~b_in_a, "1"), edges, one(~a_in_b, "1"), one(~b_in_a, "2"), one(~b_in_a, "1"), F.lit("2"))
+    points = one(a_in_b, "0FFFFFFF2", "FF0FFF0F2")
+    point_box = F.when(a_inside, "0FFFFF212").when(a_in_b, "F0FFFF212").otherwise("FF0FFF212")
+    box_point = F.when(b_inside, "0F2FF1FF2").when(b_in_a, "FF20F1FF2").otherwise("FF2FF10F2")
+    a_point, b_point = F.col("a._plain") == POINT, F.col("b._plain") == POINT
+    return F.when(a_point & b_point, points).when(a_point, point_box).when(b_point, box_point).otherwise(boxes)
+
+
+def _plain_distance() -> Column:
+    ax0, ay0, ax1, ay1, bx0, by0, bx1, by1 = _sides()
+    zero = F.lit(0.0)
+    return F.sqrt(F.greatest(bx0 - ax1, ax0 - bx1, zero) ** 2 + F.greatest(by0 - ay1, ay0 - by1, zero) ** 2)
+
+
+def _parted(pairs: DataFrame, name: str, kind: str, plain: Column, function: Callable[[planar.Shape, planar.Shape], object]) -> DataFrame:
+    """pairs with a column that is an expression for points and boxes, and a function of the shapes for all others."""
+    easy = (F.col("a._plain") > 0) & (F.col("b._plain") > 0)
+    return pairs.where(easy).withColumn(name, plain).unionByName(with_function(pairs.where(~easy), name, kind, function))
+
+
+def distances(pairs: DataFrame, name: str = "distance") -> DataFrame:
+    """pairs with the distance of their shapes."""
+    return _parted(pairs, name, "double", _plain_distance(), planar.distance)
+
+
 def related(pairs: DataFrame, relation: str | Callable[[str], Column] = "intersects") -> DataFrame:
     """Pairs that stand in a relation, with their matrix."""
-    pairs = with_function(pairs, "matrix", "string", planar.relate)
+    pairs = _parted(pairs, "matrix", "string", _plain_matrix(), planar.relate)
     return pairs.where(relation(F.col("matrix")) if callable(relation) else relation_column(relation))
 
 

@@ -73,14 +73,15 @@ def tr_dissolve(table: Table, group_by: Sequence[str] = (), attributes: Sequence
     """
     keyed = table.rows.where(~G.is_empty(F.col(table.geom))).withColumn("_g", F.to_json(F.struct(*[F.col(g) for g in group_by])) if group_by else F.lit(""))
     t = Table(keyed, table.name, table.oid, table.geom)
-    lines = keyed.select(f"{table.geom}.kind").limit(1).collect()
-    if lines and lines[0][0] == "line":
-        nodes = node_table([t], 0.0, ["_g"])
-        least = nodes.groupBy("_g", "x", "y").agg(F.min("oid").alias("a"))
-        links = nodes.join(least, ["_g", "x", "y"]).where("oid <> a").select("a", F.col("oid").alias("b"))
-    else:
-        pairs = S.self_pairs([t], ("_g",)).where("a._g = b._g")
-        links = S.related(pairs, lambda m: F.substring(m, 1, 1).isin("1", "2") | (F.substring(m, 5, 1) == "1")).select(F.col("a.oid").alias("a"), F.col("b.oid").alias("b"))
+    kind = F.col(f"{table.geom}.kind")
+    part = lambda where: Table(keyed.where(where), table.name, table.oid, table.geom)
+    # lines and polygons of one table are dissolved apart, and points stay as they are
+    nodes = node_table([part(kind == "line")], 0.0, ["_g"])
+    least = nodes.groupBy("_g", "x", "y").agg(F.min("oid").alias("a"))
+    links = nodes.join(least, ["_g", "x", "y"]).where("oid <> a").select("a", F.col("oid").alias("b"))
+    pairs = S.self_pairs([part(~kind.isin("line", "point"))], ("_g",)).where("a._g = b._g")
+    met = S.related(pairs, lambda m: F.substring(m, 1, 1).isin("1", "2") | (F.substring(m, 5, 1) == "1"))
+    links = links.unionByName(met.select(F.col("a.oid").alias("a"), F.col("b.oid").alias("b")))
     comps = connected(keyed.select(F.col(table.oid).cast("bigint").alias("node")), links)
     rows = keyed.join(comps, F.col(table.oid).cast("bigint") == F.col("node"))
     names = names_of(rows)
@@ -88,7 +89,7 @@ def tr_dissolve(table: Table, group_by: Sequence[str] = (), attributes: Sequence
 
     def merge(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         shapes = [S.unpacked(x) for x in part["own"]]
-        total = planar.union(shapes) if shapes[0][0] == "polygon" else ("line", [p for s in shapes for p in s[1]])
+        total = planar.union(shapes) if shapes[0][0] == "polygon" else (shapes[0][0], [p for s in shapes for p in s[1]])
         x, y = ([float(q[k]) for r in total[1] for q in r] for k in (0, 1))
         return pd.DataFrame({"comp": [key[0]], "_g": [key[1]], "kind": [total[0]], "sizes": [[len(r) for r in total[1]]], "x": [x], "y": [y]})
 
@@ -221,6 +222,18 @@ def with_place(found: DataFrame, tables: Sequence[Table]) -> Table:
     return Table(numbered.join(shapes, (first["tab"] == F.col("_tab")) & (first["oid"] == F.col("_oid")), "left").drop("_tab", "_oid"), "issues", "issue", "place")
 
 
+def related_shapes(table: Table, feature: Table, key: str, feature_key: str) -> Table:
+    """A table without geometry, with the shapes of its related features as one geometry (of the kind most of them have); rows without
+    related features stay without. With it, issues of table rows get a place, and areas can filter them."""
+    g = F.col(feature.geom)
+    rows = feature.rows.where(~G.is_empty(g)).select(F.col(feature_key).cast("string").alias("_key"), g["kind"].alias("_kind"), g["parts"].alias("_parts"))
+    own = table.rows.select(F.col(table.oid).alias("_oid"), F.col(key).cast("string").alias("_own"))
+    met = own.join(rows, F.col("_own") == F.col("_key")).groupBy("_oid", "_kind").agg(F.count("*").alias("n"), F.flatten(F.collect_list("_parts")).alias("_parts"))
+    best = met.groupBy("_oid").agg(F.max_by(F.struct(F.col("_kind").alias("kind"), F.col("_parts").alias("parts")), F.struct("n", "_kind")).alias("related"))
+    out = table.rows.join(best, F.col(table.oid) == F.col("_oid"), "left").withColumn("related", F.col("related").cast(G.GEOMETRY)).drop("_oid")
+    return Table(out, table.name, table.oid, "related")
+
+
 def if_all(found: DataFrame, suppress: bool = True) -> DataFrame:
     return found.where(F.lit(not suppress))
 
@@ -244,7 +257,7 @@ def if_near(placed: Table, other: Table, near: float) -> DataFrame:
     from plumbline.operators.proximity import _STRETCH, merged, near_stretches
 
     pairs = S.other_pairs([placed], [other], (), (), near)
-    near_points = S.with_function(pairs.where("a.geom.kind = 'point'"), "d", "double", planar.distance).where(F.col("d") < near).select(F.col("a.oid").alias("_hit"))
+    near_points = S.distances(pairs.where("a.geom.kind = 'point'"), "d").where(F.col("d") < near).select(F.col("a.oid").alias("_hit"))
     rest = S.with_function(pairs.where("a.geom.kind <> 'point'"), "found", _STRETCH, lambda a, b: near_stretches(a, b, near))
     runs = merged(rest.select(F.col("a.oid").alias("oid"), F.explode("found").alias("f")).select("oid", "f.*"), ["oid", "part"])
     covered = runs.groupBy("oid").agg(F.sum(F.col("high") - F.col("low")).alias("c"))
@@ -265,4 +278,4 @@ def if_involved_rows(found: DataFrame, constraint: str, tables: Sequence[Table])
     return numbered.join(parts, "_issue", "left_anti").drop("_issue")
 
 
-__all__ = [n for n in dir() if n.startswith(("tr_", "if_", "rf_"))] + ["with_place"]
+__all__ = [n for n in dir() if n.startswith(("tr_", "if_", "rf_"))] + ["related_shapes", "with_place"]

@@ -24,6 +24,16 @@ def scan(spark: SparkSession, path: str, fmt: str = "parquet", fields: Sequence[
     return df.select(*fields) if fields else df
 
 
+def remote_query(spark: SparkSession, url: str, query: str, partition: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+    """The rows of a query that a database evaluates. partition: (column, lowest, highest, number), so that many tasks read side by
+    side; the bounds only deal rows out and leave none away."""
+    reader = spark.read.format("jdbc").options(url=url, **options)
+    if partition is None:
+        return reader.option("query", query).load()
+    column, lowest, highest, number = partition
+    return reader.option("dbtable", f"({query}) q").options(partitionColumn=column, lowerBound=lowest, upperBound=highest, numPartitions=number).load()
+
+
 def keyed_scan(df: DataFrame, key: str, keys: DataFrame, keys_field: str) -> DataFrame:
     """The rows whose key is among keys: a semi-join, which the planner broadcasts only if it finds keys small."""
     return df.join(keys.select(F.col(keys_field).alias("_key")).distinct(), F.col(key) == F.col("_key"), "left_semi")
