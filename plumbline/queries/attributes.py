@@ -37,6 +37,7 @@ QUERIES: dict[str, Query] = {
     "qa_valid_coordinate_fields": lambda s, d: flat(A.qa_valid_coordinate_fields(_coordinates(s, d), F.col("px"), F.col("py"), "x", "y", 0.25)),
     "qa_gdb_constraint": lambda s, d: flat(A.qa_gdb_constraint(table(s, d, "orders"), [("price", "o_totalprice >= 50000", None), ("status", "o_orderstatus <> 'P'", "o_totalprice > 100000")]), "component"),
     "qa_constraints_list_factory": lambda s, d: flat(A.constraints_list(table(s, d, "nation"), s.createDataFrame([("LENGTH (n_name) < 9", 1), ("n_regionkey = 1", 2), ("  ", 3)], "rule string, rank int"), "rule", expression_is_error=True), "description"),
+    "equal_field_values_options": lambda s, d: _nearly_same_orders(s, d),
     "equal_field_values": lambda s, d: _same_orders(s, d),
 }
 
@@ -83,7 +84,18 @@ def _same_orders(s, d):
     return a.join(b, (F.col("a.r") == F.col("b.r")) & (F.col("a.oid") < F.col("b.oid")) & A.equal_values_condition("p,v:|")).select(F.col("a.oid").alias("oid"), F.col("b.oid").alias("other_oid"))
 
 
+def _nearly_same_orders(s, d):
+    """Orders of one customer whose clerk (without its number), priority (if not urgent) and price (within a tenth) agree."""
+    o = table(s, d, "orders").df.select(F.col("o_orderkey").alias("oid"), "o_custkey", "o_orderpriority", "o_totalprice", "o_orderstatus")
+    a, b = o.alias("a"), o.alias("b")
+    options = ["o_orderpriority:ignore=^[0-9]-", "o_orderpriority:ignoreCondition=_VALUE = 'urgent' OR o_orderstatus = 'P'", "o_totalprice:allowedDifferenceCondition=G1._VALUE >= G2._VALUE AND G1._VALUE <= G2._VALUE * 1.1 AND G1.o_orderstatus = G2.o_orderstatus"]
+    same = A.equal_values_condition("o_orderpriority;o_totalprice", options=options, rows=(o, o), sensitive=False)
+    return a.join(b, (F.col("a.o_custkey") == F.col("b.o_custkey")) & (F.col("a.oid") < F.col("b.oid")) & same).select(F.col("a.oid").alias("oid"), F.col("b.oid").alias("other_oid"))
+
+
 ORACLES: dict[str, str] = {
+    "equal_field_values_options": """WITH o AS (SELECT o_orderkey AS oid, o_custkey AS c, o_totalprice AS t, o_orderstatus AS s, CASE WHEN o_orderpriority LIKE '%URGENT' OR o_orderstatus = 'P' THEN NULL ELSE regexp_replace(o_orderpriority, '^[0-9]-', '') END AS p FROM orders)
+        SELECT a.oid, b.oid AS other_oid FROM o a JOIN o b ON a.c = b.c AND a.oid < b.oid AND a.p IS NOT DISTINCT FROM b.p AND (a.t = b.t OR a.s = b.s AND greatest(a.t, b.t) <= least(a.t, b.t) * 1.1)""",
     "qa_constraint": f"SELECT 'Constraints.ConstraintNotFulfilled' AS issue_code, {LINE} AS oid FROM lineitem WHERE NOT coalesce(l_discount < 0.05 AND l_quantity >= 10, false)",
     "qa_constraint_tree": f"""SELECT 'Constraints.ConstraintNotFulfilled' AS issue_code, {LINE} AS oid, description FROM lineitem, LATERAL (VALUES
         ('l_tax < 0.02', l_returnflag = 'R' AND NOT l_tax < 0.02),

@@ -12,10 +12,11 @@ from plumbline.issues import Table
 from plumbline.operators import attributes as A
 from plumbline.operators import schema as C
 from plumbline.operators import solids as M
+from plumbline.plans import documents as D
 from plumbline.plans import specification as P
 from plumbline.queries.base import Query, flat, table
 from plumbline.queries.shapes import E, event_lines
-from plumbline.queries.space import PD, W, boxes, lines, points
+from plumbline.queries.space import PD, PON, W, boxes, lines, points
 from plumbline.sources import tables as O
 from plumbline.streaming import incremental as K
 
@@ -50,17 +51,43 @@ def houses(s, d) -> Table:
 
 
 def _cells(s, d):
-    """Surface heights on a grid of 80 by 80: (ix * 7 + iy * 3) % 11, made by a range and so the same at every scale."""
-    return s.range(6400).select((F.col("id") % 80).alias("ix"), F.floor(F.col("id") / 80).alias("iy")).withColumn("z", (F.col("ix") * 7 + F.col("iy") * 3) % 11)
+    """Surface heights (ix * 7 + iy * 3) % 11 under the points and lines of customers, block by block of 500; one column of each is missing."""
+    blocks = table(s, d, "customer").df.select(F.floor(F.col("c_custkey") / 500).alias("b")).distinct()
+    cells = blocks.select("b", F.explode(F.sequence(F.lit(0), F.lit(46))).alias("i")).where("i <> 5").select((F.col("b") * 100 + F.col("i")).alias("ix"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(23).cast("long"))).alias("iy"))
+    return cells.withColumn("z", (F.col("ix") * 7 + F.col("iy") * 3) % 11)
 
 
 def _tiles(s, d):
     return M.raster_tiles(_cells(s, d), 16)
 
 
-def _border(s) -> Table:
-    """The border y = 20, cut into stretches of 100."""
-    rows = s.range(2000).select("id", G.segment(F.col("id") * 100.0, F.lit(20.0), F.col("id") * 100.0 + 100, F.lit(20.0)).alias("geom"))
+def _event_tiles(s, d):
+    """The same heights on 80 by 80 cells: event lines run over them side by side, however many there are."""
+    cells = s.range(6400).select((F.col("id") % 80).alias("ix"), F.floor(F.col("id") / 80).alias("iy"))
+    return M.raster_tiles(cells.withColumn("z", (F.col("ix") * 7 + F.col("iy") * 3) % 11), 16)
+
+
+def courtyards(s, d) -> Table:
+    """Four floors round a yard per part; the last one is missing but for each third."""
+    p = table(s, d, "part").df
+    v = lambda x, y: G.vertex(x + F.col("p_partkey") * 10.0, F.lit(float(y)), F.lit(0.0))
+    face = lambda x0, y0, x1, y1: F.array(*[v(F.lit(float(x)), y) for x, y in ((x0, y0), (x0, y1), (x1, y1), (x1, y0), (x0, y0))])
+    last = F.when(F.col("p_partkey") % 3 == 0, face(2, 1, 3, 2))
+    return Table(p.select(F.col("p_partkey").alias("oid"), G.geometry("multipatch", F.array_compact(F.array(face(0, 0, 3, 1), face(0, 2, 3, 3), face(0, 1, 1, 2), last))).alias("geom")), "courtyards", "oid", "geom")
+
+
+def leaning(s, d) -> Table:
+    """A horizontal parallelogram per part that leans by the key modulo 5, in 64ths."""
+    p = table(s, d, "part").df
+    lean, one, zero = (F.col("p_partkey") % 5) / 64.0, F.lit(1.0), F.lit(0.0)
+    v = lambda x, y: G.vertex(x + F.col("p_partkey") * 10.0, y, zero)
+    return Table(p.select(F.col("p_partkey").alias("oid"), G.geometry("multipatch", F.array(F.array(v(zero, zero), v(one, zero), v(one + lean, one), v(lean, one), v(zero, zero)))).alias("geom")), "leaning", "oid", "geom")
+
+
+def _border(s, d) -> Table:
+    """The border y = 20 along all customers, cut into stretches of 100."""
+    stretches = table(s, d, "customer").df.select(F.explode(F.sequence(F.floor(F.col("c_custkey") * 4 / 100) - 1, F.floor(F.col("c_custkey") * 4 / 100) + 1)).alias("id")).distinct()
+    rows = stretches.select("id", F.col("id").alias("stretch"), G.segment(F.col("id") * 100.0, F.lit(20.0), F.col("id") * 100.0 + 100, F.lit(20.0)).alias("geom"))
     return Table(rows, "border", "id", "geom")
 
 
@@ -116,6 +143,33 @@ def specification(s, d):
     return P.run(spec, {n: table(s, d, n) for n in ("orders", "customer", "lineitem")})
 
 
+DOCUMENT = """<DataQuality xmlns="urn:quality-specifications-3.0">
+<QualitySpecifications><QualitySpecification name="boxes and orders"><Elements><Element qualityCondition="small boxes"/><Element qualityCondition="poor customers" allowErrors="True"/><Element qualityCondition="names"/></Elements></QualitySpecification></QualitySpecifications>
+<QualityConditions>
+ <QualityCondition name="small boxes" testDescriptor="min area"><Parameters><Dataset parameter="polygonClass" value="boxes" where="p_size &gt; 3" workspace="w"/><Scalar parameter="limit" value="3"/></Parameters>
+  <Filters><Filter issueFilterName="at a point"/><Filter issueFilterName="brand"/></Filters><FilterExpression expression="[at a point] AND NOT brand"/></QualityCondition>
+ <QualityCondition name="names" testDescriptor="field names"><Parameters><Dataset parameter="table" value="orders" workspace="w"/><Scalar parameter="maximumLength" value="11"/></Parameters></QualityCondition>
+</QualityConditions>
+<Transformers><Transformer name="orders of customers" transformerDescriptor="join"><Parameters><Dataset parameter="t0" value="orders" where="o_orderstatus = 'F'" workspace="w"/><Dataset parameter="t1" value="customer" workspace="w"/><Scalar parameter="leftKey" value="o_custkey"/><Scalar parameter="rightKey" value="c_custkey"/></Parameters></Transformer></Transformers>
+<IssueFilters><IssueFilter name="at a point" issueFilterDescriptor="intersecting"><Parameters><Dataset parameter="featureClass" value="points" workspace="w"/></Parameters></IssueFilter>
+ <IssueFilter name="brand" issueFilterDescriptor="rows"><Parameters><Scalar parameter="constraint" value="p_brand LIKE '%1'"/></Parameters></IssueFilter></IssueFilters>
+<Categories><Category name="attributes"><SubCategories><Category name="orders"><QualityConditions>
+ <QualityCondition name="poor customers" testDescriptor="constraint"><Parameters><Dataset parameter="table" transformerName="orders of customers"/><Scalar parameter="constraint" value="c_acctbal &gt; 0 OR o_totalprice &lt; 100000"/></Parameters></QualityCondition>
+</QualityConditions></Category></SubCategories></Category></Categories>
+<TestDescriptors><TestDescriptor name="min area" stopOnError="False" allowErrors="False"><TestClass type="quality.tests.QaMinArea" constructorIndex="0"/></TestDescriptor><TestDescriptor name="constraint"><TestClass type="quality.tests.QaConstraint" constructorIndex="0"/></TestDescriptor>
+ <TestDescriptor name="field names"><TestClass type="quality.tests.schema.QaSchemaFieldNames" constructorIndex="0"/></TestDescriptor></TestDescriptors>
+<TransformerDescriptors><TransformerDescriptor name="join"><TransformerClass type="quality.tests.transformers.TrTableJoin" constructorIndex="0"/></TransformerDescriptor></TransformerDescriptors>
+<IssueFilterDescriptors><IssueFilterDescriptor name="intersecting"><IssueFilterClass type="quality.tests.filters.IfIntersecting" constructorIndex="0"/></IssueFilterDescriptor><IssueFilterDescriptor name="rows"><IssueFilterClass type="quality.tests.filters.IfInvolvedRows" constructorIndex="0"/></IssueFilterDescriptor></IssueFilterDescriptors>
+<Workspaces><Workspace id="w" modelName="model" catalogPath="/data"/></Workspaces></DataQuality>"""
+
+
+def quality_document(s, d):
+    """A data quality document with categories, a transformer, issue filters, a schema check and overridden severities, run over tables."""
+    spec = D.from_document(DOCUMENT).specifications["boxes and orders"]
+    tables = {"boxes": boxes(s, d), "points": points(s, d), "orders": table(s, d, "orders"), "customer": table(s, d, "customer")}
+    return P.run(spec, tables).select("condition", "severity", "issue_code", F.get("involved", F.lit(0))["oid"].alias("oid"), F.get("involved", F.lit(0))["tab"].alias("tab"), "component")
+
+
 def _stored(s, d):
     path = session.new_path(s, "issues")
     O.write_issues(A.qa_constraint(table(s, d, "orders"), "o_totalprice < 300000"), path)
@@ -175,23 +229,26 @@ QUERIES: dict[str, Query] = {
     "qa_mp_vertical_faces": lambda s, d: flat(M.qa_mp_vertical_faces(houses(s, d), 0.5, 0.1), "value"),
     "qa_coplanar_rings": lambda s, d: flat(M.qa_coplanar_rings(houses(s, d), 0.05), "value"),
     "qa_mp_horizontal_heights": lambda s, d: flat(M.qa_mp_horizontal_heights(event_lines(s, d), 1.0, 0.5), "value"),
-    "qa_mp_horizontal_azimuths": lambda s, d: flat(M.qa_mp_horizontal_azimuths(event_lines(s, d), 0.001, 0.0005, 0.5), "value"),
-    "qa_mp_horizontal_perpendicular": lambda s, d: flat(M.qa_mp_horizontal_perpendicular(houses(s, d), 0.3, 0.001, 2.0), "value"),
-    "qa_mp_footprint_holes": lambda s, d: flat(M.qa_mp_footprint_holes(houses(s, d))),
+    "qa_mp_horizontal_azimuths": lambda s, d: flat(M.qa_mp_horizontal_azimuths(event_lines(s, d), 0.001, 0.0005, 0.5), "value").withColumn("value", F.round(F.col("value").cast("double"), 6)),
+    "qa_mp_horizontal_perpendicular": lambda s, d: flat(M.qa_mp_horizontal_perpendicular(leaning(s, d), 0.05, 0.001), "value"),
+    "qa_mp_footprint_holes": lambda s, d: flat(M.qa_mp_footprint_holes(courtyards(s, d)), "value"),
     "qa_mp_single_part_footprint": lambda s, d: flat(M.qa_mp_single_part_footprint(houses(s, d)), "value"),
     "qa_mp_non_intersecting_ring_footprints": lambda s, d: flat(M.qa_mp_non_intersecting_ring_footprints(houses(s, d))),
     "qa_mp_vertex_not_near_face": lambda s, d: flat(M.qa_mp_vertex_not_near_face(houses(s, d), houses(s, d), 0.6, 0.6), "other_oid"),
-    "qa_surface_vertex": lambda s, d: flat(M.qa_surface_vertex(event_lines(s, d), _tiles(s, d), 16, 1.0, 3.0), "value"),
+    "qa_surface_vertex": lambda s, d: flat(M.qa_surface_vertex(event_lines(s, d), _event_tiles(s, d), 16, 1.0, 3.0), "value"),
     "qa_surface_pipe": lambda s, d: flat(M.qa_surface_pipe(lines(s, d), _tiles(s, d), 16, 1.0, 5.0, "within", 0.5)),
     "qa_surface_spikes": lambda s, d: flat(M.qa_surface_spikes(_cells(s, d), 1.0, 0.5, 2.5), "no_oid", "value", "value2"),
     "tr_z_assign": lambda s, d: M.tr_z_assign(points(s, d), _tiles(s, d), 16, 1.0).select("oid", F.col("geom.parts")[0][0]["z"].alias("z")),
-    "qa_edge_match_bordering_points": lambda s, d: (lambda p: flat(M.qa_edge_match_bordering_points([p[0]], _border(s), [p[1]], _border(s), 0.5, constraint="G1.grade = G2.grade"), "value"))(_edge_points(s, d)),
-    "qa_edge_match_crossing_lines": lambda s, d: (lambda p: flat(M.qa_edge_match_crossing_lines([p[0]], _border(s), [p[1]], _border(s), 0.5, constraint="G1.grade = G2.grade")))(_both_sides(s, d)),
-    "qa_edge_match_bordering_lines": lambda s, d: (lambda p: flat(M.qa_edge_match_bordering_lines([p[0]], _border(s), [p[1]], _border(s)), "value"))(_edge_lines(s, d)),
-    "qa_edge_match_crossing_areas": lambda s, d: (lambda p: flat(M.qa_edge_match_crossing_areas([p[0]], _border(s), [p[1]], _border(s)), "value"))(_areas(s, d)),
+    "qa_edge_match_bordering_points": lambda s, d: (lambda p: flat(M.qa_edge_match_bordering_points([p[0]], _border(s, d), [p[1]], _border(s, d), 0.5, bordering_point_attribute_constraint="POINT1.grade = POINT2.grade"), "other_oid", "tab", "value"))(_edge_points(s, d)),
+    "qa_edge_match_bordering_points_options": lambda s, d: (lambda p: flat(M.qa_edge_match_bordering_points([p[0]], _border(s, d), [p[1]], _border(s, d), 8.0, bordering_point_match_condition="POINT1.grade <> 4 AND POINT2.grade <> 4", point_class_2_border_match_condition="POINT.grade <> 3 OR BORDER.stretch % 2 = 0",
+        bordering_point_equal_attributes="grade", bordering_point_equal_attribute_options=["grade:allowedDifferenceCondition=G1._VALUE = 9"], coincidence_tolerance=0.25, allow_disjoint_candidate_feature_if_attribute_constraints_are_fulfilled=True), "other_oid", "tab", "component"))(_edge_points(s, d)),
+    "qa_edge_match_crossing_lines": lambda s, d: (lambda p: flat(M.qa_edge_match_crossing_lines([p[0]], _border(s, d), [p[1]], _border(s, d), 0.5, constraint="G1.grade = G2.grade")))(_both_sides(s, d)),
+    "qa_edge_match_bordering_lines": lambda s, d: (lambda p: flat(M.qa_edge_match_bordering_lines([p[0]], _border(s, d), [p[1]], _border(s, d)), "value"))(_edge_lines(s, d)),
+    "qa_edge_match_crossing_areas": lambda s, d: (lambda p: flat(M.qa_edge_match_crossing_areas([p[0]], _border(s, d), [p[1]], _border(s, d)), "value"))(_areas(s, d)),
     "quality_specification": lambda s, d: specification(s, d).select("condition", "severity", "issue_code", F.col("involved")[0]["oid"].alias("oid")),
     "specification_report": lambda s, d: P.report(specification(s, d)),
-    "xml_specification": lambda s, d: P.run(P.from_xml(XML), {"orders": table(s, d, "orders")}).select("condition", "severity", "issue_code", F.col("involved")[0]["oid"].alias("oid")),
+    "xml_specification": lambda s, d: P.run(D.from_xml(XML), {"orders": table(s, d, "orders")}).select("condition", "severity", "issue_code", F.col("involved")[0]["oid"].alias("oid")),
+    "quality_document": quality_document,
     "issue_store": _stored,
     "qa_export_tables": _exported,
     "csv_source": _csv,
@@ -208,6 +265,7 @@ def _named(*rows: tuple[str, str, str]) -> str:
 
 
 C_ = "SELECT c_custkey AS k FROM customer"
+CELLS_ = "WITH g AS (SELECT DISTINCT floor(c_custkey / 500) AS b FROM customer), c AS (SELECT 100 * b + a.i AS i, t.j, (((100 * b + a.i) * 7 + t.j * 3) % 11)::BIGINT AS z FROM g, generate_series(0, 46) a(i), generate_series(0, 23) t(j) WHERE a.i <> 5)"
 ORACLES: dict[str, str] = {
     "qa_gdb_constraint_factory": """SELECT 'Constraints.ConstraintNotFulfilled' AS issue_code, CAST(n_nationkey AS BIGINT) AS oid, d AS description FROM nation, LATERAL (VALUES
         ('n_nationkey >= 0 AND n_nationkey <= 20 OR n_nationkey IS NULL', n_nationkey BETWEEN 0 AND 20), ('n_regionkey IN (0, 1, 2) OR n_regionkey IS NULL', n_regionkey IN (0, 1, 2))) v(d, met) WHERE NOT met""",
@@ -217,7 +275,20 @@ ORACLES: dict[str, str] = {
     "qa_coplanar_rings": "SELECT 'CoplanarRings.FaceNotCoplanar' AS issue_code, p_partkey AS oid, '2' AS value FROM part WHERE p_partkey % 2 = 0",
     "qa_mp_single_part_footprint": "SELECT 'MpSinglePartFootprint.MultipleParts' AS issue_code, p_partkey AS oid, '2' AS value FROM part WHERE p_partkey % 4 = 0",
     "qa_mp_non_intersecting_ring_footprints": "SELECT 'MpNonIntersectingRingFootprints.RingFootprintsIntersect' AS issue_code, p_partkey AS oid FROM part WHERE p_size > 0",
-    "qa_mp_footprint_holes": "SELECT 'MpFootprintHoles.InnerRing' AS issue_code, p_partkey AS oid FROM part WHERE false",
+    "qa_mp_footprint_holes": "SELECT 'MpFootprintHoles.InnerRing' AS issue_code, p_partkey AS oid, '1' AS value FROM part WHERE p_partkey % 3 = 0",
+    "qa_mp_horizontal_perpendicular": "SELECT 'MpHorizontalPerpendicular.NearlyPerpendicular' AS issue_code, p_partkey AS oid, '0.0' AS value FROM (SELECT p_partkey, abs(atan2(1, p_partkey % 5 / 64e0) - pi() / 2) AS off FROM part) WHERE off > 0.001 AND off <= 0.05",
+    "qa_mp_horizontal_azimuths": f"""{E}, a AS (SELECT DISTINCT oid, round(CASE WHEN t < 0 THEN t + pi() ELSE t END, 12) AS az FROM (SELECT oid, atan2(y1 - y0, 1) AS t FROM s WHERE y1 IS NOT NULL AND abs(z1 - z0) <= 0.5)),
+        l AS (SELECT oid, az, lead(az) OVER (PARTITION BY oid ORDER BY az) AS nz FROM a) SELECT 'MpHorizontalAzimuths.AzimuthsNearlyEqual' AS issue_code, oid, round(az, 6) AS value FROM l WHERE nz - az <= 0.001 AND nz - az > 0.0005""",
+    # the planes of the three faces of a house, each over a rectangle
+    "qa_mp_vertex_not_near_face": """WITH h AS (SELECT p_partkey AS k, p_size / 50e0 AS l, CASE WHEN p_partkey % 4 = 0 THEN 3e0 ELSE 1e0 END AS f, CASE WHEN p_partkey % 2 = 0 THEN 1.5e0 ELSE 1e0 END AS c FROM part),
+        v AS (SELECT k, unnest([(0, 0, 0), (0, 1, 0), (1, 1, 0), (1, 0, 0), (0, 0, 0), (0, 0, 0), (1, 0, 0), (1, l, 1), (0, l, 1), (0, 0, 0), (f, 0, 1), (f, 1, 1), (f + 1, 1, c), (f + 1, 0, 1), (f, 0, 1)]) AS p FROM h),
+        p AS (SELECT k, 0e0 AS x0, 1e0 AS x1, 1e0 AS y1, 0e0 AS a, 0e0 AS b, 0e0 AS z0 FROM h UNION ALL SELECT k, 0, 1, l, 0, 1 / l, 0 FROM h UNION ALL SELECT k, f, f + 1, 1, (c - 1) / 2, (c - 1) / 2, 1 FROM h),
+        n AS (SELECT v.k, v.p[3] - (z0 + a * (v.p[1] - x0) + b * v.p[2]) AS dz FROM v JOIN p ON v.k = p.k AND v.p[1] BETWEEN x0 AND x1 AND v.p[2] BETWEEN 0 AND y1)
+        SELECT 'MpVertexNotNearFace.VertexTooCloseToFace' AS issue_code, k AS oid, k AS other_oid FROM n WHERE abs(dz) > 1e-9 AND abs(dz) < 0.6""",
+    "qa_surface_pipe": f"""{CELLS_}, l AS (SELECT c_custkey AS oid, c_custkey % 7 AS z, unnest(CASE WHEN c_custkey % 2 = 0 THEN [(x + 1, y), (x + 2, y)] ELSE [(x, y + 1), (x, y + 2)] END) AS p
+            FROM (SELECT c_custkey, c_custkey % 40 + 100 * floor(c_custkey / 500) AS x, c_nationkey % 20 AS y FROM customer)),
+        d AS (SELECT oid, CASE WHEN c.z IS NULL THEN 'SurfacePipe.NoTerrainData' WHEN abs(l.z - c.z) > 5 THEN 'SurfacePipe.ZOffset.within' END AS code FROM l LEFT JOIN c ON c.i = l.p[1] AND c.j = l.p[2])
+        SELECT min(code) AS issue_code, oid FROM d WHERE code IS NOT NULL GROUP BY oid""",
     "qa_schema_field_names": _named(("SchemaFieldNames.NameTooLong", "o_orderstatus", "o_orderstatus"), ("SchemaFieldNames.NameTooLong", "o_totalprice", "o_totalprice"), ("SchemaFieldNames.NameTooLong", "o_orderpriority", "o_orderpriority"),
         *(("SchemaFieldNames.NotUniqueSubstring", c, c) for c in ("o_orderstatus", "o_orderdate", "o_orderpriority"))),
     "qa_schema_field_aliases": _named(("SchemaFieldAliases.UnexpectedCase", "n_nationkey", "Key"), ("SchemaFieldAliases.UnexpectedCase", "n_regionkey", "name"), ("SchemaFieldAliases.NotUnique", "n_name", "NAME"), ("SchemaFieldAliases.NotUnique", "n_regionkey", "name")),
@@ -237,11 +308,23 @@ ORACLES: dict[str, str] = {
         SELECT 'MpHorizontalHeights.HeightsNearlyEqual' AS issue_code, oid, CAST(CAST(z AS DOUBLE) AS VARCHAR) AS value FROM l WHERE nz - z <= 1 AND nz - z > 0.5""",
     "qa_surface_vertex": f"""{E}, d AS (SELECT oid, CASE WHEN i < 80 AND y < 80 THEN z - CAST((i * 7 + floor(y) * 3) % 11 AS BIGINT) END AS dz FROM v)
         SELECT CASE WHEN dz IS NULL THEN 'SurfaceVertex.NoTerrainData' ELSE 'SurfaceVertex.ZOffset.within' END AS issue_code, oid, CAST(CAST(dz AS DOUBLE) AS VARCHAR) AS value FROM d WHERE dz IS NULL OR abs(dz) > 3""",
-    "qa_surface_spikes": """WITH c AS (SELECT i, j, (i * 7 + j * 3) % 11 AS z FROM generate_series(0, 79) a(i), generate_series(0, 79) b(j)), n AS (SELECT c.i, c.j, c.z, min(o.z) AS low, max(o.z) AS high FROM c JOIN c o ON abs(c.i - o.i) + abs(c.j - o.j) = 1 GROUP BY 1, 2, 3 HAVING count(*) = 4)
-        SELECT 'SurfaceSpikes.Spike' AS issue_code, CAST(i AS VARCHAR) AS value, CAST(j AS VARCHAR) AS value2 FROM n WHERE greatest(z - high, low - z) > 2.5""",
-    "tr_z_assign": "SELECT c_custkey AS oid, CASE WHEN x < 80 THEN CAST((floor(x) * 7 + y * 3) % 11 AS DOUBLE) END AS z FROM (SELECT c_custkey, c_custkey % 40 + 0.5 * (c_nationkey % 2) + 100 * floor(c_custkey / 500) AS x, c_nationkey % 20 AS y FROM customer)",
-    "qa_edge_match_bordering_points": f"""SELECT CASE WHEN k % 7 = 0 THEN 'EdgeMatchBorderingPoints.NoCandidate' WHEN k % 3 = 0 THEN 'EdgeMatchBorderingPoints.CandidateNotCoincident' ELSE 'EdgeMatchBorderingPoints.AttributesNotFulfilled' END AS issue_code, k AS oid,
-        CASE WHEN k % 7 = 0 THEN NULL WHEN k % 3 = 0 THEN '0.25' ELSE '0.0' END AS value FROM ({C_}) WHERE k % 7 = 0 OR k % 3 = 0 OR k % 11 = 0""",
+    "qa_surface_spikes": f"""{CELLS_}, n AS (SELECT c.i, c.j, c.z, min(o.z) AS low, max(o.z) AS high FROM c JOIN c o ON abs(c.i - o.i) + abs(c.j - o.j) = 1 GROUP BY 1, 2, 3 HAVING count(*) = 4)
+        SELECT 'SurfaceSpikes.Spike' AS issue_code, CAST(CAST(i AS BIGINT) AS VARCHAR) AS value, CAST(j AS VARCHAR) AS value2 FROM n WHERE greatest(z - high, low - z) > 2.5""",
+    "tr_z_assign": "SELECT c_custkey AS oid, CASE WHEN floor(x) % 100 <> 5 THEN CAST((floor(x) * 7 + y * 3) % 11 AS DOUBLE) END AS z FROM (SELECT c_custkey, c_custkey % 40 + 0.5 * (c_nationkey % 2) + 100 * floor(c_custkey / 500) AS x, c_nationkey % 20 AS y FROM customer)",
+    "qa_edge_match_bordering_points": f"""SELECT 'BorderingPoints.' || CASE WHEN k % 7 = 0 THEN 'NoMatch.NoCandidate' WHEN k % 3 = 0 THEN 'NoMatch.CandidateExists.Constraints' || CASE WHEN k % 11 = 0 THEN 'NotFulfilled' ELSE 'Fulfilled' END ELSE 'Match.ConstraintsNotFulfilled' END AS issue_code, k AS oid,
+        CASE WHEN k % 7 <> 0 THEN k END AS other_oid, 'below' AS tab, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 3 = 0 THEN '0.25' ELSE '0.0' END AS value FROM ({C_}) WHERE k % 7 = 0 OR k % 3 = 0 OR k % 11 = 0""",
+    "qa_edge_match_bordering_points_options": f"""WITH one AS (SELECT k, k * 4.0 AS x, k % 5 AS g FROM ({C_})), two AS (SELECT k, x, CASE WHEN k % 11 = 0 THEN 9 ELSE g END AS g, floor(x / 100) AS b FROM (SELECT k, k * 4.0 + CASE WHEN k % 3 = 0 THEN 0.25 ELSE 0 END AS x, k % 5 AS g FROM ({C_}) WHERE k % 7 <> 0)),
+        -- a point of side 2 needs an even stretch of the border if its grade is 3; a place where two stretches meet is on both
+        two_on AS (SELECT * FROM two WHERE g <> 3 OR b % 2 = 0 OR x % 100 = 0),
+        pair AS (SELECT a.k AS p, c.k AS n, abs(a.x - c.x) AS d, a.g = c.g OR a.g = 9 OR c.g = 9 AS same, c.g <> 3 OR floor(a.x / 100) % 2 = 0 OR a.x % 100 = 0 AS together FROM one a JOIN two_on c ON abs(a.x - c.x) <= 8 WHERE a.g <> 4 AND c.g <> 4),
+        best AS (SELECT p, bool_or(d <= 0.25 AND same) AS matched, min(n) FILTER (d <= 0.25) AS first FROM pair GROUP BY p),
+        told AS (SELECT pair.* FROM pair JOIN best USING (p) WHERE NOT matched AND (first IS NULL OR first = n)),
+        back AS (SELECT n AS p, bool_or(d <= 0.25 AND same) AS matched, min(p) FILTER (d <= 0.25) AS first FROM pair GROUP BY n),
+        told2 AS (SELECT pair.n AS p, pair.p AS n, d, same, together FROM pair JOIN back ON pair.n = back.p WHERE NOT matched AND (first IS NULL OR first = pair.p) AND pair.n NOT IN (SELECT n FROM told)),
+        every AS (SELECT *, 'below' AS tab FROM told UNION ALL SELECT *, 'above' FROM told2)
+        SELECT 'BorderingPoints.' || CASE WHEN d <= 0.25 THEN 'Match.ConstraintsNotFulfilled' ELSE 'NoMatch.CandidateExists.' || CASE WHEN together THEN '' ELSE 'BordersNotCoincident+' END || 'ConstraintsNotFulfilled' END AS issue_code, p AS oid, n AS other_oid, tab, 'GRADE' AS component FROM every WHERE NOT same
+        UNION ALL SELECT 'BorderingPoints.NoMatch.NoCandidate', k, NULL, 'below', NULL FROM one WHERE k NOT IN (SELECT p FROM pair)
+        UNION ALL SELECT 'BorderingPoints.NoMatch.NoCandidate', k, NULL, 'above', NULL FROM two_on WHERE k NOT IN (SELECT n FROM pair)""",
     "qa_edge_match_crossing_lines": f"""SELECT CASE WHEN k % 7 = 0 THEN 'EdgeMatchCrossingLines.NoCandidate' WHEN k % 3 = 0 THEN 'EdgeMatchCrossingLines.CandidateNotCoincident' ELSE 'EdgeMatchCrossingLines.AttributesNotFulfilled' END AS issue_code, k AS oid
         FROM ({C_}) WHERE k % 7 = 0 OR k % 3 = 0 OR k % 11 = 0""",
     "qa_edge_match_bordering_lines": f"SELECT CASE WHEN k % 7 = 0 THEN 'EdgeMatchBorderingLines.NoCandidate' ELSE 'EdgeMatchBorderingLines.PartlyMatched' END AS issue_code, k AS oid, CASE WHEN k % 7 = 0 THEN '0.0' ELSE '1.0' END AS value FROM ({C_}) WHERE k % 7 = 0 OR k % 3 = 0",
@@ -256,6 +339,10 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'items', 'error', 'Unique.NotUnique' FROM (SELECT DISTINCT oid FROM (SELECT l_orderkey * 10 + l_linenumber AS oid FROM lineitem QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_partkey) > 1) WHERE oid % 2 = 1)) GROUP BY ALL""",
     "xml_specification": """SELECT 'days' AS condition, 'warning' AS severity, CASE WHEN o_orderdate < TIMESTAMP '1993-01-01' THEN 'ValidDateValues.DateBeforeMinimum' ELSE 'ValidDateValues.DateAfterMaximum' END AS issue_code, o_orderkey AS oid
         FROM orders WHERE o_orderstatus = 'F' AND (o_orderdate < TIMESTAMP '1993-01-01' OR o_orderdate > TIMESTAMP '1996-01-01')""",
+    "quality_document": f"""{W} SELECT 'small boxes' AS condition, 'error' AS severity, 'MinArea.AreaTooSmall' AS issue_code, oid, 'boxes' AS tab, NULL AS component FROM bx b WHERE p_size > 3 AND (x1 - x0) * (y1 - y0) < 3
+            AND NOT (EXISTS (SELECT 1 FROM pt p WHERE {PON}) AND NOT p_brand LIKE '%1')
+        UNION ALL SELECT 'poor customers', 'warning', 'Constraints.ConstraintNotFulfilled', o_orderkey, 'orders of customers', NULL FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND NOT (c_acctbal > 0 OR o_totalprice < 100000)
+        UNION ALL SELECT 'names', 'error', 'SchemaFieldNames.NameTooLong', NULL, NULL, c FROM (VALUES ('o_orderstatus'), ('o_totalprice'), ('o_orderpriority')) t(c)""",
     "issue_store": "SELECT 'none' AS shape, 'Constraints.ConstraintNotFulfilled' AS issue_code, count(*) AS n FROM orders WHERE NOT o_totalprice < 300000",
     "qa_export_tables": "SELECT n_name, n_nationkey % 2 AS tile_id FROM nation WHERE n_regionkey = 1",
     "csv_source": "SELECT n_name FROM nation WHERE n_regionkey = 2",

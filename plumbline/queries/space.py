@@ -18,7 +18,6 @@ from plumbline.operators import spatial_transformers as T
 from plumbline.operators.attributes import qa_constraint
 from plumbline.queries.base import Query, flat, table
 from plumbline.queries.shapes import part_boxes
-from plumbline.session import share_code
 
 BLOCK = "100 * floor({k} / 500)"
 
@@ -96,12 +95,11 @@ def _nodes(s, d):
 
 
 def _wkb(s, d):
-    """Lines written in both byte orders and read again."""
-    k = s.range(20).select(F.col("id").cast("int").alias("k"))
-    written = F.udf(lambda k: wkb.write("line", [[(0.0, float(k)), (1.0, 2.0 * k)]], ">" if k % 2 else "<"), "binary")
-    read = F.udf(lambda b: wkb.read(bytes(b))[1][0][1][1], "double")
-    share_code(s)
-    return k.select("k", read(written("k")).alias("y"))
+    """Boxes and lines with heights written in both byte orders and read again."""
+    kept = boxes(s, d).df.select("oid", "geom").unionByName(lines(s, d).df.select((-F.col("oid")).alias("oid"), "geom"))
+    written = kept.select("oid", F.length(wkb.encoded(s, F.col("geom"))).alias("n_bytes"), wkb.encoded(s, F.col("geom"), F.col("oid") % 2 == 0).alias("data"))
+    g = written.select("oid", "n_bytes", wkb.decoded(s, F.col("data")).alias("g"))
+    return g.select("oid", "n_bytes", F.col("g.kind").alias("kind"), G.lowest(F.col("g"), "x").alias("xmin"), G.highest(F.col("g"), "y").alias("ymax"), G.highest(F.col("g"), "z").alias("zmax"), F.size(G.points(F.col("g"))).alias("n"))
 
 
 def _issues_of(s, d):
@@ -112,12 +110,27 @@ def _placed(s, d):
     return T.with_place(_issues_of(s, d), [points(s, d)])
 
 
-def _paths(s, d):
+def _street_edges(s, d):
     e = N.node_table([streets(s, d)])
     ends = e.groupBy("oid").agg(F.min(F.struct("x", "y")).alias("p"), F.max(F.struct("x", "y")).alias("q"))
     node = lambda c: F.col(f"{c}.x").cast("bigint") * 1000 + F.col(f"{c}.y").cast("bigint")
-    edges = ends.select(node("p").alias("a"), node("q").alias("b"), F.lit(1.0).alias("cost"))
-    return N.shortest_paths(edges, 0)
+    return ends.select(node("p").alias("a"), node("q").alias("b"), F.lit(1.0).alias("cost"))
+
+
+def _path_to_goal(s, d):
+    """From a corner to a place five east and two north, guided by the distance along the axes."""
+    edges, goal = _street_edges(s, d), 5 * 1000 + 2
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    left = nodes.select("node", (F.abs(F.floor(F.col("node") / 1000) - 5) + F.abs(F.col("node") % 1000 - 2)).cast("double").alias("h"))
+    return N.shortest_paths(edges, 0, goal=goal, heuristic=left).where(F.col("node") == goal)
+
+
+def _related(s, d):
+    """Orders have no geometry; their customers' points have."""
+    places = Table(points(s, d, "c_acctbal > 0").df, "points", "oid", "geom", "c_acctbal > 0")
+    found = qa_constraint(table(s, d, "orders"), "o_totalprice < 300000")
+    placed = T.with_place(found, [T.related_shapes(table(s, d, "orders"), places, "o_custkey", "oid")])
+    return placed.df.select(F.col("involved")[0]["oid"].alias("oid"), F.col("place.parts")[0][0]["x"].alias("x"), F.col("place.parts")[0][0]["y"].alias("y"))
 
 
 QUERIES: dict[str, Query] = {
@@ -156,9 +169,9 @@ QUERIES: dict[str, Query] = {
     "qa_rel_must_be_near_other": lambda s, d: flat(R.qa_must_be_near_other(_joined_points(s, d), [boxes(s, d, "grade = 0")], 0.5)),
     "qa_neighbour_areas": lambda s, d: flat(R.qa_neighbour_areas(boxes(s, d), fields=["grade"]), "other_oid"),
     "qa_no_gaps": lambda s, d: flat(R.qa_no_gaps(_frames(s, d), max_area=2.0), "value"),
-    "qa_point_not_near": lambda s, d: flat(P.qa_point_not_near(points(s, d), [points(s, d)], 0.75, allow_coincident=True), "other_oid"),
+    "qa_point_not_near": lambda s, d: flat(P.qa_point_not_near(points(s, d), [points(s, d)], 1.25, allow_coincident=True), "other_oid"),
     "qa_point_not_near_expression": lambda s, d: flat(P.qa_point_not_near(points(s, d), [boxes(s, d)], 2.0, "c_nationkey % 2 * 0.5", "grade * 0.25"), "other_oid"),
-    "qa_point_on_line": lambda s, d: flat(P.qa_point_on_line(points(s, d), [lines(s, d)], 0.5)),
+    "qa_point_on_line": lambda s, d: flat(P.qa_point_on_line(points(s, d), [lines(s, d)], 0.25)),
     "qa_min_node_distance": lambda s, d: flat(N.qa_min_node_distance([lines(s, d)], 0.8), "other_oid", "value"),
     "qa_node_line_coincidence": lambda s, d: flat(P.qa_node_line_coincidence(points(s, d), [lines(s, d)], 0.75), "value"),
     "qa_not_near": lambda s, d: flat(P.qa_not_near(lines(s, d, "oid % 2 = 0"), lines(s, d, "oid % 2 = 1"), 1.0, 1.9), "other_oid", "value", "value2"),
@@ -188,7 +201,9 @@ QUERIES: dict[str, Query] = {
     "qa_gdb_topology": lambda s, d: flat(N.qa_gdb_topology(s.sql("select * from values ('streets', 5L, 'must not overlap', false), ('streets', 7L, 'must not dangle', true) as t(tab, oid, rule, dirty)"))),
     "clustering": lambda s, d: N.clusters(points(s, d), 0.6),
     "connected_components": lambda s, d: _components(s, d),
-    "shortest_path": _paths,
+    "shortest_path": lambda s, d: N.shortest_paths(_street_edges(s, d), 0),
+    "shortest_path_to_goal": _path_to_goal,
+    "related_geometry": _related,
     "polygon_building": lambda s, d: N.polygons_of_lines(walls(s, d)).select("comp", F.round(G.ring_area(F.transform("ring", lambda p: G.vertex(p["x"], p["y"]))), 6).alias("area")),
     "qa_centroids": lambda s, d: flat(N.qa_centroids(walls(s, d), seeds(s, d)), "value"),
     "qa_border_sense": lambda s, d: flat(N.qa_border_sense(walls(s, d))),
@@ -209,7 +224,7 @@ QUERIES: dict[str, Query] = {
     "tr_only_contained_features": lambda s, d: T.tr_only_contained(points(s, d), boxes(s, d, "grade = 0")).df.select("oid"),
     "tr_combined_filter": lambda s, d: (lambda p: T.tr_combined_filter(p, {"near": T.tr_only_intersecting(p, boxes(s, d, "grade = 0")), "rich": Table(p.df, p.name, "oid", "geom", "c_acctbal > 5000")}, "near OR NOT rich").df.select("oid"))(points(s, d)),
     "rf_execute_area": lambda s, d: T.rf_execute_area(points(s, d), boxes(s, d, "grade = 1")).df.select("oid"),
-    "if_all": lambda s, d: flat(T.if_all(_issues_of(s, d))),
+    "if_all": lambda s, d: flat(T.if_all(_issues_of(s, d), suppress=False).unionByName(T.if_all(_issues_of(s, d)))),
     "if_intersecting": lambda s, d: flat(T.if_intersecting(_placed(s, d), boxes(s, d, "grade = 1"))),
     "if_within": lambda s, d: flat(T.if_within(_placed(s, d), boxes(s, d, "grade = 2"))),
     "if_near": lambda s, d: flat(T.if_near(_placed(s, d), boxes(s, d, "grade = 3"), 1.0)),
@@ -292,7 +307,50 @@ def _ends(code: str) -> str:
 #: a and b run side by side or shifted along each other by 1, at lengths of 3.
 ALONG = "a.h = b.h AND ((CASE WHEN a.h THEN a.y0 - b.y0 ELSE a.x0 - b.x0 END = 0 AND abs(CASE WHEN a.h THEN a.x0 - b.x0 ELSE a.y0 - b.y0 END) = 1) OR (abs(CASE WHEN a.h THEN a.y0 - b.y0 ELSE a.x0 - b.x0 END) = 1 AND CASE WHEN a.h THEN a.x0 - b.x0 ELSE a.y0 - b.y0 END = 0))"
 
+#: Streets that reach each other over shared ends inside their group; reached(oid, c) has the lines from which each can be reached.
+def _street_groups(field: str) -> str:
+    streets = W.replace("WITH", "WITH RECURSIVE", 1)
+    return f"""{streets}, gr AS (SELECT nd.*, {field} AS g FROM nd JOIN nation ON n_nationkey = c_nationkey), link AS (SELECT DISTINCT a.oid AS a, b.oid AS b FROM gr a JOIN gr b ON a.x = b.x AND a.y = b.y AND a.g = b.g),
+        reached(oid, c) AS (SELECT oid, oid FROM st UNION SELECT link.b, reached.c FROM reached JOIN link ON reached.oid = link.a), comp AS (SELECT oid, min(c) AS c FROM reached GROUP BY oid), named AS (SELECT DISTINCT oid, g, c FROM gr JOIN comp USING (oid))"""
+
+
+def _groups_apart(field: str, extra: str = "") -> str:
+    return f"{_street_groups(field)} SELECT 'GroupConnected.GroupNotConnected' AS issue_code, g AS value{extra} FROM named GROUP BY g HAVING count(DISTINCT c) > 1"
+
+
+def _short_groups(field: str, least: float) -> str:
+    return f"{_street_groups(field)} SELECT 'LineGroupConstraints.GroupTooShort' AS issue_code, c AS oid, CAST(CAST(count(*) AS DOUBLE) AS VARCHAR) AS value FROM named GROUP BY g, c HAVING count(*) < {least}"
+
+
+#: Boxes as unit squares: all their coordinates are whole numbers.
+CELLS = f"{W}, cell AS (SELECT oid, grade, p_size, CAST(unnest(generate_series(CAST(x0 AS BIGINT), CAST(x1 AS BIGINT) - 1)) AS BIGINT) AS i, y0, y1 FROM bx), sq AS (SELECT oid, grade, p_size, i, unnest(generate_series(CAST(y0 AS BIGINT), CAST(y1 AS BIGINT) - 1)) AS j FROM cell)"
+
 ORACLES: dict[str, str] = {
+    "qa_group_connected": _groups_apart("c_mktsegment", ", CAST(count(DISTINCT c) AS VARCHAR) AS value2"),
+    "qa_rel_group_connected": _groups_apart("n_name"),
+    "qa_line_group_constraints": _short_groups("c_mktsegment", 3),
+    "qa_rel_line_group_constraints": _short_groups("n_name", 2),
+    "qa_is_covered_by_other": f"""{CELLS}, own AS (SELECT oid, i, j, EXISTS (SELECT 1 FROM sq o WHERE o.grade > 0 AND o.i = sq.i AND o.j = sq.j) AS covered FROM sq WHERE grade = 0),
+        met AS (SELECT DISTINCT a.oid FROM bx a JOIN bx b ON a.grade = 0 AND b.grade > 0 AND {MEET}), r AS (SELECT oid, round(100 * count(*) FILTER (NOT covered) / count(*), 6) AS rest FROM own GROUP BY oid)
+        SELECT CASE WHEN met.oid IS NULL THEN 'IsCoveredByOther.NotCoveredByAnyFeature' ELSE 'IsCoveredByOther.NotFullyCovered' END AS issue_code, r.oid, CASE WHEN met.oid IS NOT NULL THEN CAST(CAST(rest AS DOUBLE) AS VARCHAR) END AS value
+        FROM r LEFT JOIN met ON r.oid = met.oid WHERE met.oid IS NULL OR rest > 50""",
+    "tr_dissolve": f"""{CELLS.replace("WITH", "WITH RECURSIVE", 1)}, b10 AS (SELECT * FROM bx WHERE p_size < 10),
+        link AS (SELECT a.oid AS a, b.oid AS b FROM b10 a JOIN b10 b ON a.grade = b.grade AND {MEET} AND (least(a.x1, b.x1) > greatest(a.x0, b.x0) OR least(a.y1, b.y1) > greatest(a.y0, b.y0))),
+        reached(oid, c) AS (SELECT oid, oid FROM b10 UNION SELECT link.b, reached.c FROM reached JOIN link ON reached.oid = link.a), comp AS (SELECT oid, min(c) AS c FROM reached GROUP BY oid),
+        size AS (SELECT c, count(DISTINCT (i, j)) AS area FROM sq JOIN comp USING (oid) GROUP BY c)
+        SELECT c AS oid, grade, count(*) AS n_merged, CAST(sum(p_size) AS BIGINT) AS total, CAST(any_value(area) AS DOUBLE) AS area FROM b10 JOIN comp USING (oid) JOIN size USING (c) GROUP BY c, grade""",
+    "shortest_path": f"""{W.replace("WITH", "WITH RECURSIVE", 1)}, e AS (SELECT CAST(a.x * 1000 + a.y AS BIGINT) AS a, CAST(b.x * 1000 + b.y AS BIGINT) AS b FROM nd a JOIN nd b ON a.oid = b.oid AND a.s <> b.s),
+        way(node, cost) AS (SELECT 0::BIGINT, 0 UNION SELECT e.b, cost + 1 FROM way JOIN e ON way.node = e.a WHERE cost < 300) SELECT node, CAST(min(cost) AS DOUBLE) AS cost FROM way GROUP BY node""",
+    "shortest_path_to_goal": f"""{W.replace("WITH", "WITH RECURSIVE", 1)}, e AS (SELECT CAST(a.x * 1000 + a.y AS BIGINT) AS a, CAST(b.x * 1000 + b.y AS BIGINT) AS b FROM nd a JOIN nd b ON a.oid = b.oid AND a.s <> b.s),
+        way(node, cost) AS (SELECT 0::BIGINT, 0 UNION SELECT e.b, cost + 1 FROM way JOIN e ON way.node = e.a WHERE cost < 300) SELECT node, CAST(min(cost) AS DOUBLE) AS cost FROM way WHERE node = 5002 GROUP BY node""",
+    "related_geometry": f"{W} SELECT o_orderkey AS oid, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM orders LEFT JOIN pt ON o_custkey = oid AND c_acctbal > 0 WHERE NOT o_totalprice < 300000",
+    # collinear lines: a stretch reaches half a unit beyond the other's ends; a crossing gives one unit exactly, which is no more than the least
+    "qa_topo_not_near": f"""{W} SELECT 'TopoNotNear.PartTooClose' AS issue_code, a.oid, b.oid AS other_oid FROM lx a JOIN lx b ON a.oid <> b.oid AND a.h = b.h AND CASE WHEN a.h THEN a.y0 = b.y0 AND least(a.x1, b.x1 + 0.5) - greatest(a.x0, b.x0 - 0.5) > 1 ELSE a.x0 = b.x0 AND least(a.y1, b.y1 + 0.5) - greatest(a.y0, b.y0 - 0.5) > 1 END""",
+    # all coordinates are multiples of a half: a half unit of a line is near a border or not as its middle is
+    "qa_topo_not_near_poly_factory": f"""{W}, part AS (SELECT oid, h, x0, y0, unnest(generate_series(0, 5)) AS k FROM lx WHERE z < 2), mid AS (SELECT oid, k, CASE WHEN h THEN x0 + k / 2.0 + 0.25 ELSE x0 END AS x, CASE WHEN h THEN y0 ELSE y0 + k / 2.0 + 0.25 END AS y FROM part),
+        near AS (SELECT p.oid, b.oid AS other_oid, k, k - row_number() OVER (PARTITION BY p.oid, b.oid ORDER BY k) AS run FROM mid p JOIN bx b ON CASE WHEN {PON} THEN least(p.x - b.x0, b.x1 - p.x, p.y - b.y0, b.y1 - p.y) ELSE {PD} END <= 0.5)
+        SELECT 'TopoNotNear.PartTooClose' AS issue_code, oid, other_oid FROM near GROUP BY oid, other_oid, run HAVING count(*) > 3
+        UNION ALL SELECT 'IntersectsOther.GeometriesIntersect.ConstraintNotFulfilled', a.oid, b.oid FROM lx a JOIN bx b ON a.z < 2 AND b.grade = 0 AND {MEET}""",
     "qa_intersects_self": _boxes("IntersectsSelf.GeometriesIntersect.ConstraintNotFulfilled", f"{MEET} AND a.grade <> b.grade"),
     "qa_intersects_self_geometry": _boxes("IntersectsSelf.GeometriesIntersect", f"{INNER} AND (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) > 1.5"),
     "qa_intersects_other_boundary": f"{W} SELECT 'IntersectsOther.GeometriesIntersect' AS issue_code, b.oid, p.oid AS other_oid FROM bx b JOIN pt p ON {PON} AND NOT ({PIN})",
@@ -328,9 +386,9 @@ ORACLES: dict[str, str] = {
     "qa_rel_must_be_near_other": _no_point("MustBeNearOther.NoFeatureWithinDistance", f"{PD} <= 0.5", "b.grade = 0", "p.c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)"),
     "qa_neighbour_areas": _boxes("NeighbourAreas.FieldValuesEqual", f"{MEET} AND NOT ({INNER}) AND NOT ((a.x1 = b.x0 OR b.x1 = a.x0) AND (a.y1 = b.y0 OR b.y1 = a.y0)) AND a.grade = b.grade"),
     "qa_no_gaps": "SELECT 'NoGaps.Gap' AS issue_code, p_partkey * 4 AS oid, CAST(CAST(p_size % 3 + 1 AS DOUBLE) AS VARCHAR) AS value FROM part WHERE p_size % 3 + 1 <= 2",
-    "qa_point_not_near": f"{W} SELECT 'PointNotNear.PointTooClose' AS issue_code, a.oid, b.oid AS other_oid FROM pt a JOIN pt b ON a.oid <> b.oid AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 < 0.75 ** 2 AND NOT (a.x = b.x AND a.y = b.y)",
+    "qa_point_not_near": f"{W} SELECT 'PointNotNear.PointTooClose' AS issue_code, a.oid, b.oid AS other_oid FROM pt a JOIN pt b ON a.oid <> b.oid AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 < 1.25 ** 2 AND NOT (a.x = b.x AND a.y = b.y)",
     "qa_point_not_near_expression": f"{W} SELECT 'PointNotNear.PointTooClose' AS issue_code, p.oid, b.oid AS other_oid FROM pt p JOIN bx b ON {PD} < p.c_nationkey % 2 * 0.5 + b.grade * 0.25",
-    "qa_point_on_line": f"{W} SELECT 'PointOnLine.PointNotOnLine' AS issue_code, p.oid FROM pt p WHERE NOT EXISTS (SELECT 1 FROM lx b WHERE {PD} <= 0.5)",
+    "qa_point_on_line": f"{W} SELECT 'PointOnLine.PointNotOnLine' AS issue_code, p.oid FROM pt p WHERE NOT EXISTS (SELECT 1 FROM lx b WHERE {PD} <= 0.25)",
     "qa_dangle_count": f"""{W}, g AS (SELECT x, y, count(*) AS n FROM nd GROUP BY 1, 2), c AS (SELECT oid, count(*) FILTER (g.n = 1) AS k FROM nd JOIN g USING (x, y) GROUP BY 1)
         SELECT 'DangleCount.DangleCountNotExpected' AS issue_code, oid, CAST(k AS VARCHAR) AS value FROM c WHERE k >= 1""",
     "qa_dangle_factory": f"{W} SELECT 'Connections.Dangle' AS issue_code, {POINT} AS geom FROM nd GROUP BY x, y HAVING count(*) = 1",
@@ -360,7 +418,7 @@ ORACLES: dict[str, str] = {
     "tr_only_contained_features": f"{W} SELECT oid FROM pt p WHERE EXISTS (SELECT 1 FROM bx b WHERE b.grade = 0 AND {PIN})",
     "tr_combined_filter": f"{W} SELECT oid FROM pt p WHERE NOT p.c_acctbal > 5000 OR EXISTS (SELECT 1 FROM bx b WHERE b.grade = 0 AND {PON})",
     "rf_execute_area": f"{W} SELECT oid FROM pt p WHERE EXISTS (SELECT 1 FROM bx b WHERE b.grade = 1 AND {PIN})",
-    "if_all": "SELECT 'x' AS issue_code, 1 AS oid WHERE false",
+    "if_all": "SELECT 'Constraints.ConstraintNotFulfilled' AS issue_code, c_custkey AS oid FROM customer WHERE NOT c_acctbal > 1000",
     "if_intersecting": _no_point("Constraints.ConstraintNotFulfilled", PON, "b.grade = 1", "NOT p.c_acctbal > 1000"),
     "if_within": _no_point("Constraints.ConstraintNotFulfilled", PON, "b.grade = 2", "NOT p.c_acctbal > 1000"),
     "if_near": _no_point("Constraints.ConstraintNotFulfilled", f"{PD} < 1", "b.grade = 3", "NOT p.c_acctbal > 1000"),
@@ -393,7 +451,8 @@ ORACLES: dict[str, str] = {
     "qa_centroids": """WITH n AS (SELECT n_nationkey AS k, n_nationkey % 4 AS p FROM nation WHERE n_nationkey % 5 <> 3)
         SELECT CASE p WHEN 0 THEN 'Centroids.NoCentroid' ELSE 'Centroids.MultipleCentroids' END AS issue_code, NULL AS oid, CAST(least(p, 2) AS VARCHAR) AS value FROM n WHERE p <> 1
         UNION ALL SELECT 'Centroids.CentroidLiesOnBorder', k * 4 + 2, NULL FROM n WHERE p = 3""",
-    "wkb": "SELECT CAST(k AS INT) AS k, 2e0 * k AS y FROM (SELECT unnest(generate_series(0, 19)) AS k)",
+    "wkb": f"""{W} SELECT oid, 93 AS n_bytes, 'polygon' AS kind, CAST(x0 AS DOUBLE) AS xmin, CAST(y1 AS DOUBLE) AS ymax, CAST(NULL AS DOUBLE) AS zmax, 5 AS n FROM bx
+        UNION ALL SELECT -oid, 57, 'line', x0, y1, z, 2 FROM lx""",
     "polygon_building": "SELECT n_nationkey * 4 AS comp, 1e0 AS area FROM nation WHERE n_nationkey % 5 <> 3",
     "qa_border_sense": """SELECT CASE n_nationkey % 5 WHEN 1 THEN 'BorderSense.InvertedOrientation' WHEN 2 THEN 'BorderSense.InconsistentOrientation' ELSE 'BorderSense.IncompleteLine' END AS issue_code, n_nationkey * 4 AS oid
         FROM nation WHERE n_nationkey % 5 IN (1, 2, 3)""",
