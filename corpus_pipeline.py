@@ -7,6 +7,7 @@ beside its tokens.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,10 +42,12 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     position orders documents as their files do (file number, then row number), -1 where docs are not read from files.
     """
     position = None
-    if docs.inputFiles():
+    try:
         file = F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1)
         docs = docs.withColumn("_position", F.shiftleft(F.coalesce(file.try_cast("bigint"), F.lit(0)), 40) + F.col("_metadata.row_index"))
         position = "_position"
+    except AnalysisException:
+        pass
     return sstable.token_shards(docs, tokenizer_file(), position=position)
 
 
