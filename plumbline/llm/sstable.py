@@ -34,13 +34,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.pieces import encoder
+from plumbline.llm.pieces import encoder, steps
 from plumbline.session import materialize, new_path, share_code
 
 MAGIC = b"PLSST\x00\x01\n"
 BLOCK = 1 << 18
 RESTART = 16
 BITS_PER_KEY = 10
+#: Bytes of text that are encoded together.
+STEP = 1 << 22
 PROBES = 7
 _FOOTER = struct.Struct("<QQQQQQI8s")
 
@@ -243,12 +245,14 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int = 2, shard
             writer = Writer(out)
             before, repeats = object(), 0
             for batch in batches:
-                for at in range(0, batch.num_rows, 256):
-                    ids, places, texts = (c.to_pylist() for c in batch.slice(at, 256).columns)
-                    for doc, place, packed in zip(ids, places, encode(texts), strict=True):
+                for at, upto in steps(batch.column(2), STEP):
+                    part = batch.slice(at, upto - at)
+                    ids, bounds = encode(part.column(2))
+                    ids = ids.astype("<u4", copy=False)
+                    for k, (doc, place) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
                         repeats = repeats + 1 if doc == before else 0
                         before = doc
-                        packed += end
+                        packed = ids[bounds[k] : bounds[k + 1]].tobytes() + end
                         writer.add(key_of(doc, repeats), pack_value(packed, place), len(packed) // 4)
             writer.close()
         store.move(attempt, f"{where}/{name}")

@@ -6,12 +6,13 @@ import random
 import re
 import zlib
 
+import pyarrow as pa
 import pytest
 from conftest_llm import CLASHES
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
-from plumbline.llm import language_id, page_diff, pfair_mix, secret_scan, spaced_seed, sstable, token_counts
+from plumbline.llm import language_id, page_diff, pfair_mix, pieces, secret_scan, spaced_seed, sstable, token_counts
 from plumbline.llm.queries import ORACLES, QUERIES, TARGETS
 
 ODD = ["", " ", "  ", "a  b", "don't  x's", "日本 語 text!", "x<|endoftext|>y", "\r\n\t z", "'ll'll 'LL", "a\x1fb", "é̀ ß ſ", "...   !!\n\n\nfoo", "1234 5678", " 's", "\n", "a\n", "a \n b", "x ", "long " * 4000, "\U0001f600 smile", "naïve café, déjà-vu."]
@@ -202,6 +203,44 @@ def test_shards(spark, docs_of, tokenizer, library):
     assert sstable.token_shards(docs.where("false"), tokenizer, shards=3).count() == 0
 
 
+@settings(max_examples=400, deadline=None)
+@example(texts=["a\u3000 b\xa0 c\x85 d", "x\n\ny", "\n", "\nWord\nword, don't,'s \n", "é,× ,÷.  日本 語\u2003 x", "a\x1c b\x0b c", "Привет, мир. ß'll", "<|endoftext|>", "", "a<|endoftext|> b, c"])
+@given(texts=st.lists(st.text(st.characters(codec="utf-8", exclude_categories=["Cs"]), max_size=30) | st.text("ab's d'll  \n\t1.,é×\xa0\u3000я日😀", max_size=40) | st.sampled_from(ODD), max_size=6))
+def test_ids_are_those_of_the_library(tokenizer, library, texts):
+    for at in (0, 1):  # also of a slice
+        ids, bounds = pieces.encoder(tokenizer)(pa.array(["before", *texts], pa.string())[at:])
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [encode(library, t) for t in ["before", *texts][at:]]
+
+
+def test_memory_of_the_encoder_is_bounded(tokenizer, library):
+    import tracemalloc
+
+    pieces.encoder.cache_clear()
+    encode_all, r = pieces.encoder(tokenizer), random.Random(3)
+    encode_all(pa.array(["warm up"]))
+    tracemalloc.start()
+    before = pa.total_allocated_bytes()
+    for _ in range(8):
+        texts = pa.array([" ".join("".join(r.choices("abcdefghij", k=9)) for _ in range(20_000)), "".join(r.choices("abcdefghij", k=100_000))])
+        ids, bounds = encode_all(texts)
+        assert ids[: bounds[1]].tolist() == encode(library, texts[0].as_py())
+    del texts, ids, bounds
+    kept = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    # 160,000 words of 9 letters and some ids each, and 8 of 100,000: less than 100 bytes a word, where an object each takes twice that
+    assert kept < 16_000_000
+
+
+def test_chunks_are_forgotten_beyond_the_limit(tokenizer, library):
+    found = pieces.Encoder(tokenizer)
+    found.known.limit = 50
+    for k in range(0, 400, 20):
+        texts = [" ".join(f"w{n} x{'y' * n}" for n in range(k, k + 20)), " ".join(f"a{n}" for n in range(k, k + 70))]
+        ids, bounds = found(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])] == [encode(library, t) for t in texts]
+        assert len(found.known.keys) <= 50
+
+
 def test_shard_files_are_searched_and_checked():
     out = io.BytesIO()
     w = sstable.Writer(out)
