@@ -52,15 +52,6 @@ def split(text: str) -> list[str] | None:
     return None if _unsafe(text) else _split(text)
 
 
-def chunks(text: str) -> list[str] | None:
-    """The text cut before each space: coarser than pieces and much cheaper, each chunk a whole number of pieces.
-
-    The leading space of all chunks but the first is left out. None if spaces stand where a cut would split a piece (two
-    in a row, or one at the end), or where only the library can tell.
-    """
-    return None if "  " in text or text[-1:] == " " or _unsafe(text) else text.split(" ")
-
-
 def specials(path: str) -> list[str]:
     with open(path, encoding="utf-8") as f:
         return [t["content"] for t in json.load(f).get("added_tokens", [])]

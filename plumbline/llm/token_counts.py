@@ -6,7 +6,10 @@ merge rules would not have merged otherwise; then count[i] = count[i - len(token
 piece. The counts at all prefixes of a text follow by adding the pieces' tables, so that truncation and budget questions
 are answered from the tables, without encoding any prefix again, in time that follows the length of the text.
 
-Texts with characters outside SAFE are cut into pieces by the library's own pre-tokenizer, and special strings are taken out
+Whole arrays of texts are cut into chunks where a piece surely ends, and the tables of new chunks that are one word are made
+in sorted order, each from where it parts from the one before.
+
+Chunks with characters outside SAFE are cut into pieces by the library's own pre-tokenizer, and special strings are taken out
 before as the library does. Cuts that change the last pieces have closed forms: white space at the end of a prefix is one
 piece from where it begins, and a contraction that is cut is an apostrophe and a letter.
 """
@@ -20,11 +23,13 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.pieces import Memo, chunks, library, specials, split
+from plumbline.llm.pieces import MEMORY, Known, Memo, cut, library, specials, split, steps, words
 from plumbline.session import share_code
 
 
@@ -61,7 +66,7 @@ class PrefixCounter:
         self.lengths = {k: (*sorted(v, reverse=True), 1) for k, v in ends.items()}
         self.follows: dict[tuple[bytes, bytes], bool] = {}
         self.pieces = Memo(lambda new: [self.table(p.encode()) for p in new])
-        self.chunks = Memo(lambda new: [self.of_pieces(split(" " + c)) for c in new])
+        self.known = Known(self.learn, MEMORY)
         # white space by the library's own tables: it ends before a mark, and is neither letter nor digit
         cut = self.library.pre_tokenizer.pre_tokenize_str
         self.white = frozenset(c for c in map(chr, range(0x3001)) if (c.isspace() or unicodedata.category(c)[0] in "ZC") and len(cut(c + "!")) == 2 or c == " ")
@@ -76,11 +81,10 @@ class PrefixCounter:
             found = self.follows[a, b] = len(out) == 1 + bool(a) and len(out[0].value) == len(a or b)
         return found
 
-    def table(self, raw: bytes) -> tuple[int, ...]:
-        """The number of tokens of each prefix of a piece, from length 0 on."""
-        count, last = [0], [b""]
+    def extend(self, raw: bytes, count: list[int], last: list[bytes]) -> None:
+        """Carry the counts and last tokens of some prefixes of a piece, from length 0 on, to its end."""
         one = (1,)
-        for end in range(1, len(raw) + 1):
+        for end in range(len(count), len(raw) + 1):
             for n in self.lengths.get(raw[max(0, end - 2) : end], one):
                 start = end - n
                 if start < 0:
@@ -93,8 +97,37 @@ class PrefixCounter:
                     break
             else:
                 raise AssertionError("a byte without a token")
+
+    def table(self, raw: bytes) -> tuple[int, ...]:
+        """The number of tokens of each prefix of a piece, from length 0 on."""
+        count = [0]
+        self.extend(raw, count, [b""])
         return tuple(count)
 
+    def ends_of_tables(self, pieces: list[bytes]) -> list[int]:
+        """The last entry of each piece's table. In sorted order, a table begins as the one before as far as the pieces agree."""
+        out, count, last, before = [0] * len(pieces), [0], [b""], b""
+        for k in sorted(range(len(pieces)), key=pieces.__getitem__):
+            raw, same = pieces[k], 0
+            for x, y in zip(raw, before):  # noqa: B905
+                if x != y:
+                    break
+                same += 1
+            del count[same + 1 :], last[same + 1 :]
+            self.extend(raw, count, last)
+            out[k], before = count[-1], raw
+        return out
+
+    def learn(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of tokens of each chunk, as rows of one number."""
+        one = words(chunks) > 0
+        for mark in self.marks:
+            one[pc.match_substring(chunks, mark).to_numpy(zero_copy_only=False)] = False
+        out = np.zeros(len(chunks), np.uint32)
+        out[one] = self.ends_of_tables(chunks.filter(pa.array(one)).to_pylist())
+        out[~one] = [self.count(c.decode()) for c in chunks.filter(pa.array(~one)).to_pylist()]
+        return np.ones(len(chunks), np.int64), out
+
     def tables(self, pieces: list[str]) -> list[tuple[int, ...]]:
         """The tables of pieces; those of very long ones are not kept."""
         if max(map(len, pieces), default=0) <= LONG:
@@ -127,22 +160,29 @@ class PrefixCounter:
         """The number of tokens of a text."""
         if any(m in text for m in self.marks):
             return sum(1 if k % 2 else self.count(p) for k, p in enumerate(self.parts(text)))
-        parts = chunks(text)
-        return self.of_pieces(self.split(text)) if parts is None else self.of_pieces(split(parts.pop(0))) + sum(self.chunks.of(parts))
+        return self.of_pieces(self.split(text))
+
+    def counts_within(self, texts: pa.Array, budget: int) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, length of the longest prefix of at most budget tokens) of each text."""
+        chunks, first = cut(texts, self.marks)
+        place, _, _, numbers = self.known.of(chunks)
+        done = np.concatenate([[0], np.cumsum(numbers[place], dtype=np.int64)])
+        totals = np.diff(done[first])
+        fits = pc.utf8_length(texts).to_numpy(zero_copy_only=False).astype(np.int64)
+        over = np.flatnonzero(totals > budget)
+        # the prefix ends in the chunk that goes beyond the budget; chunks before it are whole pieces
+        beyond = np.searchsorted(done, done[first[over]] + budget, "right") - 1
+        _, offsets, data = chunks.buffers()
+        offsets, begins = np.frombuffer(offsets, np.int32), np.frombuffer(data or b"", np.uint8) & 0xC0 != 0x80
+        for k, at in zip(over.tolist(), beyond.tolist(), strict=True):
+            before = np.count_nonzero(begins[offsets[first[k]] : offsets[at]])
+            fits[k] = before + self.longest_prefix(chunks[at].as_py().decode(), budget - int(done[at] - done[first[k]]))
+        return totals, fits
 
     def count_within(self, text: str, budget: int) -> tuple[int, int]:
         """(tokens of the text, length of its longest prefix of at most budget tokens)."""
-        parts = None if any(m in text for m in self.marks) else chunks(text)
-        if parts is None:
-            total = self.count(text)
-            return total, len(text) if total <= budget else self.longest_prefix(text, budget)
-        counts = [self.of_pieces(split(parts[0])), *self.chunks.of(parts[1:])]
-        total = sum(counts)
-        if total <= budget:
-            return total, len(text)
-        # the cut lies in or before the chunk that goes beyond the budget, and chunks are whole pieces
-        upto = bisect_right(list(accumulate(counts)), budget) + 1
-        return total, self.longest_prefix(" ".join(parts[:upto]), budget)
+        totals, fits = self.counts_within(pa.array([text], pa.string()), budget)
+        return int(totals[0]), int(fits[0])
 
     def _within(self, pieces: list[str], tables: list, done: list[int], k: int) -> list[int]:
         """The counts of the prefixes that end inside or at the end of piece k; done has the tokens before each piece."""
@@ -207,6 +247,8 @@ class PrefixCounter:
 
 #: Tables of longer pieces are not kept in memory.
 LONG = 512
+#: Bytes of text that are counted together.
+STEP = 1 << 22
 
 
 @functools.lru_cache(maxsize=2)  # a reused Python worker keeps its tables for its next tasks
@@ -226,14 +268,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = 1024, doc_id: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(path)
         for batch in batches:
-            counts, fits = [], []
-            for t in batch.column(2):
-                n, k = counter.count_within(t.as_py(), limit)
-                counts.append(n)
-                fits.append(k)
-            over = [n > limit for n in counts]
-            columns = [batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(over, pa.bool_()), pa.array(fits, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars"])
+            for at, upto in steps(batch.column(2), STEP):
+                part = batch.slice(at, upto - at)
+                counts, fits = counter.counts_within(part.column(2), limit)
+                columns = [part.column(0), part.column(1), pa.array(counts, pa.int64()), pa.array(counts > limit, pa.bool_()), pa.array(fits, pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_tokens", "over_limit", "fits_chars"])
 
     whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
     base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.octet_length(whole).cast("long").alias("n_bytes"), whole.alias("text"))
@@ -251,13 +290,14 @@ def truncate(docs: DataFrame, path: str, budget: int, doc_id: str = "doc_id", te
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = prefix_counter(path)
         for batch in batches:
-            texts, counts = [], []
-            for t in batch.column(at).to_pylist():
-                k = counter.count_within(t or "", budget)[1]
-                texts.append(None if t is None else t[:k])
-                counts.append(counter.count((t or "")[:k]))
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*batch.schema.names, "n_tokens"])
+            for begin, end in steps(pc.fill_null(batch.column(at), ""), STEP):
+                part = batch.slice(begin, end - begin)
+                whole = pc.fill_null(part.column(at), "")
+                fits = counter.counts_within(whole, budget)[1].tolist()
+                texts = [None if t is None else t[:k] for t, k in zip(part.column(at).to_pylist(), fits, strict=True)]
+                counts = counter.counts_within(pa.array([t or "" for t in texts], pa.string()), budget)[0]
+                columns = [pa.array(texts, pa.string()) if i == at else part.column(i) for i in range(part.num_columns)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int64())], names=[*part.schema.names, "n_tokens"])
 
     schema = ", ".join(f"`{c}` {t}" for c, t in docs.dtypes)
     return docs.mapInArrow(run, f"{schema}, n_tokens long")

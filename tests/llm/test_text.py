@@ -161,6 +161,39 @@ def test_longest_prefix_within_a_budget(counter, library, text, budget):
     assert counter.count_within(text, budget) == (counts[-1], max(k for k, n in enumerate(counts) if n <= budget))
 
 
+@settings(max_examples=100, deadline=None)
+@given(texts=st.lists(st.text("ab's d'll  \n1.,é日<|>я\u3000", max_size=40) | st.sampled_from(ODD[:18]), max_size=5), budget=st.integers(0, 12))
+def test_many_texts_are_counted_at_once(counter, library, texts, budget):
+    totals, fits = counter.counts_within(pa.array(["before", *texts], pa.string())[1:], budget)
+    counts = [[len(encode(library, t[:k])) for k in range(min(60, len(t)) + 1)] for t in texts]
+    assert totals.tolist() == [len(encode(library, t)) for t in texts]
+    assert fits.tolist() == [max(k for k, n in enumerate(c) if n <= budget) for c in counts]
+
+
+def test_tables_of_words_that_begin_alike_share_their_beginning(tokenizer, library):
+    class Counted(set):
+        asked = 0
+
+        def __contains__(self, x):
+            Counted.asked += 1
+            return super().__contains__(x)
+
+    found = token_counts.PrefixCounter(tokenizer)
+    found.tokens = Counted(found.tokens)
+    words = [stem + a + b for stem in ("unreasonableness", "internationalise") for a in "abcdefghij" for b in "klmnopqrst"]
+    for w in words:
+        found.table(b" " + w.encode())
+    apart, Counted.asked = Counted.asked, 0
+    text = "x " + " ".join(words)
+    assert found.count_within(text, 10**6) == (len(encode(library, text)), len(text))
+    assert Counted.asked < apart / 3
+    # what goes beyond a budget is looked for in one chunk, not in all text before it
+    Counted.asked, budget = 0, len(encode(library, text)) - 1
+    n, k = found.count_within(text, budget)
+    assert (len(encode(library, text[:k])), k) == (budget, max(j for j in range(len(text) - 30, len(text)) if len(encode(library, text[:j])) <= budget))
+    assert Counted.asked < apart / 50
+
+
 @pytest.mark.parametrize("text", ["word " * 30_000, "人人生而自由在尊严和权利上一律平等" * 1000, " " * 20_000 + "x", "a" * 60_000, "\n \t" * 9000, "x<|endoftext|>" * 3000, "'re" * 20_000])
 def test_hostile_texts_are_counted_in_time_that_follows_their_length(counter, library, text):
     import time
