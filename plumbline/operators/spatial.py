@@ -63,8 +63,9 @@ def shapes(table: Table, keep: tuple[str, ...] = (), grow: float = 0.0) -> DataF
     rows = table.rows.where(~G.is_empty(g)).select(F.col(table.oid).cast("bigint").alias("oid"), g.alias("geom"), *keep)
     rows = rows.withColumns(G.envelope(F.col("geom")))
     rows = rows.withColumn("_plain", _plain(F.col("geom"), {k: F.col(k) for k in ("xmin", "ymin", "xmax", "ymax")}))
-    # the envelope as it is, beside the grown one
-    rows = rows.withColumn("_own", F.struct("xmin", "ymin", "xmax", "ymax"))
+    # the envelope as it is, beside the grown one, and the tolerance of planar.relate(), from the largest coordinate
+    ends = ("xmin", "ymin", "xmax", "ymax")
+    rows = rows.withColumn("_own", F.struct(*ends, (1e-9 * F.greatest(F.lit(1.0), *[F.abs(c) for c in ends])).alias("eps")))
     return rows.withColumns({k: F.col(k) - grow if k.endswith("min") else F.col(k) + grow for k in ("xmin", "ymin", "xmax", "ymax")}) if grow else rows
 
 
@@ -74,30 +75,44 @@ def _leveled(rows: DataFrame) -> DataFrame:
 
 
 def candidate_pairs(a: DataFrame, b: DataFrame, same: bool = False) -> DataFrame:
-    """Pairs whose envelopes meet; columns are those of a and b as struct columns a and b. same: each unordered pair once."""
-    a, b = _leveled(a), _leveled(b)
-    # the levels in use: at most a few dozen for any data
-    levels = sorted({r[0] for d in (a, b) for r in d.select("_level").distinct().limit(2048).toLocalIterator()})
-    every = F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>")
+    """Pairs whose envelopes meet; columns are those of a and b as struct columns a and b, and _easy: both are points or boxes. same: each
+    unordered pair once.
 
-    def dealt(rows: DataFrame, side: str) -> DataFrame:
+    Both sides are sorted and merged, never broadcast: a small file can hold millions of shapes.
+    """
+    sides = [_leveled(d) for d in ([a] if a is b else [a, b])]
+    a, b = sides[0], sides[-1]
+    # the levels in use, at most a few dozen for any data, and whether shapes other than points and boxes are there
+    seen = [{tuple(r) for r in d.where("_level is not null").select("_level", F.col("_plain") > 0).distinct().limit(4096).toLocalIterator()} for d in sides]
+    levels = [sorted({level for level, _ in side}) for side in (seen[0], seen[-1])]
+    plain = [{easy for _, easy in side} for side in (seen[0], seen[-1])]
+
+    def dealt(rows: DataFrame, side: str, others: list[int]) -> DataFrame:
         def cells(level: Column) -> Column:
             cell = F.pow(F.lit(2.0), level)
             across = lambda low, high: F.sequence(F.floor(F.col(low) / cell), F.floor(F.col(high) / cell))
             return F.flatten(F.transform(across("xmin", "xmax"), lambda i: F.transform(across("ymin", "ymax"), lambda j: F.struct(level.alias("level"), i.alias("cx"), j.alias("cy")))))
 
-        places = F.flatten(F.transform(F.filter(every, lambda x: x >= F.col("_level")), cells))
+        # a pair meets at the higher level: a shape's own one if the other side has any as low, else one of the other side's
+        own, level = F.col("_level"), F.array(*[F.lit(x) for x in others]) if others else F.array().cast("array<int>")
+        met = F.filter(level, lambda x: x > own)
+        places = F.flatten(F.transform(F.when(own >= F.lit(others[0] if others else None), F.concat(F.array(own), met)).otherwise(met), cells))
         columns = rows.columns
         rows = rows.withColumn("_cell", F.explode(places))
         return rows.select(F.struct(*columns).alias(side), F.col("_cell.level").alias("level"), F.col("_cell.cx").alias("cx"), F.col("_cell.cy").alias("cy"))
 
-    x, y = dealt(a, "a"), dealt(b, "b")
+    x, y = dealt(a, "a", levels[1]), dealt(b, "b", levels[0])
     cell = F.pow(F.lit(2.0), F.col("level"))
     corner = lambda axis: F.floor(F.greatest(F.col(f"a.{axis}min"), F.col(f"b.{axis}min")) / cell)
     meet = (F.col("a.xmin") <= F.col("b.xmax")) & (F.col("b.xmin") <= F.col("a.xmax")) & (F.col("a.ymin") <= F.col("b.ymax")) & (F.col("b.ymin") <= F.col("a.ymax"))
     once = (F.col("level") == F.greatest("a._level", "b._level")) & (F.col("cx") == corner("x")) & (F.col("cy") == corner("y"))
     order = F.col("a.oid") < F.col("b.oid") if same else F.lit(True)
-    return x.join(y, ["level", "cx", "cy"]).where(once & meet & order).select("a", "b")
+    easy = F.lit(False) if {False} in plain else F.lit(True) if plain == [{True}, {True}] else _both_plain()
+    return x.hint("merge").join(y, ["level", "cx", "cy"]).where(once & meet & order).select("a", "b", easy.alias("_easy"))
+
+
+def _both_plain() -> Column:
+    return (F.col("a._plain") > 0) & (F.col("b._plain") > 0)
 
 
 def with_function(pairs: DataFrame, name: str, kind: str, function: Callable[[planar.Shape, planar.Shape], object]) -> DataFrame:
@@ -157,31 +172,42 @@ def _sides() -> tuple[Column, ...]:
     return tuple(F.col(f"{s}._own.{k}") for s in "ab" for k in ("xmin", "ymin", "xmax", "ymax"))
 
 
-def _epsilon() -> Column:
-    """The tolerance of planar.relate(), from the largest coordinate."""
-    return 1e-9 * F.greatest(F.lit(1.0), *[F.abs(c) for c in _sides()])
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value evaluated once, however often the body names it and wherever the optimizer moves it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _plain_matrix() -> Column:
     """The intersection matrix of points and boxes from their envelopes."""
-    ax0, ay0, ax1, ay1, bx0, by0, bx1, by1 = _sides()
-    eps = _epsilon()
+    names = ("ax0", "ay0", "ax1", "ay1", "bx0", "by0", "bx1", "by1")
+    sides = F.struct(*[c.alias(n) for c, n in zip(_sides(), names, strict=True)], F.greatest("a._own.eps", "b._own.eps").alias("eps"), F.col("a._plain").alias("a"), F.col("b._plain").alias("b"))
+    return _let(sides, lambda s: _let(_facts(*[s[n] for n in names], s["eps"]), lambda f: _matrix(f, s["a"] == POINT, s["b"] == POINT)))
+
+
+def _facts(ax0: Column, ay0: Column, ax1: Column, ay1: Column, bx0: Column, by0: Column, bx1: Column, by1: Column, eps: Column) -> Column:
     less = lambda x, y: y - x > eps
     same = lambda x, y: F.abs(x - y) <= eps
-    one = lambda condition, yes, no="F": F.when(condition, yes).otherwise(no)
     over_x, over_y = less(ax0, bx1) & less(bx0, ax1), less(ay0, by1) & less(by0, ay1)
-    inner = over_x & over_y
-    apart = less(ax1, bx0) | less(bx1, ax0) | less(ay1, by0) | less(by1, ay0)
-    a_in_b = ~(less(ax0, bx0) | less(bx1, ax1) | less(ay0, by0) | less(by1, ay1))
-    b_in_a = ~(less(bx0, ax0) | less(ax1, bx1) | less(by0, ay0) | less(ay1, by1))
-    a_inside, b_inside = less(bx0, ax0) & less(ax1, bx1) & less(by0, ay0) & less(ay1, by1), less(ax0, bx0) & less(bx1, ax1) & less(ay0, by0) & less(by1, ay1)
-    along = over_y & (same(ax0, bx0) | same(ax0, bx1) | same(ax1, bx0) | same(ax1, bx1)) | over_x & (same(ay0, by0) | same(ay0, by1) | same(ay1, by0) | same(ay1, by1))
+    facts = {
+        "inner": over_x & over_y,
+        "apart": less(ax1, bx0) | less(bx1, ax0) | less(ay1, by0) | less(by1, ay0),
+        "a_in_b": ~(less(ax0, bx0) | less(bx1, ax1) | less(ay0, by0) | less(by1, ay1)),
+        "b_in_a": ~(less(bx0, ax0) | less(ax1, bx1) | less(by0, ay0) | less(ay1, by1)),
+        "a_inside": less(bx0, ax0) & less(ax1, bx1) & less(by0, ay0) & less(ay1, by1),
+        "b_inside": less(ax0, bx0) & less(bx1, ax1) & less(ay0, by0) & less(by1, ay1),
+        "along": over_y & (same(ax0, bx0) | same(ax0, bx1) | same(ax1, bx0) | same(ax1, bx1)) | over_x & (same(ay0, by0) | same(ay0, by1) | same(ay1, by0) | same(ay1, by1)),
+    }
+    return F.struct(*[c.alias(n) for n, c in facts.items()])
+
+
+def _matrix(facts: Column, a_point: Column, b_point: Column) -> Column:
+    one = lambda condition, yes, no="F": F.when(condition, yes).otherwise(no)
+    inner, apart, a_in_b, b_in_a, a_inside, b_inside, along = (facts[n] for n in ("inner", "apart", "a_in_b", "b_in_a", "a_inside", "b_inside", "along"))
     edges = F.when(apart | a_inside | b_inside, "F").when(along, "1").otherwise("0")
     boxes = F.concat(one(inner, "2"), one(inner & ~a_in_b, "1"), one(~a_in_b, "2"), one(inner & ~b_in_a, "1"), edges, one(~a_in_b, "1"), one(~b_in_a, "2"), one(~b_in_a, "1"), F.lit("2"))
     points = one(a_in_b, "0FFFFFFF2", "FF0FFF0F2")
     point_box = F.when(a_inside, "0FFFFF212").when(a_in_b, "F0FFFF212").otherwise("FF0FFF212")
     box_point = F.when(b_inside, "0F2FF1FF2").when(b_in_a, "FF20F1FF2").otherwise("FF2FF10F2")
-    a_point, b_point = F.col("a._plain") == POINT, F.col("b._plain") == POINT
     return F.when(a_point & b_point, points).when(a_point, point_box).when(b_point, box_point).otherwise(boxes)
 
 
@@ -192,8 +218,11 @@ def _plain_distance() -> Column:
 
 
 def _parted(pairs: DataFrame, name: str, kind: str, plain: Column, function: Callable[[planar.Shape, planar.Shape], object]) -> DataFrame:
-    """pairs with a column that is an expression for points and boxes, and a function of the shapes for all others."""
-    easy = (F.col("a._plain") > 0) & (F.col("b._plain") > 0)
+    """pairs with a column that is an expression for points and boxes, and a function of the shapes for all others.
+
+    Where _easy is known for all pairs, one of the two parts is empty to the optimizer and costs nothing.
+    """
+    easy = F.col("_easy") if "_easy" in pairs.columns else _both_plain()
     return pairs.where(easy).withColumn(name, plain).unionByName(with_function(pairs.where(~easy), name, kind, function))
 
 
@@ -205,12 +234,12 @@ def distances(pairs: DataFrame, name: str = "distance") -> DataFrame:
 def related(pairs: DataFrame, relation: str | Callable[[str], Column] = "intersects") -> DataFrame:
     """Pairs that stand in a relation, with their matrix."""
     pairs = _parted(pairs, "matrix", "string", _plain_matrix(), planar.relate)
-    return pairs.where(relation(F.col("matrix")) if callable(relation) else relation_column(relation))
+    return pairs.where(_let(F.col("matrix"), relation if callable(relation) else lambda m: relation_column(relation, m)))
 
 
-def relation_column(relation: str) -> Column:
-    """A named relation from the columns matrix, a.geom and b.geom."""
-    m = lambda i: F.substring("matrix", i + 1, 1)
+def relation_column(relation: str, matrix: Column) -> Column:
+    """A named relation from a matrix and the columns a.geom and b.geom."""
+    m = lambda i: F.substring(matrix, i + 1, 1)
     t = lambda i: m(i) != "F"
     dim = lambda c: F.when(c == "point", 0).when(c == "line", 1).otherwise(2)
     da, db = dim(F.col("a.geom.kind")), dim(F.col("b.geom.kind"))
