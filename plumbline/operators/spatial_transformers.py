@@ -41,7 +41,8 @@ def tr_spatial_join(left: Table, right: Table, constraint: str | None = None, ou
         taken = {c.lower() for c in base.columns}
         fields = [F.col(f"b.{c}").alias(f"{right.name}_{c}" if c.lower() in taken else c) for c in t1]
         right_side = met.select(F.col("a.oid").alias("_oid"), F.col("b.oid").alias(f"{right.name}_oid"), *fields)
-    out = base.join(right_side, key == F.col("_oid"), "left" if outer else "inner").drop("_oid")
+    # merged: a small file can hold millions of shapes, too many to broadcast
+    out = base.hint("merge").join(right_side, key == F.col("_oid"), "left" if outer else "inner").drop("_oid")
     return Table(out, f"{left.name}_{right.name}", left.oid, left.geom)
 
 

@@ -12,6 +12,7 @@ from plumbline.queries.space import boxes, lines, points
 #: Their files are small and hold many shapes: a broadcast takes the driver's memory.
 MERGED = [
     "qa_contained_points_count",
+    "tr_spatial_join",
 ]
 #: These join their features with keys found, once more.
 KEYS_ONLY = {"qa_contained_points_count", "qa_contains_other", "qa_intersection_matrix_disjoint", "qa_must_intersect_matrix_other", "qa_must_intersect_other", "qa_must_touch_self"}
