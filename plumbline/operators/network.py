@@ -177,18 +177,21 @@ def qa_min_node_distance(tables: Tables, near: float, tolerance: float = 0.0) ->
 
 
 def connected(nodes: DataFrame, edges: DataFrame, node: str = "node") -> DataFrame:
-    """(node, comp): the smallest node reachable over edges (a, b), by label propagation with pointer jumping; lineage is cut each round."""
+    """(node, comp): the smallest node reachable over edges (a, b), by label propagation with pointer jumping; lineage is cut each round.
+
+    Joins are merged: written labels are small files of many rows, too many to broadcast.
+    """
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("n")).agg(F.least(F.min("b"), F.col("a")).alias("comp")), "labels")
     while True:
-        near = both.join(labels, both.b == labels.n).groupBy("a").agg(F.min("comp").alias("near"))
-        step = labels.join(near, labels.n == near.a).select("n", "comp", F.least("comp", "near").alias("new"))
+        near = both.hint("merge").join(labels, both.b == labels.n).groupBy("a").agg(F.min("comp").alias("near"))
+        step = labels.hint("merge").join(near, labels.n == near.a).select("n", "comp", F.least("comp", "near").alias("new"))
         root = labels.select(F.col("n").alias("r"), F.col("comp").alias("up"))
-        step = materialize(step.join(root, step.new == root.r, "left").select("n", "comp", F.least("new", F.coalesce("up", "new")).alias("new")), "labels")
+        step = materialize(step.join(root.hint("merge"), step.new == root.r, "left").select("n", "comp", F.least("new", F.coalesce("up", "new")).alias("new")), "labels")
         changed = step.where("new < comp").limit(1).count()
         labels = step.select("n", F.col("new").alias("comp"))
         if not changed:
-            return nodes.join(labels, nodes[node] == labels.n, "left").select(nodes[node], F.coalesce("comp", nodes[node]).alias("comp"))
+            return nodes.join(labels.hint("merge"), nodes[node] == labels.n, "left").select(nodes[node], F.coalesce("comp", nodes[node]).alias("comp"))
 
 
 def qa_gdb_topology(errors: DataFrame) -> DataFrame:
