@@ -28,6 +28,7 @@ MERGED = [
     "qa_contains_other",
     "qa_no_gaps",
     "tr_spatial_join_grouped",
+    "qa_touches_self",
 ]
 #: These join their features with keys found, once more.
 KEYS_ONLY = {"qa_contained_points_count", "qa_contains_other", "qa_intersection_matrix_disjoint", "qa_must_intersect_matrix_other", "qa_must_intersect_other", "qa_must_touch_self"}
