@@ -104,16 +104,62 @@ def _rings(shape: planar.Shape) -> list[planar.Shape]:
     return [("polygon", [r if planar.ring_area(r) > 0 else r[::-1]]) for r in shape[1] if abs(planar.ring_area(r)) > 1e-12]
 
 
+def _box_facts(rings: list[planar.Shape], most: int = 16) -> dict | None:
+    """The facts of a few axis-parallel rectangles, counted on the cells between their sides; None for all other rings.
+
+    Sides as near as the tolerance and cells that meet in a corner only are left to the exact shapes.
+    """
+    boxes = []
+    for _, (r,) in rings:
+        if len(r) != 5 or r[0] != r[4] or any((p[0] == q[0]) == (p[1] == q[1]) for p, q in zip(r, r[1:], strict=False)) or (r[0][0] == r[1][0]) == (r[1][0] == r[2][0]):
+            return None
+        boxes.append((min(r[0][0], r[2][0]), min(r[0][1], r[2][1]), max(r[0][0], r[2][0]), max(r[0][1], r[2][1])))
+    if not 0 < len(boxes) <= most:
+        return None
+    xs, ys = sorted({b[k] for b in boxes for k in (0, 2)}), sorted({b[k] for b in boxes for k in (1, 3)})
+    eps = 1e-9 * max(1.0, -xs[0], xs[-1], -ys[0], ys[-1])
+    if any(q - p <= eps for axis in (xs, ys) for p, q in zip(axis, axis[1:], strict=False)):
+        return None
+    # a border of empty cells goes round all
+    wide, high = len(xs) + 1, len(ys) + 1
+    x, y = {v: i + 1 for i, v in enumerate(xs)}, {v: j + 1 for j, v in enumerate(ys)}
+    count = [0] * (wide * high)
+    for x0, y0, x1, y1 in boxes:
+        for i in range(x[x0], x[x1]):
+            for k in range(i * high + y[y0], i * high + y[y1]):
+                count[k] += 1
+    full = [c > 0 for c in count]
+    for k in range(len(full) - high - 1):
+        if full[k] == full[k + high + 1] != full[k + 1] == full[k + high] and (k + 1) % high:
+            return None
+    kinds, left = {True: 0, False: 0}, set(range(len(full)))
+    while left:
+        todo = [left.pop()]
+        kinds[full[todo[0]]] += 1
+        while todo:
+            k = todo.pop()
+            for n in (k - high, k + high, k - 1 if k % high else -1, k + 1 if (k + 1) % high else -1):
+                if n in left and full[n] == full[k]:
+                    left.remove(n)
+                    todo.append(n)
+    return {"outer": kinds[True], "holes": kinds[False] - 1, "crossing": max(count) > 1}
+
+
 def _footprint_facts(table: Table) -> DataFrame:
     """(oid, outer, holes, crossing): parts and holes of the footprint, and whether footprints of rings overlap."""
 
     def facts(shape: planar.Shape) -> dict:
         rings = _rings(shape)
+        if known := _box_facts(rings):
+            return known
         total = planar.union(rings)[1]
         overlap = any(planar.relate(a, b)[0] == "2" for i, a in enumerate(rings) for b in rings[:i])
         return {"outer": sum(planar.ring_area(r) > 0 for r in total), "holes": sum(planar.ring_area(r) < 0 for r in total), "crossing": overlap}
 
-    return _rows(table).select("oid", S.of_shape(F.col("g"), "struct<outer:int,holes:int,crossing:boolean>", facts).alias("f")).select("oid", "f.*")
+    # a small file is one task, but its shapes are much work: they are dealt out evenly first
+    spark = table.df.sparkSession
+    rows = _rows(table).repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+    return rows.select("oid", S.of_shape(F.col("g"), "struct<outer:int,holes:int,crossing:boolean>", facts).alias("f")).select("oid", "f.*")
 
 
 def qa_mp_footprint_holes(table: Table) -> DataFrame:

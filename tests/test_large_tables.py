@@ -5,6 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import planar
+from plumbline.operators import solids as M
 from plumbline.operators import spatial as S
 from plumbline.queries import QUERIES
 from plumbline.queries.space import boxes, lines, points
@@ -77,3 +79,31 @@ def test_pairs_of_levels_against_brute_force(spark):
     own = shapes(sides[0], 0)
     found = sorted(tuple(r) for r in S.candidate_pairs(own, own, same=True).select("a.oid", "b.oid").collect())
     assert found == sorted((a[0], b[0]) for a in sides[0] for b in sides[0] if a[0] < b[0] and meet(a, b))
+
+
+def test_footprints_of_rectangles_are_counted_on_cells():
+    """As the exact shapes have them; rectangles that meet in a corner only are left to those."""
+    rng = random.Random(3)
+    known = 0
+    for _ in range(200):
+        made = []
+        for _ in range(rng.randint(1, 6)):
+            x, y, w, h = rng.randint(0, 6), rng.randint(0, 6), rng.randint(1, 4), rng.randint(1, 4)
+            ring = [(float(a), float(b)) for a, b in ((x, y), (x, y + h), (x + w, y + h), (x + w, y), (x, y))]
+            made.append(rng.choice([ring, ring[::-1]]))
+        rings = M._rings(("multipatch", made))
+        found = M._box_facts(rings)
+        if found is not None:
+            total = planar.union(rings)[1]
+            crossing = any(planar.relate(a, b)[0] == "2" for i, a in enumerate(rings) for b in rings[:i])
+            assert found == {"outer": sum(planar.ring_area(r) > 0 for r in total), "holes": sum(planar.ring_area(r) < 0 for r in total), "crossing": crossing}
+            known += 1
+    assert known > 150
+    box = lambda x, y: ("polygon", [[(x, y), (x, y + 1.0), (x + 1.0, y + 1.0), (x + 1.0, y), (x, y)]])
+    assert M._box_facts([box(0.0, 0.0), box(1.0, 1.0)]) is None
+    assert M._box_facts([box(0.0, 0.0), box(1e-10, 0.0)]) is None
+
+
+def test_a_small_file_of_faces_is_dealt_out(spark, sf_dir):
+    plan = plan_of(QUERIES["qa_mp_single_part_footprint"](spark, sf_dir))
+    assert "RoundRobinPartitioning" in plan
