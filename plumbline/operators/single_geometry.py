@@ -296,15 +296,26 @@ def qa_route_measures_continuous(table: Table, route: str, tolerance: float) ->
 
 
 def qa_route_measures_unique(table: Table, route: str, tolerance: float, width: float) -> DataFrame:
-    """Pairs of lines of a route whose measure ranges overlap by more than tolerance: a range join over buckets of width."""
+    """Pairs of lines of a route whose measure ranges overlap by more than tolerance: a range join over buckets of width.
+
+    Lines with the same range are compared as one, and only the pairs that count are made of them.
+    """
     g = F.col(table.geom)
     rows = table.rows.where(F.col(route).isNotNull()).select(F.col(table.oid).cast("bigint").alias("oid"), F.col(route).alias("route"), G.lowest(g, "m").alias("low"), G.highest(g, "m").alias("high")).where("low is not null")
-    rows = rows.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))))
-    a, b = rows.alias("a"), rows.alias("b")
+    rows = rows.where(F.col("high") - F.col("low") > tolerance)  # no overlap is longer than its ranges
+    ranges = rows.select("route", "low", "high").distinct().withColumn("bucket", F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))))
+    a, b = ranges.alias("a"), ranges.alias("b")
     overlap = F.least("a.high", "b.high") - F.greatest("a.low", "b.low")
     once = F.col("a.bucket") == F.greatest(F.floor(F.col("a.low") / width), F.floor(F.col("b.low") / width))
-    met = (F.col("a.route") == F.col("b.route")) & (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.oid") < F.col("b.oid")) & once & (overlap > tolerance)
-    return issues(a.join(b, met).select(F.col("a.oid").alias("oid"), F.col("b.oid").alias("other")), "RouteMeasuresUnique.OverlappingMeasures", [(table.name, "oid"), (table.name, "other")])
+    order = F.struct("a.low", "a.high") <= F.struct("b.low", "b.high")
+    met = (F.col("a.route") == F.col("b.route")) & (F.col("a.bucket") == F.col("b.bucket")) & order & once & (overlap > tolerance)
+    pairs = a.join(b, met).select(F.col("a.route").alias("route"), *[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in ("low", "high")])
+    for s in "ab":
+        named = rows.select("route", F.col("oid").alias(s), *[F.col(c).alias(f"{s}_{c}") for c in ("low", "high")])
+        pairs = pairs.join(named.hint("merge"), ["route", f"{s}_low", f"{s}_high"])
+    same = (F.col("a_low") == F.col("b_low")) & (F.col("a_high") == F.col("b_high"))
+    pairs = pairs.where((F.col("a") < F.col("b")) | (~same & (F.col("a") > F.col("b"))))
+    return issues(pairs.select(F.least("a", "b").alias("oid"), F.greatest("a", "b").alias("other")), "RouteMeasuresUnique.OverlappingMeasures", [(table.name, "oid"), (table.name, "other")])
 
 
 # segment types: curves are given as an array of segment types beside the geometry

@@ -5,9 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import geometry as G
 from plumbline.functions import planar
+from plumbline.issues import Table
 from plumbline.operators import solids as M
 from plumbline.operators import spatial as S
+from plumbline.operators.single_geometry import qa_route_measures_unique
 from plumbline.queries import QUERIES
 from plumbline.queries.space import boxes, lines, points
 
@@ -107,3 +110,15 @@ def test_footprints_of_rectangles_are_counted_on_cells():
 def test_a_small_file_of_faces_is_dealt_out(spark, sf_dir):
     plan = plan_of(QUERIES["qa_mp_single_part_footprint"](spark, sf_dir))
     assert "RoundRobinPartitioning" in plan
+
+
+def test_route_ranges_against_brute_force(spark):
+    """Equal ranges, ranges no longer than the tolerance and points: the same pairs, and ranges are compared once however many share them."""
+    rng = random.Random(7)
+    rows = [(k, "ab"[k % 2], float(low := rng.randint(0, 12)), float(low + rng.randint(0, 5))) for k in range(120)]
+    df = spark.createDataFrame(rows, "oid long, route string, low double, high double")
+    made = df.select("oid", "route", G.line(F.array(G.vertex("oid", 0, None, F.col("low")), G.vertex("oid", 1, None, F.col("high")))).alias("geom"))
+    found = qa_route_measures_unique(Table(made, "routes", "oid", "geom"), "route", 2, 10)
+    pairs = sorted((r.involved[0].oid, r.involved[1].oid) for r in found.collect())
+    assert pairs == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and min(a[3], b[3]) - max(a[2], b[2]) > 2)
+    assert "HashAggregate" in plan_of(found)
