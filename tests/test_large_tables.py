@@ -34,6 +34,7 @@ MERGED = [
     "qa_no_gaps",
     "tr_spatial_join_grouped",
     "qa_touches_self",
+    "qa_mp_vertex_not_near_face",
 ]
 #: These join their features with keys found, once more.
 KEYS_ONLY = {"qa_contained_points_count", "qa_contains_other", "qa_intersection_matrix_disjoint", "qa_must_intersect_matrix_other", "qa_must_intersect_other", "qa_must_touch_self"}
