@@ -286,13 +286,29 @@ def _ends(table: Table, route: str) -> DataFrame:
     return parts.select("oid", "route", "part", F.posexplode(ends).alias("end", "p")).select("oid", "route", "part", "end", "p.x", "p.y", "p.m")
 
 
+#: The pairs of one place are made in parts of about so many first lines.
+PLACE_LINES = 4096
+
+
 def qa_route_measures_continuous(table: Table, route: str, tolerance: float) -> DataFrame:
-    """Pairs of lines of a route that share an end point whose measures differ."""
-    e = _ends(table, route)
-    a, b = e.alias("a"), e.alias("b")
-    met = (F.col("a.route") == F.col("b.route")) & (F.col("a.x") == F.col("b.x")) & (F.col("a.y") == F.col("b.y")) & (F.col("a.oid") < F.col("b.oid"))
+    """Pairs of lines of a route that share an end point whose measures differ.
+
+    Few bytes make many pairs: ends are merged, never broadcast, and dealt out by place to a fixed number of tasks; a place of many lines
+    goes to several.
+    """
+    # one key, as doubles would be dealt anew by the join; both zeros are one place
+    place = F.concat_ws(" ", *[(F.col(c) + F.lit(0.0)).cast("string") for c in "xy"], F.col("route").cast("string"))
+    e = _ends(table, route).where("x is not null and y is not null").select(place.alias("place"), "oid", "m")
+    shared = e.groupBy("place").agg(F.count("*").alias("n")).where("n > 1").select("place", F.ceil(F.col("n") / PLACE_LINES).cast("int").alias("blocks"))
+    e = e.join(shared.hint("merge"), "place")
+    spark = e.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    first = e.withColumn("block", F.pmod(F.xxhash64("oid"), "blocks").cast("int"))
+    second = e.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    a, b = (d.select("place", "block", "oid", "m").repartition(tasks, "place", "block").alias(s) for d, s in ((first, "a"), (second, "b")))
+    met = (F.col("a.place") == F.col("b.place")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.oid") < F.col("b.oid"))
     bad = (F.col("a.m").isNull() != F.col("b.m").isNull()) | (F.abs(F.col("a.m") - F.col("b.m")) > tolerance)
-    return issues(a.join(b, met & bad).select(F.col("a.oid").alias("oid"), F.col("b.oid").alias("other")), "RouteMeasuresContinuous.MeasuresNotContinuous", [(table.name, "oid"), (table.name, "other")])
+    return issues(a.hint("merge").join(b, met & bad).select(F.col("a.oid").alias("oid"), F.col("b.oid").alias("other")), "RouteMeasuresContinuous.MeasuresNotContinuous", [(table.name, "oid"), (table.name, "other")])
 
 
 def qa_route_measures_unique(table: Table, route: str, tolerance: float, width: float) -> DataFrame:

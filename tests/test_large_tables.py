@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from plumbline.functions import geometry as G
 from plumbline.functions import planar
 from plumbline.issues import Table
+from plumbline.operators import single_geometry
 from plumbline.operators import solids as M
 from plumbline.operators import spatial as S
-from plumbline.operators.single_geometry import qa_route_measures_unique
+from plumbline.operators.single_geometry import qa_route_measures_continuous, qa_route_measures_unique
 from plumbline.queries import QUERIES
 from plumbline.queries.space import boxes, lines, points
 
@@ -123,3 +124,23 @@ def test_route_ranges_against_brute_force(spark):
     pairs = sorted((r.involved[0].oid, r.involved[1].oid) for r in found.collect())
     assert pairs == sorted((a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] == b[1] and min(a[3], b[3]) - max(a[2], b[2]) > 2)
     assert "HashAggregate" in plan_of(found)
+
+
+@pytest.mark.parametrize("at_once", [4096, 5])
+def test_ends_of_routes_against_brute_force(spark, monkeypatch, at_once):
+    """Places of many lines, both zeros, measures that are missing: each pair once for each shared end, and no broadcast."""
+    monkeypatch.setattr(single_geometry, "PLACE_LINES", at_once, raising=False)
+    rng = random.Random(11)
+    rows = [(k, "ab"[k % 2], rng.choice([-0.0, 0.0, 1.0]), float(rng.randint(2, 3)), rng.choice([None, 0.0, 2.0, 5.0]), rng.choice([None, 1.0, 3.0])) for k in range(90)]
+    df = spark.createDataFrame(rows, "oid long, route string, x double, far double, m double, n double")
+    made = df.select("oid", "route", G.line(F.array(G.vertex("x", F.lit(0.0), None, F.col("m")), G.vertex("far", F.lit(0.0), None, F.col("n")))).alias("geom"))
+    found = qa_route_measures_continuous(Table(made, "routes", "oid", "geom"), "route", 1.5)
+    ends = [(r[0], r[1], x, m) for r in rows for x, m in ((r[2], r[4]), (r[3], r[5]))]
+    bad = lambda m, n: (m is None) != (n is None) or m is not None and abs(m - n) > 1.5
+    assert sorted((r.involved[0].oid, r.involved[1].oid) for r in found.collect()) == sorted((a[0], b[0]) for a in ends for b in ends if a[0] < b[0] and a[1:3] == b[1:3] and bad(a[3], b[3]))
+
+
+def test_ends_of_routes_are_dealt_out(spark, sf_dir):
+    """A small file of them makes many pairs."""
+    plan = plan_of(QUERIES["qa_route_measures_continuous"](spark, sf_dir))
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan and plan.count("REPARTITION_BY_NUM") == 2
