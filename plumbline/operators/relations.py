@@ -119,7 +119,8 @@ def _all(tables: Tables) -> DataFrame:
 
 
 def _missing(tables: Tables, hit: DataFrame, code: str) -> DataFrame:
-    left = _all(tables).join(hit.select("tab", "oid").distinct(), ["tab", "oid"], "left_anti")
+    # merged: keys found are as many as features, and compressed they would look few enough to broadcast
+    left = _all(tables).hint("merge").join(hit.select("tab", "oid").distinct(), ["tab", "oid"], "left_anti")
     return issues(left, code, F.array(F.struct("tab", "oid")))
 
 

@@ -54,6 +54,19 @@ def test_shapes_are_not_broadcast(spark, sf_dir, name):
     assert not broadcast or name in KEYS_ONLY
 
 
+#: Features meet the keys found once more: as many as the features, and compressed they look few to adaptive execution.
+KEYS_MERGED = ["qa_must_intersect_other"]
+
+
+@pytest.mark.parametrize("name", KEYS_MERGED)
+def test_keys_found_are_not_broadcast(spark, sf_dir, name):
+    """In the plan that ran, not only in the one that was made."""
+    df = QUERIES[name](spark, sf_dir)
+    df.collect()
+    plan = plan_of(df)
+    assert "isFinalPlan=true" in plan and "BroadcastHashJoin" not in plan and plan.count("SortMergeJoin") >= 2
+
+
 def test_points_and_boxes_never_go_to_python(spark, sf_dir):
     def plan(one, two):
         return plan_of(S.related(S.other_pairs([one(spark, sf_dir)], [two(spark, sf_dir)])).select("a.oid"))
