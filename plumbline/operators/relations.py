@@ -179,7 +179,7 @@ def qa_contains_other(containing: Tables, contained: Tables, condition: str | No
     inside = S.related(pairs, "within")
     flags = inside.select("a.tab", "a.oid", S.conditioned(inside, condition and condition.replace("G1", "G0").replace("G2", "G1").replace("G0", "G2"), default=True).alias("met"))
     best = flags.groupBy("tab", "oid").agg(F.max("met").alias("met"))
-    left = _all(contained).join(best, ["tab", "oid"], "left").where("met is null or not met")
+    left = _all(contained).hint("merge").join(best, ["tab", "oid"], "left").where("met is null or not met")
     code = F.when(F.col("met").isNull(), F.lit("ContainsOther.NoContainingFeature")).otherwise(F.lit("ContainsOther.ContainingFeatureConditionNotFulfilled"))
     return issues(left, code, F.array(F.struct("tab", "oid")))
 

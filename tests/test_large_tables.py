@@ -55,7 +55,7 @@ def test_shapes_are_not_broadcast(spark, sf_dir, name):
 
 
 #: Features meet the keys found once more: as many as the features, and compressed they look few to adaptive execution.
-KEYS_MERGED = ["qa_must_intersect_other", "qa_intersection_matrix_disjoint", "qa_must_intersect_matrix_other"]
+KEYS_MERGED = ["qa_must_intersect_other", "qa_intersection_matrix_disjoint", "qa_must_intersect_matrix_other", "qa_contains_other"]
 
 
 @pytest.mark.parametrize("name", KEYS_MERGED)
