@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.llm.words import LOWER, U, code_points, hash_words, mix, utf8, windows, word_spans
-from plumbline.session import materialize, share_code
+from plumbline.session import dismiss, materialize, share_code
 
 MIN_WORDS = 20
 LINE_WORDS = 3
@@ -130,9 +130,10 @@ def _around_rows(min_words: int):
 
 def _repeats(found: DataFrame, name: str) -> DataFrame:
     """The rows of found whose digest stands earlier too, with the doc_id of the first occurrence as keep_doc_id."""
-    # the digests alone first: few of them repeat, and only rows of these are looked at again
+    # the digests alone first: few of them repeat, and only rows of these are looked at again; each step moves about as much
+    # as the input, so all are tidy: the shuffle files of one step only are on disk at a time
     groups = found.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "start")).alias("keep")).where("n > 1")
-    groups = materialize(groups.select("digest", "keep"), name)  # apart from the join, so that a hot digest's rows can be split there
+    groups = materialize(groups.select("digest", "keep"), name, tidy=True)  # apart from the join, so that a hot digest's rows can be split there
     again = found.join(groups, "digest").where((F.col("doc_id") != F.col("keep.doc_id")) | (F.col("start") != F.col("keep.start")))
     return again.withColumn("keep_doc_id", F.col("keep.doc_id")).drop("keep")
 
@@ -145,14 +146,16 @@ def _with_run(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def _extended(base: DataFrame, found: DataFrame, spans: DataFrame, min_words: int) -> DataFrame:
-    """Repeats among the passages around the outer hits of spans: doc_id, start, end, keep_doc_id."""
+    """Repeats among the passages around the outer hits of spans: doc_id, start, end, keep_doc_id. Removes found on its way."""
     # a document that has the same passage must hash around it as well, be it inside a run there or kept
     sides = spans.select(F.explode("firsts").alias("digest"), F.lit(True).alias("before"), F.lit(False).alias("after"))
     sides = sides.unionAll(spans.select(F.explode("lasts").alias("digest"), F.lit(False).alias("before"), F.lit(True).alias("after")))
-    sides = materialize(sides.groupBy("digest").agg(F.max("before").alias("before"), F.max("after").alias("after")), "sides")
+    sides = materialize(sides.groupBy("digest").agg(F.max("before").alias("before"), F.max("after").alias("after")), "sides", tidy=True)
     hits = found.where("passage").join(sides, "digest").groupBy("doc_id").agg(F.collect_set(F.struct("start", "before", "after")).alias("hits"))
+    hits = materialize(hits, "hits", tidy=True)  # apart from the texts, which move in the next step
+    dismiss(found)
     more = base.join(hits, "doc_id").select("doc_id", "text", "hits").mapInArrow(_around_rows(min_words), "doc_id long, start int, end int, digest long")
-    return _repeats(materialize(more, "around"), "more").drop("digest")
+    return _repeats(materialize(more, "around", tidy=True), "more").drop("digest")
 
 
 def repeated_spans(docs: DataFrame, unit: str = "passage", min_words: int = MIN_WORDS, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -174,7 +177,7 @@ def repeated_spans(docs: DataFrame, unit: str = "passage", min_words: int = MIN_
     firsts = F.collect_set(F.when(F.col("passage") & (F.col("start") < F.col("first_end")), F.col("digest"))).alias("firsts")
     lasts = F.collect_set(F.when(F.col("passage") & (F.col("end") > F.col("last_start")), F.col("digest"))).alias("lasts")
     spans = runs.groupBy("doc_id", "passage", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_units"), F.collect_set("keep_doc_id").alias("keep"), firsts, lasts)
-    spans = materialize(spans, "spans")
+    spans = materialize(spans, "spans", tidy=True)
     out = spans.select("doc_id", "start", "end", "n_units", "keep")
     if unit in ("passage", "all"):
         more = _extended(base, found, spans, min_words)

@@ -8,11 +8,14 @@ import re
 import tempfile
 import uuid
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
 _ROOT = str(Path(__file__).resolve().parent.parent)
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_PATH_OF: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def share_code(spark: SparkSession) -> None:
@@ -44,12 +47,30 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends there, and lost executors lose nothing."""
+def materialize(df: DataFrame, name: str, tidy: bool = False) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends there, and lost executors lose nothing.
+
+    tidy removes the shuffle files of the writing job at its end; else they stay until the driver's garbage collection finds them unused.
+    """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if tidy:
+        before = spark.conf.get(_TIDY, None)
+        spark.conf.set(_TIDY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if tidy:
+            spark.conf.unset(_TIDY) if before is None else spark.conf.set(_TIDY, before)
+    _PATH_OF[out := spark.read.schema(df.schema).parquet(path)] = path
+    return out
+
+
+def dismiss(df: DataFrame) -> None:
+    """Remove what materialize wrote for df; nothing may read it any more."""
+    path = _PATH_OF.pop(df)
+    _WRITTEN.remove((df.sparkSession, path))
+    delete(df.sparkSession, path.rsplit("/", 1)[0])
 
 
 def delete(spark: SparkSession, path: str) -> None:

@@ -2,10 +2,12 @@
 
 import random
 import re
+import time
 
 import pytest
 from conftest_llm import CLASHES
 
+from plumbline import session
 from plumbline.llm import exact_dedup, minmax_dedup, substring_dedup
 from plumbline.llm.queries import ORACLES, QUERIES
 
@@ -190,6 +192,21 @@ def test_short_lines_and_pasted_passages_are_both_found(docs_of, spark, tmp_path
     assert any(x in passage and len(x.split()) >= 20 for x in found[3]) and "share  THIS page" in found[3]
 
 
+def test_files_of_ended_steps_leave_the_disk(docs_of, spark):
+    """Neither the table of all units nor shuffle files of steps before the last stay until the result is read."""
+    left = lambda: {p for p in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n") if "shuffle_" in p}
+    passage = " ".join(WORDS[:50])
+    docs, before = docs_of([(k, f"{k} {passage} {k}\n{passage}") for k in range(40)]), left()
+    written = len(session._WRITTEN)
+    found = substring_dedup.repeated_spans(docs, "all")
+    names = [path.rsplit("/", 1)[1] for _, path in session._WRITTEN[written:]]
+    until = time.monotonic() + 20
+    while left() - before and time.monotonic() < until:  # executors remove them on their own
+        time.sleep(0.2)
+    assert "units" not in names and "around" in names and not left() - before
+    assert found.count() == 79  # twice in each document; the first one stays
+
+
 @pytest.mark.parametrize("size", [31, 32, 40, 60])
 def test_passages_that_repeat_are_removed_whole(docs_of, size):
     r = random.Random(size)
